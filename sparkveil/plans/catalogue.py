@@ -1,10 +1,622 @@
-"""Named queries of the engine and the SQL that states the same result."""
+"""Named queries of the engine and, where SQL can state it, the SQL of the same result for DuckDB."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkveil.functions import checksums, geometry, scalars, taxonomy, validators
+from sparkveil.operators import fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
+from sparkveil.sources import synthetic
+from sparkveil.sources.synthetic import table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    """Register a function under its name, with its oracle."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _duck(sql: str) -> str:
+    """SQL of ``sources.synthetic`` with its tables named as DuckDB has them."""
+    return sql.replace("{lineitem}", "lineitem")
+
+
+def _shared(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkveil-")
+
+
+# ---------------------------------------------------------------- text detection
+
+_LUHN = "(list_sum(list_transform(range(0, len({d})), lambda i: CASE WHEN (len({d}) - i) % 2 = 1 THEN {d}[i + 1]::INT ELSE (2 * {d}[i + 1]::INT) // 10 + (2 * {d}[i + 1]::INT) % 10 END)) % 10 = 0)"
+# each non-digit is doubled, so that one of the two can serve as the boundary that RE2 has no lookaround for
+_CARDS = r"""
+    SELECT doc_id, lang, source, regexp_replace(c, '[^0-9]', '', 'g') AS d
+    FROM (SELECT doc_id, lang, source, unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){12,18}[0-9])(?:[^0-9]|$)', 1)) AS c FROM documents)
+"""
+_VALID_CARDS = f"SELECT doc_id, lang, source, d FROM ({_CARDS}) WHERE regexp_matches(d, '^([2-6]|81)') AND {_LUHN.format(d='d')}"
+_EMAILS = r"SELECT doc_id, lang, source, lower(unnest(regexp_extract_all(text, '\b[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'))) AS d FROM documents"
+
+
+def _found(spark: SparkSession, sf_dir: str, *classes: str, threshold: float = 0.5) -> DataFrame:
+    docs = recognizers.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), threshold=threshold)
+    spans = docs.select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", "s.*")
+    return spans.filter(F.col("cls").isin(*classes)) if classes else spans
+
+
+@query(f"SELECT 'CARD_NUMBER' AS cls, lang, count(*) AS n FROM ({_VALID_CARDS}) GROUP BY lang UNION ALL SELECT 'EMAIL', lang, count(*) FROM ({_EMAILS}) GROUP BY lang")
+def pii_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in documents by class and language, in shield mode."""
+    return _found(spark, sf_dir).filter(taxonomy.redacts("shield", F.col("cls"))).groupBy("cls", "lang").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, d AS digits, count(*) AS n FROM ({_VALID_CARDS}) GROUP BY doc_id, d")
+def card_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "CARD_NUMBER").groupBy("doc_id", F.col("normalized").alias("digits")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, d AS email, count(*) AS n FROM ({_EMAILS}) GROUP BY doc_id, d")
+def email_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(spark, sf_dir, "EMAIL").groupBy("doc_id", F.col("normalized").alias("email")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT source, doc_id, n FROM (SELECT source, doc_id, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, doc_id) AS r FROM (SELECT * FROM ({_VALID_CARDS}) UNION ALL SELECT * FROM ({_EMAILS})) GROUP BY source, doc_id) WHERE r <= 3")
+def pii_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three documents of each source with the most personal data."""
+    from pyspark.sql import Window as W
+
+    counts = _found(spark, sf_dir).groupBy("source", "doc_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "doc_id"))
+    return counts.withColumn("r", rank).filter("r <= 3").drop("r")
+
+
+@query()
+def pii_spans_fortress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans of documents at the strict threshold, with evidence."""
+    return _found(spark, sf_dir, threshold=0.3).select("doc_id", "cls", "start", "end", "text", "confidence", "evidence", "normalized")
+
+
+_TEMPLATES = """SELECT o_orderkey AS k, CASE o_orderkey % 8
+    WHEN 0 THEN concat('+91 ', CAST(60000 + o_custkey % 39999 AS STRING), '-', lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0')) WHEN 1 THEN concat('user', CAST(o_custkey AS STRING), '@', CASE o_custkey % 3 WHEN 0 THEN 'okicici' WHEN 1 THEN 'ybl' ELSE 'nobank' END)
+    WHEN 2 THEN concat('SBIN', CAST(o_custkey % 2 AS STRING), lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')) WHEN 3 THEN concat('ABC', CASE o_custkey % 4 WHEN 0 THEN 'P' WHEN 1 THEN 'C' WHEN 2 THEN 'X' ELSE 'T' END, 'E', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0'), 'F')
+    WHEN 4 THEN CAST(100000 + o_orderkey * 7 % 900000 AS STRING) WHEN 5 THEN CAST(o_orderkey * 1234567 AS STRING)
+    WHEN 6 THEN concat(CASE o_custkey % 3 WHEN 0 THEN 'GJ' WHEN 1 THEN 'ZZ' ELSE 'KA' END, ' 0', CAST(o_orderkey % 10 AS STRING), ' AB ', lpad(CAST(o_custkey % 10000 AS STRING), 4, '0')) ELSE concat('name.', CAST(o_custkey AS STRING), '@mail', CASE o_custkey % 2 WHEN 0 THEN '.example.com' ELSE '' END) END AS t FROM {orders}"""
+
+
+@query(
+    "WITH t AS (" + _TEMPLATES.replace("{orders}", "orders").replace("STRING", "VARCHAR") + r""")
+    SELECT k, t,
+        regexp_matches(t, '^\+91 [6-9][0-9]{4}-[0-9]{5}$') AS mobile, regexp_matches(t, '^[a-z0-9][a-z0-9._-]{1,48}@[a-z][a-z0-9]{1,30}$') AS upi,
+        CASE WHEN regexp_matches(t, '@(okicici|ybl)$') THEN 'structure' WHEN regexp_matches(t, '^[a-z0-9][a-z0-9._-]{1,48}@[a-z][a-z0-9]{1,30}$') THEN 'format' END AS upi_strength,
+        regexp_matches(t, '^[A-Z]{4}0[A-Z0-9]{6}$') AS ifsc, regexp_matches(t, '^[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]$') AS pan,
+        regexp_matches(t, '^[1-8][0-9]{5}$') AS pin_code, regexp_matches(t, '^[0-9]{9,18}$') OR (starts_with(t, '+91')) AND FALSE AS bank_account,
+        regexp_matches(t, '^(GJ|KA) [0-9]{2} AB [0-9]{4}$') AS vehicle, regexp_matches(t, '^[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}$') AS email FROM t"""
+)
+def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validators over synthetic identifiers. A mobile number's digits may be shorter, too: those are left to tests."""
+    rows = view(spark, sf_dir, _TEMPLATES, "orders")
+    t = F.col("t")
+    mobile = validators.mobile(t)["valid"] & t.startswith("+91")
+    return rows.select(
+        "k", "t", mobile.alias("mobile"), validators.upi(t)["valid"].alias("upi"), validators.upi(t)["strength"].alias("upi_strength"), validators.ifsc(t)["valid"].alias("ifsc"), validators.pan(t)["valid"].alias("pan"),
+        validators.pin_code(t)["valid"].alias("pin_code"), validators.bank_account(t)["valid"].alias("bank_account"), validators.vehicle(t)["valid"].alias("vehicle"), validators.email(t)["valid"].alias("email"),
+    )
+
+
+@query(f"SELECT c_custkey, d, {_LUHN.format(d='d')} AS valid FROM (SELECT c_custkey, (c_custkey * 7919 + 100000)::VARCHAR AS d FROM customer)")
+def luhn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 7919 + 100000).cast("string").alias("d"))
+    return rows.withColumn("valid", checksums.luhn_valid(F.col("d")))
+
+
+_P, _D = checksums.verhoeff_tables()[1], checksums.verhoeff_tables()[0]
+_VERHOEFF = "list_reduce(list_prepend(0, list_transform(range(0, len({d})), lambda i: {p}[((i + {s}) % 8) * 10 + {d}[len({d}) - i]::INT + 1])), lambda c, x: {t}[c * 10 + x + 1])"
+
+
+@query(f"SELECT o_orderkey, d, {_VERHOEFF.format(d='d', p=_P, t=_D, s=0)} = 0 AS valid, ({checksums.verhoeff_tables()[2]})[{_VERHOEFF.format(d='d', p=_P, t=_D, s=1)} + 1]::INT AS digit FROM (SELECT o_orderkey, (o_orderkey * 31 + 2000)::VARCHAR AS d FROM orders)")
+def verhoeff_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 31 + 2000).cast("string").alias("d"))
+    return rows.withColumn("valid", checksums.verhoeff_valid(F.col("d"))).withColumn("digit", checksums.verhoeff_digit(F.col("d")))
+
+
+_STEM = "concat('27AAPFU', lpad(CAST(c_custkey % 10000 AS {s}), 4, '0'), 'F1Z')"
+
+
+@query(
+    f"""WITH t AS (SELECT c_custkey, {_STEM.format(s='VARCHAR')} AS stem FROM customer),
+    p AS (SELECT *, list_sum(list_transform(range(0, 14), lambda i: (strpos('{checksums.BASE36}', stem[14 - i]) - 1) * (2 - i % 2) // 36 + (strpos('{checksums.BASE36}', stem[14 - i]) - 1) * (2 - i % 2) % 36)) AS total FROM t)
+    SELECT c_custkey, stem, ('{checksums.BASE36}')[((36 - total % 36) % 36 + 1)::INT] AS check_char FROM p"""
+)
+def gstin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, f"SELECT c_custkey, {_STEM.format(s='STRING')} AS stem FROM {{customer}}", "customer")
+    return rows.withColumn("check_char", checksums.gstin_check_char(F.col("stem")))
+
+
+@query("SELECT o_orderkey, '1e' || e || '_to_1e' || (e + 1) AS bucket, CASE WHEN n <= 8 THEN '1_to_8' WHEN n <= 16 THEN '8_to_16' WHEN n <= 32 THEN '16_to_32' ELSE 'over_32' END AS length_bucket FROM (SELECT o_orderkey, floor(log10(round(o_totalprice)))::INT AS e, length(o_orderpriority) AS n FROM orders)")
+def magnitude_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders")
+    amount = F.concat(F.lit("INR "), F.round("o_totalprice").cast("long").cast("string"))
+    return rows.select("o_orderkey", scalars.magnitude_bucket(amount).alias("bucket"), scalars.length_bucket(F.length("o_orderpriority")).alias("length_bucket"))
+
+
+@query("SELECT cls, severity, 'PII:' || cls AS legend_key, severity <> 'medium' AS shield FROM (" + " UNION ALL ".join(f"SELECT unnest({list(c)}) AS cls, '{s}' AS severity" for s, c in (("invariant", taxonomy.INVARIANT), ("high", taxonomy.HIGH), ("medium", taxonomy.MEDIUM))) + ")")
+def mode_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taxonomy.table(spark).withColumn("shield", taxonomy.redacts("shield", F.col("cls")))
+
+
+# ---------------------------------------------------------------- vault
+
+_ATTEMPTS = "SELECT CAST(c_nationkey AS BIGINT) AS session, CASE c_custkey % 3 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'PAN' ELSE 'AADHAAR' END AS cls, concat(c_mktsegment, CAST(c_custkey % 40 AS {s})) AS value, c_custkey AS seq FROM {t}"
+_DUCK_VAULT = f"""WITH a AS ({_ATTEMPTS.format(s='VARCHAR', t='customer')}), f AS (SELECT session, cls, value, min(seq) AS first_seq FROM a GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY first_seq) > 30 AS overflow, row_number() OVER (PARTITION BY session, cls ORDER BY first_seq) AS o FROM f)
+    SELECT session, cls, value, first_seq, CASE WHEN NOT overflow THEN o END AS ordinal, overflow, 'PII:' || cls || '#' || CASE WHEN overflow THEN '?' ELSE o::VARCHAR END AS token FROM r"""
+
+
+def _minted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.mint(view(spark, sf_dir, _ATTEMPTS.format(s="STRING", t="{customer}"), "customer"), cap=30)
+
+
+@query(_DUCK_VAULT)
+def vault_mint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minted(spark, sf_dir)
+
+
+@query(f"SELECT session, cls, count(*) AS entries FROM ({_DUCK_VAULT}) WHERE NOT overflow GROUP BY session, cls")
+def vault_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.stats(_minted(spark, sf_dir))
+
+
+@query(f"SELECT token, CASE WHEN NOT overflow THEN cls END AS parsed, ordinal FROM ({_DUCK_VAULT})")
+def token_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _minted(spark, sf_dir).select("token", taxonomy.token_class(F.col("token")).alias("parsed"), taxonomy.token_ordinal(F.col("token")).alias("ordinal"))
+
+
+_PAYLOADS = "SELECT CAST(s_nationkey AS BIGINT) AS session, s_suppkey, concat('to AUTOMOBILE', CAST(s_suppkey % 40 AS {s}), ' and BUILDING', CAST(s_suppkey % 7 AS {s})) AS payload FROM {t}"
+
+
+@query(f"SELECT p.session, p.s_suppkey, p.payload, v.cls, v.token FROM ({_PAYLOADS.format(s='VARCHAR', t='supplier')}) p JOIN ({_DUCK_VAULT}) v ON p.session = v.session AND NOT v.overflow AND length(v.value) >= 4 AND contains(p.payload, v.value)")
+def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.leaks(view(spark, sf_dir, _PAYLOADS.format(s="STRING", t="{supplier}"), "supplier"), _minted(spark, sf_dir))
+
+
+@query("SELECT user_id, event_id, event_type, coalesce(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS session_no FROM (SELECT *, (event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS c FROM events)")
+def session_wipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vault.sessions(table(spark, sf_dir, "events")).select("user_id", "event_id", "event_type", "session_no")
+
+
+@query("SELECT user_id AS session, event_type AS key, arg_max(event_id, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
+def vault_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("key"), F.col("event_id").alias("value"), F.struct("ts", "event_id").alias("ts"))
+    return vault.remembered(rows).drop("created_at")
+
+
+def _ttl_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.lit("EMAIL").alias("cls"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("value"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), "ts")
+
+
+@query()
+def vault_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of values as entries expire: depends on order, so no SQL; tested against a plain fold."""
+    return vault.mint_with_ttl(_ttl_attempts(spark, sf_dir).drop("ts"))
+
+
+# ---------------------------------------------------------------- policy
+
+
+@query()
+def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by tokens; each language is a session."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return policy.sanitize_texts(docs, "shield", "lang", ("doc_id",)).select("doc_id", "lang", "clean", "n_redacted")
+
+
+@query(f"SELECT lang, 'EMAIL' AS cls, count(DISTINCT d) AS n FROM ({_EMAILS}) GROUP BY lang UNION ALL SELECT lang, 'CARD_NUMBER', count(DISTINCT d) FROM ({_VALID_CARDS}) GROUP BY lang")
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that a language's documents need, by class."""
+    found = _found(spark, sf_dir).filter(taxonomy.redacts("shield", F.col("cls")))
+    tokens = vault.mint(found.select("lang", "cls", F.coalesce("normalized", "text").alias("value"), F.struct("doc_id", "start").alias("seq")), "lang", cap=10**9)
+    return tokens.groupBy("lang", "cls").agg(F.max("ordinal").alias("n"))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perception.regions(table(spark, sf_dir, "pages")).drop("truncated")
+
+
+@query()
+def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of pages as they may leave in fortress mode."""
+    return policy.sanitize(_regions(spark, sf_dir), "fortress")["elements"]
+
+
+@query()
+def page_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.sanitize(_regions(spark, sf_dir), "shield")["legend"]
+
+
+@query()
+def untrusted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.sanitize(_regions(spark, sf_dir), "shield")["untrusted_text"]
+
+
+@query()
+def sanitize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.sanitize(_regions(spark, sf_dir), "fortress")["summary"]
+
+
+# ---------------------------------------------------------------- geometry, fusion, scoring
+
+
+def _boxed(df: DataFrame, to: str = "box") -> DataFrame:
+    return df.withColumn(to, geometry.box(*[F.col(c) for c in "xywh"])).drop(*"xywh")
+
+
+def _page(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    dom = _boxed(view(spark, sf_dir, synthetic.DOM, "lineitem"), "css_box")
+    seen = _boxed(view(spark, sf_dir, synthetic.DETECTIONS, "lineitem"))
+    space = dom.select("page_id").distinct().select("page_id", F.lit(1.0).alias("dpr"), F.lit(1.0).alias("scale"), F.lit(640).alias("image_w"), F.lit(480).alias("image_h"))
+    return dom, seen, space
+
+
+_INTER = "(greatest(least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x), 0) * greatest(least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y), 0))"
+_IOU = f"(CASE WHEN {_INTER} <= 0 THEN 0.0::DOUBLE ELSE {_INTER} / ({{a}}.w * {{a}}.h + {{b}}.w * {{b}}.h - {_INTER}) END)"
+_CLIPPED = f"""SELECT page_id, pos, id, role, greatest(x, 0) AS x, greatest(y, 0) AS y, least(x + w, 640) - greatest(x, 0) AS w, least(y + h, 480) - greatest(y, 0) AS h
+    FROM ({_duck(synthetic.DOM).replace('STRING', 'VARCHAR')}) WHERE visible AND least(x + w, 640) > greatest(x, 0) AND least(y + h, 480) > greatest(y, 0)"""
+_ROLES = " OR ".join(f"(d.kind = '{k}' AND c.role IN {r})" for k, r in fusion.COMPATIBLE.items())
+_FUSED = f"""WITH c AS ({_CLIPPED}), d AS ({_duck(synthetic.DETECTIONS)}),
+    m AS (SELECT d.*, c.id, {_IOU.format(a='d', b='c')} AS o, c.pos, ({_ROLES}) AS fits, sqrt(pow(d.x + d.w / 2 - c.x - c.w / 2, 2) + pow(d.y + d.h / 2 - c.y - c.h / 2, 2)) AS dist FROM d JOIN c USING (page_id)),
+    b AS (SELECT * FROM m WHERE o > 0 QUALIFY row_number() OVER (PARTITION BY page_id, idx ORDER BY o DESC, pos) = 1),
+    v AS (SELECT d.page_id, d.idx, d.x, d.y, d.w, d.h, b.id, b.o, CASE WHEN b.o >= 0.5 THEN 'iou' WHEN b.o >= 0.3 AND b.fits AND b.dist <= 24 THEN 'iou+centroid' END AS via FROM d LEFT JOIN b ON d.page_id = b.page_id AND d.idx = b.idx)"""
+
+
+@query(f"{_FUSED} SELECT page_id, idx, via, CASE WHEN via IS NOT NULL THEN id END AS dom_id, round(CASE WHEN via IS NOT NULL THEN o END, 9) AS iou FROM v")
+def fuse_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse(*_page(spark, sf_dir)).select("page_id", "idx", "via", "dom_id", F.round("iou", 9).alias("iou"))
+
+
+@query(f"{_FUSED} SELECT page_id, id FROM c WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.page_id = c.page_id AND v.id = c.id AND v.via IS NOT NULL)")
+def structure_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dom, seen, space = _page(spark, sf_dir)
+    return fusion.structure_only(dom, space, fusion.fuse(dom, seen, space))
+
+
+def _union(source: str, key: str) -> str:
+    """Area of the union of boxes by key: cells between neighbouring coordinates that some box covers."""
+    return f"""SELECT {key}, sum((x2 - x1) * (y2 - y1)) AS area FROM (
+        SELECT DISTINCT a.{key}, a.x1, a.x2, b.y1, b.y2 FROM
+        (SELECT {key}, v AS x1, lead(v) OVER (PARTITION BY {key} ORDER BY v) AS x2 FROM (SELECT DISTINCT {key}, unnest([x, x + w]) AS v FROM {source})) a
+        JOIN (SELECT {key}, v AS y1, lead(v) OVER (PARTITION BY {key} ORDER BY v) AS y2 FROM (SELECT DISTINCT {key}, unnest([y, y + h]) AS v FROM {source})) b ON a.{key} = b.{key}
+        JOIN {source} s ON s.{key} = a.{key} AND s.x <= (a.x1 + a.x2) / 2 AND (a.x1 + a.x2) / 2 < s.x + s.w AND s.y <= (b.y1 + b.y2) / 2 AND (b.y1 + b.y2) / 2 < s.y + s.h
+        WHERE a.x2 IS NOT NULL AND b.y2 IS NOT NULL) GROUP BY {key}"""
+
+
+@query(f"{_FUSED}, u AS (SELECT * FROM v WHERE via IS NULL), g AS ({_union('u', 'page_id')}) SELECT p.page_id, round(coalesce(g.area, 0) / (640 * 480), 9) AS unexplained_fraction, round(1 - coalesce(g.area, 0) / (640 * 480), 9) AS explained_fraction FROM (SELECT DISTINCT l_orderkey AS page_id FROM lineitem) p LEFT JOIN g USING (page_id)")
+def explained_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dom, seen, space = _page(spark, sf_dir)
+    out = fusion.explained_fraction(fusion.fuse(dom, seen, space), space)
+    return out.select("page_id", F.round("unexplained_fraction", 9).alias("unexplained_fraction"), F.round("explained_fraction", 9).alias("explained_fraction"))
+
+
+@query(f"WITH d AS (SELECT * FROM ({_duck(synthetic.DETECTIONS)})) {_union('d', 'page_id')}")
+def union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, seen, _ = _page(spark, sf_dir)
+    return seen.groupBy("page_id").agg(geometry.union_area(F.collect_list("box")).alias("area"))
+
+
+@query(
+    f"""WITH d AS ({_duck(synthetic.DETECTIONS)}) SELECT page_id, idx, floor(greatest(2, floor(h * 0.15 + 0.5))) AS dilation,
+    greatest(0, floor(x - greatest(2, floor(h * 0.15 + 0.5)))) AS x1, least(640, ceil(x + w + greatest(2, floor(h * 0.15 + 0.5)))) AS x2,
+    CASE WHEN x < 640 AND y < 480 THEN (least(x + w, 640) - x) * (least(y + h, 480) - y) < w * h - 1e-6 END AS partial FROM d"""
+)
+def box_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, seen, _ = _page(spark, sf_dir)
+    b = F.col("box")
+    grown = geometry.dilate(b, F.lit(640), F.lit(480))
+    return seen.select("page_id", "idx", geometry.dilation(b).alias("dilation"), grown["x"].alias("x1"), (grown["x"] + grown["w"]).alias("x2"), geometry.clip(b, F.lit(640), F.lit(480))["partial"].alias("partial"))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    truth = _boxed(view(spark, sf_dir, synthetic.TRUTH, "lineitem"))
+    predicted = _boxed(view(spark, sf_dir, synthetic.PREDICTIONS, "lineitem"))
+    return truth, predicted, scoring.match(truth.filter("must_redact"), predicted)
+
+
+# a capture has at most seven boxes, so greedy choice takes at most seven rounds of "best pair left"
+_ROUNDS = 7
+
+
+def _greedy_sql() -> str:
+    parts = [f"WITH t AS ({_duck(synthetic.TRUTH)}), p AS ({_duck(synthetic.PREDICTIONS)}), c0 AS (SELECT t.capture_id, g, p.p AS p, {_IOU.format(a='t', b='p')} AS iou, t.cls FROM t JOIN p ON t.capture_id = p.capture_id AND t.cls = p.cls WHERE t.must_redact AND {_IOU.format(a='t', b='p')} >= 0.5)"]
+    for k in range(_ROUNDS):
+        parts.append(f"m{k} AS (SELECT * FROM c{k} QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY iou DESC, g, p) = 1)")
+        parts.append(f"c{k + 1} AS (SELECT c.* FROM c{k} c JOIN m{k} m USING (capture_id) WHERE c.g <> m.g AND c.p <> m.p)")
+    parts.append("matched AS (" + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(_ROUNDS)) + ")")
+    return ", ".join(parts)
+
+
+_GREEDY = _greedy_sql()
+
+
+@query(f"{_GREEDY} SELECT capture_id, g, p, round(iou, 9) AS iou FROM matched")
+def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir)[2].withColumn("iou", F.round("iou", 9))
+
+
+@query(
+    f"""{_GREEDY}, s AS (SELECT cls, count(*) AS support FROM t WHERE must_redact GROUP BY cls), h AS (SELECT cls, count(*) AS tp FROM matched GROUP BY cls),
+    x AS (SELECT cls, count(*) AS n FROM p GROUP BY cls), r AS (SELECT cls, support, tp, n - tp AS fp, support - tp AS fn FROM s JOIN h USING (cls) JOIN x USING (cls))
+    SELECT cls, support, tp, fp, fn, round(tp / (tp + fp), 9) AS precision, round(tp / support, 9) AS recall, round(2 * (tp / (tp + fp)) * (tp / support) / (tp / (tp + fp) + tp / support), 9) AS f1 FROM r"""
+)
+def score_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.score_classes(*_labelled(spark, sf_dir))
+    return out.select("cls", "support", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"{_GREEDY} SELECT severity, count(*) - count(m.g) AS leaks, round(1 - count(m.g) / count(*), 9) AS leak_rate FROM t LEFT JOIN matched m ON t.capture_id = m.capture_id AND t.g = m.g WHERE must_redact AND severity IN ('invariant', 'high') GROUP BY severity")
+def leak_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, _, matched = _labelled(spark, sf_dir)
+    grave = truth.filter("must_redact and severity in ('invariant', 'high')").groupBy("severity").agg(F.count("*").alias("n"))
+    lost = scoring.leaks(truth, matched).groupBy("severity").agg(F.count("*").alias("leaks"))
+    rows = grave.join(lost, "severity", "left").withColumn("leaks", F.coalesce("leaks", F.lit(0)))
+    return rows.select("severity", "leaks", F.round(F.col("leaks") / F.col("n"), 9).alias("leak_rate"))
+
+
+@query()
+def detection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_all(*_labelled(spark, sf_dir))
+
+
+@query()
+def false_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, predicted, matched = _labelled(spark, sf_dir)
+    return scoring.false_alarms(truth, predicted, matched)
+
+
+@query(
+    f"""WITH t AS (SELECT * FROM ({_duck(synthetic.TRUTH)}) WHERE must_redact), p AS ({_duck(synthetic.PREDICTIONS)}), u AS (SELECT capture_id, x, y, w, h FROM t UNION ALL SELECT capture_id, x, y, w, h FROM p),
+    a AS ({_union('t', 'capture_id')}), b AS ({_union('p', 'capture_id')}), c AS ({_union('u', 'capture_id')})
+    SELECT capture_id, round(CASE WHEN a.area IS NULL THEN 1 ELSE (coalesce(a.area, 0) + coalesce(b.area, 0) - c.area) / a.area END, 9) AS coverage,
+    round(CASE WHEN b.area IS NULL THEN 0 ELSE (c.area - coalesce(a.area, 0)) / b.area END, 9) AS over_mask FROM c LEFT JOIN a USING (capture_id) LEFT JOIN b USING (capture_id)"""
+)
+def redaction_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, predicted, _ = _labelled(spark, sf_dir)
+    out = scoring.score_redaction(truth.filter("must_redact"), predicted, "capture_id")
+    return out.select("capture_id", F.round("coverage", 9).alias("coverage"), F.round("over_mask", 9).alias("over_mask"))
+
+
+@query(f"SELECT cls, severity, count(*) AS n, count(*) FILTER (WHERE must_redact) AS positives FROM ({_duck(synthetic.TRUTH)}) GROUP BY CUBE (cls, severity)")
+def metrics_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labelled(spark, sf_dir)[0].cube("cls", "severity").agg(F.count("*").alias("n"), F.count_if("must_redact").alias("positives"))
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("event_type")
+    return rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- packets, gate, planner
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packet for each order: its lines are elements."""
+    rows = view(
+        spark, sf_dir, """SELECT l_orderkey, l_linenumber AS pos, concat('e', CAST(l_linenumber AS STRING)) AS id,
+        CASE l_partkey % 6 WHEN 0 THEN 'textbox' WHEN 1 THEN 'combobox' WHEN 2 THEN 'button' WHEN 3 THEN 'link' WHEN 4 THEN 'password' ELSE 'text' END AS role,
+        CASE l_suppkey % 4 WHEN 0 THEN 'Submit' WHEN 1 THEN 'Email' ELSE NULL END AS label, l_suppkey % 3 = 0 AS required, l_suppkey % 7 = 0 AS disabled, l_suppkey % 13 = 0 AS invalid,
+        CASE l_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'placeholder' ELSE 'empty' END AS kind, l_suppkey % 17 = 0 AS risky FROM {lineitem}""", "lineitem"
+    )
+    none = F.lit(None)
+    state = F.struct(none.cast("boolean").alias("filled"), F.col("disabled"), none.cast("boolean").alias("focused"), F.col("required"), none.cast("boolean").alias("checked"), none.cast("boolean").alias("expanded"), F.col("invalid"), none.cast("boolean").alias("readonly"), none.cast("boolean").alias("partially_visible"))
+    token = F.when(F.col("kind") == "placeholder", F.concat(F.lit("PII:EMAIL#"), F.col("pos")))
+    value = F.struct(F.col("kind"), F.when(F.col("kind") == "filled", "hello").alias("text"), token.alias("token"), none.cast("int").alias("length"), none.cast("string").alias("length_bucket"), none.cast("string").alias("magnitude_bucket"), none.cast("string").alias("currency"), none.cast("boolean").alias("masked"))
+    element = F.struct("pos", F.struct("id", "role", "label", state.alias("state"), value.alias("value"), F.array(F.lit("structural:role")).alias("evidence"), F.lit(0.97).alias("confidence"), F.lit("dom").alias("source"), F.when(F.col("risky"), "state_changing").alias("risk")).alias("e"))
+    packed = rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(element)), lambda x: x["e"]).alias("elements"))
+    k = F.col("l_orderkey")
+    legend = F.when(k % 9 == 0, F.create_map()).otherwise(F.create_map(F.lit("PII:EMAIL"), F.struct(F.lit("address").alias("shape"), F.lit(True).alias("recoverable"))))
+    visual = F.struct((k % 4 == 0).alias("present"), F.when(k % 4 == 0, "image/png").alias("format"), F.when((k % 4 == 0) & (k % 5 != 0), F.sha2(F.lit("x").cast("binary"), 256)).alias("sha256"), F.when(k % 4 == 0, "x").alias("data_b64"))
+    return packed.select(
+        F.concat(F.lit("packet-"), F.lpad(k.cast("string"), 12, "0")).alias("packet_id"), (k + 1).alias("captured_at_ms"), F.when(k % 3 == 0, "wireframe").when(k % 3 == 1, "shield").otherwise("fortress").alias("mode"),
+        F.lit("other").alias("page_kind"), visual.alias("visual"), "elements", legend.cast("map<string,struct<shape:string,recoverable:boolean>>").alias("legend"), F.when(k % 11 == 0, "mail a.b@mail1.example.com").otherwise("fill the form").alias("intent"),
+        F.array().cast("array<struct<src:string,text:string>>").alias("untrusted_text"), (k % 50).alias("session"), (k * 100).alias("sent_at_ms"),
+    )
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS k, bool_or(l_partkey % 5 = 2) AS tokens FROM lineitem GROUP BY l_orderkey)
+    SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, (CASE WHEN k % 3 = 0 AND k % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 0 AND k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 9 = 0 AND tokens THEN 1 ELSE 0 END)::INT AS n_issues FROM p"""
+)
+def packet_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packets(spark, sf_dir).select("packet_id", F.size(gate.packet_issues()).alias("n_issues"))
+
+
+@query()
+def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = gate.outcomes(gate.gate(_packets(spark, sf_dir)))
+    return gate.receipts(decided).withColumn("legend_counts", F.map_entries("legend_counts"))
+
+
+@query()
+def gate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.audit(gate.outcomes(gate.gate(_packets(spark, sf_dir))))
+
+
+@query("SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, 'task.intent' AS path, 'EMAIL' AS cls FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem) WHERE k % 11 = 0")
+def rescan_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.rescan(_packets(spark, sf_dir))
+
+
+def _sends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("sent_at_ms"), F.col("event_id").alias("seq"))
+
+
+@query()
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sends of each user, at most three an hour here. Depends on order, so no SQL; tested against a plain fold."""
+    return gate.rate_limit(_sends(spark, sf_dir), most=3, window_ms=3_600_000)
+
+
+_ELEMENTS = """SELECT l_orderkey AS k, l_linenumber AS pos, 'e' || l_linenumber AS id, l_partkey % 6 AS r, CASE l_suppkey % 4 WHEN 0 THEN 'Submit' WHEN 1 THEN 'Email' END AS label,
+    l_suppkey % 3 = 0 AS required, l_suppkey % 7 = 0 AS disabled, l_suppkey % 13 = 0 AS invalid, CASE l_partkey % 5 WHEN 1 THEN 'filled' WHEN 2 THEN 'placeholder' ELSE 'empty' END AS kind, l_suppkey % 17 = 0 AS risky FROM lineitem"""
+
+
+@query(
+    f"""WITH e AS (SELECT *, r IN (0, 1, 4) AND NOT disabled AND (invalid OR (required AND kind = 'empty')) AS field, r = 2 AND NOT disabled AND label = 'Submit' AS button, r = 2 AND disabled AS off FROM ({_ELEMENTS})),
+    a AS (SELECT k, arg_min(e, pos) FILTER (WHERE field) AS f, arg_min(e, pos) FILTER (WHERE button) AS b, bool_or(off) AS d FROM e GROUP BY k),
+    t AS (SELECT *, CASE WHEN f IS NOT NULL THEN 'field' WHEN b IS NOT NULL THEN 'button' WHEN d THEN 'scroll' ELSE 'done' END AS tier FROM a)
+    SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, tier, CASE tier WHEN 'field' THEN CASE WHEN f.r = 1 THEN 'select' ELSE 'type' END WHEN 'button' THEN 'click' ELSE tier END AS action,
+    CASE tier WHEN 'field' THEN f.id WHEN 'button' THEN b.id END AS target, CASE WHEN tier = 'field' THEN 'user_prompt' END AS value_kind, coalesce(CASE tier WHEN 'field' THEN f.risky WHEN 'button' THEN b.risky END, FALSE) AS requires_confirmation,
+    tier = 'scroll' AS needs_more_context, CASE tier WHEN 'field' THEN CASE WHEN f.invalid THEN 0.8::DOUBLE ELSE 0.75 END WHEN 'button' THEN 0.7 WHEN 'scroll' THEN 0.4 ELSE 0.5 END AS confidence FROM t"""
+)
+def heuristic_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.next_step(_packets(spark, sf_dir))
+
+
+@query(
+    f"""SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, count(*) FILTER (WHERE kind <> 'empty') AS filled, count(*) FILTER (WHERE kind = 'empty' AND required) AS required_empty,
+    count(*) FILTER (WHERE invalid) AS invalid, count(*) FILTER (WHERE kind = 'empty' AND NOT required) AS optional_empty FROM ({_ELEMENTS}) WHERE r IN (0, 1, 4) GROUP BY k"""
+)
+def form_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.form_state(_packets(spark, sf_dir))
+
+
+@query(f"SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, id, CASE kind WHEN 'placeholder' THEN 'tokenized' WHEN 'filled' THEN 'sent' ELSE 'empty' END AS disposition, CASE WHEN kind = 'placeholder' THEN 'PII:EMAIL#' || pos END AS token, CASE WHEN kind = 'placeholder' THEN 'EMAIL' END AS cls FROM ({_ELEMENTS})")
+def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planner.redaction_audit(_packets(spark, sf_dir)).drop("pos")
+
+
+@query()
+def plan_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of plans that type into the first two elements of each packet and into one that is not there."""
+    packets = _packets(spark, sf_dir)
+    step = lambda a, t, v, tok: F.struct(F.lit(a).alias("action"), F.lit(t).alias("target"), F.lit(v).alias("value_kind"), F.lit(tok).cast("string").alias("token"), F.lit(False).alias("requires_confirmation"))
+    steps = F.array(step("type", "e1", "user_prompt", None), step("type", "e2", "placeholder", "PII:EMAIL#2"), step("click", "e99", None, None), step("type", "e1", "user_prompt", None))
+    plans = packets.select(F.col("packet_id").alias("plan_id"), "packet_id", F.col("packet_id").alias("answers"), steps.cast(f"array<{planner.STEP}>").alias("steps"))
+    return planner.guard(plans, packets)
+
+
+# ---------------------------------------------------------------- pages, prompts, media
+
+_HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
+
+
+@query(
+    f"""SELECT page_id, CASE WHEN regexp_matches(h, '\\.gov\\.in$|\\.nic\\.in$|\\.gov$') THEN 'government' WHEN regexp_matches(h, 'bank|hdfc|icici|sbi|axis|kotak|pnb|barod') THEN 'banking' WHEN regexp_matches(h, 'pay|upi|razorpay|billdesk|paytm|phonepe') THEN 'payments'
+    WHEN regexp_matches(h, 'hospital|health|clinic|pharma|medic') THEN 'healthcare' WHEN regexp_matches(h, 'mail|outlook|proton') THEN 'mail' WHEN regexp_matches(h, 'facebook|instagram|twitter|x\\.com|linkedin|reddit|social') THEN 'social'
+    WHEN regexp_matches(h, 'amazon|flipkart|myntra|shop|store|cart') THEN 'commerce' WHEN regexp_matches(h, 'jira|salesforce|zoho|workday|sap|crm') THEN 'enterprise' WHEN regexp_matches(h, 'edu|university|college|school|nptel') THEN 'education'
+    WHEN regexp_matches(h, 'news|times|hindu|ndtv|media|youtube') THEN 'media' WHEN regexp_matches(h, 'github|gitlab|stackoverflow|localhost|127\\.0\\.0\\.1') THEN 'developer' ELSE 'other' END AS origin_class, starts_with(lower(url), 'https://') AS tls
+    FROM (SELECT page_id, url, {_HOST} AS h FROM pages)"""
+)
+def origin_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perception.origins(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perception.regions(table(spark, sf_dir, "pages"))
+
+
+@query()
+def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perception.page_kinds(table(spark, sf_dir, "pages"))
+
+
+@query(r"SELECT page_id, pos, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) || '#' || (row_number() OVER (PARTITION BY page_id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) ORDER BY pos) - 1) AS memory_key FROM (SELECT p_size AS page_id, p_partkey AS pos, p_type || ':' AS label FROM part)")
+def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = table(spark, sf_dir, "part").select(F.col("p_size").alias("page_id"), F.col("p_partkey").alias("pos"), F.concat("p_type", F.lit(":")).alias("label"))
+    return prompts.memory_keys(fields)
+
+
+@query()
+def prompt_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in the prompts of users, here made of customers, for a form of three fields."""
+    rows = table(spark, sf_dir, "customer")
+    prompt = F.concat(F.lit("Please fill the form. My name is "), F.col("c_name"), F.lit(", email: c"), F.col("c_custkey"), F.lit("@mail.example.com and pin code "), (F.lit(380000) + F.col("c_nationkey")))
+    field = lambda i, label: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("structural_class"))
+    tasks = rows.select(F.col("c_custkey").alias("task_id"), prompt.alias("prompt"), F.array(field("f1", "Full name"), field("f2", "Email address"), field("f3", "PIN code")).alias("fields"))
+    return prompts.answers(tasks)
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small rasters made of order keys: each supplier is a stream of frames of 64 x 36."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("stream"), F.col("s_suppkey").alias("frame"))
+    unit = F.unhex(F.lpad(F.hex(F.col("frame") % 3 * 40), 2, "0"))
+    pixel = F.concat(unit, unit, unit, F.unhex(F.lit("FF")))
+    return rows.withColumn("p", pixel).select("stream", "frame", F.lit(64).alias("width"), F.lit(36).alias("height"), F.expr("unhex(repeat(hex(p), 2304))").alias("data"))
+
+
+@query()
+def tile_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.hash_frames(_frames(spark, sf_dir))
+
+
+@query("SELECT s_nationkey::BIGINT AS stream, s_suppkey AS frame, CASE WHEN lag(s_suppkey % 3) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = s_suppkey % 3 THEN 0 ELSE 144 END::INT AS n_changed FROM supplier")
+def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.frame_diffs(media.hash_frames(_frames(spark, sf_dir)))
+    return out.select("stream", "frame", F.size("changed").alias("n_changed"))
+
+
+@query("SELECT s_suppkey AS id, 64 AS width, 36 AS height, 0::BIGINT AS n_failures FROM supplier")
+def compose_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rect = geometry.box(F.col("frame") % 40, F.lit(5), F.lit(12), F.lit(10))
+    images = _frames(spark, sf_dir).select(F.col("frame").alias("id"), "width", "height", "data", F.array(rect).alias("rects"))
+    return media.mask_images(images).select("id", "width", "height", F.col("n_failures").cast("long").alias("n_failures"))
+
+
+@query()
+def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes from embeddings, many on one frame, without those that a better one covers."""
+    e = F.col("embedding")
+    b = geometry.box(F.abs(F.get(e, F.lit(0))) * 20, F.abs(F.get(e, F.lit(1))) * 20, F.lit(20), F.lit(20))
+    rows = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 40).alias("frame"), F.col("vec_id").alias("ord"), F.abs(F.get(e, F.lit(4))).cast("double").alias("score"), b.alias("box"))
+    return media.suppress(rows, least=0.02).select("frame", "ord", "score")
+
+
+@query("SELECT doc_id::VARCHAR AS name, doc_id % 2 = 0 AS ok FROM documents")
+def asset_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
+    wanted = docs.select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 2 == 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.sha2(F.lit("other").cast("binary"), 256)).alias("sha256"))
+    return media.verify_assets(files, wanted).select("name", "ok")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query()
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkveil.streaming import stateful
+
+    return stateful.run_once(stateful.rate_limit(_stream(spark, sf_dir), 3, 3_600_000), f"{_shared(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query()
+def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkveil.streaming import stateful
+
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("session"), F.lit("EMAIL").alias("cls"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("value"), F.col("event_id").alias("seq"), "ts")
+    return stateful.run_once(stateful.vault(rows), f"{_shared(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query("SELECT window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL)")
+def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").alias("window_start"), "event_type", "n")
