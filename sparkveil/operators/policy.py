@@ -85,7 +85,7 @@ def cross_region(regions: DataFrame, mode: str, registry: Registry | None = None
     # where each part begins and ends in the joined text
     bounds = F.aggregate(
         "line", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id:string,start:int,end:int>>").alias("out")),
-        lambda acc, r: F.struct((acc["at"] + F.length(r["part"]) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), acc["at"].alias("start"), (acc["at"] + F.length(r["part"])).alias("end")))).alias("out")),
+        lambda acc, r: F.struct((acc["at"] + F.length(r["part"]) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), acc["at"].alias("start"), (acc["at"] + F.length(r["part"])).alias("end"))).cast("array<struct<id:string,start:int,end:int>>")).alias("out")),
         lambda acc: acc["out"],
     )
     lines = lines.select("page_id", bounds.alias("parts"), F.explode("spans").alias("s"))

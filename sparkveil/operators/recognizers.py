@@ -160,6 +160,12 @@ class Registry:
         found += [f(text) for f in self.extra]
         return F.concat(*found) if found else _no_spans()
 
+    @property
+    def trigger(self) -> str | None:
+        """What a text must have for any recognizer to find anything; None if that is not known."""
+        own = all(s in DEFAULT for s in self.specs) and not self.extra
+        return "[0-9@]" if own else None
+
     def analyze(self, text: Column, threshold: float = 0.5) -> Column:
         """All spans of at least ``threshold``, overlaps resolved; a null text has none.
 
@@ -167,6 +173,8 @@ class Registry:
         so the order makes no difference, and fewer spans are compared.
         """
         found = F.filter(self.candidates(F.coalesce(text, F.lit(""))), lambda s: s["confidence"] >= threshold)
+        if self.trigger:
+            found = F.when(text.rlike(self.trigger), found).otherwise(_no_spans())
         return let(found, lambda f: F.when(F.size(f) > 1, resolve_overlaps(f)).otherwise(f))
 
 

@@ -303,11 +303,10 @@ def _union(source: str, key: str) -> str:
         WHERE a.x2 IS NOT NULL AND b.y2 IS NOT NULL) GROUP BY {key}"""
 
 
-@query(f"{_FUSED}, u AS (SELECT * FROM v WHERE via IS NULL), g AS ({_union('u', 'page_id')}) SELECT p.page_id, round(coalesce(g.area, 0) / (640 * 480), 9) AS unexplained_fraction, round(1 - coalesce(g.area, 0) / (640 * 480), 9) AS explained_fraction FROM (SELECT DISTINCT l_orderkey AS page_id FROM lineitem) p LEFT JOIN g USING (page_id)")
+@query(f"{_FUSED}, u AS (SELECT * FROM v WHERE via IS NULL), g AS ({_union('u', 'page_id')}) SELECT p.page_id, coalesce(g.area, 0) / 307200.0::DOUBLE AS unexplained_fraction, 1 - coalesce(g.area, 0) / 307200.0::DOUBLE AS explained_fraction FROM (SELECT DISTINCT l_orderkey AS page_id FROM lineitem) p LEFT JOIN g USING (page_id)")
 def explained_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     dom, seen, space = _page(spark, sf_dir)
-    out = fusion.explained_fraction(fusion.fuse(dom, seen, space), space)
-    return out.select("page_id", F.round("unexplained_fraction", 9).alias("unexplained_fraction"), F.round("explained_fraction", 9).alias("explained_fraction"))
+    return fusion.explained_fraction(fusion.fuse(dom, seen, space), space)
 
 
 @query(f"WITH d AS (SELECT * FROM ({_duck(synthetic.DETECTIONS)})) {_union('d', 'page_id')}")
@@ -414,10 +413,10 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A packet for each order: its lines are elements."""
     rows = view(
-        spark, sf_dir, """SELECT l_orderkey, l_linenumber AS pos, concat('e', CAST(l_linenumber AS STRING)) AS id,
+        spark, sf_dir, f"""SELECT l_orderkey, l_linenumber AS pos, concat('e', CAST(l_linenumber AS STRING)) AS id,
         CASE l_partkey % 6 WHEN 0 THEN 'textbox' WHEN 1 THEN 'combobox' WHEN 2 THEN 'button' WHEN 3 THEN 'link' WHEN 4 THEN 'password' ELSE 'text' END AS role,
         CASE l_suppkey % 4 WHEN 0 THEN 'Submit' WHEN 1 THEN 'Email' ELSE NULL END AS label, l_suppkey % 3 = 0 AS required, l_suppkey % 7 = 0 AS disabled, l_suppkey % 13 = 0 AS invalid,
-        CASE l_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'placeholder' ELSE 'empty' END AS kind, l_suppkey % 17 = 0 AS risky FROM {lineitem}""", "lineitem"
+        CASE l_partkey % 5 WHEN 0 THEN 'empty' WHEN 1 THEN 'filled' WHEN 2 THEN 'placeholder' ELSE 'empty' END AS kind, l_suppkey % 17 = 0 AS risky FROM {synthetic.LINES}""", "lineitem"
     )
     none = F.lit(None)
     state = F.struct(none.cast("boolean").alias("filled"), F.col("disabled"), none.cast("boolean").alias("focused"), F.col("required"), none.cast("boolean").alias("checked"), none.cast("boolean").alias("expanded"), F.col("invalid"), none.cast("boolean").alias("readonly"), none.cast("boolean").alias("partially_visible"))
@@ -436,7 +435,7 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT l_orderkey AS k, bool_or(l_partkey % 5 = 2) AS tokens FROM lineitem GROUP BY l_orderkey)
+    """WITH p AS (SELECT l_orderkey AS k, bool_or(l_partkey % 5 = 2) AS tokens FROM """ + _duck(synthetic.LINES) + """ GROUP BY l_orderkey)
     SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, (CASE WHEN k % 3 = 0 AND k % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 4 = 0 AND k % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN k % 9 = 0 AND tokens THEN 1 ELSE 0 END)::INT AS n_issues FROM p"""
 )
 def packet_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -469,8 +468,8 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.rate_limit(_sends(spark, sf_dir), most=3, window_ms=3_600_000)
 
 
-_ELEMENTS = """SELECT l_orderkey AS k, l_linenumber AS pos, 'e' || l_linenumber AS id, l_partkey % 6 AS r, CASE l_suppkey % 4 WHEN 0 THEN 'Submit' WHEN 1 THEN 'Email' END AS label,
-    l_suppkey % 3 = 0 AS required, l_suppkey % 7 = 0 AS disabled, l_suppkey % 13 = 0 AS invalid, CASE l_partkey % 5 WHEN 1 THEN 'filled' WHEN 2 THEN 'placeholder' ELSE 'empty' END AS kind, l_suppkey % 17 = 0 AS risky FROM lineitem"""
+_ELEMENTS = f"""SELECT l_orderkey AS k, l_linenumber AS pos, 'e' || l_linenumber AS id, l_partkey % 6 AS r, CASE l_suppkey % 4 WHEN 0 THEN 'Submit' WHEN 1 THEN 'Email' END AS label,
+    l_suppkey % 3 = 0 AS required, l_suppkey % 7 = 0 AS disabled, l_suppkey % 13 = 0 AS invalid, CASE l_partkey % 5 WHEN 1 THEN 'filled' WHEN 2 THEN 'placeholder' ELSE 'empty' END AS kind, l_suppkey % 17 = 0 AS risky FROM {_duck(synthetic.LINES)}"""
 
 
 @query(
