@@ -36,7 +36,10 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: computed once, and safe if executors are lost."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Spark removes the shuffle files of earlier steps once their plans are garbage
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def join_by_weight(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.llm.common import durable, join_by_weight, workers
@@ -31,40 +31,99 @@ from sparkveil.llm.shingles import Shingler, mix, overlap
 
 #: Hash functions of the grouping.
 PERMUTATIONS = 4
-#: A token in more groups than this is common: it comes after all others in the order of tokens.
-COMMON = 40
+#: A token that batches of sets report this often, counting repeats inside a batch only, is common.
+COMMON = 8
+#: Tokens of such a batch.
+BATCH_TOKENS = 4_000_000
+#: Common tokens at most; if there are more, it takes more reports to be one.
+MOST_COMMON = 4_000_000
+#: Sets of one token in one batch from which they pass the deal of tokens by.
+CROWD = 40
 #: Sets of one group on average; also the size from which a cluster has groups of its own.
-GROUP = 128
+GROUP = 256
 #: Comparisons with one pivot or group that a task makes on average.
 SHARE = 500
 #: Percent of likeness that makes a family.
 FAMILY = 50
-#: Bytes of a hash that are kept for comparisons.
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle: 10 for each asked, 8 MB at most.
+FILTER_BITS = 2**26
+
+
+#: Bytes of a hash that stand for a token among the early ones. By 48 bits tokens are candidates only; links are decided by all 64.
 KEPT = 6
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """The upper bytes of hashes, which keep their order."""
+    return (hashes >> np.uint64(64 - 8 * KEPT)).view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+
+
 def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def need(percent: int, n: str = "n") -> Column:
-    """Tokens that a set of ``n`` must share with any set at Jaccard ``percent`` or more."""
-    return F.expr(f"({n} * {percent} + 99) div 100")
+def _inside(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys a filter of ``_filter_bits`` lets pass."""
+    mask, words = np.uint64(len(words) * 64 - 1), words.view(np.uint64)
+    out = np.ones(len(keys), bool)
+    for at in (keys & mask, (keys >> np.uint64(26)) & mask):
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """The lower bytes of sorted hashes. 48 bits: two different tokens of a pair of sets agree by a chance of n^2 / 2^48."""
-    return hashes.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+def _common_tokens(docs: DataFrame, size: int) -> np.ndarray:
+    """A filter of the tokens that are frequent in the corpus; it lets few others pass.
 
+    Every document is read; batches report the tokens that they hold twice or more, equal sets counted
+    once, and reports add up. Of a token in d of n documents about d^2 * batch / n are reported, so passages
+    that many documents share stand out, while nearly all tokens never leave their batch. The filter only sets the order
+    of tokens: any will do for right results, as long as it is one for all.
+    """
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // KEPT, 8), np.uint8)
-    out[:, :KEPT] = np.frombuffer(raw, np.uint8).reshape(-1, KEPT)
-    return np.unique(out.view(np.uint64).ravel())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Shingler(size)
+        held: list[np.ndarray] = []
+        seen: set[bytes] = set()
+        n = 0
+
+        def report() -> pa.RecordBatch:
+            token = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
+            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
+            count = np.diff(np.concatenate([head, [len(token)]]))
+            again = count > 1
+            return pa.RecordBatch.from_arrays([pa.array(token[head][again].view(np.int64), pa.int64()), pa.array(count[again], pa.int64())], ["key", "n"])
+
+        for b in batches:
+            for t in b.column("text"):
+                h = s.hashes(t.as_py())
+                if not len(h):
+                    continue
+                digest = h[:: max(1, len(h) // 4)].tobytes()
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                held.append(h >> np.uint64(64 - 8 * KEPT))
+                n += len(h)
+                if n >= BATCH_TOKENS:
+                    yield report()
+                    held, seen, n = [], set(), 0
+        yield report()
+
+    reports = workers(docs.select("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = durable(reports.filter(F.col("n") >= COMMON))
+    if counts.count() > MOST_COMMON:
+        least = counts.approxQuantile("n", [1 - MOST_COMMON / counts.count()], 0.001)[0]
+        counts = counts.filter(F.col("n") > least)
+    return _filter_bits(counts.select("key"))
 
 
 def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc, text_hash, n, d1, d2 (digest of the set), least (the hash functions' least values), early (first tokens by hash)."""
+    """doc, text_hash, n, d1, d2 (digest of the set), least (the hash functions' least values), prefix (packed tokens).
+
+    Tokens are ordered by hash, common ones after all others. A set at Jaccard ``percent`` or more of
+    another shares with it at least one of the first n - needed + 1 tokens.
+    """
+    shared = workers(docs).sparkSession.sparkContext.broadcast(_common_tokens(docs, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(size)
@@ -74,41 +133,74 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for t in b.column("text"):
                 h = s.hashes(t.as_py())
                 if not len(h):
-                    out.append((0, 0, 0, [], []))
+                    out.append((0, 0, 0, [], b""))
                     continue
                 whole = mix(h ^ np.uint64(0x517CC1B7))
                 with np.errstate(over="ignore"):
                     digest = np.array([np.bitwise_xor.reduce(whole), (whole * whole).sum(dtype=np.uint64)]).view(np.int64)
                 least = np.array([mix(h ^ o).min() for o in odd]).view(np.int64)
                 p = len(h) - -(-len(h) * percent // 100) + 1
-                out.append((len(h), int(digest[0]), int(digest[1]), least, h[: p + max(3, p // 3)].view(np.int64)))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                common = _inside(shared.value, h >> np.uint64(64 - 8 * KEPT))
+                out.append((len(h), int(digest[0]), int(digest[1]), least, pack(np.concatenate([h[~common], h[common]])[:p])))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             made = [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *made], ["doc", "text_hash", "n", "d1", "d2", "least", "early"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), *made], ["doc", "text_hash", "n", "d1", "d2", "least", "prefix"])
 
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return workers(source).mapInArrow(run, "doc long, text_hash long, n long, d1 long, d2 long, least array<long>, early array<long>")
+    return workers(source).mapInArrow(run, "doc long, text_hash long, n long, d1 long, d2 long, least array<long>, prefix binary")
+
+
+def _filter_bits(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter over a column ``key`` of hashes, by two ranges of their bits; at most FILTER_BITS large.
+
+    Where that is too small for all keys it only lets more pass: it saves work and decides nothing.
+    """
+    bits = 1 << max(16, min(FILTER_BITS.bit_length() - 1, (10 * keys.count()).bit_length()))
+    places = keys.select(F.explode(F.array(F.pmod("key", F.lit(bits)), F.pmod(F.call_function("shiftrightunsigned", F.col("key"), F.lit(26)), F.lit(bits)))).alias("at"))
+    word = F.expr("at div 64")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
+    rows = places.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bit")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows["word"].to_numpy(np.int64)] = rows["bit"].to_numpy(np.int64)
+    return words
 
 
-def _with_tokens(rows: DataFrame, sets: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """``rows`` (rep and others) with the tokens of each rep, packed.
+def _with_texts(rows: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (rep and others) with the text of each rep, compressed.
 
-    Texts are read again rather than kept as sets, which take more room than compressed texts do.
+    Texts are read again, and compressed ones are dealt: sets of hashes would take several times the room.
     """
-    wanted = sets.select("rep", "doc", "text_hash").join(rows.select("rep").distinct(), "rep", "left_semi")
-    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text")
-    found = wanted.join(keyed, wanted["doc"].eqNullSafe(keyed["doc"]) & (wanted["text_hash"] == keyed["text_hash"]))
-    found = found.select("rep", "text")
+    wanted = durable(sets.select("rep", "doc", "text_hash").join(rows.select("rep").distinct(), "rep", "left_semi"))
+    key = F.xxhash64("doc", "text_hash")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted.select(key.alias("key"))))
+    keyed = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash"), "text").withColumn("key", key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler(size)
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            made = pa.array([pack(s.hashes(t.as_py())) for t in b.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("rep"), made], ["rep", "tokens"])
+            part = b.filter(pa.array(_inside(shared.value, b.column("key").to_numpy().view(np.uint64))))
+            made = pa.array([press.compress(t.as_py().encode()) for t in part.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text_hash"), made], ["doc", "text_hash", "packed"])
 
+    found = workers(keyed).mapInArrow(run, "doc long, text_hash long, packed binary")
     # rows alike in id and text give one and the same set
-    return rows.join(workers(found).mapInArrow(run, "rep long, tokens binary").dropDuplicates(["rep"]), "rep")
+    found = wanted.join(found.dropDuplicates(["doc", "text_hash"]), wanted["doc"].eqNullSafe(found["doc"]) & (wanted["text_hash"] == found["text_hash"])).select("rep", "packed")
+    return rows.join(found, "rep")
+
+
+class _Sets:
+    """Sets of compressed texts."""
+
+    def __init__(self, size: int):
+        import zstandard
+
+        self.shingler, self.press = Shingler(size), zstandard.ZstdDecompressor()
+
+    def __call__(self, packed: bytes) -> np.ndarray:
+        return self.shingler.hashes(self.press.decompress(packed).decode())
 
 
 def _salt(rows: DataFrame, key: str) -> DataFrame:
@@ -126,19 +218,21 @@ def _pivot_links(sets: DataFrame, docs: DataFrame, size: int, percent: int) -> D
     entries = sets.select("rep", "n", F.posexplode("least").alias("k", "v")).select("rep", "n", F.xxhash64("k", "v", band).alias("key"))
     pivots = durable(entries.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("w")).filter("w > 1"))
     total = max(1, pivots.agg(F.sum("w")).head()[0] or 0)
-    met = join_by_weight(entries, pivots, ["key"], "w", total, "inner").filter("rep <> pivot").select("rep", "pivot").distinct()
+    met = join_by_weight(entries, pivots, ["key"], "w", total, "inner").filter("rep <> pivot")
+    # sets that agree in one least hash only are seldom alike; the matrix finds those that are
+    met = met.groupBy("rep", "pivot").agg(F.count("*").alias("agree")).filter("agree > 1").drop("agree")
     met = durable(_salt(met, "pivot"))
     heads = met.select("pivot", "salt").distinct()
     rows = met.select("pivot", "salt", F.lit(False).alias("head"), "rep").unionByName(heads.select("pivot", "salt", F.lit(True).alias("head"), F.col("pivot").alias("rep")))
-    rows = _with_tokens(rows, sets, docs, size).select("pivot", "salt", "head", "rep", "tokens")
+    rows = _with_texts(rows, sets, docs).select("pivot", "salt", "head", "rep", "packed")
     dealt = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("head").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the pivot; memory holds its set and one other
+        held, sets_of = None, _Sets(size)  # the pivot; memory holds its set and one other
         for b in batches:
             out: list[tuple] = []
             for pivot, salt, head, rep, raw in zip(*b.columns, strict=True):
-                own = unpack(raw.as_py())
+                own = sets_of(raw.as_py())
                 if head.as_py():
                     held = (pivot.as_py(), salt.as_py(), own)
                 elif held and held[:2] == (pivot.as_py(), salt.as_py()):
@@ -181,7 +275,7 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
     return durable(rows.select("rep", "n", "cluster", "grp", "own", "alone", F.struct(m.cast("long").alias("m"), x.alias("x")).alias("turn")))
 
 
-#: Rows of the token stream: a token of a set, a mark that a token is common, and a set's place whose token is common.
+#: Rows of the token stream: a token of a set, a mark that a token has a crowd of sets, and a set that passes the deal by.
 _TOKEN, _MARK, _LATE = 0, 1, 2
 
 
@@ -200,47 +294,53 @@ def _spread(run: np.ndarray, grp: np.ndarray, mixed: np.ndarray) -> np.ndarray:
 
 
 def _shared_tokens(made: DataFrame, rows: DataFrame) -> DataFrame:
-    """(kind, token, rep, i): the early tokens that are in two groups or more, of kind _LATE if in more than COMMON.
+    """(token, rep, place): the prefix tokens that two groups have, or two sets of a mixed group, and more.
 
-    Tokens are dealt by hash. Where one batch of sets already has a token in more than COMMON groups,
-    its rows go past the deal and one mark takes their place, so that no task gets a large part of all
-    rows however frequent a token is.
+    Tokens are dealt by hash. Where one batch of sets already has a token in a crowd of sets, its rows go
+    past the deal and one mark takes their place, so that no task gets a large part of all rows however
+    frequent a token is.
     """
-    early = made.select(F.col("row").alias("rep"), "early").join(rows.select("rep", "grp", F.expr("not own and not alone").alias("mixed")), "rep")
+    early = made.select(F.col("row").alias("rep"), "prefix").join(rows.select("rep", F.when(F.col("alone"), 0).otherwise(F.col("grp")).alias("grp"), F.expr("not own and not alone").alias("mixed")), "rep")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                lists = part.column("early")
-                sizes = np.diff(lists.offsets.to_numpy())
-                token = lists.flatten().to_numpy()
+                lists = part.column("prefix")
+                raw = [np.frombuffer(x, np.uint8) for x in lists.to_pylist()]
+                sizes = np.array([len(x) // KEPT for x in raw], np.int64)
+                wide = np.zeros((int(sizes.sum()), 8), np.uint8)
+                if len(wide):
+                    wide[:, :KEPT] = np.concatenate(raw).reshape(-1, KEPT)
+                token = wide.view(np.int64).ravel()
                 i = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 rep, grp, mixed = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("rep", "grp", "mixed"))
                 order = np.argsort(token, kind="stable")
                 token, i, rep, grp, mixed = (x[order] for x in (token, i, rep, grp, mixed))
                 run = _runs(token)
-                common = _spread(run, grp, mixed) > COMMON
+                common = _spread(run, np.where(grp == 0, rep, grp), mixed) > CROWD
                 late = common[run] if len(run) else np.empty(0, bool)
                 marks = np.unique(token[late])
-                kind = np.concatenate([np.where(late, _LATE, _TOKEN), np.full(len(marks), _MARK)])
-                wide = [np.concatenate([x, np.zeros(len(marks), x.dtype)]) for x in (rep, i, grp, mixed)]
-                tokens = np.concatenate([token, marks])
-                key = np.where(kind == _LATE, wide[0], tokens)
-                arrays = [pa.array(key, pa.int64()), pa.array(kind, pa.int8()), pa.array(tokens, pa.int64()), pa.array(wide[0], pa.int64()), pa.array(wide[1], pa.int32()), pa.array(wide[2], pa.int64()), pa.array(wide[3], pa.bool_())]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "kind", "token", "rep", "i", "grp", "mixed"])
-
-    dealt = workers(early).mapInArrow(deal, "key long, kind byte, token long, rep long, i int, grp long, mixed boolean")
-    dealt = dealt.repartition("key").sortWithinPartitions("key", F.col("kind") == _LATE, F.col("kind").desc())
+                # one row: key, rep, grp (0 for a set alone in its group) and place * 8 + mixed * 4 + kind
+                kind = np.where(late, _LATE, _TOKEN)
+                key = np.where(late, rep, token)
+                grp = np.where(late, token, grp)
+                meta = i * 8 + mixed * 4 + kind
+                columns = [(key, marks), (rep, 0 * marks), (grp, 0 * marks), (meta, 0 * marks + _MARK)]
+                arrays = [pa.array(np.concatenate(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "rep", "grp", "meta"])
+
+    dealt = workers(early).mapInArrow(deal, "key long, rep long, grp long, meta int")
+    kind = F.pmod("meta", F.lit(4))
+    dealt = dealt.repartition("key").sortWithinPartitions(kind == _LATE, "key", kind.desc())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "token", "rep", "i", "grp", "mixed"]
-        kinds = [pa.int8(), pa.int64(), pa.int64(), pa.int32()]
+        names, kinds = ["token", "rep", "place"], [pa.int64(), pa.int64(), pa.int32()]
         held: list[np.ndarray] | None = None
-        known = None  # a token that is common for certain: its rows pass at once
+        known = None  # a token that is shared for certain: its rows pass at once
 
-        def out(columns: list[np.ndarray], kind: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([kind, *columns[1:4]], kinds, strict=True)], names[:4])
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[1:4], kinds, strict=True)], names)
 
         def judge(c: list[np.ndarray]) -> pa.RecordBatch:
             run = _runs(c[1])
@@ -250,16 +350,17 @@ def _shared_tokens(made: DataFrame, rows: DataFrame) -> DataFrame:
             if tokens.any():
                 got = _spread(run[tokens], c[4][tokens], c[5][tokens])
                 w[: len(got)] = got
-            w[run[mark]] = COMMON + 1
+            w[run[mark]] = 2
             stay = tokens & (w[run] > 1)
-            picked = [x[stay] for x in c]
-            return out(picked, np.where(w[run[stay]] > COMMON, _LATE, _TOKEN).astype(np.int8))
+            return out([x[stay] for x in c])
 
         for b in batches:
-            c = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+            key, rep, grp, meta = (x.to_numpy() for x in b.columns)
+            c = [meta % 4, key, rep, meta // 8, np.where(grp == 0, rep, grp), meta // 4 % 2 == 1]
             past = c[0] == _LATE
+            c[1] = np.where(past, grp, key)
             if past.any():
-                yield out([x[past] for x in c], np.full(int(past.sum()), _LATE, np.int8))
+                yield out([x[past] for x in c])
                 c = [x[~past] for x in c]
             if held is not None:
                 c = [np.concatenate(x) for x in zip(held, c, strict=True)]
@@ -268,53 +369,35 @@ def _shared_tokens(made: DataFrame, rows: DataFrame) -> DataFrame:
             if known is not None and c[1][0] == known:
                 n = int((c[1] == known).sum())
                 same = [x[:n] for x in c]
-                yield out([x[same[0] == _TOKEN] for x in same], np.full(int((same[0] == _TOKEN).sum()), _LATE, np.int8))
+                yield out([x[same[0] == _TOKEN] for x in same])
                 c = [x[n:] for x in c]
             last = np.flatnonzero(c[1][:-1] != c[1][1:])
             cut = int(last[-1]) + 1 if len(last) else 0  # the last token may go on in the next batch
             if cut:
                 yield judge([x[:cut] for x in c])
             held = [x[cut:] for x in c]
-            if len(held[1]) > 50_000 and (_spread(np.zeros(len(held[1]), np.int64), held[4], held[5])[0] > COMMON or (held[0] == _MARK).any()):
+            if len(held[1]) > 50_000 and (_spread(np.zeros(len(held[1]), np.int64), held[4], held[5])[0] > 1 or (held[0] == _MARK).any()):
                 known = held[1][0]
-                yield out([x[held[0] == _TOKEN] for x in held], np.full(int((held[0] == _TOKEN).sum()), _LATE, np.int8))
+                yield out([x[held[0] == _TOKEN] for x in held])
                 held = None
         if held is not None and len(held[1]):
             yield judge(held)
 
-    return workers(dealt).mapInArrow(meet, "kind byte, token long, rep long, i int")
+    return workers(dealt).mapInArrow(meet, "token long, rep long, place int")
 
 
 def _candidates(made: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(rep, grp): each set with the groups that may hold a link of it, by shared tokens of prefixes.
 
-    Tokens are ordered by hash, those common to many groups last; the prefix is taken from the early
-    tokens. A set with too few tokens left there besides the common ones (a short one) has its prefix
-    by hash alone, and meets all others' common tokens by that order, too.
+    Of the tokens that a set shares with a linked one, the first in the order leaves enough tokens after it
+    on both sides; the sizes must fit, too.
     """
-    met = durable(_shared_tokens(made, rows))
-    late = met.filter(F.col("kind") == _LATE)
-    # a common token counts in every set that has it early, marks of batches included
-    marks = late.groupBy("rep").agg(F.count("*").alias("c"), F.sort_array(F.collect_list("i")).alias("at"))
-    p = F.col("n") - need(percent) + 1
-    sized = rows.select("rep", "n", "grp", "own", "cluster", "turn", p.alias("p")).join(marks, "rep", "left")
-    sized = sized.withColumn("c", F.coalesce("c", F.lit(0))).withColumn("e", F.least("n", F.col("p") + F.greatest(F.lit(3), F.expr("p div 3"))))
-    sized = durable(sized.withColumn("short", F.col("e") - F.col("c") < F.col("p")))
-    own = met.join(sized, "rep")
-    before = F.when(F.col("at").isNull() | F.col("short"), 0).otherwise(F.size(F.filter("at", lambda x: x < F.col("i"))))
-    own = durable(own.withColumn("place", F.col("i") - before).filter("place < p").select("kind", "token", "rep", "n", "grp", "own", "cluster", "turn", "short", "place"))
-    rare = own.filter(F.col("kind") == _TOKEN)
+    entries = durable(_shared_tokens(made, rows).join(rows.select("rep", "n", "grp", "own", "turn"), "rep"))
+    matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.first("turn").alias("their"), F.first("own").alias("pure"), F.count("*").alias("sets"))
+    matrix = matrix.withColumnRenamed("grp", "to")
     reach = (F.least(F.col("n") - F.col("place"), F.col("hi") - F.col("first")) * (100 + percent) >= (F.col("n") + F.col("lo")) * percent) & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent)
-
-    def matrix(entries: DataFrame) -> DataFrame:
-        made = entries.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.first("turn").alias("their"), F.first("own").alias("pure"), F.count("*").alias("sets"))
-        return made.withColumnRenamed("grp", "to")
-
-    met = rare.join(matrix(rare), "token", "inner").filter(reach & ((F.col("turn") < F.col("their")) | ((F.col("grp") == F.col("to")) & ~F.col("pure") & (F.col("sets") > 1))))
-    shared = own.filter(F.col("kind") == _LATE)
-    asking = shared.filter("short")
-    by_common = asking.join(matrix(shared), "token").filter(reach & ((F.col("grp") != F.col("to")) | ~F.col("pure")) & ~((F.col("grp") == F.col("to")) & (F.col("sets") < 2)))
-    return met.select("rep", "to").unionByName(by_common.select("rep", "to")).distinct().withColumnRenamed("to", "grp")
+    asks = (F.col("turn") < F.col("their")) | ((F.col("grp") == F.col("to")) & ~F.col("pure") & (F.col("sets") > 1))
+    return entries.join(matrix, "token").filter(reach & asks).select("rep", F.col("to").alias("grp")).distinct()
 
 
 def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -326,15 +409,15 @@ def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataF
     members = rows.select("rep", "grp").join(pairs.select("grp", "salt").distinct(), "grp")
     asked = members.select("grp", "salt", F.lit(True).alias("member"), "rep").unionByName(pairs.select("grp", "salt", F.lit(False).alias("member"), "rep"))
     asked = asked.join(rows.select("rep", "cluster"), "rep")
-    asked = _with_tokens(asked, sets, docs, size).select("grp", "salt", "member", "rep", "cluster", "tokens")
+    asked = _with_texts(asked, sets, docs).select("grp", "salt", "member", "rep", "cluster", "packed")
     dealt = asked.repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("member").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, union = None, [], None
+        at, group, union, sets_of = None, [], None, _Sets(size)
         for b in batches:
             out: list[tuple] = []
             for grp, salt, member, rep, cluster, raw in zip(*b.columns, strict=True):
-                here, own, who, whose = (grp.as_py(), salt.as_py()), unpack(raw.as_py()), rep.as_py(), cluster.as_py()
+                here, own, who, whose = (grp.as_py(), salt.as_py()), sets_of(raw.as_py()), rep.as_py(), cluster.as_py()
                 if here != at:
                     at, group, union = here, [], None
                 if member.as_py():
