@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkveil.llm.common import slices, workers
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>|(?P<text>[^<]+|<)""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^<>]*\Z|(?P<text>[^<]+|<)""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
@@ -160,7 +160,7 @@ EXAMPLES: list[tuple[float, ...]] = [
     (1, 0, 1, 1, 30, 0, 1, 1, 1), (2, 0, 2, 1, 1, 0, 1, 1, 1), (3, 0, 1, 1, 40, 0, 1, 0, 1), (4, 0, 3, 1, 2, 1, 1, 0, 1), (2, 0, 40, 0, 3, 1, 1, 0, 1), (5, 0, 2, 1, 2, 1, 1, 0, 1), (1, 0, 1, 1, 2, 1, 1, 1, 1),
     (3, 1, 4, 1, 5, 1, 1, 0, 0), (2, 1, 3, 1, 2, 1, 1, 0, 0), (6, 1, 3, 1, 4, 1, 1, 0, 0), (4, 1, 5, 1, 3, 1, 1, 0, 0),
     (1, 1, 0, 0, 1, 1, 0, 0, 0), (2, 1, 2, 1, 3, 1, 0, 0, 0), (4, 0.8, 3, 1, 30, 0, 0, 0, 0), (5, 0, 2, 1, 3, 1, 0, 0, 0), (3, 0, 1, 1, 2, 0, 0, 0, 0),
-    (6, 0.2, 4, 0.5, 5, 1, 0, 0, 0), (8, 0, 5, 0.6, 3, 0.5, 0, 0, 0), (4, 0, 0, 0, 2, 1, 0, 0, 0), (12, 0.6, 10, 0.5, 9, 0.7, 0, 0, 0), (9, 0, 3, 1, 4, 0.8, 0, 0, 0),
+    (1, 1, 1, 1, 60, 0, 0, 0, 0), (2, 1, 3, 1, 90, 0, 0, 0, 0), (3, 1, 0, 0, 120, 0, 0, 0, 0), (1, 1, 60, 0, 1, 1, 0, 0, 0), (2, 1, 40, 0, 3, 1, 0, 0, 0), (3, 1, 90, 0, 0, 0, 0, 0, 0), (1, 1, 45, 0, 2, 1, 0, 0, 0), (6, 0.2, 4, 0.5, 5, 1, 0, 0, 0), (8, 0, 5, 0.6, 3, 0.5, 0, 0, 0), (4, 0, 0, 0, 2, 1, 0, 0, 0), (12, 0.6, 10, 0.5, 9, 0.7, 0, 0, 0), (9, 0, 3, 1, 4, 0.8, 0, 0, 0),
     (40, 0, 12, 0, 55, 0, 0, 0, 1), (60, 0.1, 40, 0, 70, 0, 0, 0, 1), (25, 0, 60, 0, 30, 0, 0, 0, 1), (18, 0, 45, 0, 50, 0, 0, 0, 1), (5, 0, 60, 0, 70, 0, 0, 0, 1),
     (7, 0, 2, 1, 50, 0, 0, 1, 1), (10, 0, 3, 1, 80, 0, 0, 1, 1), (30, 0.05, 7, 0, 2, 1, 0, 0, 1), (90, 0, 3, 1, 2, 1, 0, 0, 1), (35, 0.2, 50, 0, 20, 0, 0, 0, 1),
 ]

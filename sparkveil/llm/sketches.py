@@ -105,7 +105,7 @@ def edit_likeness(docs: DataFrame, scale: int = 8, size: int = 3, parts: int | N
     spark = workers(docs).sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cuts = sorted(set(rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], min(0.005, 0.25 / parts)))) if rows.filter("doc_id is not null").take(1) else []
+    cuts = sorted(set(rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], min(0.005, 0.25 / parts)))) if parts > 1 and rows.filter("doc_id is not null").take(1) else []
     part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0))
     if cuts:
         shared = spark.sparkContext.broadcast(np.array(cuts))  # one number for each range
