@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.taxonomy import legend_key, token_class
-from sparkveil.operators.recognizers import Registry
+from sparkveil.operators.recognizers import STANDARD, Registry
 from sparkveil.operators.vault import json_escaped
+from sparkveil.sources.durable import durable
 
 SCHEMA_ID = "scp/1.0"
 TRIPWIRE = 0.8
@@ -88,7 +89,7 @@ def gate(packets: DataFrame, vault: DataFrame | None = None, registry: Registry
     Adds issues, reasons (all that fail of tripwire, vault, visual and size; schema issues alone where
     there are any), bytes, payload_sha256, legend_counts and passed. Nothing passes by default: a null packet fails.
     """
-    registry = registry or Registry()
+    registry = registry or STANDARD
     rows = packets.withColumn("issues", packet_issues()).withColumn("_scan", scannable()).withColumn("_payload", serialized())
     if vault is not None:
         own = vault.filter("not overflow and length(value) >= 4").groupBy("session").agg(F.collect_list("value").alias("_values"))
@@ -99,7 +100,7 @@ def gate(packets: DataFrame, vault: DataFrame | None = None, registry: Registry
     v = F.col("visual")
     wrong = v["data_b64"].isNotNull() & ~F.sha2(v["data_b64"].cast("binary"), 256).eqNullSafe(v["sha256"])
     found = F.array(
-        F.when(F.size(registry.analyze(F.col("_scan"), TRIPWIRE)) > 0, "tripwire"), F.when(leaked, "vault"),
+        F.when(F.size(registry.analyze("_scan", TRIPWIRE)) > 0, "tripwire"), F.when(leaked, "vault"),
         F.when(F.coalesce(wrong, F.lit(False)), "visual"), F.when(F.octet_length("_payload") > most_bytes, "size"),
     )
     reasons = F.when(F.size("issues") > 0, F.array(F.lit("schema"))).otherwise(F.filter(found, lambda r: r.isNotNull()))
@@ -130,6 +131,7 @@ def rate_limit(sends: DataFrame, session: str = "session", at: str = "sent_at_ms
 
 def outcomes(gated: DataFrame, most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:
     """Gated packets with outcome sent or blocked: those that pass all checks go to the rate limit."""
+    gated = durable(gated)
     limited = rate_limit(gated.filter("passed").select("session", "packet_id", "sent_at_ms"), order="packet_id", most=most, window_ms=window_ms)
     rows = gated.join(limited.select("session", "packet_id", "allowed"), ["session", "packet_id"], "left")
     reasons = F.when(F.col("allowed") == F.lit(False), F.array(F.lit("rate_limit"))).otherwise(F.col("reasons"))
@@ -161,5 +163,5 @@ def rescan(packets: DataFrame, registry: Registry | None = None) -> DataFrame:
         ).select("packet_id", "l.path", "l.text"),
     ]
     every = reduce(DataFrame.unionByName, leaves).filter("text is not null")
-    found = (registry or Registry()).analyze(F.col("text"), TRIPWIRE)
+    found = (registry or STANDARD).analyze("text", TRIPWIRE)
     return every.select("packet_id", "path", F.explode(found).alias("s")).select("packet_id", "path", F.col("s.cls").alias("cls"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.scalars import length_bucket, magnitude_bucket
 from sparkveil.functions.taxonomy import THRESHOLDS, is_invariant, legend_key, redacts
-from sparkveil.operators.recognizers import Registry
+from sparkveil.operators.recognizers import STANDARD, Registry
 from sparkveil.operators.vault import CAP, mint
+from sparkveil.sources.durable import durable
 
 MOST_TEXT, MOST_FILLED, MOST_LABEL, MOST_EVIDENCE = 4000, 2000, 300, 16
 CONTROLS = ("textbox", "password", "combobox", "listbox", "checkbox", "radio", "slider", "switch")
@@ -23,7 +24,7 @@ REGION = """page_id string, pos int, id string, role string, label string, box s
     input_type string, risk string"""
 
 
-def _redacted_spans(text: Column, mode: str, registry: Registry) -> Column:
+def _redacted_spans(text: str, mode: str, registry: Registry) -> Column:
     """Spans that the mode redacts. They are chosen after overlaps are resolved: a milder winner still hides a loser."""
     return F.filter(registry.analyze(text, THRESHOLDS[mode]), lambda s: redacts(mode, s["cls"]))
 
@@ -46,8 +47,7 @@ def sanitize_texts(texts: DataFrame, mode: str, session: str = "session", key: t
     ``key`` orders the texts of a session, and with the session names a row: tokens are numbered by key, then by place in
     the text. A null text stays null.
     """
-    spans = _redacted_spans(F.col(text), mode, registry or Registry())
-    seen = texts.withColumn("_spans", spans)
+    seen = texts.withColumn("_spans", _redacted_spans(text, mode, registry or STANDARD))
     cuts = seen.select(session, *key, F.explode("_spans").alias("s")).select(
         session, *key, F.col("s.cls").alias("cls"), F.coalesce("s.normalized", "s.text").alias("value"), F.struct(*key, F.col("s.start")).alias("seq"), F.col("s.start").alias("start"), F.col("s.end").alias("end")
     )
@@ -81,7 +81,7 @@ def cross_region(regions: DataFrame, mode: str, registry: Registry | None = None
     ordered = F.transform(F.array_sort(F.transform("line", lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), r["pos"].alias("pos"), r.alias("r")))), lambda s: s["r"])
     lines = lines.select("page_id", ordered.alias("line"))
     joined = F.array_join(F.transform("line", lambda r: r["part"]), " ")
-    lines = lines.select("page_id", "line", _redacted_spans(joined, mode, registry or Registry()).alias("spans")).filter(F.size("spans") > 0)
+    lines = lines.withColumn("_joined", joined).select("page_id", "line", _redacted_spans("_joined", mode, registry or STANDARD).alias("spans")).filter(F.size("spans") > 0)
     # where each part begins and ends in the joined text
     bounds = F.aggregate(
         "line", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<id:string,start:int,end:int>>").alias("out")),
@@ -102,10 +102,11 @@ def decide(regions: DataFrame, mode: str, registry: Registry | None = None) -> D
     explains), visual, structural, detected, withheld (strict modes send no unclassified value), filled,
     empty, none.
     """
-    registry = registry or Registry()
-    regions = regions.join(cross_region(regions, mode, registry), ["page_id", "id"], "left")
+    registry = registry or STANDARD
+    regions = regions.join(durable(cross_region(regions, mode, registry)), ["page_id", "id"], "left")
     prefix = F.when(F.coalesce("label", F.lit("")) == "", "").otherwise(F.concat("label", F.lit(": ")))
-    spans = F.filter(_redacted_spans(F.concat(prefix, F.col("raw_value")), mode, registry), lambda s: s["start"] >= F.length(prefix))
+    regions = regions.withColumn("_said", F.concat(prefix, F.col("raw_value")))
+    spans = F.filter(_redacted_spans("_said", mode, registry), lambda s: s["start"] >= F.length(prefix))
     filled = F.coalesce(F.col("raw_value") != "", F.lit(False))
     open_value = filled & F.col("structural_class").isNull()
     regions = regions.withColumn("_hit", F.when(F.col("cross_class").isNull() & F.col("visual_class").isNull() & open_value, F.get(spans, F.lit(0))))
@@ -124,7 +125,7 @@ def decide(regions: DataFrame, mode: str, registry: Registry | None = None) -> D
     more = F.when(b == "cross", F.array(F.lit("pattern:cross-region"))).when((b == "masked") & ~F.array_contains("evidence", "fusion:no-dom-node"), F.array(F.lit("fusion:no-dom-node")))
     more = more.when(b == "detected", F.slice("_hit.evidence", 1, 3)).otherwise(F.array().cast("array<string>"))
     regions = regions.withColumn("mint_class", cls).withColumn("mint_value", value).withColumn("mint_length", size)
-    return regions.withColumn("evidence", F.slice(F.concat(F.coalesce("evidence", F.array().cast("array<string>")), more), 1, MOST_EVIDENCE)).drop("_hit", "cross_class", "cross_value")
+    return regions.withColumn("evidence", F.slice(F.concat(F.coalesce("evidence", F.array().cast("array<string>")), more), 1, MOST_EVIDENCE)).drop("_hit", "_said", "cross_class", "cross_value")
 
 
 def sanitize(regions: DataFrame, mode: str, intents: DataFrame | None = None, registry: Registry | None = None, cap: int = CAP) -> dict[str, DataFrame]:
@@ -134,8 +135,8 @@ def sanitize(regions: DataFrame, mode: str, intents: DataFrame | None = None, re
     texts; intents; vault: the pages' tokens; legend: classes used, whether a value is recoverable;
     summary: counts. A page is a session of its own.
     """
-    registry = registry or Registry()
-    decided = decide(regions, mode, registry)
+    registry = registry or STANDARD
+    decided = durable(decide(regions, mode, registry))
     texts = [
         decided.filter("branch <> 'cross' and trim(coalesce(raw_text, '')) <> ''").select("page_id", "pos", F.lit(TEXT).alias("channel"), "id", F.col("raw_text").alias("text")),
         decided.filter("coalesce(label, '') <> ''").select("page_id", "pos", F.lit(LABEL).alias("channel"), "id", F.col("label").alias("text")),
@@ -143,10 +144,11 @@ def sanitize(regions: DataFrame, mode: str, intents: DataFrame | None = None, re
     if intents is not None:
         texts.append(intents.select("page_id", F.lit(LAST).alias("pos"), F.lit(TEXT).alias("channel"), F.lit(None).cast("string").alias("id"), F.col("intent").alias("text")))
     texts = reduce(DataFrame.unionByName, texts)
-    seen = texts.withColumn("_spans", _redacted_spans(F.col("text"), mode, registry))
+    seen = texts.withColumn("_spans", _redacted_spans("text", mode, registry))
     cuts = seen.select("page_id", "pos", "channel", F.explode("_spans").alias("s")).select(
         "page_id", "pos", "channel", F.col("s.cls").alias("cls"), F.coalesce("s.normalized", "s.text").alias("value"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.lit(False).alias("shown")
     )
+    cuts = durable(cuts)
     values = decided.filter("mint_class is not null").select(
         "page_id", "pos", F.lit(VALUE).alias("channel"), F.col("mint_class").alias("cls"), F.col("mint_value").alias("value"), F.lit(0).alias("start"), F.lit(0).alias("end"), (F.col("branch") != "visual").alias("shown")
     )

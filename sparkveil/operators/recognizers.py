@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +148,7 @@ class Registry:
 
     def __init__(self, specs: tuple[Recognizer, ...] = DEFAULT, spaced: bool = True, extra: tuple[Callable[[Column], Column], ...] = ()):
         self.specs, self.spaced, self.extra = specs, spaced, extra
+        self._built: dict[tuple, Column] = {}
 
     def register(self, spec: Recognizer | Callable[[Column], Column]) -> Registry:
         """A registry with one recognizer more: a spec, or a function from text to spans (such as a pandas UDF)."""
@@ -166,18 +168,29 @@ class Registry:
         own = all(s in DEFAULT for s in self.specs) and not self.extra
         return "[0-9@]" if own else None
 
-    def analyze(self, text: Column, threshold: float = 0.5) -> Column:
+    def analyze(self, text: Column | str, threshold: float = 0.5) -> Column:
         """All spans of at least ``threshold``, overlaps resolved; a null text has none.
 
+        For a column given by name the expression is built once and used again: it has some thousand nodes.
+
         The threshold comes first: a span that wins an overlap is never less confident than the loser,
         so the order makes no difference, and fewer spans are compared.
         """
+        if isinstance(text, str):
+            key = (text, threshold, id(SparkContext._gateway))
+            if key not in self._built:
+                self._built[key] = self.analyze(F.col(text), threshold)
+            return self._built[key]
         found = F.filter(self.candidates(F.coalesce(text, F.lit(""))), lambda s: s["confidence"] >= threshold)
         if self.trigger:
             found = F.when(text.rlike(self.trigger), found).otherwise(_no_spans())
         return let(found, lambda f: F.when(F.size(f) > 1, resolve_overlaps(f)).otherwise(f))
 
 
+#: The default recognizers.
+STANDARD = Registry()
+
+
 def detect(df: DataFrame, text: str = "text", registry: Registry | None = None, threshold: float = 0.5, to: str = "spans") -> DataFrame:
     """``df`` with the spans of a text column added."""
-    return df.withColumn(to, (registry or Registry()).analyze(F.col(text), threshold))
+    return df.withColumn(to, (registry or STANDARD).analyze(text, threshold))

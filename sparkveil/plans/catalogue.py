@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions import checksums, geometry, scalars, taxonomy, validators
 from sparkveil.operators import fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
-from sparkveil.sources import synthetic
+from sparkveil.sources import captures, synthetic
 from sparkveil.sources.synthetic import table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +257,24 @@ def sanitize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sanitize(_regions(spark, sf_dir), "fortress")["summary"]
 
 
+def _captures(spark: SparkSession, mode: str) -> DataFrame:
+    found = captures.predictions(policy.sanitize(captures.regions(spark), mode))
+    truth = captures.truth(spark)
+    matched = scoring.match(truth.filter("must_redact"), found)
+    return scoring.score_all(truth, found, matched)
+
+
+@query()
+def captures_shield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the sanitizer over the labelled captures; tests hold them against the published counts."""
+    return _captures(spark, "shield")
+
+
+@query()
+def captures_fortress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _captures(spark, "fortress")
+
+
 # ---------------------------------------------------------------- geometry, fusion, scoring
 
 
