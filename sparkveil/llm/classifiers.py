@@ -191,7 +191,7 @@ class QualityModel:
 
         self.presses = []
         for content in (self.bad, self.good):
-            d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d = z.ZstdCompressionDict(content)  # with its entropy tables, if it was trained
             d.precompute_compress(level=self.level)
             self.presses.append(z.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
 
