@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.functions import checksums, geometry, scalars, taxonomy, validators
-from sparkveil.operators import fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
+from sparkveil.operators import blur, fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
 from sparkveil.sources import captures, synthetic
 from sparkveil.sources.synthetic import table, view
 
@@ -525,6 +525,26 @@ def plan_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.guard(plans, packets)
 
 
+_ROUTES = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'form' WHEN 1 THEN 'article' ELSE 'form_multi_step' END AS page_kind, CASE o_custkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'model' ELSE 'heuristic' END AS mode,
+    CASE o_custkey % 4 WHEN 0 THEN 'type' WHEN 1 THEN 'click' WHEN 2 THEN 'scroll' ELSE 'done' END AS action, o_custkey % 5 = 0 AS needs_more, o_orderkey % 2 AS n_elements FROM {t}"""
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN starts_with(page_kind, 'form') THEN mode = 'model' WHEN mode = 'heuristic' THEN FALSE WHEN mode = 'model' THEN TRUE
+    WHEN needs_more OR action NOT IN ('type', 'click', 'done') THEN TRUE ELSE action = 'done' AND n_elements > 0 END AS asks FROM ({_ROUTES.format(t='orders')})"""
+)
+def planner_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, _ROUTES.format(t="{orders}"), "orders")
+    return rows.select("o_orderkey", planner.wants_model(*[F.col(c) for c in ("page_kind", "mode", "action", "needs_more", "n_elements")]).alias("asks"))
+
+
+@query("SELECT s_suppkey AS id, lpad((s_suppkey * 7919)::VARCHAR, 12, '4') AS recovered, 1.0::DOUBLE AS accuracy FROM supplier")
+def blur_attack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blurred digits are read back in full."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lpad((F.col("s_suppkey") * 7919).cast("string"), 12, "4").alias("digits"), F.lit(6.0).alias("sigma"))
+    return blur.attack(rows)
+
+
 # ---------------------------------------------------------------- pages, prompts, media
 
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1))"
