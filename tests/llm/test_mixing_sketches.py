@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -58,6 +59,30 @@ def test_mix_edges(spark):
         mixing.mix(docs(spark, [(1, "x", "a"), (2, "x", "b")]), epochs=2000.0).count()
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.3, 1.0, 45.0, 699.0, 1086.0, 50_000.0])
+def test_poisson_cdf_against_logarithms(mean):
+    least, cdf = mixing.poisson_cdf(mean)
+    chance = [math.exp(-mean + j * math.log(mean) - math.lgamma(j + 1)) if mean else float(j == 0) for j in range(mixing.bound(mean))]
+    assert least + len(cdf) == len(chance) and sum(chance[:least]) < 1e-16
+    assert np.abs(np.cumsum(chance)[least:] - cdf).max() < 1e-9
+
+
+def test_mix_of_rare_sources_with_rates_over_700(spark):
+    n = 600_000  # one source, and one row each of a new and of a null source
+    large = spark.range(n).selectExpr("id as doc_id", "'x' as text", "'en' as lang", "'large' as source", "0L as n_chars", "'clash' as repetition")
+    got = mixing.mix(large.unionByName(docs(spark, [(n, "rare", "new"), (n + 1, "none", None)])))
+    rate = (n + 2) / (math.sqrt(n) + 2)
+    assert rate > 700
+    kept = {}
+    for x in got.filter(f"doc_id >= {n}").collect():
+        kept.setdefault(x.doc_id, []).append(x.repetition)
+    for i in (n, n + 1):
+        u = (int(hashlib.md5(f"8:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        cdf = np.cumsum([math.exp(-rate + j * math.log(rate) - math.lgamma(j + 1)) for j in range(2000)])
+        assert sorted(kept[i]) == list(range(1, int((cdf < u).sum()) + 1))
+    assert abs(got.filter(f"doc_id < {n}").count() / n - math.sqrt(n) / (math.sqrt(n) + 2)) < 0.01
+
+
 def test_sketch_estimates_and_merges():
     r = random.Random(5)
     words = [str(r.random()) for _ in range(40_000)]
