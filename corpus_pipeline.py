@@ -17,8 +17,10 @@ from sparkveil.llm.queries import VOCABULARY
 
 #: Score from which a document counts as good; those below go.
 QUALITY_CUT = 0.3
-#: Distinct sources from which a line counts as boilerplate.
-LINE_SITES = 10
+#: Distinct sources from which a line counts as boilerplate: one of fewer than LONG_LINE characters, such as
+#: occurs by chance in many texts, and a longer one, which hardly does. Lines of a few copied documents are on
+#: up to 4 sources and are left to the near stage.
+LINE_SITES, LONG_LINE_SITES, LONG_LINE = 10, 5, 40
 #: Shingle words and percent of likeness that join near duplicates.
 SHINGLE_WORDS, LIKENESS = 5, 80
 
@@ -30,8 +32,12 @@ def drop_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-source boilerplate lines. Those of which nothing is left go; others stay as they are."""
-    cleaned = lines.drop_spread_lines(docs, LINE_SITES)
+    """Documents without cross-source boilerplate lines. Those of which nothing is left go; others stay as they are.
+
+    Where there are fewer than LONG_LINE_SITES sources, a long line has to be on all of them, two at least.
+    """
+    sources = docs.select("source").distinct().limit(LONG_LINE_SITES).count()
+    cleaned = lines.drop_spread_lines(docs, LINE_SITES, long_sites=max(2, sources), long_chars=LONG_LINE)
     stays = (F.col("n_removed") == 0) | F.coalesce(F.trim("text") != "", F.lit(False))
     cleaned = cleaned.filter(stays)
     size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

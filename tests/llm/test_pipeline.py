@@ -42,3 +42,14 @@ def test_registered():
 def test_stages_on_an_empty_table(spark, stage):
     empty = spark.read.parquet(f"{SF}/documents.parquet").filter("false")
     assert dict(corpus_pipeline.STAGES)[stage](spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("sources,at", [(20, 5), (20, 4), (3, 3), (1, 1)])
+def test_long_lines_of_few_sources_go(spark, sources, at):
+    notice = "This work is licensed under the licence that everybody has here."
+    rows = [(i, f"own text {i}\nOn.\n{notice}" if i < at else f"own text {i}\nOn.", "en", f"s{i}", 0) for i in range(min(sources, 9))]
+    rows += [(i, f"other text {i}", "en", f"s{i}", 0) for i in range(9, sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
+    gone = set(range(1, at)) if at == min(5, sources) and at > 1 else set()  # the first stays; a short line on 9 sources, too
+    assert got == {i: f"own text {i}\nOn." if i in gone else t for i, t, *_ in rows}
