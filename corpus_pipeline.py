@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.llm import classifiers, joins, lines, mixing, tokens
-from sparkveil.llm.common import shared_folder, table
+from sparkveil.llm.common import durable, shared_folder, table
 from sparkveil.llm.queries import VOCABULARY
 
 #: Score from which a document counts as good; those below go.
@@ -45,12 +45,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates."""
-    groups = joins.jaccard_components(docs, SHINGLE_WORDS, LIKENESS)
-    gone = groups.filter("doc_id <> component_id").select("doc_id", "text_hash").distinct()
+    """One row of each group of near duplicates: with the least doc_id, nulls last.
+
+    Repeated rows, and different texts under one doc_id or without any, are rows of their own here, too.
+    Of rows alike in doc_id and text the least by their other columns stays. Texts without words all stay.
+    """
+    groups = joins.jaccard_components(docs, SHINGLE_WORDS, LIKENESS).filter("n_shingles > 0")
+    named = groups.groupBy(F.col("doc_id").alias("_sv_id"), F.col("text_hash").alias("_sv_same")).agg(F.max("winner").alias("_sv_wins"), F.count("*").alias("_sv_rows"))
+    told = durable(named.filter("not _sv_wins or _sv_rows > 1"))  # other rows stay
     keyed = docs.withColumn("_sv_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(gone.withColumnsRenamed({"doc_id": "_sv_id", "text_hash": "_sv_gone"}), F.col("doc_id").eqNullSafe(F.col("_sv_id")) & (F.col("_sv_hash") == F.col("_sv_gone")), "left_anti")
-    return kept.select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_sv_id")) & (F.col("_sv_hash") == F.col("_sv_same"))
+    once = keyed.join(told, same, "left_anti").select(*docs.columns)
+    repeated = keyed.join(told.filter("_sv_wins"), same, "left_semi")
+    least = repeated.groupBy("doc_id", "_sv_hash").agg(F.min(F.struct(*docs.columns)).alias("_sv_row"))
+    return once.unionByName(least.select("_sv_row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

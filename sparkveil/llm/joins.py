@@ -439,34 +439,35 @@ def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataF
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles (of its set), component_id and text_hash.
+    """One row per document: doc_id, n_shingles (of its set), component_id, text_hash and winner.
 
     Two documents link when 100 * common >= percent * union of their sets of ``size``-word shingles;
     component_id is the least doc_id reachable by links, itself included. A document without words (a
     null or empty text too) links with nothing: its component is its own id. Rows are nodes of their
     own, whatever their ids: repeated rows are copies, and different texts under one id are different
-    documents. Null ids take part; a component of such alone has a null id. Other columns of ``docs``
-    are not read.
+    documents. Null ids take part; a component of such alone has a null id. Of each
+    component, and of each document without words, one row is the winner: the one with the least doc_id,
+    nulls last, and of those alike in it any one. Other columns of ``docs`` are not read.
     """
     own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = durable(_signatures(own, size, percent).withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct("row", "doc", "text_hash", "least")).alias("x")
-    distinct = durable(made.filter("n > 0").groupBy("n", "d1", "d2").agg(first, F.count("*").alias("copies"), F.min("doc").alias("least_doc")))
+    distinct = durable(made.filter("n > 0").groupBy("n", "d1", "d2").agg(first, F.count("*").alias("copies"), F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("head")))
     sets = distinct.select(F.col("x.row").alias("rep"), "n", F.col("x.doc").alias("doc"), F.col("x.text_hash").alias("text_hash"), F.col("x.least").alias("least"))
     near = durable(_pivot_links(sets, own, size, percent))
     rows = _grouped(sets, near)
     across = _open_groups(sets, rows, _candidates(made, rows, percent), own, size, percent)
     links = durable(across.unionByName(near.filter("close").select("a", "b")))
     components = durable(connected(links))
-    named = distinct.select("n", "d1", "d2", "copies", "least_doc", F.col("x.row").alias("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    named = distinct.select("n", "d1", "d2", "copies", "head", F.col("x.row").alias("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
     named = durable(named.withColumn("component", F.coalesce("component", "rep")))
-    heads = named.groupBy("component").agg(F.min("least_doc").alias("component_id"), F.count("*").alias("w"))
+    heads = named.groupBy("component").agg(F.min("head").alias("head"), F.count("*").alias("w"))
     heads = durable(heads)
-    known = join_by_weight(named, heads, ["component"], "w", max(1, named.count()), "inner").select("n", "d1", "d2", "copies", "component_id")
+    known = join_by_weight(named.drop("head"), heads, ["component"], "w", max(1, named.count()), "inner").select("n", "d1", "d2", "copies", F.col("head.doc").alias("component_id"), F.col("head.row").alias("head"))
     known = durable(known)
-    full = made.filter("n > 0").select("doc", "text_hash", "n", "d1", "d2")
+    full = made.filter("n > 0").select("doc", "text_hash", "n", "d1", "d2", "row")
     total = max(1, known.agg(F.sum("copies")).head()[0] or 0)
     out = join_by_weight(full, known, ["n", "d1", "d2"], "copies", total, "inner")
-    empty = made.filter("n = 0").select("doc", "text_hash", "n", F.col("doc").alias("component_id"))
-    both = out.select("doc", "text_hash", "n", "component_id").unionByName(empty)
-    return both.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "text_hash")
+    empty = made.filter("n = 0").select("doc", "text_hash", "n", F.col("doc").alias("component_id"), F.lit(True).alias("winner"))
+    both = out.select("doc", "text_hash", "n", "component_id", (F.col("row") == F.col("head")).alias("winner")).unionByName(empty)
+    return both.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "text_hash", "winner")

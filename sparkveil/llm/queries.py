@@ -31,7 +31,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.jaccard_components(table(spark, sf_dir, "documents"), 4, 85).drop("text_hash")
+    return joins.jaccard_components(table(spark, sf_dir, "documents"), 4, 85).drop("text_hash", "winner")
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

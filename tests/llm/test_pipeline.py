@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,30 @@ def test_long_lines_of_few_sources_go(spark, sources, at):
     got = {x.doc_id: x.text for x in corpus_pipeline.drop_lines(spark, docs, SF).collect()}
     gone = set(range(1, at)) if at == min(5, sources) and at > 1 else set()  # the first stays; a short line on 9 sources, too
     assert got == {i: f"own text {i}\nOn." if i in gone else t for i, t, *_ in rows}
+
+
+def test_near_keeps_one_row_of_each_group(spark):
+    r = random.Random(3)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{r.randrange(999)}" for _ in range(60)]
+        for _ in range(r.randrange(1, 6)):
+            text = " ".join(words if r.random() < 0.5 else [*words, f"end{r.randrange(3)}"])
+            row = (r.choice([None, k, k, 100 + k % 3]), text, "en", f"s{r.randrange(2)}", k)
+            rows += [row] * r.choice([1, 1, 2])
+    rows += [(500, "same text of five words and more", "en", "b", 1000), (500, "same text of five words and more", "en", "a", 1000)]
+    rows += [(None, " ".join(map(str, range(50))) + e, "en", "s", 1001) for e in (" x", " y", " y")]
+    wordless = [(1, None, "en", "s", 0), (1, "", "en", "s", 0), (1, "", "en", "s", 0)]
+    r.shuffle(rows)
+    got = [tuple(x) for x in corpus_pipeline.drop_near(spark, spark.createDataFrame(rows + wordless, schema), SF).collect()]
+    assert sorted(x[1] or "" for x in got if not x[1]) == ["", "", ""]
+    got = [x for x in got if x[1]]
+    # rows of one n_chars are near duplicates of each other and of no others
+    groups = {}
+    for x in rows:
+        groups.setdefault(x[4], []).append(x)
+    assert sorted(x[4] for x in got) == sorted(groups) and set(got) <= set(rows)
+    for x in got:
+        assert x[0] == min((y[0] for y in groups[x[4]] if y[0] is not None), default=None)
+    assert (500, "same text of five words and more", "en", "a", 1000) in got
