@@ -22,9 +22,9 @@ from sparkveil.llm.common import crc_fold, slices, workers
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int, seed: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """Texts with their label, at most ``per_class`` of each class, and how many labelled rows each class has.
 
-    Rows of fold 0 (see ``crc_fold``), null labels and texts over ``most_chars`` characters take no
-    part. An id with labels that disagree takes the larger. The bound on what reaches the driver is
-    2 * per_class * most_chars characters.
+    Rows of fold 0 (see ``crc_fold``) and null labels take no part. An id with labels that disagree takes
+    the larger. Texts of any length take part as long as those of a class have per_class * most_chars
+    characters together, the bound on what reaches the driver; one that would exceed it is passed over.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (crc_fold() != 0))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -32,9 +32,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64(F.lit(seed), "doc_id")
     chosen = [own.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * per_class rows at most
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.length("text") <= most_chars)).join(ids, "doc_id")
-    got = rows.select("y", order.alias("h"), "doc_id", "text").orderBy("h", "doc_id", "text").limit(2 * per_class).collect()
-    return [(r["text"], r["y"]) for r in got], sizes
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).withColumn("t", F.xxhash64("text"))
+    found = rows.join(ids, "doc_id").select("y", order.alias("h"), "doc_id", "t", F.length("text").alias("size")).orderBy("h", "doc_id", "t").limit(2 * per_class).collect()
+    room, chosen = [per_class * most_chars] * 2, []
+    for r in found:  # lengths first: only texts that fit are fetched
+        if r["size"] <= room[r["y"]]:
+            room[r["y"]] -= r["size"]
+            chosen.append(r)
+    if not chosen:
+        return [], sizes
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    keys = F.broadcast(docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["t"]) for r in chosen}), f"doc_id {kind}, t long"))  # 2 * per_class rows at most
+    texts = {(r["doc_id"], r["t"]): r["text"] for r in rows.join(keys, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).collect()}
+    return [(texts[r["doc_id"], r["t"]], r["y"]) for r in chosen], sizes
 
 
 def sigmoid(x):
@@ -87,11 +97,17 @@ class ToxicModel:
         return -math.expm1(clean), located
 
 
+#: Characters of the clean text that the fit joins from all clean texts of the sample, and what its score may be.
+LONG_CHARS, LONG_SCORE = 10_000_000, 0.1
+
+
 def fit_toxic(sample: list[tuple[str, int]], sizes: dict[int, int], most_features: int = 3000, steps: int = 250, rate: float = 0.1) -> ToxicModel:
     """Fit sentence weights from document labels by gradient descent on the noisy-or log-loss.
 
     Features are those whose presence in a document goes with the label (by the G statistic). Classes
-    are weighted to their share of all labelled rows. Without both classes the score is constant.
+    are weighted to their share of all labelled rows. The clean texts, joined and repeated to LONG_CHARS
+    characters, are a further clean document while it scores over LONG_SCORE: else a text would count
+    as toxic for its length alone. Without both classes the score is constant.
     """
     n_of = {y: sum(1 for _, z in sample if z == y) for y in (0, 1)}
     share = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + sizes.get(1, 0) + 2)
@@ -125,6 +141,8 @@ def fit_toxic(sample: list[tuple[str, int]], sizes: dict[int, int], most_feature
     rows, cols, owner = np.array(rows, np.int64), np.array(cols, np.int64), np.array(owner, np.int64)
     y = np.array([z for _, z in sample], float)
     cost = np.where(y == 1, share / n_of[1], (1 - share) / n_of[0])
+    clean_chars = sum(len(t) for t, z in sample if z == 0)
+    joined = np.where(y == 0, max(1.0, LONG_CHARS / max(1, clean_chars)), 0.0)  # how often each text is in the long one
     theta = np.concatenate([np.zeros(len(names)), [-6.0]])
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -133,6 +151,8 @@ def fit_toxic(sample: list[tuple[str, int]], sizes: dict[int, int], most_feature
         clean = np.bincount(owner, np.logaddexp(0, z), minlength=len(y))  # -log of the chance of no toxic sentence
         # the slope of the loss by `clean`: 1 for clean documents, -q/(1-q) for toxic ones
         slope = cost * np.where(y == 1, -1 / np.maximum(np.expm1(np.minimum(clean, 500)), 1e-9), 1.0)
+        if (long := joined @ clean) > -math.log1p(-LONG_SCORE):  # bounded, as ``long`` is large at first
+            slope = slope + joined * (1 - share) / max(1.0, long)
         by_sentence = slope[owner] * p
         grad = np.concatenate([np.bincount(cols, by_sentence[rows], minlength=len(names)) + 2e-6 * theta[:-1], [by_sentence.sum() + 1e-5]])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2

@@ -66,6 +66,27 @@ def test_labels_outside_the_fold_only(spark, tables):
     assert sum(sizes.values()) == sum(fold(i) != 0 for i, *_ in rows)
 
 
+def test_a_long_clean_text_is_not_toxic(spark, tables):
+    docs, labels, rows = tables
+    clean = " ".join(t for i, t, toxic, _ in rows if not toxic and fold(i) == 0)
+    long = (clean + " ") * (1_000_000 // len(clean) + 1)
+    more = spark.createDataFrame([(-1, long, ""), (-2, long + " So frightful alra.", "")], docs.schema)
+    got = {r.doc_id: r for r in classifiers.toxicity(docs.unionByName(more), labels).filter("doc_id < 0").collect()}
+    assert got[-1].score < 0.5 and got[-1].predicted == 0 and got[-1].n_sentences == 0
+    assert got[-2].predicted == 1 and got[-2].n_sentences == 1
+
+
+def test_long_labelled_texts_take_part_within_the_bound(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * (3000 if i == 4 else 20)) for i in range(1, 60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    sample, _ = classifiers.labelled_sample(docs, labels, "toxic", 70, 1000, 1)
+    texts = [t for t, _ in sample]
+    assert "4 " * 3000 in texts and all(texts.count(t) == 2 for t in texts)  # rows alike take part as rows
+    sample, _ = classifiers.labelled_sample(docs, labels, "toxic", 70, 50, 1)
+    assert "4 " * 3000 not in [t for t, _ in sample] and len(sample) > 60
+    assert all(sum(len(t) for t, y in sample if y == v) <= 70 * 50 for v in (0, 1))
+
+
 def test_quality_held_out(spark, tables):
     docs, labels, rows = tables
     model = classifiers.train_quality(docs, labels)
