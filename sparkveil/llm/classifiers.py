@@ -239,10 +239,11 @@ def calibration_row(raw: int, bad: int, good: int) -> np.ndarray:
     return np.array([1.0, d, r, d * d, r * r, d * r, r**3, 1 / math.log(raw + 3)])
 
 
-def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary_bytes: int = 65_536, chunk: int = 512) -> QualityModel:
+def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary_bytes: int = 65_536, chunk: int = 512, pieces: int = 4, piece_bytes: int = 1024) -> QualityModel:
     """Dictionaries from one half of each class, the calibration (logistic, Newton's method) from the other.
 
-    Classes are weighted to their share of all labelled rows. Without both classes the score is constant.
+    A dictionary is trained on at most ``pieces`` pieces of ``piece_bytes`` bytes, spread over the text, of each text
+    of its half, so that long texts do not outweigh the others; the calibration reads whole texts. Classes are weighted to their share of all labelled rows. Without both classes the score is constant.
     """
     import zstandard as z
 
@@ -253,8 +254,8 @@ def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary
         parts = []
         for i, t in enumerate(texts[0::2]):
             raw = t.encode()
-            step = max(1, (len(raw) - 1024) // 4)
-            parts += [raw[at : at + 1024] for at in range((i * 131) % step, max(1, len(raw) - 512), step)][:4]
+            step = max(1, (len(raw) - piece_bytes) // pieces)
+            parts += [raw[at : at + piece_bytes] for at in range((i * 131) % step, max(1, len(raw) - piece_bytes // 2), step)][:pieces]
         try:
             content[y] = z.train_dictionary(dictionary_bytes, parts, k=50, d=8).as_bytes()
         except z.ZstdError:  # too little text to choose from: the text itself serves

@@ -97,6 +97,14 @@ def test_quality_held_out(spark, tables):
     assert sum(got[i].predicted == q for i, _, _, q in held) / len(held) > 0.97
 
 
+def test_pieces_for_the_dictionaries(tables):
+    sample = [(t, q) for _, t, _, q in tables[2]]
+    sizes = {0: 120, 1: 480}
+    usual = classifiers.fit_quality(sample, sizes)
+    assert usual.good == classifiers.fit_quality(sample, sizes, pieces=4, piece_bytes=1024).good
+    assert usual.good != classifiers.fit_quality(sample, sizes, pieces=1, piece_bytes=64).good
+
+
 @pytest.mark.parametrize("which", ["toxic", "quality"])
 def test_edges(spark, tables, which):
     docs, labels, _ = tables
