@@ -5,24 +5,25 @@ Documents become sets of hashed word shingles; equal sets become one. The join t
 1. Grouping. Sets with an equal least hash (of several hash functions) are compared to one pivot for each
    such hash and size band. Links found there, closed transitively, make clusters that need no further
    comparison inside; looser likeness makes families. A large cluster, and what else a family has, are
-   cut into groups of bounded size.
-2. The matrix. It tells for each token which groups have it, and each group stores the union of its
-   members' tokens. A set can only link to a member of a group if the union holds the needed part of its
-   tokens, and if one of its prefix (its rarest tokens) is in that member's prefix, too. Groups found by
-   a prefix token are candidates; the set's overlap with a candidate's union bounds its overlap with any
-   member, and only groups that pass are opened: members of other clusters are compared.
-
-No link between different clusters is lost: the grouping only saves work, and the prefix, the places of
-tokens in it, and the bound are necessary conditions of a link.
+   cut into groups of bounded size and of like set sizes; every other set is a group by itself.
+2. The matrix. For each group it stores the union of its members' early tokens (the rarest, at least one of
+   which any link needs), with how many members have each and the sizes of these. A set's overlap with a
+   group's union is counted by tokens, before any member is read. With the most that the later tokens can
+   add, by the sizes, it bounds the overlap with any member. Only groups whose bound reaches what a link
+   needs are opened: their members of other clusters are read and compared.
+
+No link between different clusters is lost: the grouping only saves work, and the early tokens, the places of
+tokens among them, and the bound are necessary conditions of a link.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.llm.common import durable, join_by_weight, workers
@@ -34,19 +35,22 @@ PERMUTATIONS = 4
 #: A token that batches of sets report this often, counting repeats inside a batch only, is common.
 COMMON = 8
 #: Tokens of such a batch.
-BATCH_TOKENS = 4_000_000
+BATCH_TOKENS = 1_000_000
 #: Common tokens at most; if there are more, it takes more reports to be one.
 MOST_COMMON = 4_000_000
 #: Sets of one token in one batch from which they pass the deal of tokens by.
 CROWD = 40
 #: Sets of one group on average; also the size from which a cluster has groups of its own.
-GROUP = 256
+GROUP = 128
 #: Comparisons with one pivot or group that a task makes on average.
-SHARE = 500
+SHARE = 250
 #: Percent of likeness that makes a family.
 FAMILY = 50
-#: Bits of the filter that keeps texts nobody asks for out of a shuffle: 10 for each asked, 8 MB at most.
-FILTER_BITS = 2**26
+#: Sets of one group differ in size by this factor at most, so that sizes bound what their later tokens can add.
+BAND = 1.05
+#: Bits of the filter that keeps texts nobody asks for out of a shuffle: 10 for each asked, 32 MB at most. Over 25 million
+#: asked ones it lets more and more others pass: then each text is compressed and dealt once, and results stay the same.
+FILTER_BITS = 2**28
 
 
 #: Bytes of a hash that stand for a token among the early ones. By 48 bits tokens are candidates only; links are decided by all 64.
@@ -87,11 +91,11 @@ def _common_tokens(docs: DataFrame, size: int) -> np.ndarray:
         n = 0
 
         def report() -> pa.RecordBatch:
-            token = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint64)
-            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.empty(0, np.int64)
-            count = np.diff(np.concatenate([head, [len(token)]]))
-            again = count > 1
-            return pa.RecordBatch.from_arrays([pa.array(token[head][again].view(np.int64), pa.int64()), pa.array(count[again], pa.int64())], ["key", "n"])
+            token = np.concatenate(held) if held else np.empty(0, np.uint64)
+            held.clear()
+            token.sort()
+            token, count = np.unique(token[1:][token[1:] == token[:-1]], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64), pa.int64()), pa.array(count + 1, pa.int64())], ["key", "n"])
 
         for b in batches:
             for t in b.column("text"):
@@ -106,7 +110,7 @@ def _common_tokens(docs: DataFrame, size: int) -> np.ndarray:
                 n += len(h)
                 if n >= BATCH_TOKENS:
                     yield report()
-                    held, seen, n = [], set(), 0
+                    seen, n = set(), 0
         yield report()
 
     reports = workers(docs.select("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -266,7 +270,8 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
     several = _sized(rows.filter("not alone"), "cluster", "m").select(*single.columns)
     large = several.filter(F.col("m") >= GROUP).withColumn("pool", F.xxhash64(F.lit("cluster"), "cluster")).withColumn("own", F.lit(True))
     small = several.filter(F.col("m") < GROUP).withColumn("pool", F.xxhash64(F.lit("family"), "family")).withColumn("own", F.lit(False))
-    pooled = _sized(durable(large.unionByName(small)), "pool", "w")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
+    pooled = _sized(durable(large.unionByName(small).withColumn("pool", F.xxhash64("pool", band))), "pool", "w")
     chunk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.ceil(F.col("w") / GROUP))
     pooled = pooled.withColumn("grp", F.xxhash64("pool", chunk)).drop("pool", "w")
     single = single.withColumn("own", F.lit(False)).withColumn("grp", F.xxhash64(F.lit("alone"), "rep"))
@@ -386,22 +391,42 @@ def _shared_tokens(made: DataFrame, rows: DataFrame) -> DataFrame:
     return workers(dealt).mapInArrow(meet, "token long, rep long, place int")
 
 
-def _candidates(made: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(rep, grp): each set with the groups that may hold a link of it, by shared tokens of prefixes.
+def group_matrix(made: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The early tokens of sets as entries (token, rep and its group), and the matrix: a row for each group and token of its union.
 
-    Of the tokens that a set shares with a linked one, the first in the order leaves enough tokens after it
-    on both sides; the sizes must fit, too.
+    The matrix tells how many members have the token, the least and greatest of their sizes, and its
+    earliest place. Tokens of one group only are left out, except where two members of a mixed group have them.
     """
     entries = durable(_shared_tokens(made, rows).join(rows.select("rep", "n", "grp", "own", "turn"), "rep"))
-    matrix = entries.groupBy("token", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.first("turn").alias("their"), F.first("own").alias("pure"), F.count("*").alias("sets"))
-    matrix = matrix.withColumnRenamed("grp", "to")
-    reach = (F.least(F.col("n") - F.col("place"), F.col("hi") - F.col("first")) * (100 + percent) >= (F.col("n") + F.col("lo")) * percent) & (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent)
+    union = entries.groupBy("token", F.col("grp").alias("to")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("place").alias("first"), F.first("turn").alias("their"), F.first("own").alias("pure"), F.count("*").alias("sets"))
+    return entries, durable(union)
+
+
+def bounded_pairs(entries: DataFrame, matrix: DataFrame, percent: int) -> DataFrame:
+    """(rep, grp, tokens, opens): sets that share early tokens with a group's union, and whether the bound lets the group be opened.
+
+    A link of sets of n and m tokens needs percent * (n + m) / (100 + percent) common ones. Those that are not
+    early in both are all later ones of the set whose early tokens end first in the order, and its later
+    ones are under percent / 100 of its size. So c shared early tokens admit a link only if
+    100 * (100 + percent) * c + percent * (100 + percent) * max(n, m) >= 100 * percent * (n + m) for a size m that
+    the group has; the difference is least at the least or the greatest m. Besides, the first shared token must leave enough after it.
+    """
+    n, lo, hi = F.col("n"), F.col("lo"), F.col("hi")
+    reach = F.least(n - F.col("place"), hi - F.col("first")) * (100 + percent) >= (n + lo) * percent
+    fits = (hi * 100 >= n * percent) & (n * 100 >= lo * percent)
     asks = (F.col("turn") < F.col("their")) | ((F.col("grp") == F.col("to")) & ~F.col("pure") & (F.col("sets") > 1))
-    return entries.join(matrix, "token").filter(reach & asks).select("rep", F.col("to").alias("grp")).distinct()
+    met = entries.join(matrix, "token").filter(fits & asks)
+    met = met.groupBy("rep", "to").agg(F.first("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("tokens"), F.bool_or(reach).alias("reaches"))
+    least, most = F.greatest(F.floor(n * percent / 100), F.col("lo")), F.least(F.ceil(n * 100 / percent), F.col("hi"))
+
+    def admits(m: Column) -> Column:
+        return 100 * (100 + percent) * F.col("tokens") + percent * (100 + percent) * F.greatest(n, m) >= 100 * percent * (n + m)
+
+    return met.select("rep", F.col("to").alias("grp"), "tokens", (F.col("reaches") & (admits(least) | admits(most))).alias("opens"))
 
 
 def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of the candidate ``pairs`` (rep, grp) between sets of different clusters.
+    """Links (a, b) of the qualifying ``pairs`` (rep, grp) between sets of different clusters.
 
     Tasks stream the asking sets past a group's members; memory holds one group of bounded size.
     """
@@ -413,20 +438,16 @@ def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataF
     dealt = asked.repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("member").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, union, sets_of = None, [], None, _Sets(size)
+        at, group, sets_of = None, [], _Sets(size)
         for b in batches:
             out: list[tuple] = []
             for grp, salt, member, rep, cluster, raw in zip(*b.columns, strict=True):
                 here, own, who, whose = (grp.as_py(), salt.as_py()), sets_of(raw.as_py()), rep.as_py(), cluster.as_py()
                 if here != at:
-                    at, group, union = here, [], None
+                    at, group = here, []
                 if member.as_py():
                     group.append((who, whose, own))
                     continue
-                if union is None:
-                    union = group[0][2] if len(group) == 1 else np.unique(np.concatenate([t for _, _, t in group]))
-                if 100 * overlap(own, union) < percent * len(own):
-                    continue  # no member can have enough of the tokens
                 done = {whose}  # clusters that need no further link
                 for other, theirs, t in group:
                     if theirs not in done and min(len(own), len(t)) * 100 >= max(len(own), len(t)) * percent and linked(overlap(own, t), len(own), len(t), percent):
@@ -456,7 +477,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     sets = distinct.select(F.col("x.row").alias("rep"), "n", F.col("x.doc").alias("doc"), F.col("x.text_hash").alias("text_hash"), F.col("x.least").alias("least"))
     near = durable(_pivot_links(sets, own, size, percent))
     rows = _grouped(sets, near)
-    across = _open_groups(sets, rows, _candidates(made, rows, percent), own, size, percent)
+    opened = bounded_pairs(*group_matrix(made, rows), percent).filter("opens").select("rep", "grp")
+    across = _open_groups(sets, rows, opened, own, size, percent)
     links = durable(across.unionByName(near.filter("close").select("a", "b")))
     components = durable(connected(links))
     named = distinct.select("n", "d1", "d2", "copies", "head", F.col("x.row").alias("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
