@@ -32,11 +32,13 @@ class Shingler:
     """Sets of hashed word shingles: A-Z lower-cased, words parted by ASCII white space.
 
     A text with fewer than ``size`` words has the whole sequence as its one shingle; one without words
-    has none. Hashes are 64 bits; two shingles of one document collide with a chance of about n^2 / 2^65.
+    has none. With ``framed`` size - 1 empty words stand before and after a text with words. Hashes are 64
+    bits; two shingles of one document collide with a chance of about n^2 / 2^65.
     """
 
-    def __init__(self, size: int):
+    def __init__(self, size: int, framed: bool = False):
         self.size, self.words = size, _Hashes()
+        self.frame = np.full(size - 1 if framed else 0, xxhash.xxh64_intdigest(b""), np.uint64)
 
     def hashes(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes, as uint64."""
@@ -44,7 +46,8 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        n = min(self.size, len(words))
+        h = np.concatenate([self.frame, h, self.frame])
+        n = min(self.size, len(h))
         with np.errstate(over="ignore"):
             out = np.full(len(h) - n + 1, np.uint64(n))
             for k in range(n):

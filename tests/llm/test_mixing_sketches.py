@@ -1,10 +1,13 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
 
+import xxhash
+
 from sparkveil.llm import mixing, sketches
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, repetition string"
@@ -86,38 +89,59 @@ def test_mix_of_rare_sources_with_rates_over_700(spark):
 def test_sketch_estimates_and_merges():
     r = random.Random(5)
     words = [str(r.random()) for _ in range(40_000)]
-    s = sketches.Scaled(8, 3)
+    s = sketches.Scaled(4, 3)
     big, small, other = " ".join(words), " ".join(words[100:3100]), " ".join(words[::-1][:3000])
     a, b = s.sketch(big), s.sketch(small)
-    assert s.containment(b, a) == 1.0 and abs(s.containment(a, b) - 3000 / 40_000) < 0.02
+    assert s.containment(b, a) > 0.99 and abs(s.containment(a, b) - 3000 / 40_000) < 0.02
     assert s.likeness(b, s.sketch(other)) < 0.01
-    half, rest = " ".join(words[:20_000]), " ".join(words[19_998:])
-    assert (s.merge(s.sketch(half), s.sketch(rest)) == a).all()
+    every = s.shingles.hashes(big)
+    assert (a == every[every < 2**62]).all()  # all below the fixed fraction, and no others
+    half, rest = s.sketch(" ".join(words[:20_000])), s.sketch(" ".join(words[20_000:]))
+    merged = s.merge(half, rest)
+    assert (merged == np.union1d(half, rest)).all() and len(np.setdiff1d(a, merged)) <= 2  # but for shingles over the seam
     assert s.likeness(s.sketch(""), s.sketch(None)) == 1.0 and s.likeness(s.sketch(""), b) == 0.0
     assert (sketches.from_text(sketches.text_of(b)) == b).all()
 
 
+def framed(text, size=3):
+    """Word shingles as tuples, by a plain reading of the definition."""
+    words = ["", ""] + ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)] + ["", ""]
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if len(words) > 4 else set()
+
+
 def brute_edits(rows):
-    s = sketches.Scaled(8, 3)
-    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    """(id, length, edited text, sketches by definition, true likenesses) of every row."""
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, signed(x[1]), x[1]))
     out = []
     for k, (i, t) in enumerate(ordered):
-        t, following = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        following = ordered[(k + 1) % len(ordered)][1]
         q = len(t) // 4
         new = t[: len(t) - q] + following[:q]
-        out.append((i if i is not None else -1, len(t), sketches.text_of(s.sketch(t)), sketches.text_of(s.sketch(new)), s.likeness(s.sketch(t), s.sketch(new)), s.likeness(s.sketch(t), s.sketch(following))))
+        a, b, c = framed(t), framed(new), framed(following)
+        jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        out.append((i if i is not None else -1, len(t), hashlib.sha256(new.encode()).hexdigest(), len(a), len(b), jaccard(a, b), jaccard(a, c)))
     return sorted(out)
 
 
 @pytest.mark.parametrize("parts", [1, 5, 40])
-def test_edit_likeness_against_brute_force(spark, parts):
+def test_edit_likeness_against_true_shingles(spark, parts):
     r = random.Random(parts)
-    rows = [(i * 3, " ".join(r.choice("abcdefgh😀é") for _ in range(r.randrange(0, 60)))) for i in range(120)]
+    rows = [(i * 3, " ".join(r.choice(["ab", "Cd", "é", "😀", "É"]) + str(r.randrange(90)) for _ in range(r.randrange(0, 200)))) for i in range(120)]
     rows += [(50, None), (50, "same id"), (50, "same id"), (None, "no id"), (10_000, "w " * 20_000)]
+    rows += [(60, f"hot id {k}") for k in range(80)] + [(None, f"null id {k}") for k in range(80)]
     r.shuffle(rows)
     frame = docs(spark, [(i, t, "s") for i, t in rows])
-    got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_chars, x.fingerprint, x.edited_fingerprint, x.near_edited, x.near_next) for x in sketches.edit_likeness(frame, parts=parts).collect())
-    assert got == brute_edits(rows)
+    exact = sketches.edit_likeness(frame, scale=1, parts=parts).collect()
+    got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_chars, x.edited_sha256, len(x.fingerprint) // 16, len(x.edited_fingerprint) // 16, x.near_edited, x.near_next) for x in exact)
+    want = brute_edits(rows)
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert np.allclose([x[5:] for x in got], [x[5:] for x in want])  # at scale 1 sketches hold all shingles
+    by = {(x.doc_id, x.edited_sha256): x for x in exact}
+    sampled = [(x, by[x.doc_id, x.edited_sha256]) for x in sketches.edit_likeness(frame, parts=parts).collect()]
+    long = [(x, y) for x, y in sampled if len(y.fingerprint) > 16 * 50]
+    assert len(long) > 60 and np.mean([abs(x.near_edited - y.near_edited) for x, y in long]) < 0.06
+    assert np.mean([len(x.fingerprint) / len(y.fingerprint) for x, y in long]) == pytest.approx(0.5, abs=0.05)
 
 
 def test_edit_likeness_edges(spark):
