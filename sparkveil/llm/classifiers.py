@@ -228,22 +228,20 @@ class QualityModel:
         return len(raw), b, g
 
     def score(self, sizes: tuple[int, int, int]) -> float:
-        return float(sigmoid(calibration_row(*sizes) @ np.array(self.coefficients)))
+        return float(sigmoid(self.coefficients[0] + self.coefficients[1] * difference(*sizes)))
 
 
-def calibration_row(raw: int, bad: int, good: int) -> np.ndarray:
-    """What the calibration weighs: the normalised difference of the sizes, how well the text compresses
-    at all (text of few distinct words does so by either dictionary), and their squares and product."""
-    d = 20 * (bad - good) / (bad + good) if raw else 0.0
-    r = min(good / raw, 2.0) if raw else 0.5
-    return np.array([1.0, d, r, d * d, r * r, d * r, r**3, 1 / math.log(raw + 3)])
+def difference(raw: int, bad: int, good: int) -> float:
+    """The normalised compressed-size difference: how much more of the text's bytes the good dictionary saves, in per cent."""
+    return 100 * (bad - good) / raw if raw else 0.0
 
 
-def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary_bytes: int = 65_536, chunk: int = 512, pieces: int = 4, piece_bytes: int = 1024) -> QualityModel:
+def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary_bytes: int = 65_536, chunk: int = 512) -> QualityModel:
     """Dictionaries from one half of each class, the calibration (logistic, Newton's method) from the other.
 
-    A dictionary is trained on at most ``pieces`` pieces of ``piece_bytes`` bytes, spread over the text, of each text
-    of its half, so that long texts do not outweigh the others; the calibration reads whole texts. Classes are weighted to their share of all labelled rows. Without both classes the score is constant.
+    Every text of the sample is read whole: those of one half train a dictionary in pieces of ``chunk`` bytes,
+    those of the other are compressed like any scored text. The calibration weighs the normalised size difference and
+    nothing else. Classes are weighted to their share of all labelled rows. Without both classes the score is constant.
     """
     import zstandard as z
 
@@ -251,29 +249,25 @@ def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary
     share = (sizes.get(1, 0) + 1) / (sizes.get(0, 0) + sizes.get(1, 0) + 2)
     content = {}
     for y, texts in by.items():
-        parts = []
-        for i, t in enumerate(texts[0::2]):
-            raw = t.encode()
-            step = max(1, (len(raw) - piece_bytes) // pieces)
-            parts += [raw[at : at + piece_bytes] for at in range((i * 131) % step, max(1, len(raw) - piece_bytes // 2), step)][:pieces]
+        parts = [raw[at : at + chunk] for raw in map(str.encode, texts[0::2]) for at in range(0, len(raw), chunk)]
         try:
             content[y] = z.train_dictionary(dictionary_bytes, parts, k=50, d=8).as_bytes()
         except z.ZstdError:  # too little text to choose from: the text itself serves
             content[y] = b"".join(parts)[-dictionary_bytes:]
-    model = QualityModel(content[0] or b" " * 16, content[1] or b" " * 16, [math.log(share / (1 - share)), *[0.0] * 7], chunk)
-    held = [(model.sizes(t), y) for y in (0, 1) for t in by[y][1::2]]
+    model = QualityModel(content[0] or b" " * 16, content[1] or b" " * 16, [math.log(share / (1 - share)), 0.0], chunk)
+    held = [(difference(*model.sizes(t)), y) for y in (0, 1) for t in by[y][1::2]]
     if len({y for _, y in held}) < 2:
         return model
-    x = np.array([calibration_row(*s) for s, _ in held])
+    x = np.array([(1.0, d) for d, _ in held])
     y = np.array([v for _, v in held], float)
     cost = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
-    beta = np.zeros(x.shape[1])
-    ridge = 1e-5 * np.eye(len(beta))
-    for _ in range(60):
+    beta = np.zeros(2)
+    ridge = 1e-6 * np.eye(2)
+    for _ in range(100):
         p = sigmoid(x @ beta)
         h = (x * (cost * p * (1 - p))[:, None]).T @ x + ridge
         step = np.linalg.solve(h, x.T @ (cost * (y - p)) - ridge @ beta)
-        beta = beta + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
+        beta = beta + step * min(1.0, 1 / max(1e-9, np.abs(step).max()))
     model.coefficients = [float(b) for b in beta]
     return model
 
@@ -295,7 +289,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", cut:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = QualityModel(*shared.value)
-        for batch in batches:
+        for batch in slices(batches, text, 4 << 20):
             sizes = [m.sizes(t.as_py() or "") for t in batch.column(at)]
             scores = [m.score(s) for s in sizes]
             arrays = [pa.array([s[k] for s in sizes], pa.int64()) for k in range(3)]

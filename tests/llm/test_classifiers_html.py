@@ -97,12 +97,29 @@ def test_quality_held_out(spark, tables):
     assert sum(got[i].predicted == q for i, _, _, q in held) / len(held) > 0.97
 
 
-def test_pieces_for_the_dictionaries(tables):
-    sample = [(t, q) for _, t, _, q in tables[2]]
-    sizes = {0: 120, 1: 480}
-    usual = classifiers.fit_quality(sample, sizes)
-    assert usual.good == classifiers.fit_quality(sample, sizes, pieces=4, piece_bytes=1024).good
-    assert usual.good != classifiers.fit_quality(sample, sizes, pieces=1, piece_bytes=64).good
+def test_quality_sizes_and_score_by_hand(spark, tables):
+    import math
+
+    import zstandard as z
+
+    docs, labels, rows = tables
+    model = classifiers.train_quality(docs, labels)
+    presses = []
+    for content in (model.bad, model.good):
+        d = z.ZstdCompressionDict(content)
+        presses.append(z.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    for r in classifiers.score_quality(docs, model).limit(40).collect():
+        raw = r.text.encode()
+        bad, good = (sum(len(p.compress(raw[at : at + 512])) for at in range(0, len(raw), 512)) for p in presses)
+        a, b = model.coefficients
+        assert (r.raw_bytes, r.bad_bytes, r.good_bytes) == (len(raw), bad, good)
+        assert abs(r.score - 1 / (1 + math.exp(-(a + b * 100 * (bad - good) / len(raw))))) < 1e-9
+
+
+def test_dictionaries_read_whole_texts(tables):
+    long = [(t * 30, q) for _, t, _, q in tables[2]]
+    changed = [(t[:8192] + "".join(map(chr, range(0x4E00, 0x4F00))) * 20, q) for t, q in long]
+    assert classifiers.fit_quality(long, {0: 1, 1: 4}).good != classifiers.fit_quality(changed, {0: 1, 1: 4}).good
 
 
 @pytest.mark.parametrize("which", ["toxic", "quality"])
@@ -119,17 +136,45 @@ def test_edges(spark, tables, which):
     assert run(docs.filter("false"), labels).count() == 0
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-def test_pages_of_the_driver(spark):
+def articles(spark):
     import html as h
     import re
 
-    pages = spark.read.parquet(f"{SF}/pages.parquet")
-    source = {r.page_id: r.html for r in pages.collect()}
-    for r in html.extract(pages).collect():
-        article = re.search(r"<article>(.*?)</article>", source[r.page_id], re.S)[1]
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = (" ".join(h.unescape(re.sub(r"<[^>]+>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?p>|</?h1>", article))
-        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+        yield r.page_id, r.html, [p for p in parts if p]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_pages_of_the_driver(spark):
+    want = {i: "\n".join(parts) for i, _, parts in articles(spark)}
+    for r in html.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect():
+        assert r.text == want[r.page_id] and r.n_chars == len(r.text)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_pages_without_any_telling_tag(spark):
+    import re
+
+    tree, right, wrong, lost = html.train(), 0, 0, 0
+    for _, page, parts in articles(spark):
+        bare = re.sub(r' (?:class|id)="[^"]*"', "", re.sub(r"<(/?)(nav|article|footer|main|header|aside)\b[^>]*>", r"<\1div>", page))
+        got = html.main_text(bare, tree)[0].split("\n")
+        right += len(set(got) & set(parts))
+        wrong += len(set(got) - set(parts))
+        lost += len(set(parts) - set(got))
+    assert wrong / (right + wrong) < 0.02 and lost / (right + lost) < 0.01
+
+
+def test_neighbours_decide():
+    tree = html.train()
+    said = tree.said()
+    assert all(f"{name} <=" in said for name in ("words before", "words after", "density", "density before"))
+    box = "<div>A line of just a few words</div>"
+    menu, prose = "<div><a>Home</a> <a>News</a></div>", "<div>" + "words of the story " * 15 + "</div>"
+    assert "few words" in html.main_text(prose + box + prose, tree)[0]
+    assert "few words" not in html.main_text(menu + box + menu + prose * 3, tree)[0]
 
 
 CASES = [
@@ -138,6 +183,15 @@ CASES = [
     ("<header><h1>Site</h1></header><article>text<script>var a='<p>no</p>'</script> more<!-- x --> end</article><form><label>Mail</label><input></form>", "text more end"),
     ("<article><p>a<div class='ad'>buy</div><p>b</article><div id=cookie-notice>we use cookies and so on and on</div>", "a\nb"),
     ("<div><p>" + "plain words here " * 12 + "</p></div><ul><li><a href=a>A</a><li><a href=b>B</a></ul>", ("plain words here " * 12).strip()),
+    ("<h1>A title</h1><p>Short paragraph of the page.</p><p>Another short one here.</p>", "A title\nShort paragraph of the page.\nAnother short one here."),
+    ("<article><p>Some words here of the text.</p><p><a>Read the full report</a></p><p>More words of the text.</p></article>", "Some words here of the text.\nRead the full report\nMore words of the text."),
+    ("<article><header><h1>Headline</h1><p>by me</p></header><p>Text of it is here</p></article>", "Headline\nby me\nText of it is here"),
+    ("<article><div class='post-header'><h1>Headline here</h1></div><p>Some text</p></article>", "Headline here\nSome text"),
+    ("<div class='footer-post'><p>" + "a story of words " * 9 + "</p></div>", ("a story of words " * 9).strip()),
+    ("<nav><div class='main'>Home News <a>Sport</a></div></nav><article><p>body text</p></article>", "body text"),
+    ("<article><p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+    ("<article><h2 id='search'>Search results</h2><section id='related-work'><p>Related work is this.</p></section></article>", "Search results\nRelated work is this."),
+    ("<article><p>seen</p><p hidden>not seen</p><p style='display: none'>nor this</p></article>", "seen"),
     ("", ""), ("   ", ""), ("<", "<"), ("<article>5 &lt; 6 &#x1F600;&nbsp;x</article>", "5 < 6 😀 x"), ("<article><p title='a > b'>q</p></article", "q"),
 ]
 
