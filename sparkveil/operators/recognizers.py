@@ -20,7 +20,8 @@ from sparkveil.functions.binding import let
 SPAN = "struct<cls:string,start:int,end:int,text:string,confidence:double,evidence:array<string>,normalized:string,ord:int>"
 STRENGTH = {"checksum": 0.99, "structure": 0.85, "format": 0.5}
 WINDOW = 48
-_MARK = "\x01"
+#: Set around matches to split at; one that a text has itself counts as another control character, so that places stay.
+_MARK, _OTHER = "\x01", "\x02"
 _NOT_WORD_BEFORE, _NOT_WORD_AFTER = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 _S = f"[{V.SPACE}]"
 _SEP = f"[{V.SPACE}{V.DASHES}]"
@@ -65,7 +66,7 @@ def _no_spans() -> Column:
 
 def matches(text: Column, pattern: str) -> Column:
     """ARRAY<STRUCT<i, start, end, text>> of the matches of a pattern; a text without any costs one search."""
-    marked = F.regexp_replace(F.translate(text, _MARK, ""), f"({pattern})", f"{_MARK}$1{_MARK}")
+    marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), f"({pattern})", f"{_MARK}$1{_MARK}")
     pieces = F.split(marked, _MARK, -1)
     none = F.array().cast("array<struct<i:int,start:int,end:int,text:string>>")
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), none.alias("out"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from sparkveil.functions import checksums, geometry, scalars, taxonomy, validators
 from sparkveil.operators import blur, fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
 from sparkveil.sources import captures, synthetic
+from sparkveil.sources.durable import shared_folder
 from sparkveil.sources.synthetic import table, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,11 +35,6 @@ def _duck(sql: str) -> str:
     return sql.replace("{lineitem}", "lineitem")
 
 
-def _shared(spark: SparkSession) -> str:
-    sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkveil-")
-
-
 # ---------------------------------------------------------------- text detection
 
 _LUHN = "(list_sum(list_transform(range(0, len({d})), lambda i: CASE WHEN (len({d}) - i) % 2 = 1 THEN {d}[i + 1]::INT ELSE (2 * {d}[i + 1]::INT) // 10 + (2 * {d}[i + 1]::INT) % 10 END)) % 10 = 0)"
@@ -642,7 +637,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkveil.streaming import stateful
 
-    return stateful.run_once(stateful.rate_limit(_stream(spark, sf_dir), 3, 3_600_000), f"{_shared(spark)}/stream-{uuid.uuid4().hex}")
+    return stateful.run_once(stateful.rate_limit(_stream(spark, sf_dir), 3, 3_600_000), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query()
@@ -650,7 +645,7 @@ def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkveil.streaming import stateful
 
     rows = _stream(spark, sf_dir).select(F.col("user_id").alias("session"), F.lit("EMAIL").alias("cls"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("value"), F.col("event_id").alias("seq"), "ts")
-    return stateful.run_once(stateful.vault(rows), f"{_shared(spark)}/stream-{uuid.uuid4().hex}")
+    return stateful.run_once(stateful.vault(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
 @query("SELECT window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL)")

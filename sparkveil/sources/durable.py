@@ -1,15 +1,25 @@
-"""Steps that several tables of one result are made from."""
+"""Steps that several tables of one result are made from, and the folder they are in."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a local session takes a temporary one; on a cluster it is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sparkveil-"))
+    return sc.getCheckpointDir()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to ``spark.checkpoint.dir``: computed and planned once, and safe if executors are lost."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkveil-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
