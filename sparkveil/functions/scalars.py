@@ -47,6 +47,31 @@ def file_accepted(name: Column, mime: Column, accept: Column) -> Column:
     return (F.size(rules) == 0) | F.coalesce(F.exists(rules, fits), F.lit(False))
 
 
+def file_problem(name: Column, mime: Column, size: Column, accept: Column, help_text: Column) -> Column:
+    """What is wrong with a chosen file: empty, too_large (for its field's help) or not_accepted; null if nothing is."""
+    known = F.coalesce(size, F.lit(0))
+    return F.when(known <= 0, "empty").when(known > file_limit(help_text), "too_large").when(~file_accepted(name, mime, accept), "not_accepted")
+
+
+def upload_prompt(question: Column) -> Column:
+    """Whether a question's text asks for a file."""
+    return F.coalesce(F.regexp_replace(question, r"\s+", " ").rlike(r"(?i)\bupload\s+[0-9]+\s+(?:supported\s+)?files?\b|\b(?:file|photo|image)\s+(?:upload|attachment)\b"), F.lit(False))
+
+
+def upload_action(role: Column, label: Column) -> Column:
+    """Whether a button or link picks a file."""
+    says = F.regexp_replace(label, r"\s+", " ").rlike(r"(?i)\b(?:add|upload|choose|select|browse|attach)(?:\s+(?:a|an|your))?(?:\s+(?:file|files|photo|image|document))?\b")
+    return F.coalesce(role.isin("button", "link") & says, F.lit(False))
+
+
+def upload_help(question: Column) -> Column:
+    """What a question says of the number and size of files, or null."""
+    q = F.regexp_replace(question, r"\s+", " ")
+    count = F.nullif(F.regexp_extract(q, r"(?i)\bupload\s+[0-9]+\s+(?:supported\s+)?files?\b", 0), F.lit(""))
+    most = F.nullif(F.regexp_extract(q, r"(?i)\bmax(?:imum)?(?:\s+file\s+size)?\s*[:-]?\s*[0-9]+(?:[.][0-9]+)?\s*(?:bytes?|kb|mb|gb|kib|mib|gib)\b", 0), F.lit(""))
+    return F.nullif(F.concat_ws(". ", count, most), F.lit(""))
+
+
 def origin_class(host: Column) -> Column:
     """The kind of site that a host name tells of; the first rule that fits."""
     h = F.lower(host)

@@ -69,6 +69,12 @@ def sessions(events: DataFrame, user: str = "user_id", origin: str = "event_type
     return events.withColumn("_changed", changed).withColumn("session_no", F.sum("_changed").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_changed")
 
 
+def running_totals(receipts: DataFrame, amounts: tuple[str, ...], session: str = "session", order: str = "at") -> DataFrame:
+    """``receipts`` (session, at and ``amounts``) with sent, the session's receipts so far, and each amount's sum so far."""
+    w = W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return receipts.withColumns({"sent": F.count("*").over(w), **{a: F.sum(a).over(w).cast("long") for a in amounts}})
+
+
 def mint_with_ttl(attempts: DataFrame, session: str = "session", ttl_ms: int = TTL_MS, cap: int = CAP) -> DataFrame:
     """Each attempt (session, cls, value, at: epoch ms, seq) with its token, as entries expire.
 

@@ -298,13 +298,13 @@ def test_media():
     assert media.failures(out, [rect]) == [] and media.failures(image, [rect])
     assert (out[0, 0] == image[0, 0]).all()
     assert media.detector_input(image).shape == (3, 240, 320)
-    png = media.gray_png(np.zeros((4, 6)))
+    png = media.png(np.zeros((4, 6)))
     assert media.inspect(png) == {"format": "png", "width": 6, "height": 4, "removed": []}
     assert media.inspect(b"nothing") is None and math.isclose(float(media.detector_input(np.full((4, 4, 4), 255, np.uint8)).max()), 1.0)
 
 
 def test_media_tables(spark):
-    png = media.gray_png(np.zeros((4, 6)))
+    png = media.png(np.zeros((4, 6)))
     files = spark.createDataFrame([("a", png), ("b", b"junk"), ("c", None)], "name string, content binary")
     assert {r.name: r.clean for r in media.inspect_images(files).collect()} == {"a": True, "b": False, "c": False}
     box = lambda x: (float(x), 0.0, 10.0, 10.0)
