@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,18 +39,25 @@ def gaussian(image: np.ndarray, sigma: float) -> np.ndarray:
     return image
 
 
-def recover(blurred: np.ndarray, n: int, sigma: float, passes: int = 3) -> str:
-    """Digits whose blurred picture is nearest: one place after the other, ten candidates each, until nothing changes."""
-    if n == 0:
-        return ""
-    # blur is linear: the picture is the sum of what each digit adds to an empty one
-    empty = gaussian(np.full(blurred.shape, 255.0), sigma)
-    alone = np.empty((n, 10, *blurred.shape))
+@lru_cache(maxsize=4)
+def _candidates(n: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """An empty picture of n places under the blur, and what each digit at each place adds to it: blur is linear."""
+    shape = (CELL_H, CELL_W * n)
+    empty = gaussian(np.full(shape, 255.0), sigma)
+    alone = np.empty((n, 10, *shape))
     for i in range(n):
         for d in range(10):
-            picture = np.full(blurred.shape, 255.0)
+            picture = np.full(shape, 255.0)
             picture[:, i * CELL_W : (i + 1) * CELL_W] = render(str(d))
             alone[i, d] = gaussian(picture, sigma) - empty
+    return empty, alone
+
+
+def recover(blurred: np.ndarray, n: int, sigma: float, passes: int = 3) -> str:
+    """Digits whose blurred picture is nearest: one place after the other, ten candidates each, until nothing changes."""
+    if n == 0:
+        return ""
+    empty, alone = _candidates(n, sigma)
     # a descent from anywhere can end beside the best reading: it begins at the digits that weigh most in
     # the least-squares mixture of all candidates
     weights = np.linalg.lstsq(alone.reshape(n * 10, -1).T, (blurred - empty).ravel(), rcond=1e-12)[0].reshape(n, 10)

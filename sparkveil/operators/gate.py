@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.taxonomy import legend_key, token_class
 from sparkveil.operators.recognizers import STANDARD, Registry
-from sparkveil.operators.vault import json_escaped
+from sparkveil.operators.vault import in_order, json_escaped
 from sparkveil.sources.durable import durable
 
 SCHEMA_ID = "scp/1.0"
@@ -44,16 +44,16 @@ def packet_issues() -> Column:
         _issue(~F.length("packet_id").between(10, 64) | F.col("packet_id").isNull(), "packet_id", "must have 10 to 64 characters"),
         _issue(F.coalesce(F.col("captured_at_ms") <= 0, F.lit(True)), "captured_at_ms", "must be positive"),
         _issue(~F.coalesce(mode.isin("shield", "fortress", "wireframe"), F.lit(False)), "policy.mode", "unknown mode"),
-        _issue((mode == "wireframe") & v["present"], "visual.present", "wireframe mode forbids any visual payload"),
-        _issue(v["present"] & (v["format"].isNull() | v["sha256"].isNull()), "visual", "a present visual requires format and sha256"),
-        _issue(v["data_b64"].isNotNull() & ~F.coalesce(v["present"], F.lit(False)), "visual.data_b64", "image data requires visual.present true"),
+        _issue((mode == "wireframe") & v["present"], "visual.present", "forbidden_in_mode"),
+        _issue(v["present"] & (v["format"].isNull() | v["sha256"].isNull()), "visual", "incomplete"),
+        _issue(v["data_b64"].isNotNull() & ~F.coalesce(v["present"], F.lit(False)), "visual.data_b64", "without_image"),
         _issue(v["sha256"].isNotNull() & ~v["sha256"].rlike("^[0-9a-f]{64}$"), "visual.sha256", "must be 64 hex digits"),
         _issue(F.size("elements") > MOST_ELEMENTS, "elements", f"at most {MOST_ELEMENTS}"),
         _issue(F.exists("elements", lambda e: ~F.coalesce(e["id"].rlike("^e[0-9]+$"), F.lit(False))), "elements.id", "must be e and digits"),
         _issue(F.exists("elements", lambda e: F.length(e["label"]) > 300), "elements.label", "at most 300 characters"),
         _issue(F.exists("elements", lambda e: F.size(e["evidence"]) > 16), "elements.evidence", "at most 16"),
         _issue(F.exists("elements", lambda e: (e["confidence"] < 0) | (e["confidence"] > 1)), "elements.confidence", "must be from 0 to 1"),
-        _issue(F.size(missing) > 0, "elements.value", F.concat(F.lit("token class "), F.get(missing, F.lit(0)), F.lit(" missing from redaction_legend"))),
+        _issue(F.size(missing) > 0, "elements.value", F.concat(F.lit("not_in_legend:"), F.get(missing, F.lit(0)))),
         _issue(F.length("intent") > MOST_INTENT, "task.intent", f"at most {MOST_INTENT} characters"),
         _issue(F.size("untrusted_text") > MOST_TEXTS, "untrusted_text", f"at most {MOST_TEXTS}"),
         _issue(F.exists("untrusted_text", lambda t: F.length(t["text"]) > MOST_TEXT), "untrusted_text.text", f"at most {MOST_TEXT} characters"),
@@ -114,19 +114,20 @@ def rate_limit(sends: DataFrame, session: str = "session", at: str = "sent_at_ms
     """``sends`` (session, at, order) with allowed: at most ``most`` allowed ones in any ``window_ms``.
 
     Refused attempts use nothing up, so each decision depends on those before. A session's attempts are
-    folded in order; the fold's state is the times still inside the window, at most ``most``.
+    walked in order; the state is the times still inside the window, at most ``most``.
     """
-    w = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("o"))))
-    start = F.struct(F.array().cast("array<bigint>").alias("live"), F.array().cast(f"array<struct<o:{sends.schema[order].dataType.simpleString()},ok:boolean>>").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        live = F.filter(acc["live"], lambda t: t > s["at"] - window_ms)
-        ok = F.size(live) < most
-        return F.struct(F.when(ok, F.concat(live, F.array(s["at"].cast("bigint")))).otherwise(live).alias("live"), F.concat(acc["out"], F.array(F.struct(s["o"].alias("o"), ok.alias("ok")))).alias("out"))
-
-    folded = sends.groupBy(session).agg(F.aggregate(w, start, step, lambda acc: acc["out"]).alias("r"))
-    verdicts = folded.select(session, F.explode("r").alias("r")).select(session, F.col("r.o").alias(order), F.col("r.ok").alias("allowed"))
-    return sends.join(verdicts, [session, order])
+    kind = sends.schema[order].dataType.simpleString()
+
+    def step(state: dict, row: dict) -> tuple:
+        live = state["live"] = [t for t in state.get("live", []) if t > row["at"] - window_ms]
+        allowed = len(live) < most
+        if allowed:
+            live.append(row["at"])
+        return row["o"], allowed
+
+    rows = sends.select(session, F.col(at).cast("long").alias("at"), F.col(order).alias("o"))
+    verdicts = in_order(rows, session, ["at", "o"], f"`o` {kind}, allowed boolean", step)
+    return sends.join(verdicts.withColumnRenamed("o", order), [session, order])
 
 
 def outcomes(gated: DataFrame, most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,15 +23,18 @@ def mint(attempts: DataFrame, session: str = "session", cap: int = CAP) -> DataF
 
     ``attempts`` has the session, cls, value and seq, a sortable place of discovery. A value gets the
     next ordinal of its class where it first appears. Beyond ``cap`` values a session is full: later ones get
-    no ordinal and the token PII:CLS#?. Attempts are aggregated before the windows, which then rank
-    distinct values only.
+    no ordinal and the token PII:CLS#?. Attempts are aggregated first, and of a session's distinct values each task
+    passes on its first ``cap`` only, so no task ranks more than that for each task before it, however large a session is.
     """
     first = attempts.groupBy(session, "cls", "value").agg(F.min("seq").alias("first_seq"))
     place = F.row_number().over(W.partitionBy(session).orderBy("first_seq", "cls", "value"))
+    inside = first.withColumn("_place", place).filter(F.col("_place") <= cap)
     ordinal = F.row_number().over(W.partitionBy(session, "cls").orderBy("first_seq", "value"))
-    ranked = first.withColumn("ordinal", ordinal.cast("long")).withColumn("overflow", place > cap)
+    inside = inside.select(F.col(session).alias("_session"), F.col("cls").alias("_cls"), F.col("value").alias("_value"), ordinal.cast("long").alias("ordinal"))
+    same = F.col(session).eqNullSafe(F.col("_session")) & F.col("cls").eqNullSafe(F.col("_cls")) & F.col("value").eqNullSafe(F.col("_value"))
+    ranked = first.join(inside, same, "left").withColumn("overflow", F.col("ordinal").isNull())
     token = F.when(F.col("overflow"), F.concat(F.lit("PII:"), F.col("cls"), F.lit("#?"))).otherwise(format_token(F.col("cls"), F.col("ordinal")))
-    return ranked.withColumn("token", token).withColumn("ordinal", F.when(~F.col("overflow"), F.col("ordinal")))
+    return ranked.withColumn("token", token).select(session, "cls", "value", "first_seq", "ordinal", "overflow", "token")
 
 
 def resolve(tokens: DataFrame, vault: DataFrame, session: str = "session") -> DataFrame:
@@ -42,9 +47,10 @@ def stats(vault: DataFrame, session: str = "session") -> DataFrame:
     return vault.filter("not overflow").groupBy(session, "cls").agg(F.count("*").alias("entries"))
 
 
-def remembered(events: DataFrame, session: str = "session") -> DataFrame:
-    """The latest value that each (session, key) was given, with its time."""
-    return events.groupBy(session, "key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("created_at"))
+def remembered(events: DataFrame, session: str = "session", now=None, ttl: str | None = None) -> DataFrame:
+    """The latest value that each (session, key) was given, with its time; with ``now`` and ``ttl`` (an interval) only what is not older."""
+    latest = events.groupBy(session, "key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("created_at"))
+    return latest if now is None else latest.filter(F.col("created_at") >= F.lit(now) - F.expr(f"INTERVAL {ttl or '30 minutes'}"))
 
 
 def json_escaped(value: Column) -> Column:
@@ -52,14 +58,22 @@ def json_escaped(value: Column) -> Column:
     return F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":"|"\}$', "")
 
 
-def leaks(payloads: DataFrame, vault: DataFrame, session: str = "session", payload: str = "payload") -> DataFrame:
+def leaks(payloads: DataFrame, vault: DataFrame, session: str = "session", payload: str = "payload", kept: DataFrame | None = None) -> DataFrame:
     """Tokens whose value occurs in a payload of the same session, as it is or JSON-escaped: the payload's columns, cls and token.
 
-    Sessions are the equality key, so payloads meet their own vault only.
+    ``kept`` has the session's remembered values (session, key, value); one that has no token is named VAULT:REMEMBERED#n.
+    A session's values, of which a vault has a capped number, go to its payloads as one list.
     """
-    own = vault.filter(f"not overflow and length(value) >= {LEAST_LEAK}").select(session, "cls", "token", "value")
-    met = payloads.join(own, session)
-    return met.filter(F.col(payload).contains(F.col("value")) | F.col(payload).contains(json_escaped(F.col("value")))).drop("value")
+    long_enough = F.length("value") >= LEAST_LEAK
+    own = vault.filter(~F.col("overflow") & long_enough).select(session, "cls", "token", "value")
+    if kept is not None:
+        more = kept.filter(long_enough).select(session, "value").distinct().join(own.select(session, "value"), [session, "value"], "left_anti")
+        nth = F.row_number().over(W.partitionBy(session).orderBy("value"))
+        own = own.unionByName(more.select(session, F.lit(None).cast("string").alias("cls"), F.concat(F.lit("VAULT:REMEMBERED#"), nth).alias("token"), "value"))
+    lists = own.groupBy(session).agg(F.collect_list(F.struct("cls", "token", "value", json_escaped(F.col("value")).alias("said"))).alias("_own"))
+    hit = F.filter("_own", lambda v: F.col(payload).contains(v["value"]) | F.col(payload).contains(v["said"]))
+    met = payloads.join(lists, session).withColumn("_own", hit)
+    return met.select(*payloads.columns, F.explode("_own").alias("v")).select(*payloads.columns, "v.cls", "v.token")
 
 
 def sessions(events: DataFrame, user: str = "user_id", origin: str = "event_type", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -75,32 +89,45 @@ def running_totals(receipts: DataFrame, amounts: tuple[str, ...], session: str =
     return receipts.withColumns({"sent": F.count("*").over(w), **{a: F.sum(a).over(w).cast("long") for a in amounts}})
 
 
+def in_order(rows: DataFrame, session: str, order: list[str], out: str, step: Callable[[dict, dict], tuple]) -> DataFrame:
+    """Each row's (session, ``out``) as ``step`` makes it of the session's state, which it changes, and the row.
+
+    What happens depends on all that came before, so a session is walked in order by one task; rows are streamed, and
+    memory holds one batch and one state, however long a session is.
+    """
+    ship(rows.sparkSession)
+    names = [session, *(f.split()[0].strip("`") for f in out.split(", "))]
+    kind = rows.schema[session].dataType.simpleString()
+    dealt = rows.repartition(session).sortWithinPartitions(session, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), {}
+        for batch in batches:
+            made = []
+            for row in batch.to_dict("records"):
+                if row[session] != now:
+                    now, state = row[session], {}
+                made.append((now, *step(state, row)))
+            yield pd.DataFrame(made, columns=names)
+
+    return dealt.mapInPandas(run, f"`{session}` {kind}, {out}")
+
+
 def mint_with_ttl(attempts: DataFrame, session: str = "session", ttl_ms: int = TTL_MS, cap: int = CAP) -> DataFrame:
     """Each attempt (session, cls, value, at: epoch ms, seq) with its token, as entries expire.
 
     An entry lives until it is older than ``ttl_ms``; using it does not renew it, and ordinals are not
-    used again. What happens depends on all that came before, so a session is folded in order; its state
-    is at most ``cap`` entries and a counter for each class.
+    used again. The state is at most ``cap`` entries and a counter for each class.
     """
-    ship(attempts.sparkSession)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        live: dict[tuple, tuple[int, str]] = {}
-        ordinals: dict[str, int] = {}
-        out = []
-        for r in rows.sort_values(["at", "seq"], kind="stable").itertuples():
-            for k in [k for k, (made, _) in live.items() if made < r.at - ttl_ms]:
-                del live[k]
-            key = (r.cls, r.value)
-            if key not in live:
-                if len(live) >= cap:
-                    out.append((getattr(r, session), r.cls, r.value, r.at, r.seq, f"PII:{r.cls}#?"))
-                    continue
-                ordinals[r.cls] = ordinals.get(r.cls, 0) + 1
-                live[key] = (r.at, f"PII:{r.cls}#{ordinals[r.cls]}")
-            out.append((getattr(r, session), r.cls, r.value, r.at, r.seq, live[key][1]))
-        return pd.DataFrame(out, columns=[session, "cls", "value", "at", "seq", "token"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in attempts.schema.fields}
-    schema = ", ".join([f"`{session}` {kinds[session]}", "cls string", "value string", "at long", "seq long", "token string"])
-    return attempts.select(session, "cls", "value", F.col("at").cast("long"), F.col("seq").cast("long")).groupBy(session).applyInPandas(fold, schema)
+
+    def step(state: dict, r: dict) -> tuple:
+        live, numbers, key = state.setdefault("live", {}), state.setdefault("n", {}), (r["cls"], r["value"])
+        for k in [k for k, (made, _) in live.items() if made < r["at"] - ttl_ms]:
+            del live[k]
+        if key not in live and len(live) < cap:
+            numbers[r["cls"]] = numbers.get(r["cls"], 0) + 1
+            live[key] = (r["at"], numbers[r["cls"]])
+        return r["cls"], r["value"], r["at"], r["seq"], f"PII:{r['cls']}#{live[key][1] if key in live else '?'}"
+
+    rows = attempts.select(session, "cls", "value", F.col("at").cast("long"), F.col("seq").cast("long"))
+    return in_order(rows, session, ["at", "seq"], "cls string, value string, at long, seq long, token string", step)

@@ -304,11 +304,12 @@ def build_packets(meta: DataFrame, sanitized: dict[str, DataFrame], history: Dat
         F.struct(F.col("origin_class").alias("class"), "tls", "page_kind", F.substring(F.coalesce("lang", F.lit("")), 1, 16).alias("lang")).alias("origin"),
         F.struct(F.lit(False).alias("present"), F.coalesce("regions_redacted", F.lit(0)).alias("regions_redacted")).alias("visual"),
         F.coalesce("legend", F.create_map().cast("map<string,struct<shape:string,recoverable_by_client:boolean>>")).alias("redaction_legend"),
-        F.struct(F.substring(F.coalesce("intent", F.lit("")), 1, MOST_INTENT).alias("intent"), F.coalesce("history", none).alias("history")).alias("task"),
         F.coalesce("texts", F.array().cast("array<struct<src:string,text:string>>")).alias("untrusted_text"),
     )
     body = F.to_json(head)
-    listed = F.concat(F.lit(',"elements":['), F.array_join(F.coalesce("elements", F.array().cast("array<string>")), ","), F.lit("]}"))
+    # a null label of a step is said, too
+    task = F.to_json(F.struct(F.struct(F.substring(F.coalesce("intent", F.lit("")), 1, MOST_INTENT).alias("intent"), F.coalesce("history", none).alias("history")).alias("task")), {"ignoreNullFields": "false"})
+    listed = F.concat(F.lit(","), F.substring(task, F.lit(2), F.length(task) - 2), F.lit(',"elements":['), F.array_join(F.coalesce("elements", F.array().cast("array<string>")), ","), F.lit("]}"))
     return rows.select("page_id", "packet_id", F.concat(F.substring(body, F.lit(1), F.length(body) - 1), listed).alias("raw"))
 
 

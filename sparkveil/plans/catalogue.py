@@ -48,6 +48,7 @@ _EMAILS = r"SELECT doc_id, lang, source, lower(unnest(regexp_extract_all(text, '
 
 
 def _found(spark: SparkSession, sf_dir: str, *classes: str, threshold: float = 0.5) -> DataFrame:
+    """Spans of documents. Of wanted ``classes`` the recognizers of others run, too: a better span of another class hides one."""
     docs = recognizers.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), threshold=threshold)
     spans = docs.select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", "s.*")
     return spans.filter(F.col("cls").isin(*classes)) if classes else spans
@@ -79,10 +80,26 @@ def pii_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("r", rank).filter("r <= 3").drop("r")
 
 
-@query()
+# every occurrence of a found string, by what lies before it
+def _places(raw: str) -> str:
+    return f"SELECT doc_id, raw, cls, value, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(raw))::INT AS s FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT DISTINCT f.doc_id, f.raw, f.cls, f.value, string_split(d.text, f.raw) AS parts FROM ({raw}) f JOIN documents d USING (doc_id)))"
+
+
+_FOUND = rf"""SELECT doc_id, c AS raw, 'CARD_NUMBER' AS cls, regexp_replace(c, '[^0-9]', '', 'g') AS value FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){{12,18}}[0-9])(?:[^0-9]|$)', 1)), '  |--', ' ', 'g') AS c FROM documents)
+    WHERE regexp_matches(regexp_replace(c, '[^0-9]', '', 'g'), '^([2-6]|81)') AND {_LUHN.format(d="regexp_replace(c, '[^0-9]', '', 'g')")}
+    UNION ALL SELECT doc_id, raw, 'EMAIL', lower(raw) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b')) AS raw FROM documents)"""
+_SPANS = _places(_FOUND)
+_NEAR = "lower(substr(d.text, greatest(s - 47, 1), s - greatest(s - 48, 0)) || chr(1) || substr(d.text, s + length(raw) + 1, 48))"
+
+
+@query(
+    f"""SELECT doc_id, cls, s AS start, s + length(raw) AS "end", raw AS text, value AS normalized, CASE WHEN cls = 'EMAIL' AND word IS NULL THEN 0.85::DOUBLE ELSE 0.99 END AS confidence,
+    CASE cls WHEN 'EMAIL' THEN 'pattern:email pattern:email-structure' ELSE 'pattern:card pattern:card-checksum' END || coalesce(' pattern:context=' || regexp_replace(word, '[^a-z0-9/]', '', 'g'), '') AS evidence
+    FROM (SELECT x.*, list_filter(CASE cls WHEN 'EMAIL' THEN ['email', 'e-mail', 'mail id'] ELSE ['card', 'credit', 'debit', 'visa', 'mastercard', 'rupay'] END, lambda c: contains({_NEAR}, c))[1] AS word FROM ({_SPANS}) x JOIN documents d USING (doc_id))"""
+)
 def pii_spans_fortress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans of documents at the strict threshold, with evidence."""
-    return _found(spark, sf_dir, threshold=0.3).select("doc_id", "cls", "start", "end", "text", "confidence", "evidence", "normalized")
+    return _found(spark, sf_dir, threshold=0.3).select("doc_id", "cls", "start", "end", "text", "confidence", F.array_join("evidence", " ").alias("evidence"), "normalized")
 
 
 _TEMPLATES = """SELECT o_orderkey AS k, CASE o_orderkey % 8
@@ -95,19 +112,18 @@ _TEMPLATES = """SELECT o_orderkey AS k, CASE o_orderkey % 8
 @query(
     "WITH t AS (" + _TEMPLATES.replace("{orders}", "orders").replace("STRING", "VARCHAR") + r""")
     SELECT k, t,
-        regexp_matches(t, '^\+91 [6-9][0-9]{4}-[0-9]{5}$') AS mobile, regexp_matches(t, '^[a-z0-9][a-z0-9._-]{1,48}@[a-z][a-z0-9]{1,30}$') AS upi,
+        regexp_matches(regexp_replace(regexp_replace(t, '^\+|[\s-]', '', 'g'), '^(?:91([0-9]{10})|0([0-9]{10}))$', '\1\2'), '^[6-9][0-9]{9}$') AS mobile, regexp_matches(t, '^[a-z0-9][a-z0-9._-]{1,48}@[a-z][a-z0-9]{1,30}$') AS upi,
         CASE WHEN regexp_matches(t, '@(okicici|ybl)$') THEN 'structure' WHEN regexp_matches(t, '^[a-z0-9][a-z0-9._-]{1,48}@[a-z][a-z0-9]{1,30}$') THEN 'format' END AS upi_strength,
         regexp_matches(t, '^[A-Z]{4}0[A-Z0-9]{6}$') AS ifsc, regexp_matches(t, '^[A-Z]{3}[ABCFGHJLPT][A-Z][0-9]{4}[A-Z]$') AS pan,
-        regexp_matches(t, '^[1-8][0-9]{5}$') AS pin_code, regexp_matches(t, '^[0-9]{9,18}$') OR (starts_with(t, '+91')) AND FALSE AS bank_account,
+        regexp_matches(t, '^[1-8][0-9]{5}$') AS pin_code, regexp_matches(regexp_replace(t, '[\s-]', '', 'g'), '^[0-9]{9,18}$') AS bank_account,
         regexp_matches(t, '^(GJ|KA) [0-9]{2} AB [0-9]{4}$') AS vehicle, regexp_matches(t, '^[a-z0-9.]+@[a-z0-9.]+\.[a-z]{2,}$') AS email FROM t"""
 )
 def validators_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validators over synthetic identifiers. A mobile number's digits may be shorter, too: those are left to tests."""
+    """Validators over synthetic identifiers."""
     rows = view(spark, sf_dir, _TEMPLATES, "orders")
     t = F.col("t")
-    mobile = validators.mobile(t)["valid"] & t.startswith("+91")
     return rows.select(
-        "k", "t", mobile.alias("mobile"), validators.upi(t)["valid"].alias("upi"), validators.upi(t)["strength"].alias("upi_strength"), validators.ifsc(t)["valid"].alias("ifsc"), validators.pan(t)["valid"].alias("pan"),
+        "k", "t", validators.mobile(t)["valid"].alias("mobile"), validators.upi(t)["valid"].alias("upi"), validators.upi(t)["strength"].alias("upi_strength"), validators.ifsc(t)["valid"].alias("ifsc"), validators.pan(t)["valid"].alias("pan"),
         validators.pin_code(t)["valid"].alias("pin_code"), validators.bank_account(t)["valid"].alias("bank_account"), validators.vehicle(t)["valid"].alias("vehicle"), validators.email(t)["valid"].alias("email"),
     )
 
@@ -118,11 +134,17 @@ def luhn_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("valid", checksums.luhn_valid(F.col("d")))
 
 
-_P, _D = checksums.verhoeff_tables()[1], checksums.verhoeff_tables()[0]
+# the dihedral group of ten: below 5 are rotations, from 5 on reflections; and the permutation of places with its powers
+_D = [(j + k) % 5 if j < 5 and k < 5 else (j + k) % 5 + 5 if j < 5 else (j - k) % 5 + 5 if k < 5 else (j - k) % 5 for j in range(10) for k in range(10)]
+_POWERS = [list(range(10))]
+for _ in range(7):
+    _POWERS.append([(1, 5, 7, 6, 2, 8, 3, 0, 9, 4)[x] for x in _POWERS[-1]])
+_P = [x for row in _POWERS for x in row]
+_INVERSE = [next(k for k in range(10) if _D[10 * j + k] == 0) for j in range(10)]
 _VERHOEFF = "list_reduce(list_prepend(0, list_transform(range(0, len({d})), lambda i: {p}[((i + {s}) % 8) * 10 + {d}[len({d}) - i]::INT + 1])), lambda c, x: {t}[c * 10 + x + 1])"
 
 
-@query(f"SELECT o_orderkey, d, {_VERHOEFF.format(d='d', p=_P, t=_D, s=0)} = 0 AS valid, ({checksums.verhoeff_tables()[2]})[{_VERHOEFF.format(d='d', p=_P, t=_D, s=1)} + 1]::INT AS digit FROM (SELECT o_orderkey, (o_orderkey * 31 + 2000)::VARCHAR AS d FROM orders)")
+@query(f"SELECT o_orderkey, d, {_VERHOEFF.format(d='d', p=_P, t=_D, s=0)} = 0 AS valid, ({_INVERSE})[{_VERHOEFF.format(d='d', p=_P, t=_D, s=1)} + 1]::INT AS digit FROM (SELECT o_orderkey, (o_orderkey * 31 + 2000)::VARCHAR AS d FROM orders)")
 def verhoeff_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 31 + 2000).cast("string").alias("d"))
     return rows.withColumn("valid", checksums.verhoeff_valid(F.col("d"))).withColumn("digit", checksums.verhoeff_digit(F.col("d")))
@@ -148,7 +170,14 @@ def magnitude_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", scalars.magnitude_bucket(amount).alias("bucket"), scalars.length_bucket(F.length("o_orderpriority")).alias("length_bucket"))
 
 
-@query("SELECT cls, severity, 'PII:' || cls AS legend_key, severity <> 'medium' AS shield FROM (" + " UNION ALL ".join(f"SELECT unnest({list(c)}) AS cls, '{s}' AS severity" for s, c in (("invariant", taxonomy.INVARIANT), ("high", taxonomy.HIGH), ("medium", taxonomy.MEDIUM))) + ")")
+# fixed values: classes by severity
+_SEVERITIES = {
+    "invariant": "PASSWORD OTP API_KEY AADHAAR PAN VOTER_ID PASSPORT_IN DRIVING_LICENCE CARD_NUMBER BANK_ACCOUNT FACE SIGNATURE QR_BARCODE ID_DOCUMENT",
+    "high": "GSTIN VEHICLE_REG IFSC UPI_VPA AMOUNT EMAIL PHONE_IN ADDRESS DOB", "medium": "PIN_CODE PERSON_NAME USERNAME",
+}
+
+
+@query("SELECT cls, severity, 'PII:' || cls AS legend_key, severity <> 'medium' AS shield FROM (" + " UNION ALL ".join(f"SELECT unnest(string_split('{c}', ' ')) AS cls, '{s}' AS severity" for s, c in _SEVERITIES.items()) + ")")
 def mode_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taxonomy.table(spark).withColumn("shield", taxonomy.redacts("shield", F.col("cls")))
 
@@ -199,20 +228,33 @@ def vault_remember(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vault.remembered(rows).drop("created_at")
 
 
+# Each decision depends on those before, so a session is walked in order; the state is a list of what still counts.
+_TTL = f"""WITH RECURSIVE e AS (SELECT user_id AS session, 'v' || (event_id % 5) AS value, epoch_us(ts) // 1000 AS t0, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+    w AS (SELECT session, value, t0, seq, r, 1 AS used, 1 AS ordinal, [{{'v': value, 't0': t0, 'o': 1}}] AS live FROM e WHERE r = 1
+    UNION ALL SELECT session, value, t0, seq, r, used + (h IS NULL)::INT, coalesce(h.o, used + 1), CASE WHEN h IS NULL THEN list_append(kept, {{'v': value, 't0': t0, 'o': used + 1}}) ELSE kept END FROM (
+        SELECT *, list_filter(kept, lambda x: x.v = value)[1] AS h FROM (SELECT e.session, e.value, e.t0, e.seq, e.r, w.used, list_filter(w.live, lambda x: x.t0 >= e.t0 - {vault.TTL_MS}) AS kept FROM w JOIN e ON e.session = w.session AND e.r = w.r + 1)))"""
+
+
 def _ttl_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.lit("EMAIL").alias("cls"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("value"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.col("event_id").alias("seq"), "ts")
 
 
-@query()
+@query(f'''{_TTL} SELECT session, 'EMAIL' AS cls, value, t0 AS "at", seq, 'PII:EMAIL#' || ordinal AS token FROM w''')
 def vault_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of values as entries expire: depends on order, so no SQL; tested against a plain fold."""
+    """Tokens of values as entries expire."""
     return vault.mint_with_ttl(_ttl_attempts(spark, sf_dir).drop("ts"))
 
 
 # ---------------------------------------------------------------- policy
 
 
-@query()
+@query(
+    f"""WITH x AS (SELECT d.lang, p.* FROM ({_SPANS}) p JOIN documents d USING (doc_id)), f AS (SELECT lang, cls, value, min((doc_id, s)) AS at1 FROM x GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY at1, cls, value) > {vault.CAP} AS over, row_number() OVER (PARTITION BY lang, cls ORDER BY at1, value) AS o FROM f),
+    t AS (SELECT x.doc_id, s, raw, 'PII:' || cls || '#' || CASE WHEN over THEN '?' ELSE o::VARCHAR END AS token, lag(s + length(raw), 1, 0) OVER (PARTITION BY x.doc_id ORDER BY s) AS before FROM x JOIN o USING (lang, cls, value)),
+    c AS (SELECT t.doc_id, string_agg(substr(d.text, before + 1, s - before) || token, '' ORDER BY s) AS head, max(s + length(raw)) AS last, count(*) AS n FROM t JOIN documents d USING (doc_id) GROUP BY t.doc_id)
+    SELECT d.doc_id, d.lang, CASE WHEN c.n IS NULL THEN d.text ELSE c.head || substr(d.text, c.last + 1) END AS clean, coalesce(c.n, 0)::INT AS n_redacted FROM documents d LEFT JOIN c USING (doc_id)"""
+)
 def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by tokens; each language is a session."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -223,31 +265,56 @@ def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that a language's documents need, by class."""
     found = _found(spark, sf_dir).filter(taxonomy.redacts("shield", F.col("cls")))
-    tokens = vault.mint(found.select("lang", "cls", F.coalesce("normalized", "text").alias("value"), F.struct("doc_id", "start").alias("seq")), "lang", cap=10**9)
-    return tokens.groupBy("lang", "cls").agg(F.max("ordinal").alias("n"))
+    return found.select("lang", "cls", F.coalesce("normalized", "text").alias("value")).distinct().groupBy("lang", "cls").agg(F.count("*").alias("n"))
+
+
+#: A page with a form for each customer, beside the pages there are.
+_FORMS = """SELECT 1000000 + c_custkey AS page_id, concat('<main><form><label for="a">Email</label><input id="a" type="email" value="c', CAST(c_custkey AS {s}), '@mail.example.com"><label for="b">Full name</label><input id="b" value="', c_name, '"><label for="c">Notes</label><input id="c" value="hello">',
+    '<label for="d">Amount</label><input id="d"><button>Pay now</button><p>Write to c', CAST(c_custkey AS {s}), '@mail.example.com today</p></form></main>') AS html FROM {t}"""
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perception.regions(table(spark, sf_dir, "pages")).drop("truncated")
+    forms = view(spark, sf_dir, _FORMS.format(s="STRING", t="{customer}"), "customer")
+    return perception.regions(table(spark, sf_dir, "pages").select("page_id", "html").unionByName(forms)).drop("truncated")
+
+
+# the pages by their plan: links of a menu, an advert, a headline, paragraphs; blanks are one space, a card's digits may have one between
+def _said(x: str) -> str:
+    for entity, mark in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{mark}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
 
+_PAGE_ROWS = f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS links, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad, regexp_extract(html, '<h1>(.*?)</h1>', 1, 's') AS head, string_split(regexp_extract(html, '</h1>(.*)</article>', 1, 's'), '<p>') AS parts FROM pages),
+    u AS (SELECT page_id, 1 AS part, unnest(range(1, len(links) + 1)) AS i, unnest(links) AS t, 'listitem' AS role FROM a UNION ALL SELECT page_id, 1, unnest(range(1, len(links) + 1)) + 0.5, unnest(links), 'link' FROM a UNION ALL SELECT page_id, 2, 0, ad, 'text' FROM a
+        UNION ALL SELECT page_id, 3, 0, head, 'heading' FROM a UNION ALL SELECT page_id, 4, unnest(range(1, len(parts) + 1)), unnest(parts), 'text' FROM a),
+    n AS (SELECT page_id, part, i, role, {_said("regexp_replace(t, '<[^>]*>', ' ', 'g')")} AS t FROM u),
+    r AS (SELECT page_id::VARCHAR AS page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, i)::INT AS pos, role, CASE WHEN role IN ('link', 'heading') THEN substr(t, 1, 300) END AS label, CASE WHEN role <> 'link' THEN t END AS raw_text FROM n WHERE t <> '')"""
+_MAIL = r"[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
+_FORM_ROWS = """SELECT (1000000 + c_custkey)::VARCHAR AS page_id, pos::INT AS pos, (['textbox', 'textbox', 'textbox', 'textbox', 'button', 'text'])[pos] AS role, (['Email', 'Full name', 'Notes', 'Amount', 'Pay now'])[pos] AS label, c_name, 'c' || c_custkey || '@mail.example.com' AS mail FROM customer, (SELECT unnest(range(1, 7)) AS pos)"""
 
-@query()
+
+@query(
+    f"""{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS id, role, regexp_replace(label, '{_MAIL.format()}', 'PII:EMAIL#1', 'g') AS label, 'none' AS branch, NULL AS kind, NULL AS text, NULL AS token, NULL::INT AS length, NULL::BOOLEAN AS masked, NULL AS risk FROM r
+    UNION ALL SELECT page_id, pos, 'e' || pos, role, label, (['structural', 'structural', 'withheld', 'empty', 'none', 'none'])[pos], (['placeholder', 'placeholder', 'redacted', 'empty'])[pos], NULL, (['PII:EMAIL#1', 'PII:PERSON_NAME#1'])[pos], ([length(mail), length(c_name)])[pos]::INT, CASE WHEN pos < 3 THEN FALSE END, CASE WHEN pos = 5 THEN 'state_changing' END FROM ({_FORM_ROWS})"""
+)
 def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of pages as they may leave in fortress mode."""
-    return policy.sanitize(_regions(spark, sf_dir), "fortress")["elements"]
+    out = policy.sanitize(_regions(spark, sf_dir), "fortress")["elements"]
+    return out.select("page_id", "pos", "id", "role", "label", "branch", "value.kind", "value.text", "value.token", "value.length", "value.masked", "risk")
 
 
-@query()
+@query(f"{_PAGE_ROWS} SELECT DISTINCT page_id, 'PII:EMAIL' AS legend_key, FALSE AS recoverable FROM r WHERE regexp_matches(raw_text, '{_MAIL.format()}') UNION ALL SELECT (1000000 + c_custkey)::VARCHAR, 'PII:EMAIL', TRUE FROM customer")
 def page_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sanitize(_regions(spark, sf_dir), "shield")["legend"]
 
 
-@query()
+@query(f"{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS src, substr(regexp_replace(raw_text, '{_MAIL.format()}', 'PII:EMAIL#1', 'g'), 1, 4000) AS text FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT page_id, pos, 'e6', 'Write to PII:EMAIL#1 today' FROM ({_FORM_ROWS}) WHERE pos = 6")
 def untrusted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sanitize(_regions(spark, sf_dir), "shield")["untrusted_text"]
 
 
-@query()
+@query(f"SELECT page_id, sum(hit)::BIGINT AS regions_redacted, 0::BIGINT AS unexplained_masked, 0::BIGINT AS vault_overflows FROM (SELECT page_id::VARCHAR AS page_id, 0 AS hit FROM pages UNION ALL SELECT page_id, (pos <= 2)::INT FROM ({_FORM_ROWS})) GROUP BY page_id")
 def sanitize_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sanitize(_regions(spark, sf_dir), "fortress")["summary"]
 
@@ -256,16 +323,25 @@ def _captures(spark: SparkSession, mode: str) -> DataFrame:
     found = captures.predictions(policy.sanitize(captures.regions(spark), mode))
     truth = captures.truth(spark)
     matched = scoring.match(truth.filter("must_redact"), found)
-    return scoring.score_all(truth, found, matched)
+    return _rounded(scoring.score_all(truth, found, matched))
+
 
+def _rounded(scores: DataFrame) -> DataFrame:
+    return scores.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1", "leak_rate")})
 
-@query()
+
+# fixed values: the published counts of hits, misses, false hits, false alarms and leaks (of 52 grave positives)
+_PUBLISHED = """SELECT tp, fn, false_alarms, fp, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(lost / 52, 9) AS leak_rate
+    FROM (SELECT {}::BIGINT AS tp, {}::BIGINT AS fn, {}::BIGINT AS fp, {}::BIGINT AS false_alarms, {} AS lost)"""
+
+
+@query(_PUBLISHED.format(49, 6, 0, 0, 3))
 def captures_shield(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the sanitizer over the labelled captures; tests hold them against the published counts."""
     return _captures(spark, "shield")
 
 
-@query()
+@query(_PUBLISHED.format(52, 3, 1, 1, 2))
 def captures_fortress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _captures(spark, "fortress")
 
@@ -386,12 +462,22 @@ def leak_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("severity", "leaks", F.round(F.col("leaks") / F.col("n"), 9).alias("leak_rate"))
 
 
-@query()
+# a capture has at most seven boxes, so alarms take at most seven rounds of "first pair left", too
+_ALARMS = f"""{_GREEDY}, f AS (SELECT p.* FROM p LEFT JOIN matched m ON p.capture_id = m.capture_id AND p.p = m.p WHERE m.p IS NULL),
+    a0 AS (SELECT t.capture_id, t.g, f.p FROM f JOIN t ON f.capture_id = t.capture_id AND NOT t.must_redact AND {_IOU.format(a='t', b='f')} >= 0.5),
+    """ + ", ".join(f"b{k} AS (SELECT * FROM a{k} QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY p, g) = 1), a{k + 1} AS (SELECT a.* FROM a{k} a JOIN b{k} b USING (capture_id) WHERE a.g <> b.g AND a.p <> b.p)" for k in range(_ROUNDS)) + ", alarms AS (" + " UNION ALL ".join(f"SELECT * FROM b{k}" for k in range(_ROUNDS)) + ")"
+
+
+@query(
+    f"""{_ALARMS}, n AS (SELECT (SELECT count(*) FROM matched) AS tp, (SELECT count(*) FROM t WHERE must_redact) - (SELECT count(*) FROM matched) AS fn, (SELECT count(*) FROM alarms) AS false_alarms, (SELECT count(*) FROM p) - (SELECT count(*) FROM matched) AS fp,
+    (SELECT count(*) FROM t WHERE must_redact AND severity IN ('invariant', 'high')) AS grave, (SELECT count(*) FROM t JOIN matched m ON t.capture_id = m.capture_id AND t.g = m.g WHERE severity IN ('invariant', 'high')) AS hit)
+    SELECT tp, fn, false_alarms, fp, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(1 - hit / grave, 9) AS leak_rate FROM n"""
+)
 def detection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_all(*_labelled(spark, sf_dir))
+    return _rounded(scoring.score_all(*_labelled(spark, sf_dir)))
 
 
-@query()
+@query(f"{_ALARMS} SELECT capture_id, g FROM alarms")
 def false_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, predicted, matched = _labelled(spark, sf_dir)
     return scoring.false_alarms(truth, predicted, matched)
@@ -455,13 +541,31 @@ def packet_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packets(spark, sf_dir).select("packet_id", F.size(gate.packet_issues()).alias("n_issues"))
 
 
-@query()
+_GATED = f"""WITH e AS (SELECT l_orderkey AS k, l_linenumber AS pos, l_partkey % 5 = 2 AS held, '{{"id":"e' || l_linenumber || '","role":"' || (['textbox', 'combobox', 'button', 'link', 'password', 'text'])[l_partkey % 6 + 1] || '"'
+        || CASE l_suppkey % 4 WHEN 0 THEN ',"label":"Submit"' WHEN 1 THEN ',"label":"Email"' ELSE '' END || ',"state":{{"disabled":' || (l_suppkey % 7 = 0)::VARCHAR || ',"required":' || (l_suppkey % 3 = 0)::VARCHAR || ',"invalid":' || (l_suppkey % 13 = 0)::VARCHAR
+        || '}},"value":{{"kind":"' || CASE l_partkey % 5 WHEN 1 THEN 'filled","text":"hello"' WHEN 2 THEN 'placeholder","token":"PII:EMAIL#' || l_linenumber || '"' ELSE 'empty"' END || '}},"evidence":["structural:role"],"confidence":0.97,"source":"dom"' || CASE WHEN l_suppkey % 17 = 0 THEN ',"risk":"state_changing"' ELSE '' END || '}}' AS j FROM {_duck(synthetic.LINES)}),
+    p AS (SELECT k, string_agg(j, ',' ORDER BY pos) AS elements, count(*) FILTER (WHERE held) AS n_held FROM e GROUP BY k),
+    j AS (SELECT *, 'packet-' || lpad(k::VARCHAR, 12, '0') AS packet_id, (['wireframe', 'shield', 'fortress'])[k % 3 + 1] AS mode, (k % 4 = 0 AND (k % 3 = 0 OR k % 5 = 0)) OR (k % 9 = 0 AND n_held > 0) AS bad FROM p),
+    g AS (SELECT *, '{{"packet_id":"' || packet_id || '","captured_at_ms":' || (k + 1) || ',"mode":"' || mode || '","page_kind":"other","visual":{{"present":' || (k % 4 = 0)::VARCHAR
+        || CASE WHEN k % 4 = 0 THEN ',"format":"image/png"' || CASE WHEN k % 5 <> 0 THEN ',"sha256":"' || sha256('x') || '"' ELSE '' END || ',"data_b64":"x"' ELSE '' END || '}},"elements":[' || elements || '],"legend":' || CASE WHEN k % 9 = 0 THEN '{{}}' ELSE '{{"PII:EMAIL":{{"shape":"address","recoverable":true}}}}' END
+        || ',"intent":"' || CASE WHEN k % 11 = 0 THEN 'mail a.b@mail1.example.com' ELSE 'fill the form' END || '","untrusted_text":[]}}' AS payload, NOT bad AND k % 11 = 0 AS trips FROM j)"""
+
+
+@query(
+    f"""{_GATED} SELECT k % 50 AS session, packet_id, k * 100 AS sent_at_ms, mode, CASE WHEN bad OR trips THEN 'blocked' ELSE 'sent' END AS outcome, CASE WHEN bad THEN 'schema' WHEN trips THEN 'tripwire' ELSE '' END AS reasons,
+    strlen(payload)::INT AS bytes, sha256(payload) AS payload_sha256, k % 4 = 0 AS image, CASE WHEN n_held > 0 THEN 'PII:EMAIL=' || n_held ELSE '' END AS legend_counts FROM g"""
+)
 def gate_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of packets, sent and blocked. No session here reaches the rate limit; see ``rate_limit`` for that."""
     decided = gate.outcomes(gate.gate(_packets(spark, sf_dir)))
-    return gate.receipts(decided).withColumn("legend_counts", F.map_entries("legend_counts"))
+    counts = F.array_join(F.transform(F.map_entries("legend_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return gate.receipts(decided).withColumn("legend_counts", counts).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query()
+@query(
+    f"""{_GATED}, s AS (SELECT unnest(range(0, 6))::INT AS step) SELECT k % 50 AS session, packet_id, step, (['schema', 'tripwire', 'vault', 'visual', 'size', 'rate_limit'])[step + 1] AS stage,
+    NOT (step = 0 AND bad) AND NOT (step = 1 AND trips) AS ok FROM g, s WHERE step = 0 OR (NOT bad AND step < 5) OR (NOT bad AND NOT trips)"""
+)
 def gate_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.audit(gate.outcomes(gate.gate(_packets(spark, sf_dir))))
 
@@ -475,9 +579,14 @@ def _sends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.unix_millis(F.col("ts").cast("timestamp")).alias("sent_at_ms"), F.col("event_id").alias("seq"))
 
 
-@query()
+_LIMITED = """WITH RECURSIVE e AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS t0, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS r FROM events),
+    w AS (SELECT session, t0, seq, r, TRUE AS allowed, [t0] AS live FROM e WHERE r = 1
+    UNION ALL SELECT session, t0, seq, r, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, t0) ELSE kept END FROM (SELECT e.*, list_filter(w.live, lambda t: t > e.t0 - 3600000) AS kept FROM w JOIN e ON e.session = w.session AND e.r = w.r + 1))"""
+
+
+@query(f"{_LIMITED} SELECT session, t0 AS sent_at_ms, seq, allowed FROM w")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sends of each user, at most three an hour here. Depends on order, so no SQL; tested against a plain fold."""
+    """Sends of each user, at most three an hour here."""
     return gate.rate_limit(_sends(spark, sf_dir), most=3, window_ms=3_600_000)
 
 
@@ -510,14 +619,20 @@ def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.redaction_audit(_packets(spark, sf_dir)).drop("pos")
 
 
-@query()
+@query(
+    f"""WITH p AS (SELECT DISTINCT k FROM ({_ELEMENTS})), s AS (SELECT k, i AS step, (['e1', 'e2', 'e99', 'e1'])[i + 1] AS target, i <> 2 AS typing, i = 1 AS holds FROM p, (SELECT unnest(range(0, 4))::INT AS i)),
+    j AS (SELECT s.*, e.id IS NOT NULL AS here, e.* EXCLUDE (k), o.kind = 'placeholder' AS owned FROM s LEFT JOIN ({_ELEMENTS}) e ON e.k = s.k AND e.id = s.target LEFT JOIN ({_ELEMENTS}) o ON o.k = s.k AND o.pos = 2)
+    SELECT 'packet-' || lpad(k::VARCHAR, 12, '0') AS plan_id, step, problem FROM (SELECT k, step, unnest(CASE WHEN NOT here THEN ['no_such_element'] ELSE list_filter([CASE WHEN risky THEN 'risk_not_confirmed' END, CASE WHEN typing AND r NOT IN (0, 1, 4) THEN 'not_typable' END,
+        CASE WHEN disabled THEN 'target_closed' END, CASE WHEN typing AND NOT invalid AND kind <> 'empty' THEN 'already_filled' END, CASE WHEN typing AND invalid AND holds THEN 'needs_user' END, CASE WHEN step = 3 THEN 'asked_twice' END,
+        CASE WHEN holds AND NOT coalesce(owned, FALSE) THEN 'token_unknown' END], lambda x: x IS NOT NULL) END) AS problem FROM j)"""
+)
 def plan_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of plans that type into the first two elements of each packet and into one that is not there."""
     packets = _packets(spark, sf_dir)
     step = lambda a, t, v, tok: F.struct(F.lit(a).alias("action"), F.lit(t).alias("target"), F.lit(v).alias("value_kind"), F.lit(tok).cast("string").alias("token"), F.lit(False).alias("requires_confirmation"))
     steps = F.array(step("type", "e1", "user_prompt", None), step("type", "e2", "placeholder", "PII:EMAIL#2"), step("click", "e99", None, None), step("type", "e1", "user_prompt", None))
     plans = packets.select(F.col("packet_id").alias("plan_id"), "packet_id", F.col("packet_id").alias("answers"), steps.cast(f"array<{planner.STEP}>").alias("steps"))
-    return planner.guard(plans, packets)
+    return planner.guard(plans, packets).select("plan_id", "step", "problem")
 
 
 _ROUTES = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'form' WHEN 1 THEN 'article' ELSE 'form_multi_step' END AS page_kind, CASE o_custkey % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'model' ELSE 'heuristic' END AS mode,
@@ -533,11 +648,14 @@ def planner_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", planner.wants_model(*[F.col(c) for c in ("page_kind", "mode", "action", "needs_more", "n_elements")]).alias("asks"))
 
 
-@query("SELECT s_suppkey AS id, lpad((s_suppkey * 7919)::VARCHAR, 12, '4') AS recovered, 1.0::DOUBLE AS accuracy FROM supplier")
+@query("SELECT s_suppkey AS id, sigma, sigma > 0 AS reads, sigma = 0 AS constant FROM supplier, (SELECT unnest([14.0::DOUBLE, 0.0]) AS sigma)")
 def blur_attack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blurred digits are read back in full."""
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lpad((F.col("s_suppkey") * 7919).cast("string"), 12, "4").alias("digits"), F.lit(6.0).alias("sigma"))
-    return blur.attack(rows)
+    """Sixteen digits under a strong blur are read back in full; a flat fill gives one and the same digit everywhere."""
+    digits = F.concat(F.lpad((F.col("s_suppkey") * 7919 + 1_234_567).cast("string"), 8, "3"), F.lpad((F.col("s_suppkey") * 104_729 + 7).cast("string"), 8, "5"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), digits.alias("digits"), F.explode(F.array(F.lit(14.0), F.lit(0.0))).alias("sigma"))
+    rows = rows.withColumn("id", F.col("key") * 2 + (F.col("sigma") == 0).cast("int"))
+    got = blur.attack(rows).join(rows.select("id", "key", "sigma"), "id")
+    return got.select(F.col("key").alias("id"), "sigma", (F.col("accuracy") == 1.0).alias("reads"), F.col("recovered").rlike(r"^(.)\1*$").alias("constant"))
 
 
 # ---------------------------------------------------------------- pages, prompts, media
@@ -556,14 +674,21 @@ def origin_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perception.origins(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(f"{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS id, role, label, pos * 24.0::DOUBLE AS y, raw_text, FALSE AS truncated FROM r")
 def page_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perception.regions(table(spark, sf_dir, "pages"))
+    return perception.regions(table(spark, sf_dir, "pages")).select("page_id", "pos", "id", "role", "label", "box.y", "raw_text", "truncated")
+
 
+_TAGS = "len(regexp_extract_all(html, '<({})[ >/]'))"
 
-@query()
+
+@query(
+    f"""SELECT page_id, CASE WHEN inputs >= 8 THEN 'form_multi_step' WHEN forms > 0 OR inputs > 0 THEN 'form' WHEN prose > 5 THEN 'article' ELSE 'other' END AS page_kind
+    FROM (SELECT page_id, {_TAGS.format('input|select|textarea')} AS inputs, {_TAGS.format('form')} AS forms, {_TAGS.format('article')} + CASE WHEN contains(html, '<main') THEN {_TAGS.format('p')} ELSE 0 END AS prose FROM (SELECT page_id, html FROM pages UNION ALL {_FORMS.format(s='VARCHAR', t='customer')}))"""
+)
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perception.page_kinds(table(spark, sf_dir, "pages"))
+    forms = view(spark, sf_dir, _FORMS.format(s="STRING", t="{customer}"), "customer")
+    return perception.page_kinds(table(spark, sf_dir, "pages").select("page_id", "html").unionByName(forms))
 
 
 @query(r"SELECT page_id, pos, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) || '#' || (row_number() OVER (PARTITION BY page_id, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) ORDER BY pos) - 1) AS memory_key FROM (SELECT p_size AS page_id, p_partkey AS pos, p_type || ':' AS label FROM part)")
@@ -572,14 +697,18 @@ def prompt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.memory_keys(fields)
 
 
-@query()
+@query(
+    """WITH c AS (SELECT c_custkey AS task_id, c_name, 'c' || c_custkey || '@mail.example.com' AS mail, (380000 + c_nationkey)::VARCHAR AS pin FROM customer), p AS (SELECT *, 'Please fill the form. My name is ' || c_name || ', email: ' || mail || ' and pin code ' || pin AS prompt FROM c)
+    SELECT task_id, unnest(['f1', 'f2', 'f3']) AS field_id, unnest([c_name, mail, pin]) AS value, unnest(['PERSON_NAME', 'EMAIL', 'PIN_CODE']) AS cls, unnest([strpos(prompt, c_name), strpos(prompt, mail), length(prompt) - 5])::INT - 1 AS start,
+    'Please fill the form. My name is [provided locally], email: [provided locally] and pin code [provided locally]' AS intent FROM p"""
+)
 def prompt_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers in the prompts of users, here made of customers, for a form of three fields."""
     rows = table(spark, sf_dir, "customer")
     prompt = F.concat(F.lit("Please fill the form. My name is "), F.col("c_name"), F.lit(", email: c"), F.col("c_custkey"), F.lit("@mail.example.com and pin code "), (F.lit(380000) + F.col("c_nationkey")))
     field = lambda i, label: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("structural_class"))
     tasks = rows.select(F.col("c_custkey").alias("task_id"), prompt.alias("prompt"), F.array(field("f1", "Full name"), field("f2", "Email address"), field("f3", "PIN code")).alias("fields"))
-    return prompts.answers(tasks)
+    return prompts.answers(tasks).select("task_id", F.explode("answers").alias("a"), "intent").select("task_id", "a.field_id", "a.value", "a.cls", "a.start", "intent")
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -590,9 +719,13 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("p", pixel).select("stream", "frame", F.lit(64).alias("width"), F.lit(36).alias("height"), F.expr("unhex(repeat(hex(p), 2304))").alias("data"))
 
 
-@query()
+# a frame of one colour c: a tile of 4 x 4 has one sampled pixel, whose three channels are hashed
+_FNV = "list_reduce([2166136261::UBIGINT, c, c, c], lambda h, x: (xor(h, x) * 16777619) % 4294967296)"
+
+
+@query(f"SELECT stream, frame, i AS tile, {_FNV}::BIGINT AS hash FROM (SELECT s_nationkey::BIGINT AS stream, s_suppkey AS frame, (s_suppkey % 3 * 40)::UBIGINT AS c, unnest(range(0, 144))::INT AS i FROM supplier)")
 def tile_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.hash_frames(_frames(spark, sf_dir))
+    return media.hash_frames(_frames(spark, sf_dir)).select("stream", "frame", F.posexplode("hashes").alias("tile", "hash"))
 
 
 @query("SELECT s_nationkey::BIGINT AS stream, s_suppkey AS frame, CASE WHEN lag(s_suppkey % 3) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) = s_suppkey % 3 THEN 0 ELSE 144 END::INT AS n_changed FROM supplier")
@@ -601,14 +734,19 @@ def frame_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stream", "frame", F.size("changed").alias("n_changed"))
 
 
-@query("SELECT s_suppkey AS id, 64 AS width, 36 AS height, 0::BIGINT AS n_failures FROM supplier")
+@query("SELECT s_suppkey AS id, 64 AS width, 36 AS height, 0::BIGINT AS n_failures, (s_suppkey % 40 + 14 - greatest(s_suppkey % 40 - 2, 0)) * 14::BIGINT AS n_filled FROM supplier")
 def compose_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rect = geometry.box(F.col("frame") % 40, F.lit(5), F.lit(12), F.lit(10))
     images = _frames(spark, sf_dir).select(F.col("frame").alias("id"), "width", "height", "data", F.array(rect).alias("rects"))
-    return media.mask_images(images).select("id", "width", "height", F.col("n_failures").cast("long").alias("n_failures"))
+    return media.mask_images(images).select("id", "width", "height", F.col("n_failures").cast("long").alias("n_failures"), "n_filled")
+
 
+_NMS = f"""WITH RECURSIVE b AS (SELECT vec_id % 40 AS frame, vec_id AS ord, abs(embedding[5])::DOUBLE AS score, (abs(embedding[1]) * 20)::DOUBLE AS x, (abs(embedding[2]) * 20)::DOUBLE AS y, 20.0::DOUBLE AS w, 20.0::DOUBLE AS h FROM embeddings WHERE abs(embedding[5])::DOUBLE >= 0.02),
+    e AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, ord) AS r FROM b), v AS (SELECT frame, r, ord, score, TRUE AS stays, [{{'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM e WHERE r = 1
+    UNION ALL SELECT frame, r, ord, score, stays, CASE WHEN stays THEN list_append(kept, {{'x': x, 'y': y, 'w': w, 'h': h}}) ELSE kept END FROM (SELECT e.*, v.kept, len(list_filter(v.kept, lambda k: {_IOU.format(a='k', b='e')} > 0.5)) = 0 AS stays FROM v JOIN e ON e.frame = v.frame AND e.r = v.r + 1))"""
 
-@query()
+
+@query(f"{_NMS} SELECT frame, ord, score FROM v WHERE stays")
 def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes from embeddings, many on one frame, without those that a better one covers."""
     e = F.col("embedding")
@@ -617,7 +755,7 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.suppress(rows, least=0.02).select("frame", "ord", "score")
 
 
-@query("SELECT doc_id::VARCHAR AS name, doc_id % 2 = 0 AS ok FROM documents")
+@query("SELECT doc_id::VARCHAR AS name, coalesce(sha256(text) = CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE sha256('other') END, FALSE) AS ok FROM documents")
 def asset_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select(F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("content"))
@@ -633,14 +771,14 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-@query()
+@query(f"{_LIMITED} SELECT session AS user_id, seq AS event_id, allowed FROM w")
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkveil.streaming import stateful
 
     return stateful.run_once(stateful.rate_limit(_stream(spark, sf_dir), 3, 3_600_000), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
 
 
-@query()
+@query(f"{_TTL} SELECT session, seq, 'PII:EMAIL#' || ordinal AS token FROM w")
 def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkveil.streaming import stateful
 
@@ -652,3 +790,36 @@ def stream_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return rows.select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+@query("SELECT user_id, event_id, event_type, coalesce(sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 0)::BIGINT AS session_no FROM (SELECT *, (event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS c FROM events)")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions as a stream: each change of origin wipes what was kept."""
+    from sparkveil.streaming import stateful
+
+    return stateful.run_once(stateful.sessions(_stream(spark, sf_dir)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query(
+    """SELECT user_id, event_id, steps, stalled, corrected, CASE WHEN steps > 30 THEN 'too_many_steps' WHEN stalled > 3 THEN 'stalled' WHEN corrected > 3 THEN 'too_many_corrections' ELSE 'go_on' END AS verdict FROM (
+    SELECT user_id, event_id, count(*) OVER w AS steps, sum((event_id % 7 = 0)::INT) OVER w::BIGINT AS stalled, sum((event_id % 5 = 0)::INT) OVER w::BIGINT AS corrected FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))"""
+)
+def stream_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of tasks that go on step by step, and when they have to stop."""
+    from sparkveil.streaming import stateful
+
+    rows = _stream(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_id") % 7 == 0).alias("stalled"), (F.col("event_id") % 5 == 0).alias("corrected"))
+    return stateful.run_once(stateful.loops(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query(
+    """SELECT user_id, event_id, CASE WHEN cancel THEN 'cancelled' WHEN gone THEN 'dropped' WHEN n > 1 THEN 'repeated' ELSE 'sent' END AS outcome FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, upload, cancel ORDER BY ts, event_id) AS n, coalesce(bool_or(cancel) OVER (PARTITION BY user_id, upload ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS gone
+    FROM (SELECT *, event_id % 11 AS upload, event_id % 4 = 0 AS cancel FROM events))"""
+)
+def stream_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads as a stream: one that was cancelled, or sent before, is not sent."""
+    from sparkveil.streaming import stateful
+
+    rows = _stream(spark, sf_dir).select("user_id", "event_id", "ts", (F.col("event_id") % 11).alias("upload"), (F.col("event_id") % 4 == 0).alias("cancel"))
+    return stateful.run_once(stateful.uploads(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")

@@ -151,7 +151,7 @@ def test_stream_snapshots_and_frames(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "a"))
     got = stateful.run_once(stateful.fresh_snapshots(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "a"))), str(tmp_path / "ra")).collect()
     assert sorted((x.version, x.stale) for x in got) == [(1, False), (2, True), (3, False), (3, False)]
-    frames = spark.createDataFrame([(1, 1, [1, 2]), (1, 2, [1, 3])], "stream long, frame long, hashes array<bigint>")
+    frames = spark.createDataFrame([(1, 1, [1, 2], 5), (1, 2, [1, 3], 9)], "stream long, frame long, hashes array<bigint>, t long").withColumn("ts", F.timestamp_millis("t"))
     frames.write.parquet(str(tmp_path / "b"))
     got = stateful.run_once(stateful.frame_diffs(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "b"))), str(tmp_path / "rb")).collect()
     assert sorted((x.frame, x.n_changed) for x in got) == [(1, 2), (2, 1)]
@@ -259,8 +259,7 @@ def test_planner_and_guard(spark):
     plans = spark.createDataFrame([("q", "packet-000d", "other", steps)], f"plan_id string, packet_id string, answers string, steps array<{planner.STEP}>")
     found = sorted((r.step, r.problem) for r in planner.guard(plans, packets(spark, target)).collect())
     assert found == [
-        (-1, "plan answers a different packet"), (0, "element e1 already contains a value"), (1, "element e9 does not exist in the packet"), (2, "element e3 is state_changing but the step does not require confirmation"),
-        (3, 'cannot type into role "image"'), (3, "placeholder PII:FACE#1 is not recoverable"), (4, "placeholder PII:PAN#1 belongs to element e1"), (4, "placeholder values may only be used with the type action"),
+        (-1, "other_packet"), (0, "already_filled"), (1, "no_such_element"), (2, "risk_not_confirmed"), (3, "not_typable"), (3, "token_gone"), (4, "token_not_typed"), (4, "token_of_other"),
     ]
 
 
@@ -311,3 +310,127 @@ def test_media_tables(spark):
     boxes = spark.createDataFrame([(1, 1, 0.9, box(0)), (1, 2, 0.8, box(1)), (1, 3, 0.75, box(50)), (1, 4, 0.1, box(90))], "frame long, ord long, score double, box struct<x:double,y:double,w:double,h:double>")
     assert sorted(r.ord for r in media.suppress(boxes).collect()) == [1, 3]
     assert sorted(r.ord for r in media.distinct_codes(boxes).collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize("text", ["\x01\x01\x01 aadhaar 9999 4105 7058 ok", "pan\x01 ABCPE1234F\x01 mail\x01a@mail.example.com\x01", "\x02\x00card 4111 1111 1111 1111\x01"])
+def test_control_characters_keep_places(spark, text):
+    from sparkveil.operators.recognizers import detect
+
+    rows = spark.createDataFrame([(1, "s", text)], "pos int, session string, text string")
+    spans = detect(rows, threshold=0.3).head().spans
+    assert spans and all(text[s.start : s.end].replace("\x01", "\x02") == s.text for s in spans)
+    clean = policy.sanitize_texts(rows, "fortress").head().clean
+    for s in spans:
+        assert s.text not in clean and not any(c.isdigit() for c in clean.replace("#1", ""))
+
+
+def test_streams_forget_idle_keys(spark, tmp_path):
+    """A key whose time is over leaves the state store, and begins anew if it comes back."""
+    schema = "user_id long, event_id long, event_type string, t long"
+    day = 24 * 60 * 60 * 1000
+    batches = [[(1, 1, "a", day), (1, 2, "b", day + 1000)], [(2, 3, "a", 3 * day)], [(2, 4, "a", 3 * day + 1)], [(1, 5, "c", 3 * day + 2)]]
+    source = tmp_path / "in"
+    seen = {}
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, schema).select("user_id", "event_id", "event_type", F.timestamp_millis("t").alias("ts")).coalesce(1)
+        frame.write.mode("append").parquet(str(source))
+        got = stateful.run_once(stateful.sessions(spark.readStream.schema(frame.schema).parquet(str(source))), str(tmp_path / "run"))
+        seen = {r.event_id: r.session_no for r in got.collect()}
+    assert seen == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
+def test_strict_rules_of_packets_and_plans():
+    from sparkveil.operators import wire
+
+    good = {
+        "schema": "scp/1.0", "packet_id": "packet-0001", "captured_at_ms": 5, "policy": {"mode": "shield", "policy_version": "1", "invariant_floor": True}, "device": {"backend": "none", "tier": "T0", "viewport": {"w": 8, "h": 6, "dpr": 1.5}},
+        "origin": {"class": "other", "tls": True, "page_kind": "form", "lang": "en"}, "visual": {"present": False, "regions_redacted": 0}, "redaction_legend": {"PII:PAN": {"shape": "x", "recoverable_by_client": True}},
+        "elements": [{"id": "e1", "role": "textbox", "label": None, "box": [0, 0, 1, 1], "value": {"kind": "placeholder", "token": "PII:PAN#1", "length": 10}, "evidence": ["structural:role"], "confidence": 1, "source": "dom"}],
+        "task": {"intent": "go", "history": [{"step": 1, "action": "click", "element_label": None, "result": "ok"}]}, "untrusted_text": [{"src": "e1", "text": "t"}],
+    }
+    assert wire.packet_faults(good) == []
+
+    def changed(path, value):
+        import copy
+
+        out = at = copy.deepcopy(good)
+        for k in path[:-1]:
+            at = at[k]
+        at[path[-1]] = value
+        return [code for _, code in wire.packet_faults(out)]
+
+    cases = [
+        (("schema",), "scp/2", "unknown_value"), (("packet_id",), "short", "length"), (("captured_at_ms",), 0, "range"), (("captured_at_ms",), 1.5, "not_number"), (("captured_at_ms",), True, "not_number"), (("policy", "mode"), "open", "unknown_value"),
+        (("policy", "invariant_floor"), False, "not_flag"), (("device", "viewport", "dpr"), 0, "range"), (("origin", "url"), "http://x", "unknown_key"), (("elements", 0, "box"), [1, 2, 3], "length"), (("elements", 0, "evidence"), ["guess:x"], "form"),
+        (("elements", 0, "value"), {"kind": "filled"}, "missing"), (("elements", 0, "value"), {"kind": "other"}, "unknown_value"), (("elements", 0, "value", "token"), "PII:NONE#1", "form"), (("elements", 0, "confidence"), 1.1, "range"), (("elements", 0, "id"), "x1", "form"),
+        (("elements", 0, "label"), "x" * 301, "length"), (("redaction_legend",), {}, "not_in_legend"), (("visual",), {"present": True, "regions_redacted": 0}, "incomplete"), (("visual", "data_b64"), "AAAA", "without_image"), (("task", "intent"), None, "not_text"),
+        (("untrusted_text",), [{"src": "e1", "text": "t"}] * 201, "length"), (("task", "history", 0, "result"), "maybe", "unknown_value"), (("untrusted_text", 0, "src"), "p1", "form"),
+    ]
+    for path, value, code in cases:
+        assert code in changed(path, value), (path, value)
+    assert wire.packet_faults([]) == [("packet", "not_record")]
+    plan = {"schema": "plan/1.0", "packet_id": "packet-0001", "reasoning_summary": "", "steps": [{"action": "scroll", "scroll": {"direction": "up", "amount": "page"}, "requires_confirmation": False}], "needs_more_context": False, "confidence": 0.5}
+    assert wire.plan_faults(plan) == []
+    for step, code in (({"action": "click", "requires_confirmation": True}, "missing_for_action"), ({"action": "type", "target_element_id": "e1", "requires_confirmation": True}, "missing_for_action"), ({"action": "scroll", "requires_confirmation": True}, "missing_for_action"), ({"action": "wait", "wait_ms": 10_001, "requires_confirmation": True}, "range"), ({"action": "done"}, "missing"), ({"action": "done", "requires_confirmation": True, "x": 1}, "unknown_key")):
+        assert code in [c for _, c in wire.plan_faults(plan | {"steps": [step]})]
+
+
+def test_built_packets_are_well_formed(spark):
+    from sparkveil.operators import wire
+
+    regions = perception.regions(spark.createDataFrame([(7, '<main><form><label for="m">Email</label><input id="m" type="email" value="a@mail.example.com"><input id="n"><p>Write to a@mail.example.com</p></form></main>')], "page_id long, html string")).drop("truncated")
+    intents = spark.createDataFrame([("7", "mail a@mail.example.com")], "page_id string, intent string")
+    meta = spark.createDataFrame([("7", "packet-0007", 5, "shield", "other", True, "form", None, 800, 600, 1.0)], "page_id string, packet_id string, captured_at_ms long, mode string, origin_class string, tls boolean, page_kind string, lang string, w int, h int, dpr double")
+    history = spark.createDataFrame([("7", k, "click", None, "ok") for k in range(1, 61)], "page_id string, step int, action string, element_label string, result string")
+    made = wire.build_packets(meta, policy.sanitize(regions, "shield", intents), history)
+    import json
+
+    packet = json.loads(made.head().raw)
+    assert wire.packet_faults(packet) == []
+    assert len(packet["task"]["history"]) == 50 and packet["task"]["history"][0]["step"] == 11 and "example.com" not in made.head().raw
+    assert wire.read_requests(made.select(F.col("packet_id").alias("request_id"), "raw")).head().reason == "received"
+
+
+def test_remembered_values_are_leaks_too(spark):
+    from sparkveil.operators import vault
+
+    minted = vault.mint(spark.createDataFrame([(1, "PAN", "ABCPE1234F", 1)], "session long, cls string, value string, seq long"))
+    kept = spark.createDataFrame([(1, "k", "quo\"ted"), (1, "k2", "ABCPE1234F"), (1, "k3", "abc")], "session long, key string, value string")
+    rows = spark.createDataFrame([(1, '{"t":"quo\\"ted and ABCPE1234F abc"}')], "session long, payload string")
+    assert sorted(r.token for r in vault.leaks(rows, minted, kept=kept).collect()) == ["PII:PAN#1", "VAULT:REMEMBERED#1"]
+
+
+def test_a_full_vault_and_a_hot_session(spark):
+    from sparkveil.operators import vault
+
+    rows = spark.createDataFrame([(k % 20 // 19, "EMAIL" if k % 3 else "PAN", f"v{k}", k) for k in range(3000)], "session long, cls string, value string, seq long").repartition(8)
+    got = vault.mint(rows).collect()
+    assert len(got) == 3000 and sum(not r.overflow for r in got) == 150 + 256
+    hot = sorted((r for r in got if r.session == 0), key=lambda r: r.first_seq)
+    assert all(not r.overflow for r in hot[:256]) and all(r.overflow for r in hot[256:])
+
+
+def test_images_shrink_until_they_fit_and_stay_masked():
+    from sparkveil.operators import intake
+
+    r = np.random.default_rng(1)
+    image = r.integers(100, 255, (90, 160, 4)).astype(np.uint8)
+    rects = [{"x": 20, "y": 20, "w": 50, "h": 30}]
+    made, out = intake.sendable(image, rects, most_edge=1600, most_bytes=12_000)
+    assert len(made) <= 12_000 and out.shape[1] < 160
+    assert (intake.unpacked(made)[..., :3] == out[..., :3]).all()
+    scale = out.shape[1] / 160
+    assert (out[int(25 * scale) : int(45 * scale), int(25 * scale) : int(65 * scale), :3] == intake.FILL).all()
+    with pytest.raises(ValueError, match="does not fit"):
+        intake.sendable(image, rects, most_bytes=100)
+    pdf = intake.raster_pdf(out)
+    assert pdf.startswith(b"%PDF") and pdf.rstrip().endswith(b"%%EOF") and pdf.count(b" obj\n") == 5
+
+
+def test_assets_must_all_be_right(spark):
+    rows = lambda *oks: spark.createDataFrame([(f"a{k}" + (".gz" if k == 0 else ""), ok) for k, ok in enumerate(oks)], "name string, ok boolean")
+    assert media.usable_assets(rows(True, True)).head().loaded
+    with pytest.raises(Exception, match="manifest"):
+        media.usable_assets(rows(True, False)).collect()
+    with pytest.raises(Exception, match="manifest"):
+        media.usable_assets(spark.createDataFrame([("a", True)], "name string, ok boolean")).collect()
