@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkveil.sources.durable import shared_folder
 from sparkveil.sources.shipping import ship
 
 #: A key that holds at least this fraction of all rows is hot; fewer than 1/HOT keys can be.
@@ -19,27 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of an Arrow batch between the JVM and a Python worker; Spark's own bounds, 10,000 rows and 64 MB, stand in each
+#: of an executor's tasks several times.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
 def workers(df: DataFrame) -> DataFrame:
-    """``df``, after this package was sent to its session's Python workers."""
-    ship(df.sparkSession)
+    """``df``, after this package was sent to its session's Python workers and its session's Arrow batches were bounded."""
+    spark = df.sparkSession
+    ship(spark)
+    for key, most, was in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, "67108864b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}") == was:  # one that the user has set stays
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sparkveil-"))
-    return sc.getCheckpointDir()
+#: With this setting Spark removes a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: computed once, and safe if executors are lost."""
-    shared_folder(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    # Spark removes the shuffle files of earlier steps once their plans are garbage
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """``df`` written to the shared checkpoint folder: computed once, and safe if executors are lost.
+
+    The shuffle files of the writing go when it has ended: the written table stands in their place.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # holds for plans made while it is set
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def join_by_weight(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int, how: str = "left") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_LOWER = bytes.maketrans(bytes([*range(65, 91), *range(9, 14)]), bytes([*range(97, 123), *[32] * 5]))
+#: Bytes of a text whose words are held as objects at once.
+PIECE = 1 << 18
 _ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -15,7 +19,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = h
         return h
@@ -28,6 +32,17 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+def _words(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, in pieces of about PIECE bytes that end where a word does."""
+    raw = text.encode().translate(_LOWER)
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + PIECE)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end
+
+
 class Shingler:
     """Sets of hashed word shingles: A-Z lower-cased, words parted by ASCII white space.
 
@@ -42,10 +57,10 @@ class Shingler:
 
     def hashes(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes, as uint64."""
-        words = (text or "").encode().translate(_LOWER).split()
-        if not words:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        parts = [np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words)) for words in _words(text or "")]
+        h = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        if not len(h):
+            return h
         h = np.concatenate([self.frame, h, self.frame])
         n = min(self.size, len(h))
         with np.errstate(over="ignore"):
