@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from sparkveil.llm.common import durable
 
 
+def pointed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """(node, head) for each node of ``edges`` (a, b long): a lesser node that it is connected to, or itself.
+
+    Nodes with one head are connected; connected ones may have several heads. Each node points to its least
+    neighbour, and each round follows the pointers twice as far, so chains of 2^rounds links get one head. A
+    node's pointer is one row however many links it has.
+    """
+    own = edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("head"))
+    heads = own.groupBy("node").agg(F.min("head").alias("head"))
+    for _ in range(rounds):
+        heads = durable(heads)
+        # many nodes point to one head: what that one points to is joined to the distinct heads only
+        further = heads.select(F.col("head").alias("node")).distinct().join(heads.withColumnRenamed("head", "next"), "node").withColumnRenamed("node", "head")
+        heads = heads.join(further, "head", "left").select("node", F.coalesce("next", "head").alias("head"))
+    heads = durable(heads)
+    roots = own.select(F.col("head").alias("node")).distinct().join(heads.select("node"), "node", "left_anti")
+    return durable(heads.unionByName(roots.select("node", F.col("node").alias("head"))))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b long): the least node reachable.
 

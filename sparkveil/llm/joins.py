@@ -3,8 +3,8 @@
 Documents become sets of hashed word shingles; equal sets become one. The join then has two halves:
 
 1. Grouping. Sets with an equal least hash (of several hash functions) are compared to one pivot for each
-   such hash and size band. Links found there, closed transitively, make clusters that need no further
-   comparison inside; looser likeness makes families. A large cluster, and what else a family has, are
+   such hash and size band. Sets that links found there connect to one and the same set make a cluster that needs
+   no further comparison inside; looser likeness makes families. A large cluster, and what else a family has, are
    cut into groups of bounded size and of like set sizes; every other set is a group by itself.
 2. The matrix. For each group it stores the union of its members' early tokens (the rarest, at least one of
    which any link needs), with how many members have each and the sizes of these. A set's overlap with a
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.llm.common import durable, join_by_weight, workers
-from sparkveil.llm.components import connected
+from sparkveil.llm.components import connected, pointed
 from sparkveil.llm.shingles import Shingler, mix, overlap
 
 #: Hash functions of the grouping.
@@ -262,8 +262,8 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
     Smaller clusters ask the groups of larger ones. Groups of a large cluster hold no one else (own);
     the others mix the small clusters of a family, and members of one group ask each other.
     """
-    clusters = connected(links.filter("close").select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    families = connected(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    clusters = pointed(links.filter("close").select("a", "b")).select(F.col("node").alias("rep"), F.col("head").alias("cluster"))
+    families = pointed(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("head").alias("family"))
     rows = sets.select("rep", "n").join(families, "rep", "left").join(clusters, "rep", "left")
     rows = durable(rows.withColumn("alone", F.col("family").isNull()).withColumn("cluster", F.coalesce("cluster", "rep")))
     single = rows.filter("alone").select(*rows.columns, F.lit(1).cast("long").alias("m"))
@@ -426,7 +426,7 @@ def bounded_pairs(entries: DataFrame, matrix: DataFrame, percent: int) -> DataFr
 
 
 def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) of the qualifying ``pairs`` (rep, grp) between sets of different clusters.
+    """Links of the qualifying ``pairs`` (rep, grp) between sets of different clusters, as pairs (a, b) of these clusters.
 
     Tasks stream the asking sets past a group's members; memory holds one group of bounded size.
     """
@@ -434,24 +434,24 @@ def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataF
     members = rows.select("rep", "grp").join(pairs.select("grp", "salt").distinct(), "grp")
     asked = members.select("grp", "salt", F.lit(True).alias("member"), "rep").unionByName(pairs.select("grp", "salt", F.lit(False).alias("member"), "rep"))
     asked = asked.join(rows.select("rep", "cluster"), "rep")
-    asked = _with_texts(asked, sets, docs).select("grp", "salt", "member", "rep", "cluster", "packed")
+    asked = _with_texts(asked, sets, docs).select("grp", "salt", "member", "cluster", "packed")
     dealt = asked.repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("member").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, sets_of = None, [], _Sets(size)
         for b in batches:
             out: list[tuple] = []
-            for grp, salt, member, rep, cluster, raw in zip(*b.columns, strict=True):
-                here, own, who, whose = (grp.as_py(), salt.as_py()), sets_of(raw.as_py()), rep.as_py(), cluster.as_py()
+            for grp, salt, member, cluster, raw in zip(*b.columns, strict=True):
+                here, own, whose = (grp.as_py(), salt.as_py()), sets_of(raw.as_py()), cluster.as_py()
                 if here != at:
                     at, group = here, []
                 if member.as_py():
-                    group.append((who, whose, own))
+                    group.append((whose, own))
                     continue
                 done = {whose}  # clusters that need no further link
-                for other, theirs, t in group:
+                for theirs, t in group:
                     if theirs not in done and min(len(own), len(t)) * 100 >= max(len(own), len(t)) * percent and linked(overlap(own, t), len(own), len(t), percent):
-                        out.append((who, other))
+                        out.append((whose, theirs))
                         done.add(theirs)
             columns = list(zip(*out, strict=True)) if out else [[]] * 2
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["a", "b"])
@@ -479,10 +479,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     rows = _grouped(sets, near)
     opened = bounded_pairs(*group_matrix(made, rows), percent).filter("opens").select("rep", "grp")
     across = _open_groups(sets, rows, opened, own, size, percent)
-    links = durable(across.unionByName(near.filter("close").select("a", "b")))
-    components = durable(connected(links))
-    named = distinct.select("n", "d1", "d2", "copies", "head", F.col("x.row").alias("rep")).join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    named = durable(named.withColumn("component", F.coalesce("component", "rep")))
+    # from here on clusters are the nodes: links inside one say nothing new
+    own_cluster = rows.select("rep", "cluster")
+    close = near.filter("close").join(own_cluster.withColumnRenamed("rep", "a"), "a").select("cluster", "b").distinct()
+    close = close.join(own_cluster.select(F.col("rep").alias("b"), F.col("cluster").alias("other")), "b").filter("cluster <> other").select(F.col("cluster").alias("a"), F.col("other").alias("b"))
+    components = connected(across.unionByName(close)).withColumnRenamed("node", "cluster")
+    named = distinct.select("n", "d1", "d2", "copies", "head", F.col("x.row").alias("rep")).join(own_cluster, "rep").join(components, "cluster", "left")
+    named = durable(named.withColumn("component", F.coalesce("component", "cluster")).drop("cluster"))
     heads = named.groupBy("component").agg(F.min("head").alias("head"), F.count("*").alias("w"))
     heads = durable(heads)
     known = join_by_weight(named.drop("head"), heads, ["component"], "w", max(1, named.count()), "inner").select("n", "d1", "d2", "copies", F.col("head.doc").alias("component_id"), F.col("head.row").alias("head"))
