@@ -19,7 +19,8 @@ from sparkveil.sources.shipping import ship
 
 MOST_REGIONS, MOST_TEXTS = 300, 60
 ELEMENT = """page_id long, pos int, tag string, role_attr string, type string, name string, elem_id string, placeholder string, autocomplete string, aria_label string,
-    href boolean, value string, text string, label_text string, required boolean, disabled boolean, readonly boolean, checked boolean, editable boolean, in_main boolean, in_article boolean"""
+    href boolean, value string, text string, label_text string, required boolean, disabled boolean, readonly boolean, checked boolean, editable boolean, in_main boolean, in_article boolean,
+    invalid boolean, message string, help string, options array<string>"""
 
 _SKIP = {"script", "style", "noscript", "template", "title", "svg"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -27,12 +28,27 @@ _OWN = {"input", "textarea", "select", "button", "a", "img", "canvas", "video",
 _BLOCKS = {"p", "div", "li", "td", "th", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "tr", "form", "fieldset", "main", "nav", "footer", "header", "aside", "body", "html", "dl", "dt", "dd", "blockquote", "pre"}
 
 
+#: Composite widgets: their own options tell their value, and controls inside them are part of them.
+_OWNERS, _CHOICES = {"radiogroup", "combobox", "listbox", "textbox"}, {"option", "radio", "checkbox"}
+_CONTROLS = {"input", "textarea", "select"}
+
+
+class _Open:
+    """An element that is open: its tag, row (if it has one), whether it is hidden, and what its text belongs to besides."""
+
+    __slots__ = ("choice", "hidden", "ident", "owner", "row", "tag")
+
+    def __init__(self, tag: str, row: dict | None, hidden: bool, ident: str | None, owner: dict | None, choice: dict | None):
+        self.tag, self.row, self.hidden, self.ident, self.owner, self.choice = tag, row, hidden, ident, owner, choice
+
+
 class _Walker(HTMLParser):
-    """A page's elements in pre-order, each with the text that is directly its own."""
+    """A page's elements in pre-order, each with the text that is directly its own, and controls with label, value and feedback."""
 
     def __init__(self, page_id: int):
         super().__init__(convert_charrefs=True)
-        self.page_id, self.rows, self.open, self.skipped, self.labels = page_id, [], [], 0, {}
+        self.page_id, self.rows, self.open, self.skipped = page_id, [], [], 0
+        self.said: dict[str, list[str]] = {}  # texts by id
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: (v if v is not None else "") for k, v in attrs}
@@ -40,46 +56,102 @@ class _Walker(HTMLParser):
             self.skipped += tag not in _VOID
             return
         if tag in _BLOCKS:  # a paragraph ends where a block begins
-            while self.open and self.open[-1][0] == "p":
+            while self.open and self.open[-1].tag == "p":
                 self.open.pop()
-        hidden = "hidden" in a or a.get("aria-hidden") == "true" or a.get("type") == "hidden" or "display:none" in a.get("style", "").replace(" ", "").lower() or (bool(self.open) and self.open[-1][2])
-        row = None
-        if not hidden and (tag in _OWN or "role" in a):
-            inside = [t for t, _, _ in self.open]
+        if tag == "option" and self.open and self.open[-1].tag == "option":
+            self.open.pop()
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or a.get("type") == "hidden" or "display:none" in a.get("style", "").replace(" ", "").lower() or (bool(self.open) and self.open[-1].hidden)
+        around = next((o.owner for o in reversed(self.open) if o.owner is not None), None)
+        part = around is not None and (tag in _CONTROLS or a.get("role") in _CHOICES)
+        choice, row = None, None
+        if around is not None and (tag == "option" or a.get("role") in _CHOICES or (tag == "input" and a.get("type") in ("radio", "checkbox"))):
+            chosen = "selected" in a or "checked" in a or a.get("aria-selected") == "true" or a.get("aria-checked") == "true"
+            choice = {"text": [], "label": a.get("aria-label") or a.get("label"), "chosen": chosen and a.get("aria-disabled") != "true", "value": a.get("value"), "hidden": hidden}
+            around["choices"].append(choice)
+        elif part and not hidden and around["nested"] is None:
+            around["nested"] = a.get("value", "") if tag == "input" else []
+        if not hidden and not part and (tag in _OWN or "role" in a):
+            inside = [o.tag for o in self.open]
             row = {
                 "page_id": self.page_id, "pos": len(self.rows), "tag": tag, "role_attr": a.get("role"), "type": a.get("type", "").lower() or None, "name": a.get("name"), "elem_id": a.get("id"),
                 "placeholder": a.get("placeholder"), "autocomplete": a.get("autocomplete", "").lower() or None, "aria_label": a.get("aria-label") or a.get("title") or a.get("alt"), "href": "href" in a,
                 "value": a.get("value"), "text": [], "label_text": a.get("for"), "required": "required" in a or a.get("aria-required") == "true", "disabled": "disabled" in a, "readonly": "readonly" in a,
                 "checked": "checked" in a, "editable": a.get("contenteditable") in ("", "true"), "in_main": "main" in inside, "in_article": "article" in inside,
+                "invalid": a.get("aria-invalid") == "true", "message": a.get("aria-errormessage", ""), "help": a.get("aria-describedby", ""), "options": None,
+                # used while walking
+                "choices": [], "nested": None, "labelled": a.get("aria-labelledby", ""), "valuetext": a.get("aria-valuetext"), "wrap": next((o.row for o in reversed(self.open) if o.tag == "label"), None),
             }
             self.rows.append(row)
+        owner = row if row is not None and (tag == "select" or a.get("role") in _OWNERS) else None
         if tag not in _VOID:
-            self.open.append((tag, row, hidden))
+            self.open.append(_Open(tag, row, hidden, a.get("id"), owner, choice))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _SKIP:
             self.skipped = max(0, self.skipped - 1)
             return
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
                 del self.open[k:]
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.skipped or not data.strip() or (self.open and self.open[-1][2]):
+        if self.skipped or not data.strip() or (self.open and self.open[-1].hidden):
             return
-        for tag, row, _ in reversed(self.open):
-            if row is not None and (tag in _BLOCKS or tag in ("label", "button", "a", "option", "textarea")):
-                row["text"].append(data)
-                if tag in _BLOCKS:
+        for o in self.open:
+            if o.ident:
+                self.said.setdefault(o.ident, []).append(data)
+            if o.choice is not None:
+                o.choice["text"].append(data)
+        if self.open and self.open[-1].tag == "textarea" and self.open[-1].row is None:
+            around = next((o.owner for o in reversed(self.open) if o.owner is not None), None)
+            if around is not None and isinstance(around["nested"], list):
+                around["nested"].append(data)
+        for o in reversed(self.open):
+            if o.row is not None and (o.tag in _BLOCKS or o.tag in ("label", "button", "a", "option", "textarea")):
+                o.row["text"].append(data)
+                if o.tag in _BLOCKS:
                     break
 
+    def _named(self, ids: str) -> list[str]:
+        return [t for i in ids.split() if (t := " ".join(" ".join(self.said.get(i, [])).split()))]
+
+    def _value(self, r: dict) -> str | None:
+        """The value of a control: of a file field nothing, of choices the labels of the chosen ones."""
+        if r["tag"] == "input":
+            return "" if r["type"] == "file" else r["value"]
+        if r["tag"] == "textarea":
+            return r["text"] or ""
+        if r["tag"] != "select" and r["role_attr"] not in _OWNERS:
+            return r["text"] if r["editable"] else r["value"]
+        named = [(c["label"] or " ".join(" ".join(c["text"]).split()), c) for c in r["choices"] if not c["hidden"]]
+        r["options"] = [n for n, _ in named if n] or None
+        chosen = [(n, c) for n, c in named if c["chosen"]]
+        if r["tag"] == "select" and not chosen:
+            chosen = named[:1]  # what a browser shows
+        if r["tag"] == "select":
+            chosen = [(n, c) for n, c in chosen if c["value"] != ""]
+        if chosen or r["tag"] == "select":
+            return ", ".join(dict.fromkeys(n for n, _ in chosen))
+        if r["nested"] is not None:
+            return " ".join("".join(r["nested"]).split()) if isinstance(r["nested"], list) else r["nested"]
+        return r["text"] if r["editable"] else r["valuetext"]
+
     def result(self) -> list[dict]:
         for r in self.rows:
             r["text"] = " ".join(" ".join(r["text"]).split()) or None
-        named = {r["label_text"]: r["text"] for r in self.rows if r["tag"] == "label" and r["label_text"]}
+        named = {}
         for r in self.rows:
-            r["label_text"] = named.get(r["elem_id"]) if r["elem_id"] and r["tag"] != "label" else None
+            if r["tag"] == "label" and r["label_text"]:
+                named.setdefault(r["label_text"], r["text"])
+        for r in self.rows:
+            around = r["wrap"]["text"] if r["wrap"] and r["tag"] in _CONTROLS else None
+            r["label_text"] = " ".join(self._named(r["labelled"])) or (named.get(r["elem_id"]) if r["elem_id"] and r["tag"] != "label" else None) or around
+            if r["tag"] in _CONTROLS or r["role_attr"] in _OWNERS or r["editable"]:
+                r["value"] = self._value(r)
+            wrong, said = self._named(r["message"]), self._named(r["help"])
+            r["help"] = "\n".join(dict.fromkeys(said)) or None
+            r["message"] = ("\n".join(dict.fromkeys(wrong)) or r["help"]) if r["invalid"] else None
         return self.rows
 
 
@@ -90,15 +162,35 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[dict] = []
             for page, text in zip(batch["page_id"], batch[html], strict=True):
                 w = _Walker(int(page))
                 w.feed(text or "")
                 w.close()
-                yield pd.DataFrame(w.result(), columns=columns)
+                rows += w.result()
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("page_id", html).mapInPandas(run, ELEMENT)
 
 
+def controls(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The form controls of pages with label, value, what is wrong with them, their help and options.
+
+    A composite widget is one control: fields and options inside it are part of it.
+    """
+    e = elements(pages, html).withColumn("role", role()).filter(F.col("role").isin("textbox", "password", "combobox", "listbox", "checkbox", "radio", "slider", "switch") | (F.col("type") == "file"))
+    shown = F.coalesce("label_text", "aria_label", F.when(~_generic(F.col("placeholder")), F.col("placeholder")))
+    return e.select("page_id", "pos", "role", shown.alias("label"), F.col("value"), "invalid", "message", "help", F.array_join("options", ", ").alias("options"), "required", "disabled")
+
+
+def _generic(text: Column) -> Column:
+    """Whether a hint inside a field says nothing of the field."""
+    return F.coalesce(F.lower(text).rlike("^(enter|type|search|select)?\\W*(here|your answer|value)?$"), F.lit(False))
+
+
 def role() -> Column:
     """The role of an element: its ARIA role for composite widgets, then its tag, then any other ARIA role."""
     aria, tag, kind = F.col("role_attr"), F.col("tag"), F.col("type")
@@ -146,7 +238,7 @@ def regions(pages: DataFrame, html: str = "html") -> DataFrame:
     truncated tells that a page reached the limit. The limits are the operator's own.
     """
     rows = elements(pages, html).withColumn("role", role()).filter("role not in ('unknown', 'form', 'table', 'list')")
-    placeholder = F.when(~F.lower("placeholder").rlike("^(enter|type|search|select)?\\W*(here|your answer|value)?$"), F.col("placeholder"))
+    placeholder = F.when(~_generic(F.col("placeholder")), F.col("placeholder"))
     label = F.coalesce("label_text", "aria_label", F.when(F.col("role").isin("button", "link", "heading", "label", "option", "tab"), F.col("text")), placeholder)
     rows = rows.withColumn("label", F.substring(label, 1, 300))
     control = F.col("role").isin("textbox", "password", "combobox", "listbox", "checkbox", "radio", "slider", "switch")

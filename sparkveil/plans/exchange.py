@@ -265,3 +265,37 @@ def encoded_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = _frames(spark, sf_dir).select(F.col("frame").alias("id"), "width", "height", "data", F.array(rect).alias("rects"))
     made = media.inspect_images(intake.encode_masked(images, most_edge=48), "png")
     return made.select("id", "width", "height", (F.col("clean") & (F.col("meta.width") == F.col("width")) & (F.col("meta.height") == F.col("height"))).alias("png_read"), F.col("refused").isNull().alias("masked"))
+
+
+# ---------------------------------------------------------------- form controls and prompts
+
+_FIELDS = """SELECT c_custkey AS page_id, concat('<form><span id="q">Town of ', c_name, '</span><input aria-labelledby="q none" value="v', CAST(c_custkey AS {s}), '" aria-invalid="', CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'false' END, '" aria-describedby="h" aria-errormessage="e"><p id="h">Say it</p><p id="e">Wrong ', CAST(c_custkey AS {s}), '</p>',
+    '<label>Notes <textarea>note ', CAST(c_custkey AS {s}), '</textarea></label><label for="s">Size</label><select id="s"><option value="">none<option', CASE WHEN c_custkey % 2 = 0 THEN ' selected' ELSE '' END, '>Small<option>Large</select>',
+    '<div role="radiogroup" aria-label="Colour"><span role="radio" aria-checked="', CASE WHEN c_custkey % 4 = 1 THEN 'true' ELSE 'false' END, '">Red</span><span role="radio" aria-checked="true">Blue</span></div><div role="combobox" aria-label="Search"><input value="in', CAST(c_custkey AS {s}), '"></div><input type="file" aria-label="Scan"></form>') AS html FROM {t}"""
+
+
+@query(
+    """SELECT c_custkey AS page_id, nth, (['Town of ' || c_name, 'Notes note ' || c_custkey, 'Size', 'Colour', 'Search', 'Scan'])[nth] AS label, (['v' || c_custkey, 'note ' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Small' ELSE '' END, CASE WHEN c_custkey % 4 = 1 THEN 'Red, Blue' ELSE 'Blue' END, 'in' || c_custkey, ''])[nth] AS value,
+    nth = 1 AND c_custkey % 3 = 0 AS invalid, CASE WHEN nth = 1 AND c_custkey % 3 = 0 THEN 'Wrong ' || c_custkey END AS message, CASE WHEN nth = 1 THEN 'Say it' END AS help, (['', '', 'none, Small, Large', 'Red, Blue', '', ''])[nth] AS options FROM customer, (SELECT unnest(range(1, 7))::INT AS nth)"""
+)
+def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of forms: labels by reference, around and for; chosen options; composite widgets as one; what is wrong."""
+    from pyspark.sql import Window as W
+
+    from sparkveil.operators import perception
+
+    found = perception.controls(_view(spark, sf_dir, _FIELDS, "customer"))
+    nth = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
+    return found.select("page_id", nth.alias("nth"), "label", "value", "invalid", "message", "help", F.coalesce("options", F.lit("")).alias("options"))
+
+
+@query("""SELECT c_custkey AS task_id, unnest(['f1', 'f2', 'f3']) AS field_id, unnest(['Asha Rao', 'c' || c_custkey || '@mail.example.com', 'Town' || c_nationkey]) AS value FROM customer""")
+def prompt_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that a prompt gives without naming the field: a leading name, and where someone lives."""
+    from sparkveil.operators import prompts
+
+    rows = table(spark, sf_dir, "customer")
+    prompt = F.concat(F.lit("Asha Rao, email: c"), F.col("c_custkey"), F.lit("@mail.example.com. I live in Town"), F.col("c_nationkey"), F.lit(", please submit"))
+    field = lambda i, label: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("structural_class"))
+    tasks = rows.select(F.col("c_custkey").alias("task_id"), prompt.alias("prompt"), F.array(field("f1", "Full name"), field("f2", "Email address"), field("f3", "City")).alias("fields"))
+    return prompts.answers(tasks).select("task_id", F.explode("answers").alias("a")).select("task_id", "a.field_id", "a.value")
