@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sparkveil.llm.common import durable
 
 
+#: Parts of the nodes that point to one head.
+SALTS = 64
+
+
 def pointed(edges: DataFrame, rounds: int = 2) -> DataFrame:
     """(node, head) for each node of ``edges`` (a, b long): a lesser node that it is connected to, or itself.
 
@@ -19,9 +23,11 @@ def pointed(edges: DataFrame, rounds: int = 2) -> DataFrame:
     heads = own.groupBy("node").agg(F.min("head").alias("head"))
     for _ in range(rounds):
         heads = durable(heads)
-        # many nodes point to one head: what that one points to is joined to the distinct heads only
+        # many nodes point to one head: what that one points to is joined to the distinct heads, and goes to each salt
         further = heads.select(F.col("head").alias("node")).distinct().join(heads.withColumnRenamed("head", "next"), "node").withColumnRenamed("node", "head")
-        heads = heads.join(further, "head", "left").select("node", F.coalesce("next", "head").alias("head"))
+        further = further.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = heads.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        heads = salted.join(further, ["head", "salt"], "left").select("node", F.coalesce("next", "head").alias("head"))
     heads = durable(heads)
     roots = own.select(F.col("head").alias("node")).distinct().join(heads.select("node"), "node", "left_anti")
     return durable(heads.unionByName(roots.select("node", F.col("node").alias("head"))))

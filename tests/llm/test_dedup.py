@@ -147,12 +147,57 @@ def test_jaccard_edges(spark):
     assert sorted((x.doc_id or 0, x.component_id or 0, x.n_shingles) for x in got) == [(0, 0, 0), (0, 3, 36), (3, 3, 36), (3, 3, 36), (7, 3, 37), (8, 8, 0)]
 
 
+def test_jaccard_of_very_long_texts_and_clashing_names(spark):
+    r = random.Random(4)
+    words = [f"w{r.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:110_000])), (3, " ".join(words[:60_000])), (4, " ".join(words[::-1]))]
+    frame = spark.createDataFrame([(i, t, 9, 9, 9, 9) for i, t in rows], "doc_id long, text string, component_id long, n_shingles int, rep long, grp long")
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in joins.jaccard_components(frame, 5, 80).collect())
+    assert got == brute_components(rows, 5, 80) and got[1][2] == 1 and got[2][2] == 3
+
+
+def test_groups_are_bounded_out_before_they_are_opened(spark, monkeypatch):
+    """The bound from stored unions refuses groups that share a few early tokens only, and none that has a link."""
+    seen = []
+    real = joins.bounded_pairs
+    monkeypatch.setattr(joins, "bounded_pairs", lambda *a: seen.append(real(*a).cache()) or seen[-1])
+    r = random.Random(2)
+    rows = [(k, " ".join([f"u{k}x{j}" for j in range(100)] + [f"v{k // 2 if k < 30 else k}x{j}" for j in range(50)])) for k in range(40)]  # a third of the first is shared by two
+    for k in range(30, 40):  # near copies
+        words = rows[k][1].split()
+        words[r.randrange(len(words))] = "other"
+        rows.append((k + 100, " ".join(words)))
+    frame = docs(spark, [(i, t, "s") for i, t in rows])
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in joins.jaccard_components(frame, 4, 85).collect())
+    assert got == brute_components(rows, 4, 85)
+    told = seen[0].groupBy("opens").count().collect()
+    assert {x.opens: x["count"] for x in told}.get(False, 0) > 0
+
+
 def test_shingles_fold_ascii_only():
     s = Shingler(2)
     assert (s.hashes("A b C") == s.hashes("a B\nc")).all()
     assert len(s.hashes("É x")) == 1 and s.hashes("É x")[0] != s.hashes("é x")[0]
 
 
+def test_shingles_do_not_depend_on_pieces(monkeypatch):
+    from sparkveil.llm import shingles
+
+    text = "Ab cd\x0bEF\tgh  ij\n" * 50
+    whole = Shingler(3).hashes(text)
+    monkeypatch.setattr(shingles, "PIECE", 7)
+    assert (Shingler(3).hashes(text) == whole).all()
+
+
+def test_pointed_heads_are_connected(spark):
+    from sparkveil.llm.components import pointed
+
+    edges = [(k, k + 1) for k in range(9)] + [(50, k) for k in range(60, 90)]
+    got = {x.node: x.head for x in pointed(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got) == {k for e in edges for k in e} and all(got[k] == 50 for k in [50, *range(60, 90)])
+    assert all(got[k] <= k and got[k] < 10 for k in range(10)) and got[4] == 0
+
+
 def test_connected_long_chain(spark):
     n = 60
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (101, 100)], "a long, b long")

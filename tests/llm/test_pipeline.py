@@ -82,3 +82,28 @@ def test_near_keeps_one_row_of_each_group(spark):
     for x in got:
         assert x[0] == min((y[0] for y in groups[x[4]] if y[0] is not None), default=None)
     assert (500, "same text of five words and more", "en", "a", 1000) in got
+
+
+@pytest.mark.parametrize("stage", ["quality", "lines", "near", "mix", "encode"])
+def test_stages_on_odd_rows(spark, stage):
+    """Nulls, empty and very long texts, repeated rows, ids that are shared or missing, and columns named as the operators name theirs."""
+    r = random.Random(7)
+    long = " ".join(f"w{r.randrange(9000)}" for _ in range(60_000))
+    prose = " ".join(f"v{k}" for k in range(60))
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, "\n \n", "en", "a"), (4, long, "en", "a"), (4, long, "en", "a"), (None, prose, "en", None), (None, prose, "en", None), (4, prose + " end", "en", "b"), (5, "one", "en", "b"), (5, "one", "en", "b")]
+    extra = "score double, predicted int, n_lines int, n_removed int, repetition int, winner boolean, component_id long, ids string, rep long, cluster long"
+    docs = spark.createDataFrame([(*x, len(x[1] or ""), 0.5, 7, 7, 7, 7, True, 7, "x", 7, 7) for x in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, docs, SF)
+    got = [tuple(x[:4]) for x in out.collect()] if stage != "encode" else []
+    if stage != "encode":
+        assert out.columns == docs.columns and set(got) <= set(rows)
+    if stage == "quality":  # rows with one text are judged alike
+        assert all(got.count(x) in (0, rows.count(x)) for x in rows)
+    if stage == "lines":
+        assert sorted(got, key=str) == sorted(rows, key=str)
+    if stage == "near":
+        assert sorted(got, key=str) == sorted([rows[0], rows[1], rows[2], rows[4], rows[7], rows[8]], key=str)
+    if stage == "mix":
+        assert all(got.count(x) % rows.count(x) == 0 for x in rows)
+    if stage == "encode":
+        assert sorted((x.doc_id or 0, x.n_tokens == 0) for x in out.collect()) == sorted((i or 0, not t) for i, t, *_ in rows)
