@@ -85,7 +85,7 @@ def _places(raw: str) -> str:
     return f"SELECT doc_id, raw, cls, value, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(raw))::INT AS s FROM (SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT DISTINCT f.doc_id, f.raw, f.cls, f.value, string_split(d.text, f.raw) AS parts FROM ({raw}) f JOIN documents d USING (doc_id)))"
 
 
-_FOUND = rf"""SELECT doc_id, c AS raw, 'CARD_NUMBER' AS cls, regexp_replace(c, '[^0-9]', '', 'g') AS value FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){{12,18}}[0-9])(?:[^0-9]|$)', 1)), '  |--', ' ', 'g') AS c FROM documents)
+_FOUND = rf"""SELECT doc_id, c AS raw, 'CARD_NUMBER' AS cls, regexp_replace(c, '[^0-9]', '', 'g') AS value FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){{12,18}}[0-9])(?:[^0-9]|$)', 1)), '([ -])[ -]', '\1', 'g') AS c FROM documents)
     WHERE regexp_matches(regexp_replace(c, '[^0-9]', '', 'g'), '^([2-6]|81)') AND {_LUHN.format(d="regexp_replace(c, '[^0-9]', '', 'g')")}
     UNION ALL SELECT doc_id, raw, 'EMAIL', lower(raw) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b')) AS raw FROM documents)"""
 _SPANS = _places(_FOUND)
@@ -289,13 +289,28 @@ _PAGE_ROWS = f"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<li><a hre
     u AS (SELECT page_id, 1 AS part, unnest(range(1, len(links) + 1)) AS i, unnest(links) AS t, 'listitem' AS role FROM a UNION ALL SELECT page_id, 1, unnest(range(1, len(links) + 1)) + 0.5, unnest(links), 'link' FROM a UNION ALL SELECT page_id, 2, 0, ad, 'text' FROM a
         UNION ALL SELECT page_id, 3, 0, head, 'heading' FROM a UNION ALL SELECT page_id, 4, unnest(range(1, len(parts) + 1)), unnest(parts), 'text' FROM a),
     n AS (SELECT page_id, part, i, role, {_said("regexp_replace(t, '<[^>]*>', ' ', 'g')")} AS t FROM u),
-    r AS (SELECT page_id::VARCHAR AS page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, i)::INT AS pos, role, CASE WHEN role IN ('link', 'heading') THEN substr(t, 1, 300) END AS label, CASE WHEN role <> 'link' THEN t END AS raw_text FROM n WHERE t <> '')"""
+    q AS (SELECT * FROM n WHERE t <> '' QUALIFY role = 'link' OR count(*) FILTER (WHERE role <> 'link') OVER (PARTITION BY page_id ORDER BY part, i ROWS UNBOUNDED PRECEDING) <= {perception.MOST_TEXTS}),
+    r AS (SELECT page_id::VARCHAR AS page_id, row_number() OVER (PARTITION BY page_id ORDER BY part, i)::INT AS pos, role, CASE WHEN role IN ('link', 'heading') THEN substr(t, 1, 300) END AS label, CASE WHEN role <> 'link' THEN t END AS raw_text FROM q QUALIFY pos <= {perception.MOST_REGIONS})"""
+_DIGITS = "regexp_replace(c, '[^0-9]', '', 'g')"
+
+
+def _cards_in(x: str) -> str:
+    """The valid card numbers of a text, as they stand there."""
+    found = rf"regexp_extract_all(regexp_replace({x}, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])((?:[0-9](?:  |--)?){{12,18}}[0-9])(?:[^0-9]|$)', 1)"
+    return rf"list_filter(list_transform({found}, lambda c: regexp_replace(c, '([ -])[ -]', '\1', 'g')), lambda c: regexp_matches({_DIGITS}, '^([2-6]|81)') AND {_LUHN.format(d=_DIGITS)})"
+
+
+def _clean(x: str) -> str:
+    """A text of a page with its tokens: no page has two addresses or two cards."""
+    return f"list_reduce(list_prepend(regexp_replace({x}, '{_MAIL.format()}', 'PII:EMAIL#1', 'g'), {_cards_in(x)}), lambda t, c: replace(t, c, 'PII:CARD_NUMBER#1'))"
+
+
 _MAIL = r"[A-Za-z0-9_][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}"
 _FORM_ROWS = """SELECT (1000000 + c_custkey)::VARCHAR AS page_id, pos::INT AS pos, (['textbox', 'textbox', 'textbox', 'textbox', 'button', 'text'])[pos] AS role, (['Email', 'Full name', 'Notes', 'Amount', 'Pay now'])[pos] AS label, c_name, 'c' || c_custkey || '@mail.example.com' AS mail FROM customer, (SELECT unnest(range(1, 7)) AS pos)"""
 
 
 @query(
-    f"""{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS id, role, regexp_replace(label, '{_MAIL.format()}', 'PII:EMAIL#1', 'g') AS label, 'none' AS branch, NULL AS kind, NULL AS text, NULL AS token, NULL::INT AS length, NULL::BOOLEAN AS masked, NULL AS risk FROM r
+    f"""{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS id, role, {_clean('label')} AS label, 'none' AS branch, NULL AS kind, NULL AS text, NULL AS token, NULL::INT AS length, NULL::BOOLEAN AS masked, NULL AS risk FROM r
     UNION ALL SELECT page_id, pos, 'e' || pos, role, label, (['structural', 'structural', 'withheld', 'empty', 'none', 'none'])[pos], (['placeholder', 'placeholder', 'redacted', 'empty'])[pos], NULL, (['PII:EMAIL#1', 'PII:PERSON_NAME#1'])[pos], ([length(mail), length(c_name)])[pos]::INT, CASE WHEN pos < 3 THEN FALSE END, CASE WHEN pos = 5 THEN 'state_changing' END FROM ({_FORM_ROWS})"""
 )
 def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,12 +319,12 @@ def sanitize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "pos", "id", "role", "label", "branch", "value.kind", "value.text", "value.token", "value.length", "value.masked", "risk")
 
 
-@query(f"{_PAGE_ROWS} SELECT DISTINCT page_id, 'PII:EMAIL' AS legend_key, FALSE AS recoverable FROM r WHERE regexp_matches(raw_text, '{_MAIL.format()}') UNION ALL SELECT (1000000 + c_custkey)::VARCHAR, 'PII:EMAIL', TRUE FROM customer")
+@query(f"{_PAGE_ROWS} SELECT DISTINCT page_id, 'PII:EMAIL' AS legend_key, FALSE AS recoverable FROM r WHERE regexp_matches(raw_text, '{_MAIL.format()}') UNION ALL SELECT DISTINCT page_id, 'PII:CARD_NUMBER', FALSE FROM r WHERE len({_cards_in('raw_text')}) > 0 UNION ALL SELECT (1000000 + c_custkey)::VARCHAR, 'PII:EMAIL', TRUE FROM customer")
 def page_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sanitize(_regions(spark, sf_dir), "shield")["legend"]
 
 
-@query(f"{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS src, substr(regexp_replace(raw_text, '{_MAIL.format()}', 'PII:EMAIL#1', 'g'), 1, 4000) AS text FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT page_id, pos, 'e6', 'Write to PII:EMAIL#1 today' FROM ({_FORM_ROWS}) WHERE pos = 6")
+@query(f"{_PAGE_ROWS} SELECT page_id, pos, 'e' || pos AS src, substr({_clean('raw_text')}, 1, 4000) AS text FROM r WHERE raw_text IS NOT NULL UNION ALL SELECT page_id, pos, 'e6', 'Write to PII:EMAIL#1 today' FROM ({_FORM_ROWS}) WHERE pos = 6")
 def untrusted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.sanitize(_regions(spark, sf_dir), "shield")["untrusted_text"]
 

@@ -434,3 +434,18 @@ def test_assets_must_all_be_right(spark):
         media.usable_assets(rows(True, False)).collect()
     with pytest.raises(Exception, match="manifest"):
         media.usable_assets(spark.createDataFrame([("a", True)], "name string, ok boolean")).collect()
+
+
+def test_exports(spark, tmp_path):
+    from sparkveil.sources import export
+
+    rows = spark.createDataFrame([("b", 2, 0.5), ("a|", None, 1.0)], "cls string, n int, recall double")
+    assert export.markdown(rows, ("cls", "n", "recall")) == "| cls | n | recall |\n|---|---|---|\n| a\\| | - | 100.0 % |\n| b | 2 | 50.0 % |\n"
+    with pytest.raises(ValueError, match="no report"):
+        export.markdown(rows, ("cls",), most=1)
+    export.write_json(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_tokens_in_a_text(spark):
+    assert column(spark, ["a PII:PAN#2 b PII:EMAIL#1 PII:PAN#2", "", None], planner.tokens_in) == [["PII:PAN#2", "PII:EMAIL#1"], [], []]
