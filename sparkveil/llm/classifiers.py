@@ -198,11 +198,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, most_cha
 
 @dataclass
 class QualityModel:
-    """Two compression dictionaries and the calibration of the sizes they give."""
+    """Two compression dictionaries and the calibration of the sizes they give: shares of good text at differences, linear between."""
 
     bad: bytes
     good: bytes
-    coefficients: list[float]
+    knots: list[float]
+    shares: list[float]
     chunk: int = 512
     level: int = 3
 
@@ -228,7 +229,7 @@ class QualityModel:
         return len(raw), b, g
 
     def score(self, sizes: tuple[int, int, int]) -> float:
-        return float(sigmoid(self.coefficients[0] + self.coefficients[1] * difference(*sizes)))
+        return float(np.interp(difference(*sizes), self.knots, self.shares))
 
 
 def difference(raw: int, bad: int, good: int) -> float:
@@ -237,11 +238,11 @@ def difference(raw: int, bad: int, good: int) -> float:
 
 
 def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary_bytes: int = 65_536, chunk: int = 512) -> QualityModel:
-    """Dictionaries from one half of each class, the calibration (logistic, Newton's method) from the other.
+    """Dictionaries from one half of each class, the calibration from the other.
 
     Every text of the sample is read whole: those of one half train a dictionary in pieces of ``chunk`` bytes,
-    those of the other are compressed like any scored text. The calibration weighs the normalised size difference and
-    nothing else. Classes are weighted to their share of all labelled rows. Without both classes the score is constant.
+    those of the other are compressed like any scored text. The calibration is the share of good text as it grows with
+    the normalised size difference (isotonic regression), and of nothing else. Classes are weighted to their share of all labelled rows. Without both classes the score is constant.
     """
     import zstandard as z
 
@@ -254,21 +255,22 @@ def fit_quality(sample: list[tuple[str, int]], sizes: dict[int, int], dictionary
             content[y] = z.train_dictionary(dictionary_bytes, parts, k=50, d=8).as_bytes()
         except z.ZstdError:  # too little text to choose from: the text itself serves
             content[y] = b"".join(parts)[-dictionary_bytes:]
-    model = QualityModel(content[0] or b" " * 16, content[1] or b" " * 16, [math.log(share / (1 - share)), 0.0], chunk)
+    model = QualityModel(content[0] or b" " * 16, content[1] or b" " * 16, [0.0], [share], chunk)
     held = [(difference(*model.sizes(t)), y) for y in (0, 1) for t in by[y][1::2]]
     if len({y for _, y in held}) < 2:
         return model
-    x = np.array([(1.0, d) for d, _ in held])
-    y = np.array([v for _, v in held], float)
-    cost = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
-    beta = np.zeros(2)
-    ridge = 1e-6 * np.eye(2)
-    for _ in range(100):
-        p = sigmoid(x @ beta)
-        h = (x * (cost * p * (1 - p))[:, None]).T @ x + ridge
-        step = np.linalg.solve(h, x.T @ (cost * (y - p)) - ridge @ beta)
-        beta = beta + step * min(1.0, 1 / max(1e-9, np.abs(step).max()))
-    model.coefficients = [float(b) for b in beta]
+    n = {v: sum(1 for _, y in held if y == v) for v in (0, 1)}
+    weight = {1: share / n[1], 0: (1 - share) / n[0]}
+    pools: list[list[float]] = []  # weight of good text, of all, and of all times the difference; shares grow from one to the next
+    for d, y in sorted(held):
+        w = weight[y]
+        pools.append([w * y, w, w * d])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    few = min(weight.values()) / 2  # half a row of either class: no share is 0 or 1
+    model.knots = [d / w for _, w, d in pools]
+    model.shares = [float(x) for x in np.maximum.accumulate([(good + few) / (w + 2 * few) for good, w, _ in pools])]
     return model
 
 
@@ -281,7 +283,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", cut:
     added = "raw_bytes long, bad_bytes long, good_bytes long, score double, predicted int"
     own = [c for c in docs.columns if c.lower() not in {a.split()[0] for a in added.split(", ")}]
     source = docs.select(*[F.col(f"`{c}`") for c in own])
-    shared = docs.sparkSession.sparkContext.broadcast((model.bad, model.good, model.coefficients, model.chunk, model.level))  # two dictionaries of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model.bad, model.good, model.knots, model.shares, model.chunk, model.level))  # two dictionaries of fixed size
     at = own.index(text)
     from pyspark.sql.types import StructType
 

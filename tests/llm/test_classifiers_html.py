@@ -98,8 +98,6 @@ def test_quality_held_out(spark, tables):
 
 
 def test_quality_sizes_and_score_by_hand(spark, tables):
-    import math
-
     import zstandard as z
 
     docs, labels, rows = tables
@@ -111,9 +109,12 @@ def test_quality_sizes_and_score_by_hand(spark, tables):
     for r in classifiers.score_quality(docs, model).limit(40).collect():
         raw = r.text.encode()
         bad, good = (sum(len(p.compress(raw[at : at + 512])) for at in range(0, len(raw), 512)) for p in presses)
-        a, b = model.coefficients
         assert (r.raw_bytes, r.bad_bytes, r.good_bytes) == (len(raw), bad, good)
-        assert abs(r.score - 1 / (1 + math.exp(-(a + b * 100 * (bad - good) / len(raw))))) < 1e-9
+        d = 100 * (bad - good) / len(raw)
+        k = sum(x <= d for x in model.knots)
+        want = model.shares[0] if k == 0 else model.shares[-1] if k == len(model.knots) else model.shares[k - 1] + (model.shares[k] - model.shares[k - 1]) * (d - model.knots[k - 1]) / (model.knots[k] - model.knots[k - 1])
+        assert abs(r.score - want) < 1e-9
+    assert model.shares == sorted(model.shares) and model.knots == sorted(model.knots) and 0 < model.shares[0] < model.shares[-1] < 1
 
 
 def test_dictionaries_read_whole_texts(tables):
