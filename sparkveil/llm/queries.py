@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkveil.llm import classifiers, exact, html, joins, lines, mixing, sketches, tokens
+from sparkveil.llm import align, classifiers, exact, html, joins, lines, mixing, search, sketches, suffixes, tokens
 from sparkveil.llm.common import crc_fold, table
 
 #: The vocabulary that the token queries use.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The vocabulary that op13 aligns with it.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Tokens above which op7 marks a document.
 TOKEN_LIMIT = 512
 
@@ -61,6 +63,18 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_fold() == 0).alias("held_out"), "score", "predicted", "raw_bytes", "bad_bytes", "good_bytes")
 
 
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"))
+
+
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), VOCABULARY, PIECES, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": byte_bpe,
     "op2_toxicity": toxicity,
@@ -72,6 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": mix_sources,
     "op9_fingerprints": fingerprints,
     "op10_quality": quality,
+    "op11_suffix_dedup": suffix_dedup,
+    "op12_lexical_search": lexical_search,
+    "op13_token_alignment": token_alignment,
 }
 
 #: The same results in DuckDB. The other operators can't be stated in SQL, or not on whole tables in fair time.
@@ -119,4 +136,24 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, source, lang, text, unnest(range(1, times + 1))::INTEGER AS repetition FROM k WHERE times > 0
     """,
+    "op12_lexical_search": r"""
+        WITH w AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+        ), t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+        d AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+        g AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+        v AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight
+            FROM (SELECT term, count(*) AS df FROM t GROUP BY term), g
+        ), i AS (
+            SELECT DISTINCT item_id, term FROM (
+                SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+        ), s AS (
+            SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM i JOIN v USING (term) JOIN t USING (term) JOIN d USING (doc_id), g GROUP BY item_id, doc_id
+        )
+        SELECT item_id, rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0
+        ) WHERE rank <= 50
+    """,
 }
