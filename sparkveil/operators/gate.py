@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.taxonomy import legend_key, token_class
+from sparkveil.operators import ranges
 from sparkveil.operators.recognizers import STANDARD, Registry
-from sparkveil.operators.vault import in_order, json_escaped
+from sparkveil.operators.vault import live, scan
 from sparkveil.sources.durable import durable
 
 SCHEMA_ID = "scp/1.0"
@@ -91,12 +93,12 @@ def gate(packets: DataFrame, vault: DataFrame | None = None, registry: Registry
     """
     registry = registry or STANDARD
     rows = packets.withColumn("issues", packet_issues()).withColumn("_scan", scannable()).withColumn("_payload", serialized())
+    leaked = F.lit(False)
     if vault is not None:
-        own = vault.filter("not overflow and length(value) >= 4").groupBy("session").agg(F.collect_list("value").alias("_values"))
-        rows = rows.join(own, "session", "left").withColumn("_bare", without_filled())
-        leaked = F.exists(F.coalesce("_values", F.array().cast("array<string>")), lambda x: F.col("_bare").contains(x) | F.col("_bare").contains(json_escaped(x)))
-    else:
-        leaked = F.lit(False)
+        rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
+        met = scan(rows.select("session", "_row", without_filled().alias("_bare")), live(vault), payload="_bare").select("_row").distinct()
+        rows = rows.join(met.withColumn("_leaked", F.lit(True)), "_row", "left")
+        leaked = F.coalesce("_leaked", F.lit(False))
     v = F.col("visual")
     wrong = v["data_b64"].isNotNull() & ~F.sha2(v["data_b64"].cast("binary"), 256).eqNullSafe(v["sha256"])
     found = F.array(
@@ -107,36 +109,41 @@ def gate(packets: DataFrame, vault: DataFrame | None = None, registry: Registry
     classes = F.filter(F.transform("elements", lambda e: token_class(e["value"]["token"])), lambda c: c.isNotNull())
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(classes)), lambda c: F.struct(legend_key(c), F.size(F.filter(classes, lambda x: x == c)))))
     rows = rows.withColumn("reasons", reasons).withColumn("bytes", F.octet_length("_payload")).withColumn("payload_sha256", F.sha2(F.col("_payload").cast("binary"), 256))
-    return rows.withColumn("legend_counts", counts).withColumn("passed", F.size("reasons") == 0).drop("_scan", "_payload", "_bare", "_values")
+    return rows.withColumn("legend_counts", counts).withColumn("passed", F.size("reasons") == 0).drop("_scan", "_payload", "_row", "_leaked")
 
 
-def rate_limit(sends: DataFrame, session: str = "session", at: str = "sent_at_ms", order: str = "seq", most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:
+def rate_limit(sends: DataFrame, session: str = "session", at: str = "sent_at_ms", order: str | tuple[str, ...] = "seq", most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:
     """``sends`` (session, at, order) with allowed: at most ``most`` allowed ones in any ``window_ms``.
 
-    Refused attempts use nothing up, so each decision depends on those before. A session's attempts are
-    walked in order; the state is the times still inside the window, at most ``most``.
+    Refused attempts use nothing up, so each decision depends on those before. Where a session pauses for ``window_ms`` or longer
+    nothing counts any more, so it is cut there and the parts are walked on their own; the state is the times still inside the window,
+    at most ``most``. Each row is judged once, repeated ones too; a null session is one session, a row without a time is not allowed.
     """
-    kind = sends.schema[order].dataType.simpleString()
-
-    def step(state: dict, row: dict) -> tuple:
-        live = state["live"] = [t for t in state.get("live", []) if t > row["at"] - window_ms]
+    order = (order,) if isinstance(order, str) else order
+
+    def step(state: dict, time: int | None) -> tuple:
+        if time is None:
+            return (False,)
+        live = state.setdefault("live", deque())
+        while live and live[0] <= time - window_ms:
+            live.popleft()
         allowed = len(live) < most
         if allowed:
-            live.append(row["at"])
-        return row["o"], allowed
+            live.append(time)
+        return (allowed,)
 
-    rows = sends.select(session, F.col(at).cast("long").alias("at"), F.col(order).alias("o"))
-    verdicts = in_order(rows, session, ["at", "o"], f"`o` {kind}, allowed boolean", step)
-    return sends.join(verdicts.withColumnRenamed("o", order), [session, order])
+    rows = ranges.dealt(sends.withColumn("_time", F.col(at).cast("long")), session, ["_time", *order])
+    cut = ranges.islands(rows, session, "_time", window_ms)
+    return ranges.in_order(cut, "island", [ranges.AT], ["_time"], "allowed boolean", step).drop("_time", "island", ranges.PART, ranges.AT)
 
 
 def outcomes(gated: DataFrame, most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Gated packets with outcome sent or blocked: those that pass all checks go to the rate limit."""
-    gated = durable(gated)
-    limited = rate_limit(gated.filter("passed").select("session", "packet_id", "sent_at_ms"), order="packet_id", most=most, window_ms=window_ms)
-    rows = gated.join(limited.select("session", "packet_id", "allowed"), ["session", "packet_id"], "left")
+    """Gated packets with outcome sent or blocked, one row for each attempt: those that pass all checks go to the rate limit."""
+    gated = durable(gated.withColumn("_attempt", F.monotonically_increasing_id()))
+    limited = rate_limit(gated.filter("passed").select("session", "packet_id", "_attempt", "sent_at_ms"), order=("packet_id", "_attempt"), most=most, window_ms=window_ms)
+    rows = gated.join(limited.select("_attempt", "allowed"), "_attempt", "left")
     reasons = F.when(F.col("allowed") == F.lit(False), F.array(F.lit("rate_limit"))).otherwise(F.col("reasons"))
-    return rows.withColumn("reasons", reasons).withColumn("outcome", F.when(F.col("passed") & F.col("allowed"), "sent").otherwise("blocked")).drop("allowed")
+    return rows.withColumn("reasons", reasons).withColumn("outcome", F.when(F.col("passed") & F.col("allowed"), "sent").otherwise("blocked")).drop("allowed", "_attempt")
 
 
 def receipts(decided: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkveil.functions.taxonomy import format_token
+from sparkveil.operators import ranges
+from sparkveil.sources.durable import durable
 from sparkveil.sources.shipping import ship
 
 CAP = 256
@@ -53,81 +56,127 @@ def remembered(events: DataFrame, session: str = "session", now=None, ttl: str |
     return latest if now is None else latest.filter(F.col("created_at") >= F.lit(now) - F.expr(f"INTERVAL {ttl or '30 minutes'}"))
 
 
+def live(vault: DataFrame) -> DataFrame:
+    """A vault's entries as ``scan`` takes them: session, cls, token, value; cls and token are null where the vault has none."""
+    rows = vault.filter("not overflow") if "overflow" in vault.columns else vault
+    return rows.select("session", *[F.col(c) if c in vault.columns else F.lit(None).cast("string").alias(c) for c in ("cls", "token")], "value")
+
+
 def json_escaped(value: Column) -> Column:
     """A value as it appears inside a JSON string."""
     return F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":"|"\}$', "")
 
 
+def scan(payloads: DataFrame, entries: DataFrame, session: str = "session", payload: str = "payload") -> DataFrame:
+    """A row for each entry (session, cls, token, value) and payload of its session that has the value, as it is or JSON-escaped.
+
+    Columns are those of ``payloads``, cls and token. A session's entries become one automaton (Aho-Corasick), and each payload is read
+    once, whatever the number of entries. A session's payloads are streamed past its automaton; hot sessions, fewer than 1000, are cut
+    into parts that each build it. An automaton holds the session's values: a vault is capped, a value's length is not.
+    """
+    spark = payloads.sparkSession
+    ship(spark)
+    kept = payloads.columns
+    rows = payloads.select(F.col(session).alias("_session"), F.col(payload).alias("_text"), F.struct(*kept).alias("_kept"))
+    counts = rows.groupBy("_session").agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).head()[0] or 0
+    share = max(1000, -(-total // 1000))
+    hot = counts.filter(F.col("_n") > share).select(F.col("_session").alias("_hot"), F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+
+    def parted(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(hot), F.col("_session").eqNullSafe(F.col("_hot")), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_hot")
+
+    read = parted(rows).select("_session", F.pmod(F.xxhash64("_text"), F.col("_parts")).cast("int").alias("_part"), F.lit(1).alias("_kind"), "_text", "_kept", *[F.lit(None).cast("string").alias(c) for c in ("said", "cls", "token")])
+    own = entries.filter(F.length("value") >= LEAST_LEAK).select(F.col(session).alias("_session"), F.col("value").alias("_text"), json_escaped(F.col("value")).alias("said"), "cls", "token")
+    own = parted(own).select("_session", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), "_text", F.lit(None).cast(rows.schema["_kept"].dataType).alias("_kept"), "said", "cls", "token")
+    met = own.unionByName(read).repartition("_session", "_part").sortWithinPartitions("_session", "_part", "_kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        now, words, named, automaton = object(), {}, [], None
+        for batch in batches:
+            hits, found = [], []
+            columns = [batch.column(c).to_pylist() for c in ("_session", "_part", "_kind", "_text", "said", "cls", "token")]
+            for i, (who, part, kind, text, said, cls, token) in enumerate(zip(*columns, strict=True)):
+                if (who, part) != now:
+                    now, words, named, automaton = (who, part), {}, [], None
+                if kind == 0:
+                    for word in {text, said}:
+                        words.setdefault(word, []).append(len(named))
+                    named.append((cls, token))
+                    continue
+                if not words or not text:
+                    continue
+                if automaton is None:
+                    automaton = ahocorasick.Automaton()
+                    for word, at in words.items():
+                        automaton.add_word(word, at)
+                    automaton.make_automaton()
+                for at in sorted({a for _, own in automaton.iter(text) for a in own}):
+                    hits.append(i)
+                    found.append(named[at])
+            if hits:
+                kept_rows = batch.column("_kept").take(pa.array(hits))
+                yield pa.RecordBatch.from_arrays([kept_rows, pa.array([c for c, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], ["_kept", "cls", "token"])
+
+    schema = StructType([rows.schema["_kept"], StructField("cls", StringType()), StructField("token", StringType())])
+    return met.mapInArrow(run, schema).select("_kept.*", "cls", "token")
+
+
 def leaks(payloads: DataFrame, vault: DataFrame, session: str = "session", payload: str = "payload", kept: DataFrame | None = None) -> DataFrame:
     """Tokens whose value occurs in a payload of the same session, as it is or JSON-escaped: the payload's columns, cls and token.
 
     ``kept`` has the session's remembered values (session, key, value); one that has no token is named VAULT:REMEMBERED#n.
-    A session's values, of which a vault has a capped number, go to its payloads as one list.
     """
-    long_enough = F.length("value") >= LEAST_LEAK
-    own = vault.filter(~F.col("overflow") & long_enough).select(session, "cls", "token", "value")
+    own = vault.filter(~F.col("overflow")).select(session, "cls", "token", "value")
     if kept is not None:
-        more = kept.filter(long_enough).select(session, "value").distinct().join(own.select(session, "value"), [session, "value"], "left_anti")
+        more = kept.filter(F.length("value") >= LEAST_LEAK).select(session, "value").distinct().join(own.select(F.col(session).alias("_s"), F.col("value").alias("_v")), F.col(session).eqNullSafe(F.col("_s")) & (F.col("value") == F.col("_v")), "left_anti")
         nth = F.row_number().over(W.partitionBy(session).orderBy("value"))
         own = own.unionByName(more.select(session, F.lit(None).cast("string").alias("cls"), F.concat(F.lit("VAULT:REMEMBERED#"), nth).alias("token"), "value"))
-    lists = own.groupBy(session).agg(F.collect_list(F.struct("cls", "token", "value", json_escaped(F.col("value")).alias("said"))).alias("_own"))
-    hit = F.filter("_own", lambda v: F.col(payload).contains(v["value"]) | F.col(payload).contains(v["said"]))
-    met = payloads.join(lists, session).withColumn("_own", hit)
-    return met.select(*payloads.columns, F.explode("_own").alias("v")).select(*payloads.columns, "v.cls", "v.token")
+    return scan(payloads, own, session, payload)
 
 
 def sessions(events: DataFrame, user: str = "user_id", origin: str = "event_type", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """``events`` with the vault's session: it is wiped whenever the origin changes."""
-    w = W.partitionBy(user).orderBy(*order)
-    changed = F.coalesce((F.col(origin) != F.lag(origin).over(w)).cast("int"), F.lit(0))
-    return events.withColumn("_changed", changed).withColumn("session_no", F.sum("_changed").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_changed")
+    """``events`` with the vault's session: it is wiped whenever the origin changes. A user's events are scanned in ranges."""
+    rows = ranges.previous(ranges.dealt(events, user, list(order)), user, {"_was": origin})
+    changed = F.coalesce((F.col(origin) != F.col("_was")).cast("long"), F.lit(0))
+    return ranges.running(rows, user, sums={"session_no": changed}).drop("_was", ranges.PART, ranges.AT)
 
 
 def running_totals(receipts: DataFrame, amounts: tuple[str, ...], session: str = "session", order: str = "at") -> DataFrame:
-    """``receipts`` (session, at and ``amounts``) with sent, the session's receipts so far, and each amount's sum so far."""
-    w = W.partitionBy(session).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return receipts.withColumns({"sent": F.count("*").over(w), **{a: F.sum(a).over(w).cast("long") for a in amounts}})
-
-
-def in_order(rows: DataFrame, session: str, order: list[str], out: str, step: Callable[[dict, dict], tuple]) -> DataFrame:
-    """Each row's (session, ``out``) as ``step`` makes it of the session's state, which it changes, and the row.
+    """``receipts`` (session, at and ``amounts``) with sent, the session's receipts so far, and each amount's sum so far.
 
-    What happens depends on all that came before, so a session is walked in order by one task; rows are streamed, and
-    memory holds one batch and one state, however long a session is.
+    Rows are summed in ranges of (session, at), and a range starts from what its first session had before: no task gets a whole session.
     """
-    ship(rows.sparkSession)
-    names = [session, *(f.split()[0].strip("`") for f in out.split(", "))]
-    kind = rows.schema[session].dataType.simpleString()
-    dealt = rows.repartition(session).sortWithinPartitions(session, *order)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = object(), {}
-        for batch in batches:
-            made = []
-            for row in batch.to_dict("records"):
-                if row[session] != now:
-                    now, state = row[session], {}
-                made.append((now, *step(state, row)))
-            yield pd.DataFrame(made, columns=names)
-
-    return dealt.mapInPandas(run, f"`{session}` {kind}, {out}")
+    rows = ranges.dealt(receipts, session, [order])
+    out = ranges.running(rows, session, sums={"sent": F.lit(1).cast("long"), **{f"_sum_{a}": F.col(a).cast("long") for a in amounts}})
+    return out.withColumns({a: F.col(f"_sum_{a}") for a in amounts}).drop(*[f"_sum_{a}" for a in amounts], ranges.PART, ranges.AT)
 
 
 def mint_with_ttl(attempts: DataFrame, session: str = "session", ttl_ms: int = TTL_MS, cap: int = CAP) -> DataFrame:
     """Each attempt (session, cls, value, at: epoch ms, seq) with its token, as entries expire.
 
-    An entry lives until it is older than ``ttl_ms``; using it does not renew it, and ordinals are not
-    used again. The state is at most ``cap`` entries and a counter for each class.
+    An entry lives until it is older than ``ttl_ms``; using it does not renew it, and ordinals are not used again. After a gap
+    longer than ``ttl_ms`` nothing lives, so a session is cut there: the parts are walked on their own, with at most ``cap`` entries
+    and a counter for each class, and a second scan over the parts adds the ordinals that earlier ones gave out.
     """
 
-    def step(state: dict, r: dict) -> tuple:
-        live, numbers, key = state.setdefault("live", {}), state.setdefault("n", {}), (r["cls"], r["value"])
-        for k in [k for k, (made, _) in live.items() if made < r["at"] - ttl_ms]:
-            del live[k]
-        if key not in live and len(live) < cap:
-            numbers[r["cls"]] = numbers.get(r["cls"], 0) + 1
-            live[key] = (r["at"], numbers[r["cls"]])
-        return r["cls"], r["value"], r["at"], r["seq"], f"PII:{r['cls']}#{live[key][1] if key in live else '?'}"
+    def step(state: dict, cls: str, value: str, at: int) -> tuple:
+        live, numbers = state.setdefault("live", {}), state.setdefault("n", {})
+        while live and (oldest := next(iter(live.values())))[0] < at - ttl_ms:  # made in order of time
+            del live[oldest[2]]
+        if (cls, value) not in live and len(live) < cap:
+            numbers[cls] = numbers.get(cls, 0) + 1
+            live[cls, value] = (at, numbers[cls], (cls, value))
+        return (live[cls, value][1] if (cls, value) in live else None,)
 
     rows = attempts.select(session, "cls", "value", F.col("at").cast("long"), F.col("seq").cast("long"))
-    return in_order(rows, session, ["at", "seq"], "cls string, value string, at long, seq long, token string", step)
+    cut = ranges.islands(ranges.dealt(rows, session, ["at", "seq"]), session, "at", ttl_ms + 1)
+    walked = durable(ranges.in_order(cut, "island", [ranges.AT], ["cls", "value", "at"], "n long", step).drop(ranges.PART, ranges.AT))
+    given = walked.groupBy(session, "cls", "island").agg(F.coalesce(F.max("n"), F.lit(0)).alias("_given"))
+    given = ranges.running(ranges.dealt(given, [session, "cls"], ["island"]), [session, "cls"], sums={"_before": F.col("_given")})
+    before = given.select("island", F.col("cls").alias("_cls"), (F.col("_before") - F.col("_given")).alias("_before"))
+    out = walked.join(before, (walked["island"] == before["island"]) & F.col("cls").eqNullSafe(F.col("_cls")))
+    token = F.concat(F.lit("PII:"), F.col("cls"), F.lit("#"), F.coalesce((F.col("n") + F.col("_before")).cast("string"), F.lit("?")))
+    return out.select(session, "cls", "value", "at", "seq", token.alias("token"))

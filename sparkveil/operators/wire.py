@@ -18,7 +18,8 @@ from sparkveil.functions.taxonomy import CLASSES, MODES
 from sparkveil.operators import planner
 from sparkveil.operators.gate import MOST_ELEMENTS, MOST_HISTORY, MOST_INTENT, MOST_REQUEST, MOST_TEXT, MOST_TEXTS, PACKET, SCHEMA_ID, TRIPWIRE
 from sparkveil.operators.recognizers import STANDARD, Registry
-from sparkveil.operators.vault import LEAST_LEAK, json_escaped
+from sparkveil.operators.vault import live, scan
+from sparkveil.sources.durable import durable
 from sparkveil.sources.shipping import ship
 
 PLAN_ID, POLICY_VERSION = "plan/1.0", "2026.1"
@@ -334,25 +335,30 @@ def guard_answers(answers: DataFrame, packets: DataFrame, vault: DataFrame | Non
 
     A plan is checked like a packet: its form (schema, which ends the checks), its steps against the packet (guard), its
     own text for personal data (tripwire) and for values of the session's vault (vault: session, token, value).
-    ``packets`` has the schema of ``operators.gate.PACKET`` and session. Nothing passes by default.
+    ``packets`` has the schema of ``operators.gate.PACKET`` and session. Nothing passes by default. Each answer gives one
+    row, repeated ones too; one about a packet_id that several packets have is refused by the guard, as it is not known which.
     """
     ship(answers.sparkSession)
-    rows = answers.withColumn("_faults", _faults_of(plan_faults)(F.col("raw"))).withColumn("_plan", F.from_json("raw", _PLAN))
+    rows = durable(answers.withColumn("_row", F.monotonically_increasing_id()).withColumn("_faults", _faults_of(plan_faults)(F.col("raw"))))
+    rows = rows.withColumn("_plan", F.from_json("raw", _PLAN))
     formed = F.size("_faults") == 0
     steps = F.transform("_plan.steps", lambda s: F.struct(s["action"].alias("action"), s["target_element_id"].alias("target"), s["value"]["kind"].alias("value_kind"), s["value"]["token"].alias("token"), s["requires_confirmation"].alias("requires_confirmation")))
-    plans = rows.filter(formed).select("plan_id", "packet_id", F.col("_plan.packet_id").alias("answers"), steps.cast(f"array<{planner.STEP}>").alias("steps"))
-    refused = planner.guard(plans, packets).groupBy("plan_id").agg(F.count("*").alias("_problems"))
-    # the packet's id is made by a machine and bound to the request by the guard
-    bare = F.regexp_replace("raw", r'"packet_id"\s*:\s*"[^"\\]*"\s*,?', "")
+    plans = rows.filter(formed).select(F.col("_row").alias("plan_id"), "packet_id", F.col("_plan.packet_id").alias("answers"), steps.cast(f"array<{planner.STEP}>").alias("steps"))
+    refused = planner.guard(plans, packets).groupBy(F.col("plan_id").alias("_row")).agg(F.count("*").alias("_problems"))
+    # only the top-level id, where it is the one of the packet asked about, is left out; all else is read, whatever its key
+    fields = F.map_entries(F.from_json("raw", "map<string,string>"))
+    read = F.filter(fields, lambda e: ~((e["key"] == "packet_id") & e["value"].eqNullSafe(F.col("packet_id"))))
+    bare = F.array_join(F.transform(read, lambda e: F.concat_ws("\n", e["key"], e["value"])), "\n")
     rows = rows.withColumn("_bare", F.when(formed, bare))
     tripped = F.size((registry or STANDARD).analyze("_bare", TRIPWIRE)) > 0
-    rows = rows.join(refused, "plan_id", "left").join(packets.select("packet_id", "session"), "packet_id", "left")
+    asked = packets.groupBy("packet_id").agg(F.first("session").alias("session"), (F.count("*") > 1).alias("_several"))
+    rows = rows.join(refused, "_row", "left").join(asked, "packet_id", "left")
     leaked = F.lit(False)
     if vault is not None:
-        own = vault.filter(f"not overflow and length(value) >= {LEAST_LEAK}").groupBy("session").agg(F.collect_list("value").alias("_values"))  # a vault is capped
-        rows = rows.join(own, "session", "left")
-        leaked = F.exists(F.coalesce("_values", F.array().cast("array<string>")), lambda v: F.col("_bare").contains(v) | F.col("_bare").contains(json_escaped(v)))
-    found = F.array(F.when(F.col("_problems") > 0, "guard"), F.when(tripped, "tripwire"), F.when(leaked, "vault"))
+        met = scan(rows.select("session", "_row", "_bare"), live(vault), payload="_bare").select("_row").distinct()
+        rows = rows.join(met.withColumn("_leaked", F.lit(True)), "_row", "left")
+        leaked = F.coalesce("_leaked", F.lit(False))
+    found = F.array(F.when((F.col("_problems") > 0) | F.col("_several"), "guard"), F.when(tripped, "tripwire"), F.when(leaked, "vault"))
     reasons = F.when(~formed, F.array(F.lit("schema"))).otherwise(F.filter(found, lambda r: r.isNotNull()))
     rows = rows.withColumn("reasons", reasons)
     return rows.select("plan_id", "packet_id", F.when(F.size("reasons") == 0, "pass").otherwise("blocked").alias("outcome"), "reasons", F.when(formed, F.size("_plan.steps")).alias("n_steps"), F.coalesce("_problems", F.lit(0)).alias("n_problems"))
