@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkveil.functions.binding import let
 
 
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
@@ -66,31 +65,6 @@ def dilate(b: Column, width: Column, height: Column) -> Column:
     return box(x1, y1, F.greatest(x2 - x1, F.lit(0)), F.greatest(y2 - y1, F.lit(0)))
 
 
-def union_area(boxes: Column) -> Column:
-    """The area that an array of boxes covers: cells between their distinct coordinates, each counted once."""
-
-    def edges(lo: str, size: str) -> Column:
-        return F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b[lo], b[lo] + b[size])))))
-
-    def strips(e: Column) -> Column:
-        """The height that boxes cover between each two neighbouring x, times the width between these."""
-        xs, ys = e["xs"], e["ys"]
-
-        def strip(i: Column) -> Column:
-            x1, x2 = F.get(xs, i), F.get(xs, i + 1)
-            across = F.filter(boxes, lambda b: (b["x"] <= (x1 + x2) / 2) & ((x1 + x2) / 2 < b["x"] + b["w"]))
-
-            def covered(c: Column, j: Column) -> Column:
-                middle = (F.get(ys, j) + F.get(ys, j + 1)) / 2
-                return F.when(F.exists(c, lambda b: (b["y"] <= middle) & (middle < b["y"] + b["h"])), F.get(ys, j + 1) - F.get(ys, j)).otherwise(0.0)
-
-            return (x2 - x1) * let(across, lambda c: F.aggregate(F.sequence(F.lit(0), F.size(ys) - 2), F.lit(0.0), lambda t, j: t + covered(c, j)))
-
-        return F.when((F.size(xs) > 1) & (F.size(ys) > 1), F.aggregate(F.sequence(F.lit(0), F.size(xs) - 2), F.lit(0.0), lambda t, i: t + strip(i))).otherwise(0.0)
-
-    return F.when(F.size(boxes) > 0, let(F.struct(edges("x", "w").alias("xs"), edges("y", "h").alias("ys")), strips)).otherwise(0.0)
-
-
 def suppressed(candidates: Column, threshold: float = 0.5) -> Column:
     """Non-maximum suppression of an array of STRUCT<score, ord, box>: best score first (then least ord), each
     kept unless it overlaps a kept one by more than ``threshold``."""

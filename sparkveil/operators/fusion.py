@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.functions.geometry import centroid_distance, clip, css_to_image, iou, union_area
+from sparkveil.functions.geometry import centroid_distance, clip, css_to_image, iou
+from sparkveil.operators.areas import union_areas
 
 ACCEPT, CONSIDER, NEAR = 0.5, 0.3, 24.0
 # fixed values: roles that a kind of detection may be explained by
@@ -55,8 +56,8 @@ def structure_only(dom: DataFrame, space: DataFrame, fused: DataFrame) -> DataFr
 
 def explained_fraction(fused: DataFrame, space: DataFrame) -> DataFrame:
     """The part of each page's image that unexplained detections leave: page_id, unexplained and explained fraction."""
-    boxes = fused.filter("via is null").groupBy("page_id").agg(F.collect_list("box").alias("boxes"))
-    met = space.join(boxes, "page_id", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")))
+    covered = union_areas(fused.filter("via is null"), ["page_id"])
+    met = space.join(covered, "page_id", "left")
     area = (F.col("image_w") * F.col("image_h")).cast("double")
-    part = F.when(area > 0, union_area(F.col("boxes")) / F.nullif(area, F.lit(0.0))).otherwise(0.0)
+    part = F.when(area > 0, F.coalesce(F.col("area"), F.lit(0.0)) / F.nullif(area, F.lit(0.0))).otherwise(0.0)
     return met.select("page_id", part.alias("unexplained_fraction"), (1 - part).alias("explained_fraction"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.functions.geometry import iou, union_area
+from sparkveil.functions.geometry import iou
 from sparkveil.functions.scalars import safe_div
+from sparkveil.operators.areas import union_areas
 
 MATCH_IOU = 0.5
 
@@ -80,12 +81,11 @@ def leaks(truth: DataFrame, matched: DataFrame, key: str = "capture_id") -> Data
 
 def score_redaction(truth: DataFrame, masks: DataFrame, key: str = "page_id") -> DataFrame:
     """Coverage, over-masking and mean overlap of ``masks`` (key, p, box) over ``truth`` (key, g, box), for each key."""
-    none = F.array().cast("array<struct<x:double,y:double,w:double,h:double>>")
-    a = truth.groupBy(key).agg(F.collect_list("box").alias("_t"))
-    b = masks.groupBy(key).agg(F.collect_list("box").alias("_m"))
-    met = a.join(b, key, "full").select(key, F.coalesce("_t", none).alias("_t"), F.coalesce("_m", none).alias("_m"))
+    kinds = lambda df, *names: df.select(key, F.explode(F.array(*map(F.lit, names))).alias("_kind"), "box")
+    covered = union_areas(kinds(truth, "t", "u").unionByName(kinds(masks, "m", "u")), [key, "_kind"])
+    part = lambda k: F.coalesce(F.max(F.when(F.col("_kind") == k, F.col("area"))), F.lit(0.0)).alias(k)
+    met = covered.groupBy(key).agg(part("t"), part("m"), part("u")).withColumn("i", F.col("t") + F.col("m") - F.col("u"))
     pairs = match(truth, masks, key, 0.01, by_class=False).groupBy(key).agg(F.avg("iou").alias("mean_iou"))
-    met = met.select(key, union_area(F.col("_t")).alias("t"), union_area(F.col("_m")).alias("m"), union_area(F.concat("_t", "_m")).alias("u")).withColumn("i", F.col("t") + F.col("m") - F.col("u"))
     rows = met.join(pairs, key, "left")
     coverage = F.when(F.col("t") == 0, 1.0).otherwise(F.col("i") / F.nullif(F.col("t"), F.lit(0.0)))
     over = F.when(F.col("m") == 0, 0.0).otherwise((F.col("m") - F.col("i")) / F.nullif(F.col("m"), F.lit(0.0)))

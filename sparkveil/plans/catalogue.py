@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.functions import checksums, geometry, scalars, taxonomy, validators
-from sparkveil.operators import blur, fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
+from sparkveil.operators import areas, blur, fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
 from sparkveil.sources import captures, synthetic
 from sparkveil.sources.durable import shared_folder
 from sparkveil.sources.synthetic import table, view
@@ -416,7 +416,7 @@ def explained_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH d AS (SELECT * FROM ({_duck(synthetic.DETECTIONS)})) {_union('d', 'page_id')}")
 def union_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, seen, _ = _page(spark, sf_dir)
-    return seen.groupBy("page_id").agg(geometry.union_area(F.collect_list("box")).alias("area"))
+    return areas.union_areas(seen, ["page_id"])
 
 
 @query(
