@@ -29,9 +29,9 @@ RUN = 64
 #: Keys, and pieces, that one group of a shuffle holds on average.
 PART_KEYS, PART_PIECES = 1 << 20, 1 << 16
 #: Pieces of a key above which its strings travel one by one, and how many such keys there may be: beyond that number the bound rises.
-MOST, CROWDED = 32, 1 << 20
-#: Bytes whose suffix arrays are built in step.
-STEP = 1 << 20
+MOST, CROWDED = 1 << 14, 1 << 20
+#: Bytes whose suffix arrays are built in step, and distinct pieces of a key above which they are cut anew by longer substrings.
+STEP, FEW = 1 << 20, 64
 _LAST = (1 << 63) - 1
 
 
@@ -50,6 +50,18 @@ def gram_hashes(text: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
+def whole_hashes(strings: bytes, size: int) -> np.ndarray:
+    """64-bit hashes of strings of ``size`` bytes each, one after another."""
+    n = len(strings) // size
+    words = np.zeros((n, -(-size // 8) * 8), np.uint8)
+    words[:, :size] = np.frombuffer(strings, np.uint8).reshape(n, size)
+    h = np.full(n, size, np.uint64)
+    with np.errstate(over="ignore"):
+        for column in words.view(np.uint64).T:
+            h = mix(h ^ column)
+    return h
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     n = 1
@@ -60,9 +72,9 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
-def pieces(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(texts: list[bytes], length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, text, start, strings) of all pieces: runs of at most RUN strings of one text with one key, in order of the text."""
-    anchor = min(ANCHOR, length)
+    anchor = min(anchor, length)
     out: list[list[np.ndarray]] = [[], [], [], []]
     at = 0
     while at < len(texts):
@@ -258,12 +270,12 @@ def suffix_arrays(texts: np.ndarray, begins: np.ndarray) -> np.ndarray:
         at = at + 1
 
 
-def repeats(strings: list[bytes], of: np.ndarray, order: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string the places whose next ``length`` bytes are in a string of the same text ``of`` with a lesser ``order``.
+def repeats(strings: list[bytes], of: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, place) of all places whose next ``length`` bytes are in a string of the same text ``of`` with a lesser ``order``.
 
-    Strings are sorted by ``of``.
+    Strings are sorted by ``of``; each text gets a suffix array, in which equal strings of ``length`` bytes are neighbours.
     """
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(strings)
+    out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     begins = _runs(of)
     ends = np.append(begins[1:], len(of))
     size = np.add.reduceat(np.array([len(s) + 1 for s in strings]), begins) + 1 if len(begins) else begins
@@ -303,10 +315,60 @@ def repeats(strings: list[bytes], of: np.ndarray, order: np.ndarray, length: int
         rank = order[which][string[sorted_]]
         lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(first, append=len(rank))) if len(first) else rank
         hit = sorted_[rank > lowest]
-        hit = hit[np.argsort(string[hit], kind="stable")]
-        for k, (places_,) in _dealt(string[hit], hit - starts[string[hit]]):
-            out[which[k]] = np.sort(places_)
-    return out
+        out.append((which[string[hit]], hit - starts[string[hit]]))
+    return np.concatenate([s for s, _ in out]), np.concatenate([p for _, p in out])
+
+
+def resolve(strings: list[bytes], keys: np.ndarray, order: np.ndarray, length: int, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeats`` for distinct strings of any key in any order; a key of more than FEW strings is cut anew by longer substrings.
+
+    Longer substrings part the strings of a crowded key; where they are as long as the strings sought, equal strings are alone.
+    """
+    by_key = np.argsort(keys, kind="stable")
+    begin = _runs(keys[by_key])
+    width = np.diff(begin, append=len(by_key))
+    few = by_key[np.repeat((width > 1) & ((width <= FEW) | (anchor >= length)), width)]  # a key with one string has nothing to sort
+    s, p = repeats([strings[i] for i in few], keys[few], order[few], length)
+    out = [(few[s], p)]
+    many = by_key[np.repeat((width > FEW) & (anchor < length), width)]
+    if len(many):
+        anchor = (anchor + length + 1) // 2 if length - anchor > 8 else length
+        key, of, start, count = pieces([strings[i] for i in many], length, anchor)
+        of = many[of]
+        own = [strings[i][a : a + n] for i, a, n in zip(of.tolist(), start.tolist(), (count + length - 1).tolist(), strict=True)]
+        which, distinct, lowest, distinct_key = collapse(own, key, order[of])
+        later = np.flatnonzero(order[of] > lowest[which])
+        out.append((np.repeat(of[later], count[later]), _counted(start[later], count[later])))
+        first = np.flatnonzero(order[of] == lowest[which])
+        s, p = resolve(distinct, distinct_key, lowest, length, anchor)
+        row, nth = _each(which[first], s)
+        out.append((of[first[row]], start[first[row]] + p[nth]))
+    return np.concatenate([s for s, _ in out]), np.concatenate([p for _, p in out])
+
+
+def collapse(strings: list[bytes], keys: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The number of each string's value, the values, and the least order and the key of each."""
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
+    lowest = np.full(len(number), _LAST, np.int64)
+    np.minimum.at(lowest, which, order)
+    own_key = np.zeros(len(number), np.uint64)
+    own_key[which] = keys
+    return which, list(number), lowest, own_key
+
+
+def _counted(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each row, ``count`` of them."""
+    return np.arange(count.sum()) + np.repeat(start - np.cumsum(count) + count, count)
+
+
+def _each(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``values``, place in ``wanted``) of all equal pairs."""
+    order = np.argsort(values, kind="stable")
+    low, high = np.searchsorted(values[order], wanted, "left"), np.searchsorted(values[order], wanted, "right")
+    return order[_counted(low, high - low)], np.repeat(np.arange(len(wanted)), high - low)
+
+
 
 
 # ---------------------------------------------------------------- the steps of the job
@@ -459,8 +521,7 @@ def _pieces(marked: DataFrame, length: int, parts: int, groups: int, crowded: np
             ord_, tid = np.array(ords, np.int64)[text], np.array(tids, np.int64)[text]
             strings = [texts[t][s : s + c] for t, s, c in zip(text.tolist(), start.tolist(), (count + length - 1).tolist(), strict=True)]
             if first < len(key):
-                flat = np.frombuffer(b"".join(strings[first:]), np.uint8)
-                key[first:] = mix(gram_hashes(flat, length)[::length])
+                key[first:] = whole_hashes(b"".join(strings[first:]), length)
             lowest: dict[bytes, int] = {}
             for s, o in zip(strings, ord_.tolist(), strict=True):
                 if o < lowest.setdefault(s, o):
@@ -512,31 +573,16 @@ def _spans(dealt: DataFrame, length: int, groups: int) -> DataFrame:
                 parts.append(own)
             keys, tid, ord_, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
             start, count = start.astype(np.int64), count.astype(np.int64)
-            number: dict[bytes, int] = {}
-            which = np.fromiter((number.setdefault(s, len(number)) for s in strings), np.int64, len(strings))
-            distinct = list(number)
-            lowest = np.full(len(distinct), _LAST, np.int64)
-            np.minimum.at(lowest, which, ord_)
-            own_key = np.zeros(len(distinct), np.uint64)
-            own_key[which] = keys
+            which, distinct, lowest, own_key = collapse(strings, keys, ord_)
             gone = ord_ > lowest[which]
-            found = [[tid[gone]], [ord_[gone]], [start[gone]], [(start + count + length - 1)[gone]]]
-            order = np.argsort(own_key, kind="stable")
-            begin = _runs(own_key[order])
-            width = np.diff(begin, append=len(order))
-            shared = order[np.repeat(width > 1, width)]  # a key with one string has nothing to sort
-            hits = repeats([distinct[i] for i in shared], own_key[shared], lowest[shared], length)
-            left = np.flatnonzero(~gone)
-            left = left[np.argsort(which[left], kind="stable")]
-            at = np.searchsorted(which[left], np.arange(len(distinct) + 1))
-            for i, places in zip(shared, hits, strict=True):
-                if len(places):
-                    cut = np.flatnonzero(np.diff(places) > 1)
-                    a, b = places[np.concatenate([[0], cut + 1])], places[np.append(cut, len(places) - 1)] + length
-                    for row in left[at[i] : at[i + 1]]:
-                        for kind, x in zip(found, (np.full(len(a), tid[row]), np.full(len(a), ord_[row]), start[row] + a, start[row] + b), strict=True):
-                            kind.append(x)
-            found = [np.concatenate(x) for x in found]
+            first = np.flatnonzero(~gone)
+            string, place = resolve(distinct, own_key, lowest, length)
+            order = np.lexsort((place, string))
+            string, place = string[order], place[order]
+            begin = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (place[1:] > place[:-1] + 1)])) if len(string) else string
+            row, nth = _each(which[first], string[begin])
+            row, a, b = first[row], place[begin][nth], (place[np.append(begin[1:], len(place)) - 1] if len(place) else place)[nth] + length
+            found = [np.concatenate([x[gone], y]) for x, y in zip((tid, ord_, start, start + count + length - 1), (tid[row], ord_[row], start[row] + a, start[row] + b), strict=True)]
         tid, ord_, start, end = _joined(*found)
         text = _runs(np.cumsum(np.concatenate([[0], (tid[1:] != tid[:-1]) | (ord_[1:] != ord_[:-1])])) if len(tid) else tid)
         rows = [(int(tid[a]), int(ord_[a]), np.stack([start[a:b], end[a:b]], 1).tobytes()) for a, b in zip(text, [*text[1:], len(tid)], strict=True)] if len(text) else []
