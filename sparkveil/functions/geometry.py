@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def box(x: Column, y: Column, w: Column, h: Column) -> Column:
     return F.struct(*[c.cast("double").alias(n) for c, n in ((x, "x"), (y, "y"), (w, "w"), (h, "h"))])
 
@@ -63,11 +62,3 @@ def dilate(b: Column, width: Column, height: Column) -> Column:
     x1, y1 = F.greatest(F.lit(0), F.floor(b["x"] - d)), F.greatest(F.lit(0), F.floor(b["y"] - d))
     x2, y2 = F.least(width, F.ceil(b["x"] + b["w"] + d)), F.least(height, F.ceil(b["y"] + b["h"] + d))
     return box(x1, y1, F.greatest(x2 - x1, F.lit(0)), F.greatest(y2 - y1, F.lit(0)))
-
-
-def suppressed(candidates: Column, threshold: float = 0.5) -> Column:
-    """Non-maximum suppression of an array of STRUCT<score, ord, box>: best score first (then least ord), each
-    kept unless it overlaps a kept one by more than ``threshold``."""
-    ordered = F.transform(F.array_sort(F.transform(candidates, lambda c: F.struct((-c["score"]).alias("s"), c["ord"].alias("o"), c.alias("c")))), lambda x: x["c"])
-    empty = F.filter(ordered, lambda _: F.lit(False))
-    return F.aggregate(ordered, empty, lambda kept, c: F.when(F.exists(kept, lambda k: iou(k["box"], c["box"]) > threshold), kept).otherwise(F.concat(kept, F.array(c))))

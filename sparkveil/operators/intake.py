@@ -65,8 +65,8 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
     """What is masked on each page, and what may be told of it.
 
     ``pages`` has page_id, kind (image or pdf), width, height and hint (an upload field asks for an identity document);
-    ``texts`` has page_id, pos, text and box, of which MOST_LINES a page count; ``faces`` and ``codes`` have page_id, pos and
-    box. More than MOST_CODES codes mask the whole page, as one.
+    ``texts`` has page_id, pos, text and box; a page with more than MOST_LINES of them is masked whole, and only that many are read.
+    ``faces`` and ``codes`` have page_id, pos and box. More than MOST_CODES codes mask the whole page, as one.
 
     report: counts, cues, the treatment, and counts by class; masks: page_id, pos, label, box; tokens: the only words of
     the page that may leave, its typed tokens. A page is masked whole where a cue or a code can't be placed, where
@@ -74,7 +74,9 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
     """
     registry = registry or STANDARD
     at = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
-    lines = texts.withColumn("nth", at).filter(f"nth <= {MOST_LINES}").withColumn("spans", registry.analyze("text", 0.3))
+    lines = texts.withColumn("nth", at).filter(f"nth <= {MOST_LINES + 1}")  # one more tells that there are too many
+    long = lines.filter(f"nth > {MOST_LINES}").select("page_id", F.lit(True).alias("too_long"))
+    lines = lines.filter(f"nth <= {MOST_LINES}").withColumn("spans", registry.analyze("text", 0.3))
     strong = F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda s: (s["confidence"] >= 0.5) & (severity(s["cls"]) != "medium")), lambda s: s["cls"])))
     lines = lines.withColumn("strong", strong)
     told = lines.groupBy("page_id").agg(
@@ -82,18 +84,18 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
         F.bool_or(F.length(F.regexp_replace("text", "[^0-9]", "")) >= 8).alias("has_number"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: s["cls"]))))).alias("seen_classes"),
     )
     counted = lambda df, to: df.groupBy("page_id").agg(F.count("*").alias(to))
-    rows = pages.join(told, "page_id", "left").join(counted(faces, "n_faces"), "page_id", "left").join(counted(codes, "n_found"), "page_id", "left")
-    rows = rows.fillna(0, ["n_lines", "n_strong", "n_faces", "n_found"]).fillna(False, ["cue_identity", "cue_signature", "has_number"])
+    rows = pages.join(told, "page_id", "left").join(counted(faces, "n_faces"), "page_id", "left").join(counted(codes, "n_found"), "page_id", "left").join(long, "page_id", "left")
+    rows = rows.fillna(0, ["n_lines", "n_strong", "n_faces", "n_found"]).fillna(False, ["cue_identity", "cue_signature", "has_number", "too_long"])
     rows = rows.withColumn("n_codes", F.when(F.col("n_found") > MOST_CODES, 1).otherwise(F.col("n_found"))).withColumn("pdf", F.col("kind") == "pdf")
     rows = rows.withColumn("n_faces", F.when(F.col("pdf"), 0).otherwise(F.col("n_faces"))).withColumn("identity", F.coalesce("hint", F.lit(False)) | F.col("cue_identity"))
     found = F.when(F.col("identity"), F.col("n_lines")).otherwise(F.col("n_strong")) + F.col("n_faces") + F.col("n_codes")
     rows = rows.withColumn("n_found_all", found)
     no_code, no_number = F.coalesce("hint", F.lit(False)) & (F.col("n_codes") == 0), F.col("identity") & ~F.col("has_number")
     nothing = (F.col("n_lines") == 0) & (F.col("n_faces") == 0) & (F.col("n_codes") == 0)
-    whole = F.col("pdf") | F.col("cue_signature") | no_code | no_number | (F.col("identity") & (found == 0)) | nothing
+    whole = F.col("pdf") | F.col("too_long") | F.col("cue_signature") | no_code | no_number | (F.col("identity") & (found == 0)) | nothing
     label = F.when(F.col("pdf"), "PDF_PAGE").when(F.col("identity"), "PII:ID_DOCUMENT").when(F.col("cue_signature"), "PII:SIGNATURE").otherwise("UNEXPLAINED")
     treatment = (
-        F.when(F.col("pdf"), "pdf_masked").when(no_code, "code_not_found").when(no_number, "number_not_found").when(whole & (F.col("identity") | F.col("cue_signature")), "cue_not_placed")
+        F.when(F.col("pdf"), "pdf_masked").when(F.col("too_long"), "too_many_lines").when(no_code, "code_not_found").when(no_number, "number_not_found").when(whole & (F.col("identity") | F.col("cue_signature")), "cue_not_placed")
         .when(whole, "nothing_recognized").when(F.col("identity"), "all_lines").otherwise("selective")
     )
     rows = rows.withColumn("whole", whole).withColumn("label", label).withColumn("treatment", treatment)

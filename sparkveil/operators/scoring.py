@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkveil.functions.geometry import iou
 from sparkveil.functions.scalars import safe_div
 from sparkveil.operators.areas import union_areas
+from sparkveil.operators.choices import one_to_one
 
 MATCH_IOU = 0.5
 
 
-def greedy(pairs: Column) -> Column:
-    """One-to-one matches of an array of STRUCT<g, p, iou>: the largest overlap first, then the least g and p."""
-    ordered = F.transform(F.array_sort(F.transform(pairs, lambda x: F.struct((-x["iou"]).alias("a"), x["g"].alias("g"), x["p"].alias("p"), x.alias("x")))), lambda s: s["x"])
-    none = F.filter(ordered, lambda _: F.lit(False))
-    return F.aggregate(ordered, none, lambda kept, x: F.when(F.exists(kept, lambda k: (k["g"] == x["g"]) | (k["p"] == x["p"])), kept).otherwise(F.concat(kept, F.array(x))))
-
-
 def match(truth: DataFrame, predictions: DataFrame, key: str = "capture_id", least: float = MATCH_IOU, by_class: bool = True) -> DataFrame:
     """(key, g, p, iou): greedy matches of ``truth`` (key, g, cls, box) and ``predictions`` (key, p, cls, box) within each key.
 
-    Candidates come from an equi-join on key and class; the order-dependent choice is a fold over one key's candidates.
+    Candidates come from an equi-join on key and class; the largest overlap is taken first, then the least g and p.
     """
     on = [key, "cls"] if by_class else [key]
     left = truth.select(*on, "g", F.col("box").alias("_a"))
     right = predictions.select(*on, "p", F.col("box").alias("_b"))
     met = left.join(right, on).withColumn("iou", iou(F.col("_a"), F.col("_b"))).filter(F.col("iou") >= least)
-    kept = met.groupBy(key).agg(greedy(F.collect_list(F.struct("g", "p", "iou"))).alias("m"))
-    return kept.select(key, F.explode("m").alias("m")).select(key, "m.*")
+    return one_to_one(met.select(key, "g", "p", "iou"), key, [-F.col("iou"), F.col("g"), F.col("p")])
 
 
 def false_alarms(truth: DataFrame, predictions: DataFrame, matched: DataFrame, key: str = "capture_id", least: float = MATCH_IOU) -> DataFrame:
@@ -38,12 +31,7 @@ def false_alarms(truth: DataFrame, predictions: DataFrame, matched: DataFrame, k
     free = predictions.join(matched.select(key, "p"), [key, "p"], "left_anti").select(key, "p", F.col("box").alias("_b"))
     negatives = truth.filter("not must_redact").select(key, "g", F.col("box").alias("_a"))
     met = free.join(negatives, key).filter(iou(F.col("_a"), F.col("_b")) >= least)
-    taken = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("p", "g"))), F.struct(F.array().cast("array<long>").alias("g"), F.array().cast("array<long>").alias("p")),
-        lambda acc, x: F.when(F.array_contains(acc["g"], x["g"]) | F.array_contains(acc["p"], x["p"]), acc).otherwise(F.struct(F.concat(acc["g"], F.array(x["g"].cast("long"))).alias("g"), F.concat(acc["p"], F.array(x["p"].cast("long"))).alias("p"))),
-        lambda acc: acc["g"],
-    )
-    return met.groupBy(key).agg(taken.alias("t")).select(key, F.explode("t").alias("g"))
+    return one_to_one(met.select(key, "g", "p"), key, [F.col("p"), F.col("g")]).select(key, "g")
 
 
 def _rates(df: DataFrame) -> DataFrame:

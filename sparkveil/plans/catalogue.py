@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkveil.functions import checksums, geometry, scalars, taxonomy, validators
-from sparkveil.operators import areas, blur, fusion, gate, media, perception, planner, policy, prompts, recognizers, scoring, vault
+from sparkveil.operators import areas, blur, fusion, gate, media, percentiles, perception, planner, policy, prompts, recognizers, scoring, vault
 from sparkveil.sources import captures, synthetic
 from sparkveil.sources.durable import shared_folder
 from sparkveil.sources.synthetic import table, view
@@ -517,8 +517,7 @@ def metrics_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").groupBy("event_type")
-    return rows.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.count("*").alias("n"))
+    return percentiles.nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 50, "p95": 95})
 
 
 # ---------------------------------------------------------------- packets, gate, planner

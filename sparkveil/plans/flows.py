@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkveil.operators import gate, vault, wire
+from sparkveil.functions.geometry import box
+from sparkveil.operators import gate, intake, percentiles, wire
 from sparkveil.plans.catalogue import query
 from sparkveil.plans.exchange import _duck, _view
-
-_NONE = F.lit(None)
+from sparkveil.sources.synthetic import table
 
 # ---------------------------------------------------------------- the gate
 
@@ -74,3 +74,39 @@ def answer_smuggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = _attempts(spark, sf_dir).withColumn("packet_id", F.concat(F.lit("packet-"), F.lpad(F.col("k").cast("string"), 12, "0"))).withColumn("session", F.lit(1))
     held = _view(spark, sf_dir, "SELECT DISTINCT 1 AS session, 'held-value' AS value FROM {t}", "orders")
     return wire.guard_answers(_view(spark, sf_dir, _SMUGGLED, "orders"), packets, vault=held).select("plan_id", "outcome", F.array_join("reasons", ",").alias("reasons"))
+
+
+# ---------------------------------------------------------------- percentiles
+
+_GROUPS = "SELECT CASE WHEN l_linenumber < 6 THEN 'most' WHEN l_linenumber = 6 THEN l_returnflag END AS grp, l_extendedprice FROM lineitem"
+
+
+@query(f"SELECT grp, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, max(l_extendedprice) AS p100, count(l_extendedprice) AS n FROM ({_GROUPS}) GROUP BY grp")
+def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of groups, one of which holds most rows: intervals are narrowed until 500 values are left to sort."""
+    grp = F.when(F.col("l_linenumber") < 6, "most").when(F.col("l_linenumber") == 6, F.col("l_returnflag"))
+    rows = table(spark, sf_dir, "lineitem").select(grp.alias("grp"), "l_extendedprice")
+    return percentiles.nearest_ranks(rows, ["grp"], "l_extendedprice", {"p50": 50, "p95": 95, "p100": 100}, small=500)
+
+
+@query("SELECT sum(p50) AS p50_sum, count(*) AS stages, sum(p50) <= 175 AS within FROM (SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50 FROM events GROUP BY event_type)")
+def latency_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sum of the stages' medians, and whether it is within the frame's target."""
+    found = percentiles.nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 50}).select(F.round("p50", 6).alias("p50"))
+    return found.agg(F.sum("p50").alias("p50_sum"), F.count("*").alias("stages")).withColumn("within", F.col("p50_sum") <= 175)
+
+
+# ---------------------------------------------------------------- pages of many lines
+
+@query("SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'too_many_lines' ELSE 'selective' END AS treatment, (CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 9 ELSE 1 END)::BIGINT AS n_masks, (CASE p_partkey % 3 WHEN 0 THEN 640 * 480 WHEN 1 THEN 9 * 200 ELSE 200 END)::DOUBLE AS area FROM part WHERE p_size < 3")
+def media_long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with more lines than are read are masked whole: nothing on them stays visible."""
+    sheets = table(spark, sf_dir, "part").filter("p_size < 3").select(F.col("p_partkey").alias("page_id"), F.lit("image").alias("kind"), F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(False).alias("hint"))
+    numbered = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i")).filter("i between 1 and 450")  # keys are numbers from 0 on
+    lines = sheets.join(numbered, F.col("i") <= F.when(F.col("page_id") % 3 == 0, 450).when(F.col("page_id") % 3 == 1, 400).otherwise(50))
+    text = F.when(F.col("i") % 45 == 7, F.concat(F.lit("mail a"), F.col("i"), F.lit("@mail.example.com"))).otherwise("plain words")
+    texts = lines.select("page_id", F.col("i").cast("int").alias("pos"), text.alias("text"), box(F.lit(10), F.col("i"), F.lit(200), F.lit(1)).alias("box"))
+    none = texts.limit(0).select("page_id", "pos", "box")
+    found = intake.inspect_pages(sheets, texts, none, none)
+    masks = found["masks"].groupBy("page_id").agg(F.count("*").alias("n_masks"), F.sum(F.col("box.w") * F.col("box.h")).alias("area"))
+    return found["report"].select("page_id", "treatment").join(masks, "page_id")
