@@ -32,7 +32,9 @@ _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _PROSE = {*_HEADINGS, "p", "pre", "blockquote", "figcaption", "dd", "dt", "caption"}
 #: A weak hint: elements, roles and whole class names or ids that usually surround an article, and those that usually hold one.
 _AROUND_TAGS, _MAIN_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}, {"article", "main"}
-_AROUND_NAMES = set("ad ads advert advertisement banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie-notice cookies consent notice modal popup newsletter subscribe login share sharing related comments comment respond replies search navigation contentinfo complementary dialog".split())
+_AROUND_NAMES = set("ad ads advert advertisement banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie-notice cookies consent notice modal popup newsletter subscribe login share sharing related comment search contentinfo complementary dialog".split())
+#: Names of what readers wrote, which holds inside an article, too; other names tell less there, as the article may be of such things.
+_READER_NAMES = {"comments", "respond", "replies"}
 _MAIN_NAMES = set("article content main post entry story main-content post-content entry-content article-body".split())
 
 
@@ -41,13 +43,13 @@ class Block:
     text: str
     words: int
     link_density: float
-    hint: int  # of the nearest element that gives one: 1 an article, -1 what surrounds one, 0 none does
+    hint: float  # of the nearest element that gives one: 1 an article, -1 what surrounds one, -0.5 a name of such inside an article, 0 none does
     heading: bool
     prose: bool  # a paragraph, heading or the like, not a bare box or list
 
 
-def _hint(name: str, rest: str) -> int:
-    """What an element's tag, role, class and id suggest of its content: 1, -1 or 0."""
+def _hint(name: str, rest: str) -> float:
+    """What an element's tag, role, class and id suggest of its content: 1, -1, -0.5 by name only, -2 hidden, or 0."""
     names = set()
     if rest and not rest.isspace():
         found = {}
@@ -60,49 +62,64 @@ def _hint(name: str, rest: str) -> int:
         return 0
     if name in _MAIN_TAGS:
         return -1 if names & {"comment", "comments"} else 1
-    if name in _AROUND_TAGS or names & _AROUND_NAMES:
+    if name in _AROUND_TAGS or names & _READER_NAMES:
         return -1
+    if names & _AROUND_NAMES:
+        return -0.5
     return 1 if names & _MAIN_NAMES else 0
 
 
-def _hint_of(stack: list[tuple[str, int]]) -> int:
-    """The hint of the open elements: the innermost one's, but a box inside a menu or the like is still part of it,
-    a header or footer inside an article belongs to the article, and what is hidden stays hidden."""
-    said = 0
-    for name, hint in stack:
-        if said == -2 or hint == 0 or (hint == 1 and said == -1 and name not in _MAIN_TAGS):
-            continue
-        if hint == -1 and said == 1 and name in ("header", "footer"):
-            continue
-        said = hint
-    return said
+def _within(said: float, name: str, hint: float) -> float:
+    """What is told inside an element, from what is told around it and its own hint: the innermost one's, but a box inside a
+    menu or the like is still part of it, a header or footer inside an article belongs to the article, a name of what surrounds
+    articles tells less inside one, and what is hidden stays hidden."""
+    if said == -2 or hint == 0 or (hint == 1 and said < 0 and name not in _MAIN_TAGS):
+        return said
+    if hint == -0.5:
+        return -0.5 if said in (1, -0.5) else -1
+    return said if hint == -1 and said == 1 and name in ("header", "footer") else hint
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order. Unclosed elements end with the element around them."""
+    """The page's text blocks in order. Unclosed elements end with the element around them. Time is linear in the page."""
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open block elements and what each tells
+    stack: list[tuple[str, float]] = []  # open block elements and what is told inside each
+    counts: dict[str, int] = {}  # of the names in it
+    unended: set[str] = set()  # raw elements of which no end follows
     parts: list[str] = []
     linked: list[str] = []
     anchors, heading = 0, False
 
     def flush() -> None:
-        nonlocal heading
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 words = len(text.split(" "))
                 in_links = len(_WORD.findall(html.unescape(" ".join(linked))))
-                if (hint := _hint_of(stack)) > -2:
+                hint = stack[-1][1] if stack else 0
+                if hint > -2:
                     out.append(Block(text, words, min(1.0, in_links / words), hint, heading, stack[-1][0] in _PROSE if stack else False))
             parts.clear()
             linked.clear()
 
-    at, n = 0, len(page)
+    def push(name: str, hint: float) -> None:
+        stack.append((name, _within(stack[-1][1] if stack else 0, name, hint)))
+        counts[name] = counts.get(name, 0) + 1
+
+    def pop() -> str:
+        name, _ = stack.pop()
+        counts[name] -= 1
+        return name
+
+    at, n, last = 0, len(page), page.rfind(">")
     while at < n:
-        m = _TAG.match(page, at)
-        if m is None:  # cannot be: the last alternative takes any character
+        if at > last:  # no tag ends any more: the rest is text, but for a tag that was cut off
+            rest = re.sub(r"</?[a-zA-Z!?][^<]*\Z", "", page[at:])
+            parts.append(rest)
+            if anchors:
+                linked.append(rest)
             break
+        m = _TAG.match(page, at)
         at = m.end()
         if (text := m["text"]) is not None:
             parts.append(text)
@@ -117,7 +134,9 @@ def blocks(page: str) -> list[Block]:
         name = m["name"].lower()
         if not m["end"] and name in _RAW:
             if not m["rest"].endswith("/") or name in ("script", "style", "title", "textarea"):
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                close = None if name in unended else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if close is None:
+                    unended.add(name)
                 at = close.end() if close else (n if name in ("script", "style", "textarea") else at)
             parts.append(" ")
             continue
@@ -126,9 +145,9 @@ def blocks(page: str) -> list[Block]:
         if name in ("br", "td", "th", "wbr", "img", "input"):
             parts.append(" " if name != "wbr" else "")
         if name not in _BREAKS and not (not m["end"] and name not in _VOID and m["rest"] and _hint(name, m["rest"])):
-            if m["end"] and any(s == name for s, _ in stack[-1:]):
+            if m["end"] and stack and stack[-1][0] == name:
                 flush()
-                stack.pop()
+                pop()
             continue
         flush()
         anchors = 0 if name != "a" else anchors
@@ -137,17 +156,15 @@ def blocks(page: str) -> list[Block]:
         elif not m["end"]:
             heading = False
         if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            while counts.get(name) and pop() != name:
+                pass
         elif name not in _VOID and not m["rest"].endswith("/"):
             if name in ("p", *_HEADINGS) and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             if name in ("body", "main", "article"):  # these end a head or menu that was left open
                 while stack and stack[-1][0] in ("head", "p", "li", "ul", "ol"):
-                    stack.pop()
-            stack.append((name, _hint(name, m["rest"])))
+                    pop()
+            push(name, _hint(name, m["rest"]))
     flush()
     return out
 
@@ -197,6 +214,11 @@ LABELLED = (
     "!<article><h2>+1..4</h2><p>+2..40</p><h2>+1..4</h2><p>+2..40</p></article>", "!<article><p>+1..3</p></article>", "!<article><h1>+1..4</h1></article>", "!<main>+1..30</main>",
     "!<nav><a>-1</a></nav><main><p>+1..8</p><aside>-2..9</aside></main><footer>-1..6</footer>", "!<header><h1>-1..4</h1></header><article>+1..9</article><form>-1..4</form>",
     "!<article><p>+1..6</p><div class='ad'>-1..9</div><p>+1..6</p></article><div id='cookie-notice'>-5..20</div>",
+    "!<article><h1>+3..9</h1><p>+5..60</p><section class='related'><h2>+1..6</h2><p>+25..150</p><p>+25..90</p></section><p>+5..60</p></article>",
+    "!<article><h1>+3..9</h1><p>+5..80</p><section class='search'><h2>+1..6</h2><p>+25..150</p></section></article>", "!<main><h1>+2..8</h1><section class='notice'><h2>+1..6</h2><p>+25..150</p></section></main>",
+    "!<article><h1>+1..9</h1><p>+1..80</p><div class='banner'><h2>+1..6</h2><p>+25..150</p></div></article>", "!<article><h1>+1..9</h1><p>+1..80</p><div class='share'>+30..150</div></article>",
+    "!<article><h1>+3..9</h1><p>+5..80</p><div class='share'>-1..12</div><p>+5..80</p><div class='related'><h3>-1..3</h3><a>-3..8</a><a>-3..8</a></div></article>",
+    "!<article><p>+5..80</p><div class='notice'>-2..14</div><p>+5..60</p><div class='newsletter'><h3>-2..6</h3><p>-4..14</p></div></article>",
 )
 _FILL = re.compile(r"([+-])(\d+)(?:\.\.(\d+))?")
 _LAYOUT = re.compile(r"<(/?)(?:nav|header|footer|main|article|aside|section|form)\b[^>]*>")
@@ -246,11 +268,18 @@ class Tree:
         low = x[:, f] <= cut
         return (f, cut, self._grow(x[low], y[low], depth - 1), self._grow(x[~low], y[~low], depth - 1))
 
-    def predict(self, row: np.ndarray) -> float:
-        node = self.node
-        while isinstance(node, tuple):
-            node = node[2] if row[node[0]] <= node[1] else node[3]
-        return node
+    def predict(self, rows: np.ndarray) -> np.ndarray:
+        """The share of main text in the leaf of each row."""
+        out = np.empty(len(rows))
+        todo = [(self.node, np.arange(len(rows)))]
+        while todo:
+            node, at = todo.pop()
+            if isinstance(node, tuple):
+                low = rows[at, node[0]] <= node[1]
+                todo += [(node[2], at[low]), (node[3], at[~low])]
+            else:
+                out[at] = node
+        return out
 
     def said(self, node=None, indent: str = "") -> str:
         """The tree as text."""
@@ -262,15 +291,35 @@ class Tree:
 
 @lru_cache(maxsize=1)
 def train() -> Tree:
+    """The tree of the labelled pages. Blocks that a name inside an article is told of have a branch of their own: there are few of
+    them, and they are to be told by their words and neighbours alone."""
     x, y = labelled_rows()
-    return Tree(x, y)
+    named = x[:, -1] == -0.5
+    tree, own = Tree(x[~named], y[~named]), Tree(x[named], y[named])
+    hint = len(FEATURES) - 1
+    tree.node = (hint, -0.75, tree.node, (hint, -0.25, own.node, tree.node))
+    return tree
+
+
+def chosen(pages: list[list[Block]], tree: Tree) -> list[list[bool]]:
+    """For each page's blocks whether the tree takes them for main text."""
+    said = (tree.predict(np.concatenate([features(found) for found in pages])) >= 0.5).tolist() if pages else []
+    out, at = [], 0
+    for found in pages:
+        out.append(said[at : at + len(found)])
+        at += len(found)
+    return out
+
+
+def joined(found: list[Block], taken: list[bool]) -> str:
+    return "\n".join(b.text for b, c in zip(found, taken, strict=True) if c)
 
 
 def main_text(page: str | None, tree: Tree) -> tuple[str, list[tuple[Block, bool]]]:
     """The main text, blocks joined by a line feed, and every block with the tree's decision."""
     found = blocks(page or "")
-    chosen = [tree.predict(r) >= 0.5 for r in features(found)]
-    return "\n".join(b.text for b, c in zip(found, chosen, strict=True) if c), list(zip(found, chosen, strict=True))
+    (taken,) = chosen([found], tree)
+    return joined(found, taken), list(zip(found, taken, strict=True))
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url"), tree: Tree | None = None) -> DataFrame:
@@ -286,9 +335,10 @@ def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_sv_html", 4 << 20):
-            got = [main_text(h.as_py(), tree) for h in batch.columns[-1]]
-            arrays = [pa.array([t for t, _ in got], pa.string())]
-            arrays += [pa.array(v, pa.int64()) for v in ([len(t) for t, _ in got], [len(b) for _, b in got], [sum(c for _, c in b) for _, b in got])]
+            found = [blocks(h.as_py()) for h in batch.columns[-1]]
+            taken = chosen(found, tree)
+            texts = [joined(f, c) for f, c in zip(found, taken, strict=True)]
+            arrays = [pa.array(texts, pa.string()), *(pa.array(list(map(f, v)), pa.int64()) for f, v in ((len, texts), (len, found), (sum, taken)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], "text", "n_chars", "n_blocks", "n_kept"])
 
     return workers(source).mapInArrow(run, head + "text string, n_chars long, n_blocks long, n_kept long")

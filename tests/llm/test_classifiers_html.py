@@ -1,4 +1,5 @@
 import os
+import time
 import random
 import zlib
 
@@ -203,6 +204,24 @@ def test_small_pages(page, text):
     assert got == text or (page == "<" and got in ("", "<"))
 
 
+@pytest.mark.parametrize("name", ["search", "share", "notice", "comment", "related", "banner", "newsletter"])
+@pytest.mark.parametrize("tag", ["section", "div"])
+@pytest.mark.parametrize("attribute", ["id", "class"])
+def test_names_inside_an_article_are_no_veto(name, tag, attribute):
+    prose = "words of the story that go on for a while " * 6
+    page = f"<article><h1>A headline of it</h1><p>{prose}</p><{tag} {attribute}='{name}'><h2>What it is</h2><p>{prose}</p></{tag}></article>"
+    assert html.main_text(page, html.train())[0].split("\n") == ["A headline of it", prose.strip(), "What it is", prose.strip()]
+    short = f"<article><h1>A headline of it</h1><p>{prose}</p><{tag} {attribute}='{name}'>Do it now</{tag}><p>{prose}</p></article>"
+    assert "Do it now" not in html.main_text(short, html.train())[0]
+
+
+@pytest.mark.parametrize("page", ["<button>x " * 200_000, "<div>" * 400_000 + "x", "<div>x" * 200_000, "</b>" * 400_000, "<p>" + "</div>x" * 200_000, "<!a " * 400_000, "<a \"x' " * 300_000, "<select><noscript>" * 100_000, "<" * 2_000_000, "&" * 2_000_000, "<div>" * 200_000 + "</p>" * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.time()
+    html.blocks(page)
+    assert time.time() - began < 8
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (1, "u", "<article>x</article>", "t"), (None, None, "<article>" + "y " * 50_000 + "</article>", "t")], "page_id long, url string, html string, text string")
     got = sorted(r.n_chars for r in html.extract(pages).collect())
