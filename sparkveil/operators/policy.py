@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.scalars import length_bucket, magnitude_bucket
 from sparkveil.functions.taxonomy import THRESHOLDS, is_invariant, legend_key, redacts
+from sparkveil.operators.intervals import overlapping
 from sparkveil.operators.recognizers import STANDARD, Registry
 from sparkveil.operators.vault import CAP, mint
 from sparkveil.sources.durable import durable
@@ -88,10 +89,12 @@ def cross_region(regions: DataFrame, mode: str, registry: Registry | None = None
         lambda acc, r: F.struct((acc["at"] + F.length(r["part"]) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(r["id"].alias("id"), acc["at"].alias("start"), (acc["at"] + F.length(r["part"])).alias("end"))).cast("array<struct<id:string,start:int,end:int>>")).alias("out")),
         lambda acc: acc["out"],
     )
-    lines = lines.select("page_id", bounds.alias("parts"), F.explode("spans").alias("s"))
-    touched = F.filter("parts", lambda p: (F.col("s.start") < p["end"]) & (p["start"] < F.col("s.end")))
-    hits = lines.select("page_id", "s", touched.alias("touched")).filter(F.size("touched") > 1)
-    hits = hits.select("page_id", F.explode("touched").alias("p"), "s").select("page_id", F.col("p.id").alias("id"), F.struct(F.col("s.cls").alias("cls"), F.coalesce("s.normalized", "s.text").alias("value")).alias("v"), F.col("s.start").alias("start"))
+    lines = durable(lines.select("page_id", F.monotonically_increasing_id().alias("line_no"), bounds.alias("parts"), "spans"))
+    parts = lines.select("line_no", F.explode("parts").alias("p")).select("line_no", F.col("p.id").alias("id"), F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"))
+    spans = lines.select("page_id", "line_no", F.explode("spans").alias("s")).select("page_id", "line_no", "s", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    met = overlapping(spans, parts, ["line_no"], ("start", "end"), ("p_start", "p_end"))
+    split = met.groupBy("line_no", "start", "end", F.col("s.cls").alias("cls")).agg(F.count("*").alias("n"), F.first("page_id").alias("page_id"), F.first(F.coalesce("s.normalized", "s.text")).alias("value"), F.collect_list("id").alias("ids")).filter("n > 1")
+    hits = split.select("page_id", F.explode("ids").alias("id"), F.struct("cls", "value").alias("v"), "start")
     return hits.groupBy("page_id", "id").agg(F.max_by("v", "start").alias("v")).select("page_id", "id", F.col("v.cls").alias("cross_class"), F.col("v.value").alias("cross_value"))
 
 

@@ -144,6 +144,61 @@ def sessions(events: DataFrame, user: str = "user_id", origin: str = "event_type
     return ranges.running(rows, user, sums={"session_no": changed}).drop("_was", ranges.PART, ranges.AT)
 
 
+def ended(state: dict, kind: str, tab: int | None, origin: str | None, task: str | None) -> str | None:
+    """Why an event ends what is kept, or null; ``state`` (tab, origin and task that are active) is changed.
+
+    A run ends it if its task, tab or origin is another one; closing the active tab, showing another one, and a navigation of the
+    active tab that is not within one known origin end it as well. Other tabs' events do nothing.
+    """
+    was = {k: state.get(k) for k in ("tab", "origin", "task")}
+    if kind == "run":
+        state.update(tab=tab, origin=origin, task=task)
+        return run_ends(was, {"tab": tab, "origin": origin, "task": task})
+    if kind == "closed" and tab is not None and tab == was["tab"]:
+        state.update(tab=None, origin=None, task=None)
+        return "tab_closed"
+    if kind == "activated" and was["tab"] is not None and tab != was["tab"]:
+        state.update(tab=tab, origin=None, task=None)
+        return "tab_switched"
+    if kind == "navigated" and tab is not None and tab == was["tab"] and (not origin or origin != was["origin"]):
+        state.update(origin=None, task=None)
+        return "origin_changed"
+    return None
+
+
+def run_ends(was: dict, now: dict) -> str | None:
+    if was["task"] != now["task"]:
+        return "new_task"
+    if was["tab"] is not None and was["tab"] != now["tab"]:
+        return "tab_switched"
+    return "origin_changed" if was["origin"] is not None and was["origin"] != now["origin"] else None
+
+
+def session_ends(events: DataFrame, user: str = "user_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """``events`` (kind: run, closed, activated or navigated; tab, origin, task) with ended, why what is kept was wiped there, and session_no.
+
+    A run sets all of the state, so a user's events are cut at runs and walked apart, in ranges; whether a run itself ends a session is told
+    from the state that the event before it left.
+    """
+
+    def step(state: dict, kind: str, tab: int | None, origin: str | None, task: str | None) -> tuple:
+        why = ended(state, kind, tab, origin, task)
+        return why, state.get("tab"), state.get("origin"), state.get("task")
+
+    rows = ranges.dealt(events, user, list(order))
+    rows = ranges.running(rows, user, highest={"_run": F.when(F.col("kind") == "run", F.col(ranges.AT))})
+    # before a user's first run nothing is active; those events need no walk, but a key that no run has
+    keyed = rows.withColumn("_run", F.coalesce("_run", -1 - F.col(ranges.AT)))
+    kinds = {"tab": "long", "origin": "string", "task": "string"}
+    walked = ranges.in_order(keyed, "_run", [ranges.AT], ["kind", *kinds], "_why string, _tab long, _origin string, _task string", step)
+    walked = ranges.previous(durable(walked), user, {f"_was_{k}": f"_{k}" for k in kinds})
+    other = lambda k: ~F.col(f"_was_{k}").eqNullSafe(F.col(k))
+    run = F.when(other("task"), "new_task").when(F.col("_was_tab").isNotNull() & other("tab"), "tab_switched").when(F.col("_was_origin").isNotNull() & other("origin"), "origin_changed")
+    walked = walked.withColumn("ended", F.when(F.col("kind") == "run", run).otherwise(F.col("_why")))
+    out = ranges.running(walked, user, sums={"session_no": F.col("ended").isNotNull().cast("long")})
+    return out.drop(ranges.PART, ranges.AT, "_run", "_why", *[f"_{k}" for k in kinds], *[f"_was_{k}" for k in kinds])
+
+
 def running_totals(receipts: DataFrame, amounts: tuple[str, ...], session: str = "session", order: str = "at") -> DataFrame:
     """``receipts`` (session, at and ``amounts``) with sent, the session's receipts so far, and each amount's sum so far.
 

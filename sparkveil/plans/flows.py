@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkveil.functions import checksums
 from sparkveil.functions.geometry import box
-from sparkveil.operators import gate, intake, percentiles, wire
-from sparkveil.plans.catalogue import query
+from sparkveil.operators import gate, intake, media, percentiles, policy, vault, wire
+from sparkveil.plans.catalogue import _LUHN, _stream, query
 from sparkveil.plans.exchange import _duck, _view
+from sparkveil.sources.durable import shared_folder
 from sparkveil.sources.synthetic import table
 
 # ---------------------------------------------------------------- the gate
@@ -110,3 +114,96 @@ def media_long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = intake.inspect_pages(sheets, texts, none, none)
     masks = found["masks"].groupBy("page_id").agg(F.count("*").alias("n_masks"), F.sum(F.col("box.w") * F.col("box.h")).alias("area"))
     return found["report"].select("page_id", "treatment").join(masks, "page_id")
+
+
+# ---------------------------------------------------------------- sessions with several ends
+
+_KINDS = "CASE event_id % 5 WHEN 2 THEN 'navigated' WHEN 3 THEN 'activated' WHEN 4 THEN 'closed' ELSE 'run' END"
+_PANEL = f"SELECT user_id, event_id, ts, {_KINDS} AS kind, event_id % 3 AS tab, CASE WHEN event_id % 7 <> 6 THEN event_type END AS origin, CASE WHEN event_id % 5 < 2 THEN concat('task', CAST(event_id % 4 AS {{s}})) END AS task FROM {{t}}"
+_ENDS = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ({_duck(_PANEL, 'events')})),
+    w AS (SELECT user_id, event_id, r, CASE WHEN kind = 'run' THEN 'new_task' END AS ended, CASE WHEN kind = 'run' THEN tab END AS s_tab, CASE WHEN kind = 'run' THEN origin END AS s_origin, CASE WHEN kind = 'run' THEN task END AS s_task FROM e WHERE r = 1
+    UNION ALL SELECT user_id, event_id, r, why, CASE WHEN kind = 'run' OR (kind = 'activated' AND why IS NOT NULL) THEN tab WHEN why = 'tab_closed' THEN NULL ELSE s_tab END, CASE WHEN kind = 'run' THEN origin WHEN why IS NOT NULL THEN NULL ELSE s_origin END, CASE WHEN kind = 'run' THEN task WHEN why IS NOT NULL THEN NULL ELSE s_task END
+    FROM (SELECT e.*, s_tab, s_origin, s_task, CASE kind WHEN 'run' THEN CASE WHEN s_task IS DISTINCT FROM e.task THEN 'new_task' WHEN s_tab IS NOT NULL AND s_tab IS DISTINCT FROM e.tab THEN 'tab_switched' WHEN s_origin IS NOT NULL AND s_origin IS DISTINCT FROM e.origin THEN 'origin_changed' END
+        WHEN 'closed' THEN CASE WHEN s_tab = e.tab THEN 'tab_closed' END WHEN 'activated' THEN CASE WHEN s_tab <> e.tab THEN 'tab_switched' END
+        ELSE CASE WHEN s_tab = e.tab AND (e.origin IS NULL OR s_origin IS NULL OR s_origin <> e.origin) THEN 'origin_changed' END END AS why FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1))
+    SELECT user_id, event_id, ended, sum((ended IS NOT NULL)::INT) OVER (PARTITION BY user_id ORDER BY r)::BIGINT AS session_no FROM w"""
+
+
+@query(_ENDS)
+def session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where sessions end: new tasks, other or closed tabs, other origins."""
+    return vault.session_ends(_view(spark, sf_dir, _PANEL, "events")).select("user_id", "event_id", "ended", "session_no")
+
+
+def _panel_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stream(spark, sf_dir)
+    task = F.when(F.col("event_id") % 5 < 2, F.concat(F.lit("task"), (F.col("event_id") % 4).cast("string")))
+    return rows.select("user_id", "event_id", "ts", F.expr(_KINDS).alias("kind"), (F.col("event_id") % 3).alias("tab"), F.when(F.col("event_id") % 7 != 6, F.col("event_type")).alias("origin"), task.alias("task"))
+
+
+@query(_ENDS)
+def stream_session_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream."""
+    from sparkveil.streaming import stateful
+
+    return stateful.run_once(stateful.session_ends(_panel_stream(spark, sf_dir)), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+# ---------------------------------------------------------------- receipts before packets
+
+
+@query("SELECT 'packet-' || lpad(event_id::VARCHAR, 12, '0') AS packet_id, CASE WHEN event_id % 3 = 0 THEN 'blocked' ELSE 'sent' END AS outcome, event_id % 3 <> 0 AS packet FROM events")
+def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of a stream of decided packets, and whether the packet is there, too."""
+    from sparkveil.streaming import receipts
+
+    k = F.col("event_id")
+    visual = F.struct(F.lit(False).alias("present"), *[F.lit(None).cast("string").alias(c) for c in ("format", "sha256", "data_b64")])
+    decided = _stream(spark, sf_dir).select(
+        F.col("user_id").alias("session"), F.concat(F.lit("packet-"), F.lpad(k.cast("string"), 12, "0")).alias("packet_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("sent_at_ms"), F.lit("shield").alias("mode"), visual.alias("visual"),
+        F.when(k % 3 == 0, "blocked").otherwise("sent").alias("outcome"), F.when(k % 3 == 0, F.array(F.lit("tripwire"))).otherwise(F.array().cast("array<string>")).alias("reasons"), F.length("event_type").alias("bytes"), F.sha2("event_type", 256).alias("payload_sha256"),
+        F.create_map().cast("map<string,int>").alias("legend_counts"),
+    )
+    folder = f"{shared_folder(spark)}/receipts-{uuid.uuid4().hex}"
+    run = receipts.start(decided, folder, f"{folder}/checkpoint")
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise RuntimeError(str(run.exception()))
+    packets = receipts.sent_packets(spark, folder).select("packet_id", F.lit(True).alias("packet"))
+    return receipts.kept_receipts(spark, folder).join(packets, "packet_id", "left").select("packet_id", "outcome", F.coalesce("packet", F.lit(False)).alias("packet"))
+
+
+# ---------------------------------------------------------------- a cache of assets
+
+
+@query(
+    """SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 6 = 0 OR (doc_id % 6 = 4 AND text = 'old') THEN 'hit' WHEN doc_id % 6 = 3 THEN 'missing' WHEN doc_id % 6 IN (2, 5) THEN 'mismatch' WHEN doc_id % 6 = 4 THEN 'refetched' ELSE 'fetched' END AS status,
+    CASE WHEN doc_id % 6 IN (0, 1, 4) THEN sha256(text) END AS content_sha256 FROM documents"""
+)
+def asset_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets from a cache that is whole, empty or corrupt, and a source that is right, wrong or empty."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), (F.col("doc_id") % 6).alias("k"), F.col("text").cast("binary").alias("content"))
+    wanted = docs.select("name", F.sha2("content", 256).alias("sha256"))
+    cache = docs.filter("k in (0, 4, 5)").select("name", F.when(F.col("k") == 0, F.col("content")).otherwise(F.lit("old").cast("binary")).alias("content"))
+    source = docs.filter("k <> 3").select("name", F.when(F.col("k").isin(2, 5), F.concat("content", F.lit("!").cast("binary"))).otherwise(F.col("content")).alias("content"))
+    return media.read_through(wanted, cache, source).select("name", "status", F.sha2("content", 256).alias("content_sha256"))
+
+
+# ---------------------------------------------------------------- values split over regions
+
+_SPLIT = "SELECT c_custkey, concat('4', lpad(CAST(c_custkey * 7919 % 1000003 AS {s}), 7, '3'), lpad(CAST(c_custkey % 9973 AS {s}), 8, '2')) AS d FROM {t}"
+_VALID = f"SELECT c_custkey, d FROM ({_duck(_SPLIT, 'customer')}) WHERE {_LUHN.format(d='d')}"
+
+
+@query(f"SELECT c_custkey::VARCHAR AS page_id, unnest(CASE WHEN c_custkey % 2 = 0 THEN ['e2', 'e3'] ELSE ['e2', 'e3', 'e4'] END) AS id, 'CARD_NUMBER' AS cross_class, d AS cross_value FROM ({_VALID})")
+def split_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Card numbers that stand in two or three regions of one line."""
+    cards = _view(spark, sf_dir, _SPLIT, "customer").filter(checksums.luhn_valid(F.col("d")))
+    d, two = F.col("d"), F.col("c_custkey") % 2 == 0
+    four = lambda i: F.substring(d, i, 4)
+    halves = F.concat_ws(" ", four(1), four(5)), F.concat_ws(" ", four(9), four(13))
+    texts = F.when(two, F.array(F.lit("Card number"), halves[0], halves[1], F.lit("thanks"))).otherwise(F.array(F.lit("Card number"), halves[0], four(9), four(13)))
+    rows = cards.select(F.col("c_custkey").cast("string").alias("page_id"), F.posexplode(texts).alias("i", "raw_text"))
+    below = (F.col("i") == 3) & F.col("raw_text").rlike("^t")
+    placed = rows.select("page_id", (F.col("i") + 1).cast("int").alias("pos"), F.concat(F.lit("e"), F.col("i") + 1).alias("id"), "raw_text", F.lit(None).cast("string").alias("raw_value"), box(F.col("i") * 100, F.when(below, 200).otherwise(10), F.lit(90), F.lit(20)).alias("box"))
+    return policy.cross_region(placed, "fortress")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkveil.operators.gate import SENDS, WINDOW_MS
-from sparkveil.operators.vault import CAP, TTL_MS
+from sparkveil.operators.vault import CAP, TTL_MS, ended
 from sparkveil.sources.shipping import ship
 
 #: How late rows may come. Later ones are dropped.
@@ -100,6 +100,21 @@ def sessions(events: DataFrame) -> DataFrame:
     return _keyed(events, "user_id", ["event_id", "event_type"], ["event_id"], "event_id long, event_type string, session_no long", IDLE_MS, step)
 
 
+def session_ends(events: DataFrame) -> DataFrame:
+    """Stream of (user_id, event_id, ts, kind, tab, origin, task) with ended and session_no; see ``operators.vault.session_ends``."""
+
+    def known(value):
+        return None if value is None or value != value else value  # pandas has NaN for null
+
+    def step(state: dict, row: dict) -> tuple:
+        tab = known(row["tab"])
+        why = ended(state, row["kind"], None if tab is None else int(tab), known(row["origin"]), known(row["task"]))
+        state["n"] = state.get("n", 0) + (why is not None)
+        return int(row["event_id"]), why, state["n"]
+
+    return _keyed(events, "user_id", ["event_id", "kind", "tab", "origin", "task"], ["event_id"], "event_id long, ended string, session_no long", IDLE_MS, step)
+
+
 def loops(events: DataFrame) -> DataFrame:
     """Stream of a task's steps (user_id, event_id, ts, stalled, corrected) with its counters and a verdict: go_on, or why the task has to stop."""
 
@@ -159,19 +174,3 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
-
-
-def sink_with_receipts(packets: DataFrame, receipts_path: str, packets_path: str, checkpoint: str):
-    """Start a stream of gated packets that writes each batch's receipts before its packets.
-
-    Both go to a folder named by the batch and are overwritten if the batch runs again.
-    """
-    from sparkveil.operators.gate import receipts
-
-    def write(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
-        receipts(kept).write.mode("overwrite").parquet(f"{receipts_path}/batch={number}")
-        kept.filter("outcome = 'sent'").write.mode("overwrite").parquet(f"{packets_path}/batch={number}")
-        kept.unpersist()
-
-    return packets.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
