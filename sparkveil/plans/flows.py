@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions import checksums
 from sparkveil.functions.geometry import box
-from sparkveil.operators import gate, intake, media, percentiles, policy, vault, wire
-from sparkveil.plans.catalogue import _LUHN, _stream, query
+from sparkveil.operators import gate, intake, media, percentiles, policy, recognizers, vault, wire
+from sparkveil.plans.catalogue import _D, _INVERSE, _LUHN, _P, _VERHOEFF, _stream, query
 from sparkveil.plans.exchange import _duck, _view
 from sparkveil.sources.durable import shared_folder
 from sparkveil.sources.synthetic import table
@@ -207,3 +207,34 @@ def split_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = (F.col("i") == 3) & F.col("raw_text").rlike("^t")
     placed = rows.select("page_id", (F.col("i") + 1).cast("int").alias("pos"), F.concat(F.lit("e"), F.col("i") + 1).alias("id"), "raw_text", F.lit(None).cast("string").alias("raw_value"), box(F.col("i") * 100, F.when(below, 200).otherwise(10), F.lit(90), F.lit(20)).alias("box"))
     return policy.cross_region(placed, "fortress")
+
+
+# ---------------------------------------------------------------- spans of every recognizer
+
+#: A value for each order, of thirteen kinds by its key; some are no valid ones. Check digits are each engine's own.
+_STEMS = "SELECT o_orderkey AS k, o_orderkey % 13 AS kind, o_custkey % 2 = 0 AS told, o_custkey AS c, concat('2', lpad(CAST(o_orderkey % 1000000 AS {s}), 6, '0'), lpad(CAST(o_custkey % 10000 AS {s}), 4, '0')) AS stem, concat('27AAPFU', lpad(CAST(o_custkey % 10000 AS {s}), 4, '0'), 'F1Z') AS company FROM {t}"
+_VALUES = """SELECT *, CASE kind WHEN 0 THEN concat(substr(stem, 1, 4), ' ', substr(stem, 5, 4), ' ', substr(stem, 9, 3), digit) WHEN 1 THEN concat(substr(stem, 1, 4), ' ', substr(stem, 5, 4), ' ', substr(stem, 9, 3), wrong) WHEN 2 THEN concat('ABC', CASE WHEN c % 4 = 2 THEN 'X' ELSE 'P' END, 'E', lpad(CAST(k % 10000 AS {s}), 4, '0'), 'F')
+    WHEN 3 THEN concat(company, sign) WHEN 4 THEN concat('SBIN', CASE WHEN c % 3 = 1 THEN '1' ELSE '0' END, lpad(CAST(k % 1000000 AS {s}), 6, '0')) WHEN 5 THEN concat('user', CAST(c AS {s}), CASE WHEN c % 3 = 0 THEN '@nobank' ELSE '@okicici' END)
+    WHEN 6 THEN concat('9', lpad(CAST(c % 10000 AS {s}), 4, '0'), ' ', lpad(CAST(k % 100000 AS {s}), 5, '0')) WHEN 7 THEN CAST(100000 + k * 7 % 800000 AS {s}) WHEN 8 THEN CAST(10000000000 + k * 31 AS {s}) WHEN 9 THEN concat(CASE WHEN c % 3 = 1 THEN 'ZZ' ELSE 'KA' END, ' 0', CAST(k % 10 AS {s}), ' AB ', lpad(CAST(c % 10000 AS {s}), 4, '0'))
+    WHEN 10 THEN concat('0', CAST(1 + k % 9 AS {s}), '/05/19', CAST(60 + k % 40 AS {s})) WHEN 11 THEN concat('Rs. ', CAST(1 + c % 99999 AS {s})) ELSE regexp_replace(concat(stem, digit), '([0-9])', '{one} '{all}) END AS value,
+    CASE WHEN NOT told THEN 'note' ELSE CASE kind WHEN 2 THEN 'pan' WHEN 3 THEN 'gstin' WHEN 4 THEN 'ifsc' WHEN 5 THEN 'upi' WHEN 6 THEN 'phone' WHEN 7 THEN 'pincode' WHEN 8 THEN 'account' WHEN 9 THEN 'vehicle' WHEN 10 THEN 'birth' WHEN 11 THEN 'total' ELSE 'aadhaar' END END AS word FROM {t}"""
+_DIGITS = f"""SELECT *, d::VARCHAR AS digit, ((d + 1) % 10)::VARCHAR AS wrong, ('{checksums.BASE36}')[((36 - total % 36) % 36 + 1)::INT] AS sign FROM (SELECT *, ({_INVERSE})[{_VERHOEFF.format(d='stem', p=_P, t=_D, s=1)} + 1]::INT AS d,
+    list_sum(list_transform(range(0, 14), lambda i: (strpos('{checksums.BASE36}', company[14 - i]) - 1) * (2 - i % 2) // 36 + (strpos('{checksums.BASE36}', company[14 - i]) - 1) * (2 - i % 2) % 36)) AS total FROM ({_duck(_STEMS, 'orders')}))"""
+
+
+@query(
+    f"""WITH v AS ({_VALUES.replace('{s}', 'VARCHAR').replace('{t}', '(' + _DIGITS + ')').replace('{one}', chr(92) + '1').replace('{all}', ", 'g'")}),
+    e AS (SELECT k, kind, told, length(word) + 2 AS start, length(word) + 2 + length(trim(value)) AS "end", c, (['AADHAAR', NULL, 'PAN', 'GSTIN', 'IFSC', 'UPI_VPA', 'PHONE_IN', 'PIN_CODE', 'BANK_ACCOUNT', 'VEHICLE_REG', 'DOB', 'AMOUNT', 'AADHAAR'])[kind + 1] AS cls,
+    CASE WHEN kind IN (0, 3, 12) THEN 0.99 WHEN kind IN (2, 4, 6, 9) OR (kind = 5 AND c % 3 <> 0) THEN CASE WHEN told THEN 0.99 ELSE 0.85 END WHEN kind = 5 THEN CASE WHEN told THEN 0.85 ELSE 0.5 END WHEN kind = 7 THEN CASE WHEN told THEN 0.75 ELSE 0.3 END WHEN kind = 8 THEN CASE WHEN told THEN 0.75 ELSE 0.25 END
+    WHEN kind = 10 THEN CASE WHEN told THEN 0.8 ELSE 0.3 END WHEN kind = 11 THEN CASE WHEN told THEN 0.95 ELSE 0.8 END END::DOUBLE AS confidence FROM v)
+    SELECT k, cls, start::INT AS start, "end"::INT AS "end", confidence FROM e WHERE cls IS NOT NULL AND confidence >= 0.3 AND NOT (kind = 2 AND c % 4 = 2) AND NOT (kind = 4 AND c % 3 = 1) AND NOT (kind = 9 AND c % 3 = 1)"""
+)
+def synthetic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of identifiers of every kind, with and without a word of their context near, valid and not."""
+    stems = _view(spark, sf_dir, _STEMS, "orders")
+    digit = checksums.verhoeff_digit(F.col("stem"))
+    full = stems.withColumn("digit", digit.cast("string")).withColumn("wrong", ((digit + 1) % 10).cast("string")).withColumn("sign", checksums.gstin_check_char(F.col("company")))
+    values = spark.sql(_VALUES.replace("{s}", "STRING").replace("{one}", "$1").replace("{all}", "").replace("{t}", "{rows}"), rows=full)
+    texts = values.select("k", F.concat("word", F.lit(": "), F.trim("value"), F.lit(" end.")).alias("text"))
+    found = recognizers.detect(texts, threshold=0.3)
+    return found.select("k", F.explode("spans").alias("s")).select("k", "s.cls", "s.start", "s.end", F.round("s.confidence", 4).alias("confidence"))
