@@ -63,11 +63,6 @@ def packet_issues() -> Column:
     return F.filter(F.array(*rules), lambda i: i.isNotNull())
 
 
-def unknown_keys(raw: Column, allowed: tuple[str, ...]) -> Column:
-    """Top-level keys of a JSON text that a strict record does not have."""
-    return F.array_except(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
-
-
 def scannable() -> Column:
     """A packet as one JSON text without what can't leak: a well-formed id, times, hashes and image bytes."""
     own_id = F.when(~F.lower("packet_id").rlike(_UUID) & ~F.col("packet_id").rlike(_ULID), F.col("packet_id"))
