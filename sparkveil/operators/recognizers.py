@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,14 @@ class Recognizer:
     gate_only: bool = False  # the validator only drops, it does not lift the confidence
     context: tuple[str, ...] = field(default=())
     boost: float = 0.35
+    trigger: str | None = None  # what every match holds and is quickly looked for; texts without it are not searched
 
 
+#: Triggers begin with a digit or a mark, which are rare in texts; the patterns begin with a look back before each letter.
+_TRIGGERS = {
+    "pan": rf"[0-9]{{4}}[ ]?[A-Za-z]{_NOT_WORD_AFTER}", "gstin": "[0-9]{2}[A-Za-z]{5}[0-9]{4}", "ifsc": "0[A-Za-z0-9]{6}(?<=[A-Za-z]{4}0[A-Za-z0-9]{6})", "email": "@", "upi": "@", "phone-in": "[6-9][0-9]{4}",
+    "vehicle-reg": rf"[0-9]{{4}}(?<=[A-Za-z][{V.SPACE}-]?[0-9]{{4}}){_NOT_WORD_AFTER}|BH", "dob": r"[/\-.](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[/\-.]", "amount-inr": "₹|Rs|INR",
+}
 # fixed values: patterns, context words, base confidences and boosts
 DEFAULT = (
     Recognizer("aadhaar", "AADHAAR", rf"(?<![0-9]{_SEP})(?<![0-9])[0-9]{{4}}{_SEP}?[0-9]{{4}}{_SEP}?[0-9]{{4}}(?!{_SEP}?[0-9])", V.aadhaar, context=("aadhaar", "aadhar", "uid", "uidai", "आधार")),
@@ -64,8 +71,8 @@ def _no_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """ARRAY<STRUCT<i, start, end, text>> of the matches of a pattern; a text without any costs one search."""
+def matches(text: Column, pattern: str, trigger: str | None = None) -> Column:
+    """ARRAY<STRUCT<i, start, end, text>> of the matches of a pattern; a text without any costs one search, of the ``trigger`` if there is one."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), f"({pattern})", f"{_MARK}$1{_MARK}")
     pieces = F.split(marked, _MARK, -1)
     none = F.array().cast("array<struct<i:int,start:int,end:int,text:string>>")
@@ -77,7 +84,8 @@ def matches(text: Column, pattern: str) -> Column:
         out = F.when(F.pmod(acc["k"], F.lit(2)) == 1, F.concat(acc["out"], F.array(found))).otherwise(acc["out"])
         return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), out.alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
+    some = text.rlike(pattern) if trigger is None else text.rlike(trigger) & text.rlike(pattern)
+    return F.when(some, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
 
 
 def spans_of(text: Column, spec: Recognizer, order: int) -> Column:
@@ -103,7 +111,7 @@ def spans_of(text: Column, spec: Recognizer, order: int) -> Column:
             evidence.alias("evidence"), (F.lit(None) if v is None else v["normalized"]).cast("string").alias("normalized"), (F.lit(order * 1_000_000) + m["i"]).cast("int").alias("ord"),
         )
 
-    found = matches(text, spec.pattern)
+    found = matches(text, spec.pattern, spec.trigger or (_TRIGGERS.get(spec.name) if spec in DEFAULT else None))
     if spec.validate is not None:
         found = F.filter(F.transform(found, lambda m: F.struct(m.alias("m"), spec.validate(m["text"]).alias("v"))), lambda x: x["v"]["valid"])
     else:
@@ -135,6 +143,14 @@ def spaced_digits(text: Column, order: int) -> Column:
     return F.transform(valid, judge).cast(f"array<{SPAN}>")
 
 
+def may_have(text: Column, *classes: str) -> Column:
+    """Whether a text has a candidate of one of ``classes``: what no pattern of theirs matches has no span of them."""
+    found = [text.rlike(r.pattern) if r.name not in _TRIGGERS else text.rlike(_TRIGGERS[r.name]) & text.rlike(r.pattern) for r in DEFAULT if r.cls in classes]
+    if {"AADHAAR", "CARD_NUMBER", "PHONE_IN"} & set(classes):
+        found.append(text.rlike(_SPACED))
+    return reduce(Column.__or__, found, F.lit(False))
+
+
 def resolve_overlaps(spans: Column) -> Column:
     """Of overlapping spans the most confident stays, then the longest, then the first registered; in order of place."""
     ranked = F.transform(spans, lambda s: F.struct((-s["confidence"]).alias("a"), (s["start"] - s["end"]).alias("b"), s["ord"].alias("c"), s.alias("s")))

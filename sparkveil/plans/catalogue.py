@@ -48,8 +48,9 @@ _EMAILS = r"SELECT doc_id, lang, source, lower(unnest(regexp_extract_all(text, '
 
 
 def _found(spark: SparkSession, sf_dir: str, *classes: str, threshold: float = 0.5) -> DataFrame:
-    """Spans of documents. Of wanted ``classes`` the recognizers of others run, too: a better span of another class hides one."""
-    docs = recognizers.detect(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), threshold=threshold)
+    """Spans of documents. Of wanted ``classes`` the recognizers of others run, too, where a text has a candidate: a better span of another class hides one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    docs = recognizers.detect(docs.filter(recognizers.may_have(F.col("text"), *classes)) if classes else docs, threshold=threshold)
     spans = docs.select("doc_id", "lang", "source", F.explode("spans").alias("s")).select("doc_id", "lang", "source", "s.*")
     return spans.filter(F.col("cls").isin(*classes)) if classes else spans
 
