@@ -124,6 +124,7 @@ def by_kind(**kinds: Check) -> Check:
 
 _TOKEN = text(pattern="PII:(?:" + "|".join(CLASSES) + r")#[0-9]+")
 _ID = text(pattern="e[0-9]+")
+# fixed values: names, kinds and limits of what packets and plans hold, on which both ends of the wire must agree
 _STATE = record(**{n: optional(flag()) for n in ("filled", "disabled", "focused", "required", "checked", "expanded", "invalid", "readonly", "partially_visible")})
 _AMOUNTS = {n: optional(text()) for n in ("length_bucket", "magnitude_bucket", "currency", "domain_class")} | {n: optional(flag()) for n in ("format_valid", "masked")}
 _VALUE = by_kind(
