@@ -28,6 +28,8 @@ _OWN = {"input", "textarea", "select", "button", "a", "img", "canvas", "video",
 _BLOCKS = {"p", "div", "li", "td", "th", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "tr", "form", "fieldset", "main", "nav", "footer", "header", "aside", "body", "html", "dl", "dt", "dd", "blockquote", "pre"}
 
 
+#: Elements that may have a shadow root, beside those whose name has a hyphen.
+_HOSTS = {"article", "aside", "blockquote", "body", "div", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "header", "main", "nav", "p", "section", "span"}
 #: Composite widgets: their own options tell their value, and controls inside them are part of them.
 _OWNERS, _CHOICES = {"radiogroup", "combobox", "listbox", "textbox"}, {"option", "radio", "checkbox"}
 _CONTROLS = {"input", "textarea", "select"}
@@ -36,22 +38,53 @@ _CONTROLS = {"input", "textarea", "select"}
 class _Open:
     """An element that is open: its tag, row (if it has one), whether it is hidden, and what its text belongs to besides."""
 
-    __slots__ = ("choice", "hidden", "ident", "owner", "row", "tag")
+    __slots__ = ("at", "choice", "hidden", "ident", "lit", "owner", "root", "row", "scope", "tag")
 
-    def __init__(self, tag: str, row: dict | None, hidden: bool, ident: str | None, owner: dict | None, choice: dict | None):
+    def __init__(self, tag: str, row: dict | None, hidden: bool, ident: str | None, owner: dict | None, choice: dict | None, scope: int, lit: list | None, at: int):
         self.tag, self.row, self.hidden, self.ident, self.owner, self.choice = tag, row, hidden, ident, owner, choice
+        self.scope, self.lit, self.at = scope, lit, at  # its tree, the slot it depends on (a chain), the place of the first row inside
+        self.root: dict = {"slots": None}  # the slots of its shadow root, if it has one
 
 
 class _Walker(HTMLParser):
-    """A page's elements in pre-order, each with the text that is directly its own, and controls with label, value and feedback."""
+    """A page's elements in pre-order, each with the text that is directly its own, and controls with label, value and feedback.
+
+    An open shadow root that is declared in the page (a template with shadowrootmode) comes after its host and before the host's own
+    content, of which only what a slot takes is seen. Ids, labels and owners hold within their tree. A template without root is inert.
+    """
 
     def __init__(self, page_id: int):
         super().__init__(convert_charrefs=True)
-        self.page_id, self.rows, self.open, self.skipped = page_id, [], [], 0
-        self.said: dict[str, list[str]] = {}  # texts by id
+        self.page_id, self.rows, self.open, self.skipped, self.inert, self.scopes = page_id, [], [], 0, 0, 0
+        self.said: dict[tuple[int, str], list[str]] = {}  # texts by tree and id
+
+    def _tree(self) -> list[_Open]:
+        """The open elements of the innermost tree."""
+        k = len(self.open)
+        while k and self.open[k - 1].tag != "template":
+            k -= 1
+        return self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: (v if v is not None else "") for k, v in attrs}
+        host = self.open[-1] if self.open else None
+        if self.inert:
+            self.inert += tag == "template"
+            return
+        scope, lit = (host.scope, host.lit) if host else (0, None)
+        if tag == "template":
+            if a.get("shadowrootmode") == "open" and host is not None and host.root["slots"] is None and not self.skipped and ("-" in host.tag or host.tag in _HOSTS):
+                host.root["slots"] = set()
+                self.scopes += 1
+                self.open.append(_Open(tag, None, host.hidden, None, None, None, self.scopes, lit, len(self.rows)))
+            else:
+                self.inert = 1
+            return
+        if host is not None and host.tag != "template":
+            lit = [lit, host.root, a.get("slot", ""), None]  # of the element around, its parent's root, its slot, whether it is seen
+        if tag == "slot" and scope:
+            at = max(k for k, o in enumerate(self.open) if o.tag == "template")
+            self.open[at - 1].root["slots"].add(a.get("name", ""))
         if tag in _SKIP:
             self.skipped += tag not in _VOID
             return
@@ -61,7 +94,8 @@ class _Walker(HTMLParser):
         if tag == "option" and self.open and self.open[-1].tag == "option":
             self.open.pop()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or a.get("type") == "hidden" or "display:none" in a.get("style", "").replace(" ", "").lower() or (bool(self.open) and self.open[-1].hidden)
-        around = next((o.owner for o in reversed(self.open) if o.owner is not None), None)
+        tree = self._tree()
+        around = next((o.owner for o in reversed(tree) if o.owner is not None), None)
         part = around is not None and (tag in _CONTROLS or a.get("role") in _CHOICES)
         choice, row = None, None
         if around is not None and (tag == "option" or a.get("role") in _CHOICES or (tag == "input" and a.get("type") in ("radio", "checkbox"))):
@@ -71,7 +105,7 @@ class _Walker(HTMLParser):
         elif part and not hidden and around["nested"] is None:
             around["nested"] = a.get("value", "") if tag == "input" else []
         if not hidden and not part and (tag in _OWN or "role" in a):
-            inside = [o.tag for o in self.open]
+            inside = [o.tag for o in tree]
             row = {
                 "page_id": self.page_id, "pos": len(self.rows), "tag": tag, "role_attr": a.get("role"), "type": a.get("type", "").lower() or None, "name": a.get("name"), "elem_id": a.get("id"),
                 "placeholder": a.get("placeholder"), "autocomplete": a.get("autocomplete", "").lower() or None, "aria_label": a.get("aria-label") or a.get("title") or a.get("alt"), "href": "href" in a,
@@ -79,42 +113,55 @@ class _Walker(HTMLParser):
                 "checked": "checked" in a, "editable": a.get("contenteditable") in ("", "true"), "in_main": "main" in inside, "in_article": "article" in inside,
                 "invalid": a.get("aria-invalid") == "true", "message": a.get("aria-errormessage", ""), "help": a.get("aria-describedby", ""), "options": None,
                 # used while walking
-                "choices": [], "nested": None, "labelled": a.get("aria-labelledby", ""), "valuetext": a.get("aria-valuetext"), "wrap": next((o.row for o in reversed(self.open) if o.tag == "label"), None),
+                "choices": [], "nested": None, "labelled": a.get("aria-labelledby", ""), "valuetext": a.get("aria-valuetext"), "wrap": next((o.row for o in reversed(tree) if o.tag == "label"), None), "scope": scope, "lit": lit,
             }
             self.rows.append(row)
         owner = row if row is not None and (tag == "select" or a.get("role") in _OWNERS) else None
         if tag not in _VOID:
-            self.open.append(_Open(tag, row, hidden, a.get("id"), owner, choice))
+            self.open.append(_Open(tag, row, hidden, a.get("id"), owner, choice, scope, lit, len(self.rows)))
 
     def handle_endtag(self, tag: str) -> None:
+        if self.inert:
+            self.inert -= tag == "template"
+            return
+        if tag == "template":
+            at = max((k for k, o in enumerate(self.open) if o.tag == "template"), default=None)
+            if at is not None:  # the root's rows go before what the host has had so far
+                first, begun = self.open[at - 1].at, self.open[at].at
+                self.rows[first:] = self.rows[begun:] + self.rows[first:begun]
+                del self.open[at:]
+            return
         if tag in _SKIP:
             self.skipped = max(0, self.skipped - 1)
             return
         for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k].tag == "template":  # ends in a tree concern that tree
+                break
             if self.open[k].tag == tag:
                 del self.open[k:]
                 break
 
     def handle_data(self, data: str) -> None:
-        if self.skipped or not data.strip() or (self.open and self.open[-1].hidden):
+        if self.skipped or self.inert or not data.strip() or (self.open and self.open[-1].hidden):
             return
-        for o in self.open:
+        tree = self._tree()
+        for o in tree:
             if o.ident:
-                self.said.setdefault(o.ident, []).append(data)
+                self.said.setdefault((o.scope, o.ident), []).append(data)
             if o.choice is not None:
                 o.choice["text"].append(data)
         if self.open and self.open[-1].tag == "textarea" and self.open[-1].row is None:
-            around = next((o.owner for o in reversed(self.open) if o.owner is not None), None)
+            around = next((o.owner for o in reversed(tree) if o.owner is not None), None)
             if around is not None and isinstance(around["nested"], list):
                 around["nested"].append(data)
-        for o in reversed(self.open):
+        for o in reversed(tree):
             if o.row is not None and (o.tag in _BLOCKS or o.tag in ("label", "button", "a", "option", "textarea")):
                 o.row["text"].append(data)
                 if o.tag in _BLOCKS:
                     break
 
-    def _named(self, ids: str) -> list[str]:
-        return [t for i in ids.split() if (t := " ".join(" ".join(self.said.get(i, [])).split()))]
+    def _named(self, scope: int, ids: str) -> list[str]:
+        return [t for i in ids.split() if (t := " ".join(" ".join(self.said.get((scope, i), [])).split()))]
 
     def _value(self, r: dict) -> str | None:
         """The value of a control: of a file field nothing, of choices the labels of the chosen ones."""
@@ -137,19 +184,33 @@ class _Walker(HTMLParser):
             return " ".join("".join(r["nested"]).split()) if isinstance(r["nested"], list) else r["nested"]
         return r["text"] if r["editable"] else r["valuetext"]
 
+    @staticmethod
+    def _seen(lit: list | None) -> bool:
+        """Whether every slot that an element depends on is there; each link of the chain is looked at once."""
+        above = []
+        while lit is not None and lit[3] is None:
+            above.append(lit)
+            lit = lit[0]
+        seen = lit is None or lit[3]
+        for link in reversed(above):
+            seen = link[3] = seen and (link[1]["slots"] is None or link[2] in link[1]["slots"])
+        return seen
+
     def result(self) -> list[dict]:
-        for r in self.rows:
+        self.rows = [r for r in self.rows if self._seen(r["lit"])]
+        for k, r in enumerate(self.rows):
+            r["pos"] = k
             r["text"] = " ".join(" ".join(r["text"]).split()) or None
         named = {}
         for r in self.rows:
             if r["tag"] == "label" and r["label_text"]:
-                named.setdefault(r["label_text"], r["text"])
+                named.setdefault((r["scope"], r["label_text"]), r["text"])
         for r in self.rows:
             around = r["wrap"]["text"] if r["wrap"] and r["tag"] in _CONTROLS else None
-            r["label_text"] = " ".join(self._named(r["labelled"])) or (named.get(r["elem_id"]) if r["elem_id"] and r["tag"] != "label" else None) or around
+            r["label_text"] = " ".join(self._named(r["scope"], r["labelled"])) or (named.get((r["scope"], r["elem_id"])) if r["elem_id"] and r["tag"] != "label" else None) or around
             if r["tag"] in _CONTROLS or r["role_attr"] in _OWNERS or r["editable"]:
                 r["value"] = self._value(r)
-            wrong, said = self._named(r["message"]), self._named(r["help"])
+            wrong, said = self._named(r["scope"], r["message"]), self._named(r["scope"], r["help"])
             r["help"] = "\n".join(dict.fromkeys(said)) or None
             r["message"] = ("\n".join(dict.fromkeys(wrong)) or r["help"]) if r["invalid"] else None
         return self.rows

@@ -188,3 +188,15 @@ def page_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "status", "n_faults", F.json_array_length(of("$.elements")).alias("n_elements"), F.json_array_length(of("$.untrusted_text")).alias("n_texts"), legend.alias("legend"), of("$.untrusted_text[0].text").alias("said"),
         (~F.col("raw").contains(F.col("c_name")) & ~F.col("raw").contains(F.col("mail"))).alias("clean"),
     )
+
+
+# ---------------------------------------------------------------- shadow roots
+
+_CARDS = """SELECT c_custkey AS page_id, concat('<main><x-card><h2 slot="title">Title ', CAST(c_custkey AS {s}), '</h2><p>light ', CAST(c_custkey AS {s}), '</p><p slot="none">gone</p><template shadowrootmode="open"><section><h1>root ', CAST(c_custkey AS {s}),
+    '</h1><slot name="title"></slot><x-in><template shadowrootmode="open"><p>deep ', CAST(c_custkey AS {s}), '</p><div><template shadowrootmode="closed"><p>closed</p></template></div></template><p>not slotted</p></x-in><slot></slot></section></template></x-card><template><p>inert</p></template><p>after</p></main>') AS html FROM {t}"""
+
+
+@query("SELECT c_custkey::VARCHAR AS page_id, n::INT AS pos, (['heading', 'text', 'heading', 'text', 'text'])[n] AS role, (['root ' || c_custkey, 'deep ' || c_custkey, 'Title ' || c_custkey, 'light ' || c_custkey, 'after'])[n] AS raw_text FROM customer, (SELECT unnest(range(1, 6)) AS n)")
+def shadow_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of pages with nested shadow roots: a root's content before its host's, of which only what has a slot is seen."""
+    return perception.regions(_view(spark, sf_dir, _CARDS, "customer")).select("page_id", "pos", "role", "raw_text")
