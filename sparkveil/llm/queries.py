@@ -136,6 +136,20 @@ ORACLES: dict[str, str] = {
         )
         SELECT doc_id, source, lang, text, unnest(range(1, times + 1))::INTEGER AS repetition FROM k WHERE times > 0
     """,
+    "op11_suffix_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), s AS (
+            SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)
+        ), f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+        r AS (SELECT s.doc_id, s.p, lag(s.p) OVER (PARTITION BY s.doc_id ORDER BY s.p) AS before FROM s JOIN f USING (g) WHERE s.doc_id > f.first),
+        k AS (SELECT doc_id, p, sum((before IS NULL OR p > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
+        x AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM k GROUP BY doc_id, k),
+        y AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS kept_from FROM x),
+        z AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS head, max(b) AS last FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT d.doc_id, d.n AS n_bytes, coalesce(z.n_removed, 0)::BIGINT AS n_removed, coalesce(z.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(z.head, '') || substr(h, 2 * coalesce(z.last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN z USING (doc_id)
+    """,
     "op12_lexical_search": r"""
         WITH w AS (
             SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents

@@ -203,3 +203,9 @@ def test_connected_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(100, 101), (101, 100)], "a long, b long")
     got = {x.node: x.component for x in connected(edges).collect()}
     assert got == {k: 0 for k in range(n + 1)} | {100: 100, 101: 100}
+
+
+def test_exact_dedup_reads_no_column_of_a_clashing_name(spark):
+    rows = [(1, "a  b", 9, False, "x"), (0, "a b", 9, False, "x"), (2, None, 9, False, "x")]
+    got = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, keep_id long, kept boolean, digest string")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(0, 0, 2, True), (1, 0, 2, False), (2, 2, 1, True)]

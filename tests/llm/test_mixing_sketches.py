@@ -149,3 +149,10 @@ def test_edit_likeness_edges(spark):
     (x,) = sketches.edit_likeness(docs(spark, [(1, "a b c d e f g h", "s")])).collect()
     assert x.near_next == 1.0 and x.n_chars == 15
     assert sketches.sketch_documents(docs(spark, [(1, "a", "s")])).count() == 1
+
+
+def test_fingerprints_read_no_column_of_a_clashing_name(spark):
+    rows = [(1, "some words of a text", "x", 0.5), (2, "other words of a text", "x", 0.5)]
+    plain = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    clash = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, near_next double")
+    assert sorted(map(tuple, sketches.edit_likeness(clash).collect())) == sorted(map(tuple, sketches.edit_likeness(plain).collect()))
