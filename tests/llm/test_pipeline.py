@@ -36,7 +36,7 @@ def test_bad_documents_go_and_good_ones_stay(spark):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
 
 
