@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from sparkveil.sources.durable import durable
 from sparkveil.sources.shipping import ship
 
 #: Boxes of a key above which it is cut into strips along x, up to STRIPS of them, at quantiles of the left edges.
@@ -97,21 +98,11 @@ def areas(x1: np.ndarray, x2: np.ndarray, y1: np.ndarray, y2: np.ndarray, group:
     return out
 
 
-def union_areas(boxes: DataFrame, keys: list[str], box: str = "box") -> DataFrame:
-    """``keys`` and area: what the boxes (STRUCT<x, y, w, h>) of each key cover together. Keys without a box of positive size have 0.
-
-    Keys with more than LARGE boxes are cut into strips along x, in which boxes are swept apart and areas add up. Rows are streamed in
-    order of key and strip; a task holds the boxes of one strip and a batch.
-    """
-    ship(boxes.sparkSession)
-    b = F.col(box)
-    edges = [b["x"].cast("double").alias("_x1"), (b["x"] + b["w"]).cast("double").alias("_x2"), b["y"].cast("double").alias("_y1"), (b["y"] + b["h"]).cast("double").alias("_y2")]
-    rows = boxes.select(*keys, *edges)
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+def _in_strips(rows: DataFrame, keys: list[str], large: DataFrame) -> DataFrame:
+    """``rows`` with the strip of each, the boxes of ``large`` keys cut at quantiles of their left edges."""
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    large = rows.groupBy(*named).agg(F.count("*").alias("_n")).filter(F.col("_n") > LARGE)
     cuts = F.array_sort(F.array_distinct(F.percentile_approx("_x1", [i / STRIPS for i in range(1, STRIPS)], 1000)))
     large = rows.join(large, same).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(cuts.alias("_cuts"))
     rows = rows.join(large, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
@@ -120,6 +111,22 @@ def union_areas(boxes: DataFrame, keys: list[str], box: str = "box") -> DataFram
     strips = F.filter(F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda i: F.struct(i.alias("i"), F.get(bounds, i).alias("lo"), F.get(bounds, i + 1).alias("hi"))), lambda s: (s["lo"] <= F.col("_x1")) & (F.col("_x1") < s["hi"]) | (s["lo"] < F.col("_x2")) & (F.col("_x1") < s["lo"]))
     cut = rows.filter("_cuts is not null").withColumn("_s", F.explode(strips)).select(*keys, F.col("_s.i").alias("_strip"), F.greatest("_x1", "_s.lo").alias("_x1"), F.least("_x2", "_s.hi").alias("_x2"), "_y1", "_y2")
     rows = cut.unionByName(rows.filter("_cuts is null").select(*keys, F.lit(0).alias("_strip"), "_x1", "_x2", "_y1", "_y2"))
+    return rows
+
+
+def union_areas(boxes: DataFrame, keys: list[str], box: str = "box") -> DataFrame:
+    """``keys`` and area: what the boxes (STRUCT<x, y, w, h>) of each key cover together. Keys without a box of positive size have 0.
+
+    Keys with more than LARGE boxes are cut into strips along x, in which boxes are swept apart and areas add up. Rows are streamed in
+    order of key and strip; a task holds the boxes of one strip and a batch.
+    """
+    ship(boxes.sparkSession)
+    b = F.col(box)
+    edges = [b["x"].cast("double").alias("_x1"), (b["x"] + b["w"]).cast("double").alias("_x2"), b["y"].cast("double").alias("_y1"), (b["y"] + b["h"]).cast("double").alias("_y2")]
+    rows = durable(boxes.select(*keys, *edges))
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    large = durable(rows.groupBy(*named).agg(F.count("*").alias("_n")).filter(F.col("_n") > LARGE))
+    rows = rows.withColumn("_strip", F.lit(0)) if large.isEmpty() else _in_strips(rows, keys, large)
     dealt = rows.repartition(*keys, "_strip").sortWithinPartitions(*keys, "_strip")
     schema = StructType([*(rows.schema[k] for k in keys), StructField("area", DoubleType())])
 
