@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions import scalars
 from sparkveil.operators import vault, wire
+from sparkveil.operators.gate import MOST_REQUEST
 from sparkveil.plans.catalogue import _packets, query
 from sparkveil.sources.synthetic import table, view
 
@@ -58,7 +59,7 @@ def requests_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT request_id, 'packet.task.intent' AS path, 'EMAIL' AS cls FROM ({_DUCK_RAW}) WHERE strlen(raw) <= 4194304 AND json_valid(raw) AND regexp_matches(CASE WHEN json_valid(raw) THEN {_J.format('$.task.intent')} END, '[a-z0-9]+@[a-z.]+')")
 def rescan_all_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wire.rescan_json(_requests(spark, sf_dir).filter("length(raw) < 4000000"))
+    return wire.rescan_json(_requests(spark, sf_dir).filter(F.octet_length("raw") <= MOST_REQUEST))
 
 
 @query(f"SELECT request_id, strlen(raw)::INT AS bytes, sha256(raw) AS sha256 FROM ({_DUCK_RAW}) WHERE NOT json_valid(raw)")
