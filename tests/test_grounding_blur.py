@@ -36,3 +36,13 @@ def test_blur_is_no_redaction(spark):
     got = {r.id: r for r in blur.attack(secrets).collect()}
     assert got[1].accuracy == 1.0 and got[2].accuracy == 1.0
     assert got[3].accuracy <= 0.3
+
+
+def test_blur_is_read_in_stacks_over_many_tasks(spark):
+    digits = [f"{k * 7919 % 10**8:08d}" for k in range(40)] + ["42", ""]
+    secrets = spark.createDataFrame([(k, d, 14.0 if k % 2 else 0.0) for k, d in enumerate(digits)], "id long, digits string, sigma double").coalesce(1)
+    got = blur.attack(secrets)
+    assert got.rdd.getNumPartitions() > 1
+    found = {r.id: r.recovered for r in got.collect()}
+    assert all(found[k] == d if k % 2 else len(set(found[k])) == 1 and len(found[k]) == len(d) for k, d in enumerate(digits) if d)
+    assert found[41] == "" and len(found) == 42
