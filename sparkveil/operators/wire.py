@@ -241,18 +241,31 @@ def read_requests(requests: DataFrame, raw: str = "raw", most_bytes: int = MOST_
     the limit is not parsed. Null bodies are no JSON.
     """
     ship(requests.sparkSession)
-    fits = F.coalesce(F.octet_length(raw) <= most_bytes, F.lit(True))
-    rows = requests.withColumn("_body", F.when(fits, F.col(raw))).withColumn("_faults", F.when(fits, _faults_of(packet_faults)(F.col("_body"))))
+    rows = _checked(requests, raw, most_bytes)
     no_json = F.exists("_faults", lambda f: f["code"] == "not_json")
     found = rescan_json(rows.filter(F.size("_faults") == 0).select("request_id", F.col("_body").alias("raw")), registry=registry)
     found = found.groupBy("request_id").agg(F.array_sort(F.collect_set("cls")).alias("classes"))  # of 26 classes
-    rows = rows.join(found, "request_id", "left")
+    rows = rows.select("request_id", "_fits", "_faults").join(found, "request_id", "left")
+    fits = F.col("_fits")
     reason = F.when(~fits, "body_too_large").when(no_json, "invalid_json").when(F.size("_faults") > 0, "schema_validation").when(F.col("classes").isNotNull(), "rescan_detected_pii").otherwise("received")
     status = F.when(~fits, 413).when(no_json, 400).when((F.size("_faults") > 0) | F.col("classes").isNotNull(), 422).otherwise(200)
     n = F.when(fits & ~no_json, F.size("_faults")).otherwise(0)
     return rows.select("request_id", status.alias("status"), reason.alias("reason"), n.alias("n_faults"), F.coalesce("classes", F.array().cast("array<string>")).alias("classes"), F.col("_faults").alias("faults"))
 
 
+def _checked(requests: DataFrame, raw: str, most_bytes: int) -> DataFrame:
+    """``requests`` with _fits, _body (null over the limit) and _faults: what is wrong with a body that fits."""
+    fits = F.coalesce(F.octet_length(raw) <= most_bytes, F.lit(True))
+    return requests.withColumn("_fits", fits).withColumn("_body", F.when(F.col("_fits"), F.col(raw))).withColumn("_faults", F.when(F.col("_fits"), _faults_of(packet_faults)(F.col("_body"))))
+
+
+def failed_requests(requests: DataFrame, raw: str = "raw", most_bytes: int = MOST_REQUEST) -> DataFrame:
+    """request_id, bytes and sha256 of the requests that ``read_requests`` answers with invalid_json; bodies go nowhere but through their own task."""
+    ship(requests.sparkSession)
+    failed = _checked(requests, raw, most_bytes).filter(F.exists("_faults", lambda f: f["code"] == "not_json"))
+    return failed.select("request_id", attempt(F.col(raw)).alias("a")).select("request_id", "a.*")
+
+
 #: Identifiers that machines make: their digits are no personal data.
 _MADE_ID = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}|[0-9a-hjkmnp-tv-z]{20,26})$"
 

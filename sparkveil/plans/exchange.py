@@ -64,8 +64,7 @@ def rescan_all_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT request_id, strlen(raw)::INT AS bytes, sha256(raw) AS sha256 FROM ({_DUCK_RAW}) WHERE NOT json_valid(raw)")
 def failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wire.read_requests(_requests(spark, sf_dir)).filter("reason = 'invalid_json'").select("request_id")
-    return _requests(spark, sf_dir).join(rows, "request_id").select("request_id", wire.attempt(F.col("raw")).alias("a")).select("request_id", "a.*")
+    return wire.failed_requests(_requests(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- answers of planners

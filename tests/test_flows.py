@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkveil.operators import intervals, media, policy, ranges, vault
+from sparkveil.operators import intervals, media, policy, ranges, vault, wire
 from sparkveil.streaming import receipts
 
 
@@ -120,3 +120,13 @@ def test_range_columns_do_not_stay(spark):
     events = spark.createDataFrame([("u", 1, 1, "run", 1, "x", "t")], "user_id string, ts long, event_id long, kind string, tab long, origin string, task string")
     assert vault.session_ends(events).columns == [*events.columns, "ended", "session_no"]
     assert not {ranges.PART, ranges.AT} & set(vault.sessions(events.withColumn("event_type", F.lit("a"))).columns)
+
+
+def test_failed_attempts_keep_bodies_in_their_task(spark):
+    from sparkveil.plans import exchange
+
+    got = exchange.failed_attempts(spark, "/root/testdata/sf0.001")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.createDataFrame([(1, "{"), (2, "{}"), (3, None), (4, "[" + " " * 50)], "request_id long, raw string")
+    found = {r.request_id: r.bytes for r in wire.failed_requests(rows, most_bytes=40).collect()}
+    assert found == {1: 1, 3: 9}
