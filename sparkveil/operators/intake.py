@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from sparkveil.functions.geometry import box
 from sparkveil.functions.taxonomy import redacts, severity
 from sparkveil.operators.media import FILL, compose, failures, pixels, png
-from sparkveil.operators.recognizers import STANDARD, Registry
+from sparkveil.operators.recognizers import SPAN, STANDARD, Registry
 from sparkveil.operators.vault import mint
+from sparkveil.sources.durable import durable
 from sparkveil.sources.shipping import ship
 
 #: Limits of a page, its file and what is sent of it.
@@ -73,18 +74,21 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
     nothing was recognized, and if it is a pdf.
     """
     registry = registry or STANDARD
+    # how large tables get that were made from a small one can't be told before: a page's rows meet by shuffles, never as a broadcast
+    meet = lambda df: df.hint("merge")
     at = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
     lines = texts.withColumn("nth", at).filter(f"nth <= {MOST_LINES + 1}")  # one more tells that there are too many
-    long = lines.filter(f"nth > {MOST_LINES}").select("page_id", F.lit(True).alias("too_long"))
-    lines = lines.filter(f"nth <= {MOST_LINES}").withColumn("spans", registry.analyze("text", 0.3))
+    lines = lines.withColumn("spans", F.when(F.col("nth") <= MOST_LINES, registry.analyze("text", 0.3)).otherwise(F.array().cast(f"array<{SPAN}>")))
     strong = F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda s: (s["confidence"] >= 0.5) & (severity(s["cls"]) != "medium")), lambda s: s["cls"])))
-    lines = lines.withColumn("strong", strong)
-    told = lines.groupBy("page_id").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.size("strong") > 0).alias("n_strong"), F.bool_or(F.col("text").rlike(IDENTITY)).alias("cue_identity"), F.bool_or(F.col("text").rlike(SIGNATURE)).alias("cue_signature"),
-        F.bool_or(F.length(F.regexp_replace("text", "[^0-9]", "")) >= 8).alias("has_number"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: s["cls"]))))).alias("seen_classes"),
+    every = lines.withColumn("strong", strong)
+    read = F.col("nth") <= MOST_LINES
+    lines = every.filter(read)
+    told = every.groupBy("page_id").agg(
+        F.count_if(read).alias("n_lines"), F.count_if(F.size("strong") > 0).alias("n_strong"), F.bool_or(read & F.col("text").rlike(IDENTITY)).alias("cue_identity"), F.bool_or(read & F.col("text").rlike(SIGNATURE)).alias("cue_signature"),
+        F.bool_or(read & (F.length(F.regexp_replace("text", "[^0-9]", "")) >= 8)).alias("has_number"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: s["cls"]))))).alias("seen_classes"), F.bool_or(~read).alias("too_long"),
     )
     counted = lambda df, to: df.groupBy("page_id").agg(F.count("*").alias(to))
-    rows = pages.join(told, "page_id", "left").join(counted(faces, "n_faces"), "page_id", "left").join(counted(codes, "n_found"), "page_id", "left").join(long, "page_id", "left")
+    rows = pages.join(meet(told), "page_id", "left").join(meet(counted(faces, "n_faces")), "page_id", "left").join(meet(counted(codes, "n_found")), "page_id", "left")
     rows = rows.fillna(0, ["n_lines", "n_strong", "n_faces", "n_found"]).fillna(False, ["cue_identity", "cue_signature", "has_number", "too_long"])
     rows = rows.withColumn("n_codes", F.when(F.col("n_found") > MOST_CODES, 1).otherwise(F.col("n_found"))).withColumn("pdf", F.col("kind") == "pdf")
     rows = rows.withColumn("n_faces", F.when(F.col("pdf"), 0).otherwise(F.col("n_faces"))).withColumn("identity", F.coalesce("hint", F.lit(False)) | F.col("cue_identity"))
@@ -99,13 +103,14 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
         .when(whole, "nothing_recognized").when(F.col("identity"), "all_lines").otherwise("selective")
     )
     rows = rows.withColumn("whole", whole).withColumn("label", label).withColumn("treatment", treatment)
+    rows = durable(rows)  # one a page; the report and the masks are made from it
 
-    marked = lines.join(rows.filter("not whole").select("page_id", "identity"), "page_id").filter(F.col("identity") | (F.size("strong") > 0))
+    marked = lines.join(meet(rows.filter("not whole").select("page_id", "identity")), "page_id").filter(F.col("identity") | (F.size("strong") > 0))
     name = F.when(F.size("strong") > 0, F.array_join(F.transform("strong", lambda c: F.concat(F.lit("PII:"), c)), " + ")).otherwise("PII:ID_DOCUMENT")
     masks = marked.select("page_id", "pos", name.alias("label"), "box")
     seen = rows.filter("not whole").select("page_id", "pdf", "width", "height", "n_found")
-    masks = masks.unionByName(faces.join(seen.filter("not pdf").select("page_id"), "page_id").select("page_id", "pos", F.lit("PII:FACE").alias("label"), "box"))
-    few = codes.join(seen.filter(f"n_found <= {MOST_CODES}").select("page_id"), "page_id").select("page_id", "pos", F.lit("PII:QR_BARCODE").alias("label"), "box")
+    masks = masks.unionByName(faces.join(meet(seen.filter("not pdf").select("page_id")), "page_id").select("page_id", "pos", F.lit("PII:FACE").alias("label"), "box"))
+    few = codes.join(meet(seen.filter(f"n_found <= {MOST_CODES}").select("page_id")), "page_id").select("page_id", "pos", F.lit("PII:QR_BARCODE").alias("label"), "box")
     many = seen.filter(f"n_found > {MOST_CODES}").select("page_id", F.lit(_FULL).alias("pos"), F.lit("PII:QR_BARCODE").alias("label"), box(F.lit(0), F.lit(0), F.col("width"), F.col("height")).alias("box"))
     full = rows.filter("whole").select("page_id", F.lit(_FULL).alias("pos"), "label", box(F.lit(0), F.lit(0), F.col("width"), F.col("height")).alias("box"))
     masks = masks.unionByName(few).unionByName(many).unionByName(full)
@@ -113,7 +118,7 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
     typed = lines.select("page_id", "pos", F.explode(F.filter("spans", lambda s: (s["confidence"] >= 0.5) & redacts("shield", s["cls"]))).alias("s"))
     typed = typed.select("page_id", "pos", F.col("s.cls").alias("cls"), F.coalesce("s.normalized", "s.text").alias("value"), F.struct("pos", F.col("s.start")).alias("seq"))
     vault = mint(typed, "page_id")
-    own = typed.join(vault.select("page_id", "cls", "value", "token", "overflow", "ordinal"), ["page_id", "cls", "value"]).filter("not overflow")
+    own = typed.join(meet(vault.select("page_id", "cls", "value", "token", "overflow", "ordinal")), ["page_id", "cls", "value"]).filter("not overflow")
     tokens = own.groupBy("page_id", "pos").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"])), " ").alias("text"))
     by_text = own.select("page_id", "pos", "cls", "token").distinct().groupBy("page_id", "cls").agg(F.count("*").alias("n"))
     pixel = [("FACE", F.col("n_faces")), ("QR_BARCODE", F.col("n_codes")), ("SIGNATURE", F.col("cue_signature").cast("long")), ("ID_DOCUMENT", F.col("identity").cast("long"))]
@@ -121,7 +126,7 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
     classes = by_text.unionByName(by_pixel).groupBy("page_id", "cls").agg(F.sum("n").alias("n"))
     classes = classes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("by_class"))  # of 26 classes
     n_masks = F.when(F.col("whole"), 1).otherwise(F.col("n_found_all")).cast("long")
-    report = rows.join(classes, "page_id", "left").select(
+    report = rows.join(meet(classes), "page_id", "left").select(
         "page_id", "n_lines", "n_faces", "n_codes", F.coalesce("seen_classes", F.array().cast("array<string>")).alias("seen_classes"), "identity", F.col("cue_signature").alias("signature"), n_masks.alias("n_masks"), "treatment",
         F.coalesce("by_class", F.array().cast("array<struct<cls:string,n:bigint>>")).alias("by_class"),
     )

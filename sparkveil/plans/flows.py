@@ -112,7 +112,7 @@ def media_long_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = texts.limit(0).select("page_id", "pos", "box")
     found = intake.inspect_pages(sheets, texts, none, none)
     masks = found["masks"].groupBy("page_id").agg(F.count("*").alias("n_masks"), F.sum(F.col("box.w") * F.col("box.h")).alias("area"))
-    return found["report"].select("page_id", "treatment").join(masks, "page_id")
+    return found["report"].select("page_id", "treatment").join(masks.hint("merge"), "page_id")
 
 
 # ---------------------------------------------------------------- sessions with several ends

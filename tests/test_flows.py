@@ -130,3 +130,10 @@ def test_failed_attempts_keep_bodies_in_their_task(spark):
     rows = spark.createDataFrame([(1, "{"), (2, "{}"), (3, None), (4, "[" + " " * 50)], "request_id long, raw string")
     found = {r.request_id: r.bytes for r in wire.failed_requests(rows, most_bytes=40).collect()}
     assert found == {1: 1, 3: 9}
+
+
+def test_lines_of_long_pages_are_never_broadcast(spark):
+    from sparkveil.plans import flows
+
+    plan = flows.media_long_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
