@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkveil.functions.taxonomy import legend_key, token_class
 from sparkveil.operators import ranges
-from sparkveil.operators.recognizers import STANDARD, Registry
+from sparkveil.operators.recognizers import STANDARD, Registry, each_span
 from sparkveil.operators.vault import live, scan
 from sparkveil.sources.durable import durable
 
@@ -167,4 +167,4 @@ def rescan(packets: DataFrame, registry: Registry | None = None) -> DataFrame:
     ]
     every = reduce(DataFrame.unionByName, leaves).filter("text is not null")
     found = (registry or STANDARD).analyze("text", TRIPWIRE)
-    return every.select("packet_id", "path", F.explode(found).alias("s")).select("packet_id", "path", F.col("s.cls").alias("cls"))
+    return each_span(every, "packet_id", "path", spans=found).select("packet_id", "path", F.col("s.cls").alias("cls"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkveil.functions.geometry import box
 from sparkveil.functions.taxonomy import redacts, severity
 from sparkveil.operators.media import FILL, compose, failures, pixels, png
-from sparkveil.operators.recognizers import SPAN, STANDARD, Registry
+from sparkveil.operators.recognizers import SPAN, STANDARD, Registry, each_span
 from sparkveil.operators.vault import mint
 from sparkveil.sources.durable import durable
 from sparkveil.sources.shipping import ship
@@ -115,7 +115,7 @@ def inspect_pages(pages: DataFrame, texts: DataFrame, faces: DataFrame, codes: D
     full = rows.filter("whole").select("page_id", F.lit(_FULL).alias("pos"), "label", box(F.lit(0), F.lit(0), F.col("width"), F.col("height")).alias("box"))
     masks = masks.unionByName(few).unionByName(many).unionByName(full)
 
-    typed = lines.select("page_id", "pos", F.explode(F.filter("spans", lambda s: (s["confidence"] >= 0.5) & redacts("shield", s["cls"]))).alias("s"))
+    typed = each_span(lines, "page_id", "pos", spans=F.filter("spans", lambda s: (s["confidence"] >= 0.5) & redacts("shield", s["cls"])))
     typed = typed.select("page_id", "pos", F.col("s.cls").alias("cls"), F.coalesce("s.normalized", "s.text").alias("value"), F.struct("pos", F.col("s.start")).alias("seq"))
     vault = mint(typed, "page_id")
     own = typed.join(meet(vault.select("page_id", "cls", "value", "token", "overflow", "ordinal")), ["page_id", "cls", "value"]).filter("not overflow")

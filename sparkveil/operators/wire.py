@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkveil.functions.taxonomy import CLASSES, MODES
 from sparkveil.operators import planner
 from sparkveil.operators.gate import MOST_ELEMENTS, MOST_HISTORY, MOST_INTENT, MOST_REQUEST, MOST_TEXT, MOST_TEXTS, PACKET, SCHEMA_ID, TRIPWIRE
-from sparkveil.operators.recognizers import STANDARD, Registry
+from sparkveil.operators.recognizers import STANDARD, Registry, each_span
 from sparkveil.operators.vault import live, scan
 from sparkveil.sources.durable import durable
 from sparkveil.sources.shipping import ship
@@ -282,7 +282,7 @@ def rescan_json(packets: DataFrame, key: str = "request_id", raw: str = "raw", t
     every = packets.select(key, F.explode(walk(F.col(raw))).alias("l")).select(key, "l.path", "l.text")
     own_id = (F.col("path") == "packet.packet_id") & F.col("text").rlike(_MADE_ID)
     every = every.filter(~F.col("path").endswith(".sha256") & ~F.col("path").endswith(".data_b64") & ~own_id)
-    return every.select(key, "path", F.explode((registry or STANDARD).analyze("text", threshold)).alias("s")).select(key, "path", F.col("s.cls").alias("cls"))
+    return each_span(every, key, "path", spans=(registry or STANDARD).analyze("text", threshold)).select(key, "path", F.col("s.cls").alias("cls"))
 
 
 def attempt(raw: Column) -> Column:

@@ -34,3 +34,10 @@ def test_a_threshold_leaves_out_only_what_can_not_reach_it(spark):
     for threshold in (0.3, 0.75, 0.8, 0.9):
         got = rows.select(recognizers.Registry().analyze("t", threshold).alias("s"), recognizers.resolve_overlaps(F.filter(recognizers.Registry().candidates(F.col("t")), lambda s: s["confidence"] >= threshold)).alias("w")).head()
         assert got.s == got.w
+
+
+def test_spans_are_exploded_without_a_second_run(spark):
+    rows = recognizers.detect(spark.createDataFrame([("a.b@mail.example.com",), ("none",), (None,)], "text string").repartition(3))
+    got = recognizers.each_span(rows, "text")
+    assert [r.s.cls for r in got.collect()] == ["EMAIL"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("card-") == 1
