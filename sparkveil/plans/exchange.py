@@ -9,7 +9,7 @@ from sparkveil.functions import scalars
 from sparkveil.operators import vault, wire
 from sparkveil.operators.gate import MOST_REQUEST
 from sparkveil.plans.catalogue import _packets, query
-from sparkveil.sources.synthetic import table, view
+from sparkveil.sources.synthetic import spread, table, view
 
 # ---------------------------------------------------------------- requests
 
@@ -29,17 +29,17 @@ def _duck(sql: str, name: str) -> str:
     return sql.replace("{s}", "VARCHAR").replace("{t}", name)
 
 
-def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+def _view(spark: SparkSession, sf_dir: str, sql: str, name: str, costly: bool = False) -> DataFrame:
     """The rows of ``sql``, whose braces and backslashes are text, over the table that ``{t}`` stands for."""
     text = sql.replace("{s}", "STRING").replace("{t}", "\0").replace("\\", "\\\\").replace("{", "{{").replace("}", "}}").replace("\0", "{" + name + "}")
-    return view(spark, sf_dir, text, name)
+    return view(spark, sf_dir, text, name, costly=costly)
 
 
 _DUCK_RAW = _duck(_RAW, "orders")
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, _RAW, "orders")
+    return _view(spark, sf_dir, _RAW, "orders", costly=True)
 
 
 @query(
@@ -284,7 +284,7 @@ def form_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from sparkveil.operators import perception
 
-    found = perception.controls(_view(spark, sf_dir, _FIELDS, "customer"))
+    found = perception.controls(_view(spark, sf_dir, _FIELDS, "customer", costly=True))
     nth = F.row_number().over(W.partitionBy("page_id").orderBy("pos"))
     return found.select("page_id", nth.alias("nth"), "label", "value", "invalid", "message", "help", F.coalesce("options", F.lit("")).alias("options"))
 
@@ -294,7 +294,7 @@ def prompt_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers that a prompt gives without naming the field: a leading name, and where someone lives."""
     from sparkveil.operators import prompts
 
-    rows = table(spark, sf_dir, "customer")
+    rows = spread(table(spark, sf_dir, "customer"))
     prompt = F.concat(F.lit("Asha Rao, email: c"), F.col("c_custkey"), F.lit("@mail.example.com. I live in Town"), F.col("c_nationkey"), F.lit(", please submit"))
     field = lambda i, label: F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(None).cast("string").alias("structural_class"))
     tasks = rows.select(F.col("c_custkey").alias("task_id"), prompt.alias("prompt"), F.array(field("f1", "Full name"), field("f2", "Email address"), field("f3", "City")).alias("fields"))

@@ -172,7 +172,7 @@ def stream_frame_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (1000000 + c_custkey)::VARCHAR AS page_id, 200 AS status, 0 AS n_faults, 6 AS n_elements, 1 AS n_texts, 'PII:EMAIL,PII:PERSON_NAME' AS legend, 'Write to PII:EMAIL#1 today' AS said, instr(c_name, '@') = 0 AS clean FROM customer")
 def page_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms on their way out: perceived, sanitized, packed as JSON, and read as the receiver reads it. No value of the form is in the packet."""
-    forms = view(spark, sf_dir, _FORMS.format(s="STRING", t="{customer}"), "customer")
+    forms = view(spark, sf_dir, _FORMS.format(s="STRING", t="{customer}"), "customer", costly=True)
     clean = policy.sanitize(perception.regions(forms).drop("truncated"), "fortress")
     held = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000).cast("string").alias("page_id"), "c_name", F.concat(F.lit("c"), "c_custkey", F.lit("@mail.example.com")).alias("mail"))
     meta = held.select(
@@ -199,4 +199,4 @@ _CARDS = """SELECT c_custkey AS page_id, concat('<main><x-card><h2 slot="title">
 @query("SELECT c_custkey::VARCHAR AS page_id, n::INT AS pos, (['heading', 'text', 'heading', 'text', 'text'])[n] AS role, (['root ' || c_custkey, 'deep ' || c_custkey, 'Title ' || c_custkey, 'light ' || c_custkey, 'after'])[n] AS raw_text FROM customer, (SELECT unnest(range(1, 6)) AS n)")
 def shadow_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions of pages with nested shadow roots: a root's content before its host's, of which only what has a slot is seen."""
-    return perception.regions(_view(spark, sf_dir, _CARDS, "customer")).select("page_id", "pos", "role", "raw_text")
+    return perception.regions(_view(spark, sf_dir, _CARDS, "customer", costly=True)).select("page_id", "pos", "role", "raw_text")

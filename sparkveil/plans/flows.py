@@ -26,7 +26,7 @@ _BYTES, _SENDS, _WINDOW = 900, 3, 60_000
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, _ATTEMPTS, "orders")
+    rows = _view(spark, sf_dir, _ATTEMPTS, "orders", costly=True)
     sha = F.when(F.col("wrong"), F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2(F.lit("x").cast("binary"), 256))
     visual = F.struct(F.col("image").alias("present"), F.when(F.col("image"), "image/png").alias("format"), F.when(F.col("image"), sha).alias("sha256"), F.when(F.col("image"), "x").alias("data_b64"))
     texts = F.when(F.col("large"), F.array(F.struct(F.lit("e1").alias("src"), F.repeat(F.lit("z "), F.lit(_BYTES // 2)).alias("text")))).otherwise(F.array())
@@ -77,7 +77,7 @@ def answer_smuggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planners' answers that hide private values: only the packet's own id, at the top, is not read."""
     packets = _attempts(spark, sf_dir).withColumn("packet_id", F.concat(F.lit("packet-"), F.lpad(F.col("k").cast("string"), 12, "0"))).withColumn("session", F.lit(1))
     held = _view(spark, sf_dir, "SELECT DISTINCT 1 AS session, 'held-value' AS value FROM {t}", "orders")
-    return wire.guard_answers(_view(spark, sf_dir, _SMUGGLED, "orders"), packets, vault=held).select("plan_id", "outcome", F.array_join("reasons", ",").alias("reasons"))
+    return wire.guard_answers(_view(spark, sf_dir, _SMUGGLED, "orders", costly=True), packets, vault=held).select("plan_id", "outcome", F.array_join("reasons", ",").alias("reasons"))
 
 
 # ---------------------------------------------------------------- percentiles
@@ -230,10 +230,10 @@ _DIGITS = f"""SELECT *, d::VARCHAR AS digit, ((d + 1) % 10)::VARCHAR AS wrong, (
 )
 def synthetic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of identifiers of every kind, with and without a word of their context near, valid and not."""
-    stems = _view(spark, sf_dir, _STEMS, "orders")
+    stems = _view(spark, sf_dir, _STEMS, "orders", costly=True)
     digit = checksums.verhoeff_digit(F.col("stem"))
     full = stems.withColumn("digit", digit.cast("string")).withColumn("wrong", ((digit + 1) % 10).cast("string")).withColumn("sign", checksums.gstin_check_char(F.col("company")))
     values = spark.sql(_VALUES.replace("{s}", "STRING").replace("{one}", "$1").replace("{all}", "").replace("{t}", "{rows}"), rows=full)
     texts = values.select("k", F.concat("word", F.lit(": "), F.trim("value"), F.lit(" end.")).alias("text"))
     found = recognizers.detect(texts, threshold=0.3)
-    return found.select("k", F.explode("spans").alias("s")).select("k", "s.cls", "s.start", "s.end", F.round("s.confidence", 4).alias("confidence"))
+    return recognizers.each_span(found, "k").select("k", "s.cls", "s.start", "s.end", F.round("s.confidence", 4).alias("confidence"))

@@ -137,3 +137,11 @@ def test_lines_of_long_pages_are_never_broadcast(spark):
 
     plan = flows.media_long_pages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
+def test_costly_rows_of_small_tables_are_spread(spark):
+    from sparkveil.plans import catalogue, exchange, flows
+
+    folder = "/root/testdata/sf0.001"
+    for made in (catalogue._frames, exchange._requests, flows._attempts):
+        assert made(spark, folder).rdd.getNumPartitions() >= 16
