@@ -145,3 +145,15 @@ def test_costly_rows_of_small_tables_are_spread(spark):
     folder = "/root/testdata/sf0.001"
     for made in (catalogue._frames, exchange._requests, flows._attempts):
         assert made(spark, folder).rdd.getNumPartitions() >= 16
+
+
+def test_rows_of_a_large_group_are_not_shuffled_to_its_intervals(spark):
+    from sparkveil.operators import percentiles
+
+    rows = spark.createDataFrame([("hot" if k % 10 else f"g{k % 30}" if k % 20 else None, float(k * 7919 % 3001)) for k in range(3000)], "g string, v double")
+    got = percentiles.nearest_ranks(rows, ["g"], "v", {"p50": 50, "p95": 95}, small=200)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert [k for k in ("LeftAnti, BuildRight", "Inner, BuildRight") if k in plan] == ["LeftAnti, BuildRight", "Inner, BuildRight"]
+    for r in got.collect():
+        own = sorted(x.v for x in rows.filter(F.col("g").eqNullSafe(r.g)).collect())
+        assert (r.n, r.p50, r.p95) == (len(own), own[-(-50 * len(own) // 100) - 1], own[-(-95 * len(own) // 100) - 1])
