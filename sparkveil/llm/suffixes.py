@@ -554,8 +554,8 @@ def _joined(tid: np.ndarray, ord_: np.ndarray, start: np.ndarray, end: np.ndarra
     return tid[first], ord_[first], start[first], (reach - shift)[last]
 
 
-def _spans(dealt: DataFrame, length: int, groups: int) -> DataFrame:
-    """tid, ord, spans: the bytes of each text that a lesser document has, as int64 pairs (several rows a text)."""
+def _spans(dealt: DataFrame, length: int, groups: int, buckets: int) -> DataFrame:
+    """part (a bucket of texts), blob: the bytes of texts that a lesser document has; a group of pieces makes one row for each bucket."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         blobs = [b.as_py() for b in group.column("blob")]
@@ -583,26 +583,31 @@ def _spans(dealt: DataFrame, length: int, groups: int) -> DataFrame:
             row, nth = _each(which[first], string[begin])
             row, a, b = first[row], place[begin][nth], (place[np.append(begin[1:], len(place)) - 1] if len(place) else place)[nth] + length
             found = [np.concatenate([x[gone], y]) for x, y in zip((tid, ord_, start, start + count + length - 1), (tid[row], ord_[row], start[row] + a, start[row] + b), strict=True)]
-        tid, ord_, start, end = _joined(*found)
-        text = _runs(np.cumsum(np.concatenate([[0], (tid[1:] != tid[:-1]) | (ord_[1:] != ord_[:-1])])) if len(tid) else tid)
-        rows = [(int(tid[a]), int(ord_[a]), np.stack([start[a:b], end[a:b]], 1).tobytes()) for a, b in zip(text, [*text[1:], len(tid)], strict=True)] if len(text) else []
-        return pa.Table.from_batches([_table(rows, tid=pa.int64(), ord=pa.int64(), spans=pa.binary())])
+        own = _joined(*found)
+        rows = [(bucket, _pack(*x)) for bucket, x in _dealt(own[0] % buckets, *own)]
+        return pa.Table.from_batches([_table(rows, **_BLOB)])
+
+    return workers(dealt).groupBy("part").applyInArrow(run, "part long, blob binary")
+
 
-    return workers(dealt).groupBy("part").applyInArrow(run, "tid long, ord long, spans binary")
+def _spans_by_text(spans: DataFrame) -> DataFrame:
+    """tid, ord, spans: the spans of each text as int64 pairs (start, end), where they meet as one."""
 
+    def run(group: pa.Table) -> pa.Table:
+        found = (np.concatenate(x) for x in zip(*(_unpack(b.as_py(), *[np.int64] * 4) for b in group.column("blob")), strict=True))
+        tid, ord_, start, end = _joined(*found)
+        text = np.flatnonzero(np.concatenate([[True], (tid[1:] != tid[:-1]) | (ord_[1:] != ord_[:-1])]))
+        rows = [(int(tid[a]), int(ord_[a]), np.stack([start[a:b], end[a:b]], 1).tobytes()) for a, b in zip(text, [*text[1:], len(tid)], strict=True)]
+        return pa.Table.from_batches([_table(rows, tid=pa.int64(), ord=pa.int64(), spans=pa.binary())])
 
-def merged(parts: list[bytes]) -> np.ndarray:
-    """Spans as rows (start, end), where they meet as one."""
-    flat = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 2) for p in parts])
-    zero = np.zeros(len(flat), np.int64)
-    return np.stack(_joined(zero, zero, flat[:, 0], flat[:, 1])[2:], 1)
+    return workers(spans).groupBy("part").applyInArrow(run, "tid long, ord long, spans binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of ``docs`` (doc_id, text): its rows without and with texts, its distinct texts, and the spans of bytes to remove.
 
     Rows have doc_id, ord (the order of documents), digest and tid of the text, n_bytes or text. Distinct texts have digest, first (the
-    least ord), n (rows), tid, n_bytes. Spans have tid, ord and spans (array<binary>), for rows whose ord is the text's first only: of a
+    least ord), n (rows), tid, n_bytes. Spans have tid, ord and spans (int64 pairs as binary), for rows whose ord is the text's first only: of a
     later copy all is removed.
     """
     source = docs.select(
@@ -624,8 +629,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
     groups = max(1, -(-(shared.filter("part >= 0").agg(F.sum("n")).head()[0] or 0) // PART_PIECES))
     marks = _by_text(shared).join(firsts.select("tid", "digest", F.col("first").alias("ord")), "tid")
     marked = long.join(marks.drop("tid"), ["digest", "ord"]).select("tid", "ord", "codes", "text")
-    spans = _spans(_pieces(marked, length, parts, groups, crowded), length, groups)
-    spans = durable(spans.groupBy("tid", "ord").agg(F.collect_list("spans").alias("spans")))  # a text's own: bounded by its length
+    spans = durable(_spans_by_text(_spans(_pieces(marked, length, parts, groups, crowded), length, groups, buckets)))
     return rows, source, firsts, spans
 
 
@@ -648,7 +652,7 @@ def drop_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             out: list[tuple] = []
             for raw, own in zip(batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist(), strict=True):
                 text, at, kept = raw.as_py(), 0, hashlib.sha256()
-                gone = merged(own)
+                gone = np.frombuffer(own, np.int64).reshape(-1, 2)
                 for a, b in gone.tolist():
                     kept.update(text[at:a])
                     at = b

@@ -80,6 +80,25 @@ def test_the_bound_of_crowded_keys_rises_when_they_are_too_many(spark, monkeypat
     assert answer(spark, rows, 50) == sorted((LAST if i is None else i, *x) for (i, _), x in zip(rows, by_hand(rows, 50), strict=True))
 
 
+def test_a_group_of_pieces_makes_no_row_for_each_of_its_texts(spark, monkeypatch):
+    r = random.Random(3)
+    passage = ["".join(r.choice("abcdefgh ") for _ in range(80)) for _ in range(30)]
+    rows = [(i, "".join(r.choice("abcdefgh ") for _ in range(30)).join(r.sample(passage, 12))) for i in range(60)]
+    monkeypatch.setattr(suffixes, "PART_PIECES", 500)
+    made, real = [], suffixes._spans
+
+    def spans(dealt, length, groups, *more):
+        out = real(dealt, length, groups, *more)
+        made.append((groups, out.count()))
+        return out
+
+    monkeypatch.setattr(suffixes, "_spans", spans)
+    assert answer(spark, rows, 50) == sorted((i, *x) for (i, _), x in zip(rows, by_hand(rows, 50), strict=True))
+    groups, n = made[0]
+    assert groups > 4
+    assert n <= 2 * groups  # one bucket of texts
+
+
 def test_a_long_text_and_its_parts(spark):
     r = random.Random(5)
     long = "".join(r.choice("abcdefghij ") for _ in range(400_000))
