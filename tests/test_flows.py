@@ -157,3 +157,22 @@ def test_rows_of_a_large_group_are_not_shuffled_to_its_intervals(spark):
     for r in got.collect():
         own = sorted(x.v for x in rows.filter(F.col("g").eqNullSafe(r.g)).collect())
         assert (r.n, r.p50, r.p95) == (len(own), own[-(-50 * len(own) // 100) - 1], own[-(-95 * len(own) // 100) - 1])
+
+
+def test_a_sanitized_page_is_perceived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    box = F.struct(*[F.lit(0.0).alias(c) for c in "xyhw"])
+    regions = spark.range(20).select(
+        F.col("id").cast("string").alias("page_id"), F.lit(1).alias("pos"), F.lit("e1").alias("id"), F.lit("text").alias("role"), F.lit(None).cast("string").alias("label"), box.alias("box"), F.lit("dom").alias("source"), F.lit(0.9).alias("confidence"),
+        F.array(F.lit("structural:role")).alias("evidence"), F.lit(True).alias("explained"), F.lit(None).cast("string").alias("raw_value"), told(F.concat(F.lit("mail a.b@mail.example.com "), "id")).alias("raw_text"),
+        *[F.lit(None).cast("string").alias(c) for c in ("structural_class", "visual_class", "input_type", "risk")],
+    )
+    texts = policy.sanitize(regions, "fortress")["untrusted_text"].collect()
+    assert sorted(r.text for r in texts) == sorted(f"mail PII:EMAIL#1 {i}" for i in range(20))
+    assert seen.value == 20
