@@ -13,7 +13,7 @@ from sparkveil.operators import grounding, intake, media, perception, policy, pr
 from sparkveil.plans.catalogue import _DUCK_VAULT, _FORMS, _duck, _minted, _stream, query
 from sparkveil.plans.exchange import _view
 from sparkveil.sources import export, synthetic
-from sparkveil.sources.durable import shared_folder
+from sparkveil.sources.durable import durable, shared_folder
 from sparkveil.sources.synthetic import table, view
 
 # ---------------------------------------------------------------- finding again
@@ -179,7 +179,7 @@ def page_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", F.concat(F.lit("packet-"), "page_id").alias("packet_id"), F.lit(1).cast("long").alias("captured_at_ms"), F.lit("fortress").alias("mode"), F.lit("other").alias("origin_class"), F.lit(True).alias("tls"), F.lit("form").alias("page_kind"),
         F.lit("en").alias("lang"), F.lit(800).alias("w"), F.lit(600).alias("h"), F.lit(1.5).alias("dpr"),
     )
-    raw = wire.build_packets(meta, clean).select("page_id", F.col("packet_id").alias("request_id"), "raw")
+    raw = durable(wire.build_packets(meta, clean).select("page_id", F.col("packet_id").alias("request_id"), "raw"))  # read three times
     read = wire.read_requests(raw.select("request_id", "raw")).select("request_id", "status", "n_faults")
     said = raw.join(read, "request_id").join(held, "page_id")
     of = lambda path: F.get_json_object("raw", path)

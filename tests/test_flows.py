@@ -176,3 +176,11 @@ def test_a_sanitized_page_is_perceived_once(spark):
     texts = policy.sanitize(regions, "fortress")["untrusted_text"].collect()
     assert sorted(r.text for r in texts) == sorted(f"mail PII:EMAIL#1 {i}" for i in range(20))
     assert seen.value == 20
+
+
+def test_packets_of_pages_are_built_once(spark):
+    from sparkveil.plans import finds
+
+    plan = finds.page_packets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "redaction_legend" in plan  # what is read of the packets
+    assert "collect_list(struct(pos" not in plan
