@@ -67,14 +67,19 @@ def leaks(truth: DataFrame, matched: DataFrame, key: str = "capture_id") -> Data
     return truth.filter("must_redact and severity in ('invariant', 'high')").join(matched.select(key, "g"), [key, "g"], "left_anti")
 
 
-def score_redaction(truth: DataFrame, masks: DataFrame, key: str = "page_id") -> DataFrame:
-    """Coverage, over-masking and mean overlap of ``masks`` (key, p, box) over ``truth`` (key, g, box), for each key."""
+def score_redaction(truth: DataFrame, masks: DataFrame, key: str = "page_id", overlap: bool = True) -> DataFrame:
+    """Coverage, over-masking and mean overlap of ``masks`` (key, p, box) over ``truth`` (key, g, box), for each key.
+
+    Without ``overlap`` there is no mean overlap, and masks are not matched with truth.
+    """
     kinds = lambda df, *names: df.select(key, F.explode(F.array(*map(F.lit, names))).alias("_kind"), "box")
     covered = union_areas(kinds(truth, "t", "u").unionByName(kinds(masks, "m", "u")), [key, "_kind"])
     part = lambda k: F.coalesce(F.max(F.when(F.col("_kind") == k, F.col("area"))), F.lit(0.0)).alias(k)
     met = covered.groupBy(key).agg(part("t"), part("m"), part("u")).withColumn("i", F.col("t") + F.col("m") - F.col("u"))
-    pairs = match(truth, masks, key, 0.01, by_class=False).groupBy(key).agg(F.avg("iou").alias("mean_iou"))
-    rows = met.join(pairs, key, "left")
     coverage = F.when(F.col("t") == 0, 1.0).otherwise(F.col("i") / F.nullif(F.col("t"), F.lit(0.0)))
     over = F.when(F.col("m") == 0, 0.0).otherwise((F.col("m") - F.col("i")) / F.nullif(F.col("m"), F.lit(0.0)))
-    return rows.select(key, coverage.alias("coverage"), over.alias("over_mask"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"))
+    scores = met.select(key, coverage.alias("coverage"), over.alias("over_mask"))
+    if not overlap:
+        return scores
+    pairs = match(truth, masks, key, 0.01, by_class=False).groupBy(key).agg(F.avg("iou").alias("mean_iou"))
+    return scores.join(pairs, key, "left").withColumn("mean_iou", F.coalesce("mean_iou", F.lit(0.0)))

@@ -184,3 +184,13 @@ def test_packets_of_pages_are_built_once(spark):
     plan = finds.page_packets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "redaction_legend" in plan  # what is read of the packets
     assert "collect_list(struct(pos" not in plan
+
+
+def test_redaction_is_scored_without_matching_what_is_not_asked_for(spark, monkeypatch):
+    from sparkveil.operators import scoring
+    from sparkveil.plans import catalogue
+
+    asked, match = [], scoring.match
+    monkeypatch.setattr(scoring, "match", lambda *args, **kinds: asked.append(1) or match(*args, **kinds))
+    assert catalogue.redaction_score(spark, "/root/testdata/sf0.001").count() > 0
+    assert not asked
