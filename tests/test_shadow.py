@@ -26,3 +26,22 @@ def test_ids_hold_within_their_tree():
     w.feed("<label for='a'>Outer</label><div><template shadowrootmode='open'><label for='a'>Inner</label><input id='a' value='1'></template></div><input id='a' value='2'>")
     w.close()
     assert [(r["value"], r["label_text"]) for r in w.result() if r["tag"] == "input"] == [("1", "Inner"), ("2", "Outer")]
+
+
+def test_plain_pages_are_read_by_one_pattern_as_the_parser_reads_them(monkeypatch):
+    def parsed(html):
+        w = perception._Walker(1)
+        w.feed(html)
+        w.close()
+        return w.result()
+
+    said = lambda rows: [{k: r[k] for k in ("pos", "tag", "text", "value", "label_text", "in_main", "options", "message", "elem_id")} for r in rows]
+    plain = [
+        '<main><label for="a">Mail &amp; more</label><input id="a" value="x@y"><p>one<p>two</main>', '<div role="listbox" id="q"><span role="option" aria-selected="true">A</span></div><p>1 > 2</p>',
+        '<x-a><p slot="t">in</p><template shadowrootmode="open"><label>L<input value="1"></label><slot name="t"></slot></template></x-a><article><p>after</p></article>', "",
+    ]
+    odd = ["<p>a < b</p>", "<title><b>t</b></title><p>x</p>", "<br/><p title='q'>x</p>", "<!-- <p>no</p> --><p>x</p>", "<P>x</P>", "<p>cut <b", '<input value="a&amp;b">']
+    expected = [said(parsed(h)) for h in plain + odd]
+    assert [said(perception._Walker(1).read(h)) for h in plain + odd] == expected
+    monkeypatch.setattr(perception._Walker, "feed", lambda self, html: 1 / 0)
+    assert [said(perception._Walker(1).read(h)) for h in plain] == expected[: len(plain)]
