@@ -12,7 +12,7 @@ from sparkveil.functions.taxonomy import legend_key, token_class
 from sparkveil.operators import ranges
 from sparkveil.operators.recognizers import STANDARD, Registry, each_span
 from sparkveil.operators.vault import live, scan
-from sparkveil.sources.durable import durable
+from sparkveil.sources.durable import durable_columns
 
 SCHEMA_ID = "scp/1.0"
 TRIPWIRE = 0.8
@@ -88,23 +88,23 @@ def gate(packets: DataFrame, vault: DataFrame | None = None, registry: Registry
     """
     registry = registry or STANDARD
     rows = packets.withColumn("issues", packet_issues()).withColumn("_scan", scannable()).withColumn("_payload", serialized())
-    leaked = F.lit(False)
-    if vault is not None:
-        rows = durable(rows.withColumn("_row", F.monotonically_increasing_id()))
-        met = scan(rows.select("session", "_row", without_filled().alias("_bare")), live(vault), payload="_bare").select("_row").distinct()
-        rows = rows.join(met.withColumn("_leaked", F.lit(True)), "_row", "left")
-        leaked = F.coalesce("_leaked", F.lit(False))
     v = F.col("visual")
     wrong = v["data_b64"].isNotNull() & ~F.sha2(v["data_b64"].cast("binary"), 256).eqNullSafe(v["sha256"])
-    found = F.array(
-        F.when(F.size(registry.analyze("_scan", TRIPWIRE)) > 0, "tripwire"), F.when(leaked, "vault"),
-        F.when(F.coalesce(wrong, F.lit(False)), "visual"), F.when(F.octet_length("_payload") > most_bytes, "size"),
-    )
-    reasons = F.when(F.size("issues") > 0, F.array(F.lit("schema"))).otherwise(F.filter(found, lambda r: r.isNotNull()))
     classes = F.filter(F.transform("elements", lambda e: token_class(e["value"]["token"])), lambda c: c.isNotNull())
     counts = F.map_from_entries(F.transform(F.array_sort(F.array_distinct(classes)), lambda c: F.struct(legend_key(c), F.size(F.filter(classes, lambda x: x == c)))))
-    rows = rows.withColumn("reasons", reasons).withColumn("bytes", F.octet_length("_payload")).withColumn("payload_sha256", F.sha2(F.col("_payload").cast("binary"), 256))
-    return rows.withColumn("legend_counts", counts).withColumn("passed", F.size("reasons") == 0).drop("_scan", "_payload", "_row", "_leaked")
+    rows = rows.withColumns({"_tripped": F.size(registry.analyze("_scan", TRIPWIRE)) > 0, "_wrong": F.coalesce(wrong, F.lit(False)), "bytes": F.octet_length("_payload"), "payload_sha256": F.sha2(F.col("_payload").cast("binary"), 256)})
+    rows = rows.withColumn("legend_counts", counts).drop("_scan", "_payload")
+    leaked = F.lit(False)
+    if vault is not None:  # all that a packet tells by itself is known before rows meet the vault: they are written once, without their JSON texts
+        rows = durable_columns(rows.withColumn("_row", F.monotonically_increasing_id()))
+        met = scan(rows.select("session", "_row", without_filled().alias("_bare")), live(vault), payload="_bare", kept=["_row"]).select("_row").distinct()
+        rows = rows.join(met.withColumn("_leaked", F.lit(True)), "_row", "left")
+        leaked = F.coalesce("_leaked", F.lit(False))
+    found = F.array(F.when(F.col("_tripped"), "tripwire"), F.when(leaked, "vault"), F.when(F.col("_wrong"), "visual"), F.when(F.col("bytes") > most_bytes, "size"))
+    reasons = F.when(F.size("issues") > 0, F.array(F.lit("schema"))).otherwise(F.filter(found, lambda r: r.isNotNull()))
+    rows = rows.withColumn("reasons", reasons).withColumn("passed", F.size("reasons") == 0)
+    told = [*packets.columns, "issues", "reasons", "bytes", "payload_sha256", "legend_counts", "passed"]
+    return rows.select(*dict.fromkeys(told))
 
 
 def rate_limit(sends: DataFrame, session: str = "session", at: str = "sent_at_ms", order: str | tuple[str, ...] = "seq", most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -134,7 +134,7 @@ def rate_limit(sends: DataFrame, session: str = "session", at: str = "sent_at_ms
 
 def outcomes(gated: DataFrame, most: int = SENDS, window_ms: int = WINDOW_MS) -> DataFrame:
     """Gated packets with outcome sent or blocked, one row for each attempt: those that pass all checks go to the rate limit."""
-    gated = durable(gated.withColumn("_attempt", F.monotonically_increasing_id()))
+    gated = durable_columns(gated.withColumn("_attempt", F.monotonically_increasing_id()))
     limited = rate_limit(gated.filter("passed").select("session", "packet_id", "_attempt", "sent_at_ms"), order=("packet_id", "_attempt"), most=most, window_ms=window_ms)
     rows = gated.join(limited.select("_attempt", "allowed"), "_attempt", "left")
     reasons = F.when(F.col("allowed") == F.lit(False), F.array(F.lit("rate_limit"))).otherwise(F.col("reasons"))

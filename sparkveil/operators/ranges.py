@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from sparkveil.sources.durable import durable
+from sparkveil.sources.durable import durable_columns
 from sparkveil.sources.shipping import ship
 
 #: The range of a row, and its place in the order of all rows.
@@ -26,7 +26,7 @@ def dealt(rows: DataFrame, session: str | list[str], order: list[str]) -> DataFr
     """``rows`` in ranges of (session, order), with PART and AT; written once, so that both stay what they are."""
     keys = [session] if isinstance(session, str) else session
     ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    return durable(ranged.select("*", F.spark_partition_id().alias(PART), F.monotonically_increasing_id().alias(AT)))
+    return durable_columns(ranged.select("*", F.spark_partition_id().alias(PART), F.monotonically_increasing_id().alias(AT)))
 
 
 def _same(keys: list[str]) -> Column:
