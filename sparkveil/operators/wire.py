@@ -11,8 +11,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkveil.functions.taxonomy import CLASSES, MODES
 from sparkveil.operators import planner
@@ -196,14 +198,15 @@ def plan_faults(plan: object) -> list[tuple[str, str]]:
 
 def leaves(value: object, at: str) -> Iterator[tuple[str, str]]:
     """Every string inside a JSON value with its path."""
-    if isinstance(value, str):
-        yield at, value
-    elif isinstance(value, list):
-        for i, x in enumerate(value):
-            yield from leaves(x, f"{at}[{i}]")
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            yield from leaves(x, f"{at}.{k}")
+    left = [(value, at)]
+    while left:
+        v, at = left.pop()
+        if isinstance(v, str):
+            yield at, v
+        elif isinstance(v, list):
+            left += [(x, f"{at}[{i}]") for i, x in enumerate(v) if isinstance(x, str | list | dict)][::-1]
+        elif isinstance(v, dict):
+            left += [(x, f"{at}.{k}") for k, x in v.items() if isinstance(x, str | list | dict)][::-1]
 
 
 def _read(raw: str | None) -> tuple[bool, object]:
@@ -272,17 +275,32 @@ _MADE_ID = r"(?i)^(?:[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-
 
 def rescan_json(packets: DataFrame, key: str = "request_id", raw: str = "raw", threshold: float = TRIPWIRE, registry: Registry | None = None) -> DataFrame:
     """Spans in every string of a JSON text by itself, at any depth: key, path and cls. Digests, image bytes and a
-    well-formed packet id are passed over. What is no JSON has no strings."""
+    well-formed packet id are passed over. What is no JSON has no strings; strings that no recognizer can find anything in stay where they are read."""
     ship(packets.sparkSession)
-
-    @F.pandas_udf("array<struct<path:string,text:string>>")
-    def walk(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"path": p, "text": s} for p, s in leaves(_read(t)[1], "packet")]) if len(texts) else texts
-
-    every = packets.select(key, F.explode(walk(F.col(raw))).alias("l")).select(key, "l.path", "l.text")
+    registry = registry or STANDARD
+    rough = registry.rough
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = re.compile(rough).search if rough else lambda s: True
+
+        def packed(batch: pa.RecordBatch, of: list, paths: list, texts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), pa.array(paths, pa.string()), pa.array(texts, pa.string())], [key, "path", "text"])
+
+        for batch in batches:
+            of, paths, texts = [], [], []
+            for i, body in enumerate(batch.column(1)):
+                for path, said in leaves(_read(body.as_py())[1], "packet"):
+                    if some(said):
+                        of.append(i), paths.append(path), texts.append(said)
+                if len(of) >= 10_000:
+                    yield packed(batch, of, paths, texts)
+                    of, paths, texts = [], [], []
+            yield packed(batch, of, paths, texts)
+
+    every = packets.select(key, raw).mapInArrow(run, StructType([packets.schema[key], StructField("path", StringType()), StructField("text", StringType())]))
     own_id = (F.col("path") == "packet.packet_id") & F.col("text").rlike(_MADE_ID)
     every = every.filter(~F.col("path").endswith(".sha256") & ~F.col("path").endswith(".data_b64") & ~own_id)
-    return each_span(every, key, "path", spans=(registry or STANDARD).analyze("text", threshold)).select(key, "path", F.col("s.cls").alias("cls"))
+    return each_span(every, key, "path", spans=registry.analyze("text", threshold)).select(key, "path", F.col("s.cls").alias("cls"))
 
 
 def attempt(raw: Column) -> Column:

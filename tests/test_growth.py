@@ -10,6 +10,23 @@ from sparkveil.operators import gate, planner, prompts, recognizers, vault, wire
 from sparkveil.sources.durable import durable_columns
 
 
+def test_texts_that_are_left_where_they_are_read_have_no_spans(spark):
+    r = random.Random(9)
+    parts = ["ABCPE1234F", "27AAPFU0939F1ZV", "SBIN0ABCDEF", "a.b@mail.example.com", "user@okicici", "98765 43210", "110001", "KA 1 A 1234", "22BH1234AA", "5/1/2019", "₹5", "Rs. 7", "INR 9", "4‑1111111111111111", "2 3 4 1 2 3 4 1 2 3 4 6", "x1", "e1", "scp/1.0", "T0", "1 of", "0", "word"]
+    texts = ["".join(r.choice(parts) + r.choice(["", " ", "-", ","]) for _ in range(r.randrange(1, 3))) for _ in range(1200)]
+    rough = re.compile(recognizers.STANDARD.rough)
+    found = spark.createDataFrame([(t,) for t in texts], "said string").select("said", F.size(recognizers.Registry().analyze("said", 0.1)).alias("n")).collect()
+    assert all(rough.search(x.said) for x in found if x.n) and sum(x.n > 0 for x in found) > 300
+    assert not any(rough.search(t) for t in ("scp/1.0", "T0", "e1", "PII:EMAIL#1", "1 of many"))
+
+
+def test_deep_json_is_walked_without_recursion(spark):
+    deep = '{"a":[' * 700 + '"mail a.b@mail.example.com"' + "]}" * 700
+    rows = spark.createDataFrame([(1, deep), (2, '{"x":["p@mail.example.com",{"y":"q@mail.example.com"}],"z":1}'), (3, "no json"), (4, None)], "request_id int, raw string")
+    got = [(x.request_id, x.path[-7:], x.cls) for x in wire.rescan_json(rows).collect()]
+    assert sorted(got) == [(1, "0].a[0]", "EMAIL"), (2, ".x[1].y", "EMAIL"), (2, "et.x[0]", "EMAIL")]
+
+
 def test_a_scan_hands_on_only_what_is_kept(spark):
     payloads = spark.createDataFrame([(1, 10, "a secret-value here"), (1, 11, "none")], "session int, i int, payload string")
     held = spark.createDataFrame([(1, None, None, "secret-value")], "session int, cls string, token string, value string")
