@@ -21,7 +21,7 @@ from sparkveil.operators import planner
 from sparkveil.operators.gate import MOST_ELEMENTS, MOST_HISTORY, MOST_INTENT, MOST_REQUEST, MOST_TEXT, MOST_TEXTS, PACKET, SCHEMA_ID, TRIPWIRE
 from sparkveil.operators.recognizers import STANDARD, Registry, each_span
 from sparkveil.operators.vault import live, scan
-from sparkveil.sources.durable import durable
+from sparkveil.sources.durable import durable_columns
 from sparkveil.sources.shipping import ship
 
 PLAN_ID, POLICY_VERSION = "plan/1.0", "2026.1"
@@ -371,29 +371,35 @@ def guard_answers(answers: DataFrame, packets: DataFrame, vault: DataFrame | Non
     row, repeated ones too; one about a packet_id that several packets have is refused by the guard, as it is not known which.
     """
     ship(answers.sparkSession)
-    rows = durable(answers.withColumn("_row", F.monotonically_increasing_id()).withColumn("_faults", _faults_of(plan_faults)(F.col("raw"))))
-    rows = rows.withColumn("_plan", F.from_json("raw", _PLAN))
-    formed = F.size("_faults") == 0
+    rows = answers.select("plan_id", "packet_id", "raw", _faults_of(plan_faults)(F.col("raw")).alias("_faults"), F.from_json("raw", _PLAN).alias("_plan")).withColumn("_formed", F.size("_faults") == 0)
+    formed = F.col("_formed")
     steps = F.transform("_plan.steps", lambda s: F.struct(s["action"].alias("action"), s["target_element_id"].alias("target"), s["value"]["kind"].alias("value_kind"), s["value"]["token"].alias("token"), s["requires_confirmation"].alias("requires_confirmation")))
-    plans = rows.filter(formed).select(F.col("_row").alias("plan_id"), "packet_id", F.col("_plan.packet_id").alias("answers"), steps.cast(f"array<{planner.STEP}>").alias("steps"))
-    refused = planner.guard(plans, packets).groupBy(F.col("plan_id").alias("_row")).agg(F.count("*").alias("_problems"))
     # only the top-level id, where it is the one of the packet asked about, is left out; all else is read, whatever its key
     fields = F.map_entries(F.from_json("raw", "map<string,string>"))
     read = F.filter(fields, lambda e: ~((e["key"] == "packet_id") & e["value"].eqNullSafe(F.col("packet_id"))))
     bare = F.array_join(F.transform(read, lambda e: F.concat_ws("\n", e["key"], e["value"])), "\n")
-    rows = rows.withColumn("_bare", F.when(formed, bare))
-    tripped = F.size((registry or STANDARD).analyze("_bare", TRIPWIRE)) > 0
-    asked = packets.groupBy("packet_id").agg(F.first("session").alias("session"), (F.count("*") > 1).alias("_several"))
-    rows = rows.join(refused, "_row", "left").join(asked, "packet_id", "left")
+    rows = rows.select("plan_id", "packet_id", "_formed", F.col("_plan.packet_id").alias("_answers"), F.when(formed, steps.cast(f"array<{planner.STEP}>")).alias("_steps"), F.when(formed, bare).alias("_bare"))
+    rows = rows.withColumn("_tripped", F.size((registry or STANDARD).analyze("_bare", TRIPWIRE)) > 0)
+    # an answer meets its packet once, and all but the vault is told in its row
+    asked = packets.groupBy("packet_id").agg(F.first("session").alias("session"), F.first("elements").alias("_elements"), (F.count("*") > 1).alias("_several"))
+    rows = rows.join(asked, "packet_id", "left").withColumn("_several", F.coalesce("_several", F.lit(False)))
+    own = F.coalesce(F.aggregate(planner.problems_within(F.col("_steps"), F.col("_elements")), F.lit(0), lambda n, p: n + F.size(p)), F.lit(0)) + F.when(F.col("_answers").eqNullSafe(F.col("packet_id")), 0).otherwise(1)
+    rows = rows.withColumn("_problems", F.when(formed & ~F.col("_several"), own).otherwise(0).cast("long")).drop("_elements")
+    rows = durable_columns(rows.withColumn("_row", F.monotonically_increasing_id()))
+    unsure = rows.filter(formed & F.col("_several"))
+    if not unsure.select("_row").isEmpty():  # of several packets of one id, the elements of all count
+        ids = unsure.select("packet_id").distinct()
+        refused = planner.guard(unsure.select(F.col("_row").alias("plan_id"), "packet_id", F.col("_answers").alias("answers"), F.col("_steps").alias("steps")), packets.join(ids, "packet_id", "left_semi"))
+        rows = rows.join(refused.groupBy(F.col("plan_id").alias("_row")).agg(F.count("*").alias("_refused")), "_row", "left").withColumn("_problems", F.coalesce("_refused", "_problems"))
     leaked = F.lit(False)
     if vault is not None:
-        met = scan(rows.select("session", "_row", "_bare"), live(vault), payload="_bare").select("_row").distinct()
+        met = scan(rows.select("session", "_row", "_bare"), live(vault), payload="_bare", kept=["_row"]).select("_row").distinct()
         rows = rows.join(met.withColumn("_leaked", F.lit(True)), "_row", "left")
         leaked = F.coalesce("_leaked", F.lit(False))
-    found = F.array(F.when((F.col("_problems") > 0) | F.col("_several"), "guard"), F.when(tripped, "tripwire"), F.when(leaked, "vault"))
+    found = F.array(F.when((F.col("_problems") > 0) | F.col("_several"), "guard"), F.when(F.col("_tripped"), "tripwire"), F.when(leaked, "vault"))
     reasons = F.when(~formed, F.array(F.lit("schema"))).otherwise(F.filter(found, lambda r: r.isNotNull()))
     rows = rows.withColumn("reasons", reasons)
-    return rows.select("plan_id", "packet_id", F.when(F.size("reasons") == 0, "pass").otherwise("blocked").alias("outcome"), "reasons", F.when(formed, F.size("_plan.steps")).alias("n_steps"), F.coalesce("_problems", F.lit(0)).alias("n_problems"))
+    return rows.select("plan_id", "packet_id", F.when(F.size("reasons") == 0, "pass").otherwise("blocked").alias("outcome"), "reasons", F.when(formed, F.size("_steps")).alias("n_steps"), F.col("_problems").alias("n_problems"))
 
 
 def choose_plans(local: DataFrame, configured: DataFrame) -> DataFrame:

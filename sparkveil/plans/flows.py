@@ -25,8 +25,8 @@ _HELD = "SELECT CASE WHEN k < 40 THEN k END AS session, concat('held-', CAST(CAS
 _BYTES, _SENDS, _WINDOW = 900, 3, 60_000
 
 
-def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _view(spark, sf_dir, _ATTEMPTS, "orders", costly=True)
+def _attempts(spark: SparkSession, sf_dir: str, costly: bool = True) -> DataFrame:
+    rows = _view(spark, sf_dir, _ATTEMPTS, "orders", costly=costly)
     sha = F.when(F.col("wrong"), F.repeat(F.lit("0"), F.lit(64))).otherwise(F.sha2(F.lit("x").cast("binary"), 256))
     visual = F.struct(F.col("image").alias("present"), F.when(F.col("image"), "image/png").alias("format"), F.when(F.col("image"), sha).alias("sha256"), F.when(F.col("image"), "x").alias("data_b64"))
     texts = F.when(F.col("large"), F.array(F.struct(F.lit("e1").alias("src"), F.repeat(F.lit("z "), F.lit(_BYTES // 2)).alias("text")))).otherwise(F.array())
@@ -75,7 +75,7 @@ _SMUGGLED = r"""SELECT o_orderkey AS plan_id, concat('packet-', lpad(CAST(o_orde
 @query(f"SELECT plan_id, CASE WHEN plan_id % 8 IN (1, 2, 3, 4, 5) THEN 'blocked' ELSE 'pass' END AS outcome, CASE WHEN plan_id % 8 IN (1, 2, 4, 5) THEN 'tripwire' WHEN plan_id % 8 = 3 THEN 'vault' ELSE '' END AS reasons FROM ({_duck(_SMUGGLED, 'orders')})")
 def answer_smuggled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planners' answers that hide private values: only the packet's own id, at the top, is not read."""
-    packets = _attempts(spark, sf_dir).withColumn("packet_id", F.concat(F.lit("packet-"), F.lpad(F.col("k").cast("string"), 12, "0"))).withColumn("session", F.lit(1))
+    packets = _attempts(spark, sf_dir, costly=False).withColumn("packet_id", F.concat(F.lit("packet-"), F.lpad(F.col("k").cast("string"), 12, "0"))).withColumn("session", F.lit(1))
     held = _view(spark, sf_dir, "SELECT DISTINCT 1 AS session, 'held-value' AS value FROM {t}", "orders")
     return wire.guard_answers(_view(spark, sf_dir, _SMUGGLED, "orders", costly=True), packets, vault=held).select("plan_id", "outcome", F.array_join("reasons", ",").alias("reasons"))
 

@@ -10,6 +10,29 @@ from sparkveil.operators import gate, planner, prompts, recognizers, vault, wire
 from sparkveil.sources.durable import durable_columns
 
 
+def test_problems_within_a_row_are_those_of_the_guard(spark):
+    r = random.Random(5)
+    packets = _packets(spark, r, [f"packet-{i:06d}" for i in range(150)])
+    step = lambda: {"action": r.choice(["type", "click", "select", "clear"]), "target": r.choice(["e1", "e2", "e9", None]), "value_kind": r.choice(["user_prompt", "placeholder", None]), "token": r.choice(["PII:EMAIL#1", "PII:PAN#1", None]), "requires_confirmation": r.random() < 0.5}
+    plans = spark.createDataFrame([(i, f"packet-{i % 160:06d}", json.dumps([step() for _ in range(r.randrange(5))])) for i in range(400)], "plan_id int, packet_id string, s string")
+    plans = plans.select("plan_id", "packet_id", F.col("packet_id").alias("answers"), F.from_json("s", f"array<{planner.STEP}>").alias("steps"))
+    found = sorted((x.plan_id, x.step, x.problem) for x in planner.guard(plans, packets).collect())
+    within = plans.join(packets, "packet_id", "left").select("plan_id", planner.problems_within(F.col("steps"), F.col("elements")).alias("p")).collect()
+    assert found == sorted((x.plan_id, k, code) for x in within for k, codes in enumerate(x.p) for code in codes)
+    assert len(found) > 500
+
+
+def test_answers_about_one_packet_explode_no_elements(spark, monkeypatch):
+    r = random.Random(6)
+    packets = _packets(spark, r, ["packet-000001", "packet-000002", "packet-000002"])
+    raw = lambda k: json.dumps({"schema": "plan/1.0", "packet_id": f"packet-{k:06d}", "reasoning_summary": "go", "steps": [{"action": "click", "target_element_id": "e77", "requires_confirmation": False}], "needs_more_context": False, "confidence": 0.5})
+    answers = spark.createDataFrame([(k, f"packet-{k:06d}", raw(k)) for k in (1, 2, 3)], "plan_id int, packet_id string, raw string")
+    said = {x.plan_id: (x.reasons, x.n_problems) for x in wire.guard_answers(answers, packets).collect()}
+    assert said == {1: (["guard"], 1), 2: (["guard"], 1), 3: (["guard"], 1)}
+    monkeypatch.setattr(planner, "guard", lambda *a: 1 / 0)
+    assert wire.guard_answers(answers.filter("plan_id <> 2"), packets).count() == 2
+
+
 def test_texts_that_are_left_where_they_are_read_have_no_spans(spark):
     r = random.Random(9)
     parts = ["ABCPE1234F", "27AAPFU0939F1ZV", "SBIN0ABCDEF", "a.b@mail.example.com", "user@okicici", "98765 43210", "110001", "KA 1 A 1234", "22BH1234AA", "5/1/2019", "₹5", "Rs. 7", "INR 9", "4‑1111111111111111", "2 3 4 1 2 3 4 1 2 3 4 6", "x1", "e1", "scp/1.0", "T0", "1 of", "0", "word"]
