@@ -10,6 +10,15 @@ from sparkveil.operators import gate, planner, prompts, recognizers, vault, wire
 from sparkveil.sources.durable import durable_columns
 
 
+def _packets(spark, r, ids):
+    kinds = ["placeholder", "redacted", "filled", "empty", None]
+    value = lambda: {"kind": r.choice(kinds), "token": r.choice(["PII:EMAIL#1", "PII:PAN#1", None])}
+    element = lambda: {"id": r.choice(["e1", "e2", "e3", None]), "role": r.choice(["textbox", "combobox", "button"]), "state": {"invalid": r.choice([True, False, None]), "disabled": r.random() < 0.2, "filled": r.random() < 0.3}, "value": value(), "risk": r.choice([None, "navigation"])}
+    rows = [(i, json.dumps([element() for _ in range(r.randrange(5))]), 1) for i in ids]
+    read = spark.createDataFrame(rows, "packet_id string, e string, session int")
+    return read.select("packet_id", F.from_json("e", f"array<{gate.ELEMENT}>").alias("elements"), "session")
+
+
 def test_problems_within_a_row_are_those_of_the_guard(spark):
     r = random.Random(5)
     packets = _packets(spark, r, [f"packet-{i:06d}" for i in range(150)])
@@ -63,3 +72,12 @@ def test_columns_of_any_type_are_kept(spark):
     kept = durable_columns(rows.drop("nothing"))
     assert kept.orderBy("id").collect() == rows.drop("nothing").orderBy("id").collect()
     assert "parquet" in kept.select("id")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_a_form_are_compiled_once():
+    prompts._named.cache_clear()
+    fields = [{"id": "f1", "label": "Email address", "cls": "EMAIL"}, {"id": "f2", "label": "PIN code", "cls": "PIN_CODE"}]
+    for i in range(20):
+        got = prompts.explicit_answers(f"My EMAIL is c{i}@mail.example.com, pin code is 110001", fields, [])
+        assert [(a["field_id"], a["value"]) for a in got] == [("f1", f"c{i}@mail.example.com"), ("f2", "110001")]
+    assert prompts._named.cache_info().misses == 2
