@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,25 +14,26 @@ from sparkveil.llm.common import durable
 SALTS = 64
 
 
-def pointed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+def pointed(edges: DataFrame, rounds: int = 2, by: Sequence[str] = ()) -> DataFrame:
     """(node, head) for each node of ``edges`` (a, b long): a lesser node that it is connected to, or itself.
 
     Nodes with one head are connected; connected ones may have several heads. Each node points to its least
     neighbour, and each round follows the pointers twice as far, so chains of 2^rounds links get one head. A
-    node's pointer is one row however many links it has.
+    node's pointer is one row however many links it has. Each value of the columns ``by``, not null and kept in the
+    result, is a graph of its own: the steps are as many as for one.
     """
-    own = edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("head"))
-    heads = own.groupBy("node").agg(F.min("head").alias("head"))
+    own = edges.filter("a <> b").select(*by, F.greatest("a", "b").alias("node"), F.least("a", "b").alias("head"))
+    heads = own.groupBy(*by, "node").agg(F.min("head").alias("head"))
     for _ in range(rounds):
         heads = durable(heads)
         # many nodes point to one head: what that one points to is joined to the distinct heads, and goes to each salt
-        further = heads.select(F.col("head").alias("node")).distinct().join(heads.withColumnRenamed("head", "next"), "node").withColumnRenamed("node", "head")
+        further = heads.select(*by, F.col("head").alias("node")).distinct().join(heads.withColumnRenamed("head", "next"), [*by, "node"]).withColumnRenamed("node", "head")
         further = further.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = heads.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        heads = salted.join(further, ["head", "salt"], "left").select("node", F.coalesce("next", "head").alias("head"))
+        heads = salted.join(further, [*by, "head", "salt"], "left").select(*by, "node", F.coalesce("next", "head").alias("head"))
     heads = durable(heads)
-    roots = own.select(F.col("head").alias("node")).distinct().join(heads.select("node"), "node", "left_anti")
-    return durable(heads.unionByName(roots.select("node", F.col("node").alias("head"))))
+    roots = own.select(*by, F.col("head").alias("node")).distinct().join(heads.select(*by, "node"), [*by, "node"], "left_anti")
+    return durable(heads.unionByName(roots.select(*by, "node", F.col("node").alias("head"))))
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkveil.llm.common import durable, join_by_weight, workers
+from sparkveil.llm.common import durable, gathered, join_by_weight, workers
 from sparkveil.llm.components import connected, pointed
 from sparkveil.llm.shingles import Shingler, mix, overlap
 
@@ -175,6 +175,7 @@ def _with_texts(rows: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
     Texts are read again, and compressed ones are dealt: sets of hashes would take several times the room.
     """
+    rows = durable(gathered(rows))  # read twice, and each of its rows has come through several joins
     wanted = durable(sets.select("rep", "doc", "text_hash").join(rows.select("rep").distinct(), "rep", "left_semi"))
     key = F.xxhash64("doc", "text_hash")
     shared = docs.sparkSession.sparkContext.broadcast(_filter_bits(wanted.select(key.alias("key"))))
@@ -225,7 +226,7 @@ def _pivot_links(sets: DataFrame, docs: DataFrame, size: int, percent: int) -> D
     met = join_by_weight(entries, pivots, ["key"], "w", total, "inner").filter("rep <> pivot")
     # sets that agree in one least hash only are seldom alike; the matrix finds those that are
     met = met.groupBy("rep", "pivot").agg(F.count("*").alias("agree")).filter("agree > 1").drop("agree")
-    met = durable(_salt(met, "pivot"))
+    met = durable(gathered(_salt(met, "pivot")))
     heads = met.select("pivot", "salt").distinct()
     rows = met.select("pivot", "salt", F.lit(False).alias("head"), "rep").unionByName(heads.select("pivot", "salt", F.lit(True).alias("head"), F.col("pivot").alias("rep")))
     rows = _with_texts(rows, sets, docs).select("pivot", "salt", "head", "rep", "packed")
@@ -262,22 +263,24 @@ def _grouped(sets: DataFrame, links: DataFrame) -> DataFrame:
     Smaller clusters ask the groups of larger ones. Groups of a large cluster hold no one else (own);
     the others mix the small clusters of a family, and members of one group ask each other.
     """
-    clusters = pointed(links.filter("close").select("a", "b")).select(F.col("node").alias("rep"), F.col("head").alias("cluster"))
-    families = pointed(links.select("a", "b")).select(F.col("node").alias("rep"), F.col("head").alias("family"))
-    rows = sets.select("rep", "n").join(families, "rep", "left").join(clusters, "rep", "left")
-    rows = durable(rows.withColumn("alone", F.col("family").isNull()).withColumn("cluster", F.coalesce("cluster", "rep")))
+    # families by all links and clusters by close ones, in one go; a family's nodes hold those of its clusters
+    both = links.withColumn("strict", F.explode(F.when(F.col("close"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    heads = pointed(both.select("strict", "a", "b"), by=["strict"])
+    heads = heads.groupBy(F.col("node").alias("rep")).agg(*(F.max(F.when(F.col("strict") == strict, F.col("head"))).alias(name) for name, strict in (("family", False), ("cluster", True))))
+    rows = sets.select("rep", "n").join(heads, "rep", "left")
+    rows = durable(gathered(rows.withColumn("alone", F.col("family").isNull()).withColumn("cluster", F.coalesce("cluster", "rep"))))
     single = rows.filter("alone").select(*rows.columns, F.lit(1).cast("long").alias("m"))
     several = _sized(rows.filter("not alone"), "cluster", "m").select(*single.columns)
-    large = several.filter(F.col("m") >= GROUP).withColumn("pool", F.xxhash64(F.lit("cluster"), "cluster")).withColumn("own", F.lit(True))
-    small = several.filter(F.col("m") < GROUP).withColumn("pool", F.xxhash64(F.lit("family"), "family")).withColumn("own", F.lit(False))
+    own = F.col("m") >= GROUP
+    pool = F.when(own, F.xxhash64(F.lit("cluster"), "cluster")).otherwise(F.xxhash64(F.lit("family"), "family"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND))
-    pooled = _sized(durable(large.unionByName(small).withColumn("pool", F.xxhash64("pool", band))), "pool", "w")
+    pooled = _sized(durable(gathered(several.withColumn("own", own).withColumn("pool", F.xxhash64(pool, band)))), "pool", "w")
     chunk = F.pmod(F.xxhash64(F.lit(5), "rep"), F.ceil(F.col("w") / GROUP))
     pooled = pooled.withColumn("grp", F.xxhash64("pool", chunk)).drop("pool", "w")
     single = single.withColumn("own", F.lit(False)).withColumn("grp", F.xxhash64(F.lit("alone"), "rep"))
     rows = pooled.unionByName(single.select(*pooled.columns))
     m, x = F.when(F.col("own"), F.col("m")).otherwise(F.lit(0)), F.when(F.col("own"), F.col("cluster")).otherwise(F.col("grp"))
-    return durable(rows.select("rep", "n", "cluster", "grp", "own", "alone", F.struct(m.cast("long").alias("m"), x.alias("x")).alias("turn")))
+    return durable(gathered(rows.select("rep", "n", "cluster", "grp", "own", "alone", F.struct(m.cast("long").alias("m"), x.alias("x")).alias("turn"))))
 
 
 #: Rows of the token stream: a token of a set, a mark that a token has a crowd of sets, and a set that passes the deal by.
@@ -430,7 +433,7 @@ def _open_groups(sets: DataFrame, rows: DataFrame, pairs: DataFrame, docs: DataF
 
     Tasks stream the asking sets past a group's members; memory holds one group of bounded size.
     """
-    pairs = durable(_salt(pairs, "grp"))
+    pairs = durable(gathered(_salt(pairs, "grp")))
     members = rows.select("rep", "grp").join(pairs.select("grp", "salt").distinct(), "grp")
     asked = members.select("grp", "salt", F.lit(True).alias("member"), "rep").unionByName(pairs.select("grp", "salt", F.lit(False).alias("member"), "rep"))
     asked = asked.join(rows.select("rep", "cluster"), "rep")
@@ -489,7 +492,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text:
     heads = named.groupBy("component").agg(F.min("head").alias("head"), F.count("*").alias("w"))
     heads = durable(heads)
     known = join_by_weight(named.drop("head"), heads, ["component"], "w", max(1, named.count()), "inner").select("n", "d1", "d2", "copies", F.col("head.doc").alias("component_id"), F.col("head.row").alias("head"))
-    known = durable(known)
+    known = durable(gathered(known))
     full = made.filter("n > 0").select("doc", "text_hash", "n", "d1", "d2", "row")
     total = max(1, known.agg(F.sum("copies")).head()[0] or 0)
     out = join_by_weight(full, known, ["n", "d1", "d2"], "copies", total, "inner")
